@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fabtrace.operators.ordered import ROWS_PER_SLICE, Prev, Running, find_hot, with_ordered, with_slice
@@ -36,13 +36,19 @@ def stepped_events(spark: SparkSession, sf_dir: str, rows_per_slice: int = ROWS_
     """Events with their number within the user, their step and the time three events back."""
     events = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
     split = find_hot(events, "user_id", "ts", rows_per_slice)
-    numbered = with_slice(events, split, "ts")
-    back = numbered
-    for name, source in (("_b1", "ts"), ("_b2", "_b1"), ("_b3", "_b2")):
-        outputs = {name: Prev(source)}
-        if name == "_b1":
-            outputs["rn"] = Running("count", "event_id")
-        back = with_ordered(back, ["user_id"], ["ts", "event_id"], outputs)
+    order = ["ts", "event_id"]
+    if split is None:
+        w = Window.partitionBy("user_id").orderBy(*order)
+        back = events.withColumns({"rn": F.row_number().over(w), "_b3": F.lag("ts", 3).over(w)})
+    else:
+        back = with_ordered(
+            with_slice(events, split, "ts"),
+            ["user_id"],
+            order,
+            {"_b1": Prev("ts"), "rn": Running("count", "event_id")},
+        )
+        back = with_ordered(back, ["user_id"], order, {"_b2": Prev("_b1")})
+        back = with_ordered(back, ["user_id"], order, {"_b3": Prev("_b2")})
     step0 = whole((F.col("rn") - 1) / 4.0) % 12 + 1
     return (
         back.withColumn("_step0", step0)
@@ -145,9 +151,9 @@ def equipment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parameters(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        [("HOLD START TRANSACTION", "HLLT"), ("HOLD RELEASE TRANSACTION", "RLLT")],
-        "var_name string, var_value string",
+    return spark.sql(
+        "SELECT * FROM VALUES ('HOLD START TRANSACTION', 'HLLT'),"
+        " ('HOLD RELEASE TRANSACTION', 'RLLT') AS t(var_name, var_value)"
     )
 
 
@@ -159,3 +165,242 @@ def lot_tables(spark: SparkSession, sf_dir: str) -> LotTables:
         equipment(spark, sf_dir),
         parameters(spark),
     )
+
+
+# ---- histories -------------------------------------------------------------------------
+
+MES_CODES = [
+    "2RSV", "2SON", "2SIN", "2PSO", "2PSI", "MVIN", "MVOU", "TRST", "SLTA", "COMM", "RLLT", "HLLT",
+    "1RCL", "ALFG", "2SHL", "2HLD", "2HRL", "EI", "EDC", "JC", "TASK", "2CRT", "2SCR", "UNKN",
+]
+FALLBACK_CODES = [
+    "MVOU", "MVIN", "RLLT", "HLLT", "1RCL", "TRST", "SLTA", "COMM", "JC", "EDC", "TASK", "2HLD",
+    "2HRL", "UNKN",
+]
+
+
+def _pick(n: Column, values: list) -> Column:
+    """The n-th of the values, counted from 0."""
+    return F.get(F.array(*[F.lit(v).cast("string") if not isinstance(v, Column) else v for v in values]), n.cast("int"))
+
+
+def recorded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions with the texts a history keeps of them."""
+    e = F.col("event_id")
+    events = stepped_events(spark, sf_dir)
+    code = F.create_map(*[F.lit(x) for kv in TRANSCODES.items() for x in kv])
+    s = lambda c: c.cast("string")
+    note = F.concat(F.lit(" note;of "), s(e), F.lit(" "))
+    return events.select(
+        "event_id",
+        lot_of(F.col("user_id")).alias("lot"),
+        operation_of(F.col("step")).alias("operation"),
+        code[F.col("event_type")].alias("transcode"),
+        F.col("ts").alias("time_stamp"),
+        F.when(e % 6 != 0, F.concat(F.lit("S"), s(e % 8))).alias("sps_number"),
+        F.when(e % 17 != 0, F.concat(F.lit("EQ"), s(e % 40))).alias("equipment"),
+        F.when(e % 7 != 0, F.concat(F.lit("OP"), s(e % 10))).alias("operator"),
+        _pick(e % 5, [None, "", "   ", "a;b", note]).alias("comment"),
+        F.when(e % 2 == 0, "Y").otherwise("N").alias("is_reserved"),
+        F.when(e % 3 != 0, F.concat(F.lit("RM"), s(e % 9))).alias("is_reserved_machine"),
+        F.when(e % 4 != 0, F.concat(F.lit("RO"), s(e % 11))).alias("is_reserved_operator"),
+        _pick(F.floor(e / 24) % 6, ["025", "25.50", "abc", None, "0.50", "100"]).alias("quantity_1"),
+        F.when(e % 3 != 1, F.concat(F.lit("H"), s(e % 6))).alias("hold_code"),
+        _pick(F.floor(e / 24) % 4, [None, "  ", "held", F.repeat(note, 60)]).alias("hold_comment"),
+    )
+
+
+def history_mes(recorded: DataFrame) -> DataFrame:
+    return recorded.select(
+        F.col("lot").alias("lot_number"),
+        "operation",
+        F.col("transcode").alias("transaction"),
+        F.col("time_stamp").alias("trans_timestamp"),
+        F.col("sps_number").alias("current_sip"),
+        F.col("equipment").alias("actual_entity"),
+        F.col("operator").alias("operator_id"),
+        F.col("comment").alias("commenttext"),
+        "is_reserved",
+        "is_reserved_machine",
+        "is_reserved_operator",
+        "quantity_1",
+        "hold_code",
+        "hold_comment",
+    )
+
+
+def history_fallback(recorded: DataFrame) -> DataFrame:
+    return recorded.select(
+        "lot",
+        "operation",
+        "transcode",
+        "time_stamp",
+        "sps_number",
+        "equipment",
+        "operator",
+        F.col("comment").alias("transaction_comment"),
+    )
+
+
+def history_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Four histories that overlap: each kept the events its number divides."""
+    recorded = recorded_events(spark, sf_dir)
+    kept = lambda n: recorded.where(F.col("event_id") % n == 0)
+    return {
+        "mes": history_mes(kept(2)),
+        "fallback_1": history_fallback(kept(3)),
+        "fallback_2": history_fallback(kept(5)),
+        "fallback_3": history_fallback(kept(7)),
+    }
+
+
+# ---- orders ----------------------------------------------------------------------------
+
+OWNERS = ["DEVT", "PROD", "QUAL", None]
+STATUSES = ["In Production", "Confirmed", "Done", "Warning", "Terminated", "Parked"]
+PRIORITIES = ["Hot", "Rocket", "Normal", "Low"]
+
+
+def priority_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order attributes, with ``ordinal`` as arrival order."""
+    k = F.col("o_orderkey")
+    s = lambda c: c.cast("string")
+    code = lambda prefix, n: F.concat(F.lit(prefix), s(k % n))
+    day = s(F.col("o_orderdate").cast("date"))
+    return read_table(spark, sf_dir, "orders").select(
+        k.alias("ordinal"),
+        F.concat(F.lit("EO"), s(k)).alias("febesOrderId"),
+        _pick(F.col("o_custkey") % 4, OWNERS).alias("owner"),
+        _pick(k % 6, STATUSES).alias("orderStatus"),
+        s(k % 25).alias("orderQuantity"),
+        F.lit("WFR").alias("orderUnit"),
+        _pick(k % 3, [None, "", code("rem ", 9)]).alias("orderRemark"),
+        _pick(k % 2, ["200", "300"]).alias("waferSize"),
+        F.when(k % 7 != 0, lot_of(F.col("o_custkey"))).alias("lotNumber"),
+        code("R", 11).alias("lotResponsible"),
+        F.when(k % 13 != 0, (k % 401 - 200) * F.lit(0.03125)).alias("deltaCurrentToPlan"),
+        code("Q", 13).alias("requestor"),
+        code("U", 3).alias("lotPurpose"),
+        _pick(k % 4, PRIORITIES).alias("priority"),
+        code("C", 5).alias("priorityCorridor"),
+        code("F", 2).alias("currentFacility"),
+        operation_of(k % 12 + 1).alias("currentOperation"),
+        day.alias("confirmedDeliveryDate"),
+        F.when(k % 10 != 0, day).alias("currentDeliveryDate"),
+        code("D", 5).alias("businessDivision"),
+        code("P", 8).alias("processGroup"),
+        F.col("o_orderpriority").alias("createUser"),
+    )
+
+
+def order_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed payloads: an order and its second lot each, with error objects in between."""
+    orders = priority_orders(spark, sf_dir)
+    names = [c for c in orders.columns if c != "ordinal"]
+    second = F.struct(
+        F.concat("febesOrderId", F.lit("B")).alias("febesOrderId"),
+        *[
+            (F.col(c) if c in ("owner", "lotNumber") else F.lit(None).cast(orders.schema[c].dataType)).alias(c)
+            for c in names[1:]
+        ],
+    )
+    good = F.to_json(F.struct(F.array(F.struct(*names), second).alias("priorityOrders")))
+    k = F.col("ordinal")
+    return orders.select(
+        k.alias("payload_id"),
+        F.when(k % 50 == 7, '{"message":"expired","code":401}')
+        .when(k % 50 == 8, "[1,2]")
+        .otherwise(good)
+        .alias("value"),
+    )
+
+
+# ---- annotations, requests, sheets, logs -------------------------------------------------
+
+
+def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    return read_table(spark, sf_dir, "documents").select(
+        lot_of(d % 150).alias("LOT NUMBER"),
+        operation_of(d % 12 + 1).alias("OPERATION"),
+        F.col("text").alias("DESCRIPTION"),
+        _pick(d % 4, ["Disposition", "Delay load", "", None]).alias("ISSUE"),
+        F.col("lang").alias("REMARKS"),
+    )
+
+
+def unrepaired_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as found on disk: a column missing, unknown values spelled out."""
+    d = F.col("doc_id")
+    return read_table(spark, sf_dir, "documents").select(
+        (d % 12 + 1).alias("OPERATION"),
+        F.col("text").alias("DESCRIPTION"),
+        _pick(d % 4, ["nan", "None", "Batching", None]).alias("ISSUE"),
+        lot_of(d % 150).alias("LOT NUMBER"),
+    )
+
+
+def entered_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    return read_table(spark, sf_dir, "labels").select(
+        lot_of(d % 150).alias("LOT NUMBER"),
+        operation_of(d % 12 + 1).alias("OPERATION"),
+        F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("DESCRIPTION"),
+        F.when(F.col("toxic") == 1, "—").otherwise("Batching").alias("ISSUE"),
+        F.lit("—").alias("REMARKS"),
+    )
+
+
+def annotation_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    return (
+        read_table(spark, sf_dir, "labels")
+        .select(lot_of(d % 150).alias("lot"), operation_of(d % 12 + 1).alias("op"))
+        .distinct()
+    )
+
+
+def lot_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("c_custkey")
+    return read_table(spark, sf_dir, "customer").select(
+        c.alias("request_id"),
+        F.concat(lot_of(c * 2), F.lit(", ,"), lot_of(c * 3), F.lit(" ,")).alias("lots"),
+    )
+
+
+def sheets(spark: SparkSession, sf_dir: str) -> dict[str, list[DataFrame]]:
+    """Sheets of per-lot workbooks whose columns differ between files."""
+    customer = read_table(spark, sf_dir, "customer")
+    supplier = read_table(spark, sf_dir, "supplier")
+    nation = read_table(spark, sf_dir, "nation")
+    return {
+        "a sheet name that is longer than allowed": [
+            customer.select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), "c_mktsegment"),
+            supplier.select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), "s_nationkey"),
+        ],
+        "": [nation.select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))],
+    }
+
+
+LOG_MARKS = [
+    "",
+    "IllegalOptionException",
+    "customization-profiles",
+    "another process has locked a portion of the file",
+    "ConfigurationAreaChecker",
+    "EXCEPTION_ACCESS_VIOLATION",
+    "DB Connection no longer available",
+    "created an empty data table",
+    "ConfigurationAreaChecker after EXCEPTION_ACCESS_VIOLATION",
+]
+
+
+def run_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    return read_table(spark, sf_dir, "documents").select(
+        d.alias("run_id"),
+        lot_of(d % 150).alias("lot"),
+        F.concat("text", F.lit("\n"), _pick(d % 9, LOG_MARKS)).alias("log_text"),
+        F.when(d % 5 == 0, 1).otherwise(0).alias("exit_code"),
+        (d % 4 != 0).alias("has_output"),
+    )

@@ -30,17 +30,20 @@ def hold_history(transactions: DataFrame, parameters: DataFrame, split: HotSplit
     That event may be a release too; the first event of a place has no hold time.
     """
 
-    def codes(*names: str) -> DataFrame:
-        return parameters.where(F.col("var_name").isin(*names)).select(F.col("var_value").alias("transcode"))
-
+    # One row per code, so the join keeps or drops events and never repeats them.
+    codes = (
+        parameters.where(F.col("var_name").isin(HOLD_START, HOLD_RELEASE))
+        .groupBy(F.col("var_value").alias("transcode"))
+        .agg(F.max(F.col("var_name") == HOLD_RELEASE).alias("is_release"))
+    )
     events = (
         transactions.where(F.col("deleted_flag") != "Y")
         .select(*PLACE, "transcode", "time_stamp")
-        .join(codes(HOLD_START, HOLD_RELEASE), "transcode", "left_semi")
+        .join(codes, "transcode")
     )
     placed = events.repartition("lot", "operation") if split is None else with_slice(events, split, "time_stamp")
     ordered = with_ordered(placed, PLACE, ["time_stamp", "transcode"], {"hllt_time_stamp": Prev("time_stamp")})
-    return ordered.join(codes(HOLD_RELEASE), "transcode", "left_semi").select(
+    return ordered.where("is_release").select(
         *PLACE,
         "transcode",
         F.col("time_stamp").alias("rllt_time_stamp"),
@@ -56,7 +59,8 @@ def with_hold_time(moves: DataFrame, releases: DataFrame, split: HotSplit | None
     time are read where a stay begins and where it ends, and subtracted.  Totals are whole
     microseconds, so the difference is exact.
     """
-    columns = [c for c in moves.columns if c != SLICE]
+    # The place columns stay outside the payload, so their partitioning is kept.
+    columns = [c for c in moves.columns if c not in (SLICE, *PLACE)]
     if split is None:
         moves = moves.repartition("lot", "operation")
     payload = T.StructType([moves.schema[c] for c in columns])
@@ -100,5 +104,5 @@ def with_hold_time(moves: DataFrame, releases: DataFrame, split: HotSplit | None
         (F.col("_sum") - F.coalesce("_begin._sum", F.lit(0))) / F.lit(float(MICROS_PER_DAY)),
     )
     extra = [SLICE] if SLICE in paired.columns else []
-    return paired.select("_move.*", held.alias("actual_holdtime"), *extra)
+    return paired.select(*PLACE, "_move.*", held.alias("actual_holdtime"), *extra)
 

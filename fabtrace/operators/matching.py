@@ -17,7 +17,7 @@ def with_segment(moves: DataFrame, segments: DataFrame) -> DataFrame:
     test of the route join.
     """
     extra = [SLICE] if SLICE in moves.columns else []
-    columns = [c for c in moves.columns if c != SLICE]
+    columns = [c for c in moves.columns if c not in (SLICE, "lot")]
     payload = T.StructType([moves.schema[c] for c in columns])
     starts = segments.select(
         "lot",
@@ -38,7 +38,7 @@ def with_segment(moves: DataFrame, segments: DataFrame) -> DataFrame:
     stream = with_ordered(
         starts.unionByName(made), ["lot"], ["_at", "_kind"], {"segment_start": Running("last", "_start")}
     )
-    return stream.where(F.col("_kind") == 1).select("_move.*", "segment_start", *extra)
+    return stream.where(F.col("_kind") == 1).select("lot", "_move.*", "segment_start", *extra)
 
 
 def match_moves(moves: DataFrame, route: DataFrame, split: HotSplit | None = None) -> DataFrame:

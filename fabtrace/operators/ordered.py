@@ -81,10 +81,10 @@ def find_hot(
         "_at", [i / pieces for i in range(1, pieces)], max(10_000, 4 * pieces)
     )
     step = F.ceil(F.lit(pieces) * threshold / F.col("_n"))
+    hot_rows = keyed if key is None else keyed.join(F.broadcast(hot), "_key", "left_semi")
     found = (
-        keyed.join(F.broadcast(hot), "_key")
-        .groupBy("_key")
-        .agg(quantiles.alias("_q"), F.max("_n").alias("_n"))
+        hot_rows.groupBy("_key")
+        .agg(quantiles.alias("_q"), F.count("*").alias("_n"))
         .withColumn("_step", step.cast("int"))
         .select(
             "_key",

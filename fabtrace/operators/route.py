@@ -27,7 +27,8 @@ LAST_STEP = 9999
 OPEN_END = 99999
 
 SEQ = "operation_sequence_number"
-ORDER = ["time_stamp", SEQ, "planned_operation"]
+# Time first; the rest only makes equal times deterministic.
+ORDER = ["time_stamp", SEQ, "planned_operation", "facility"]
 
 
 def boundary_moves(transactions: DataFrame, route_operations: DataFrame, split: HotSplit | None = None):
@@ -95,7 +96,7 @@ def route_segments(boundaries: DataFrame, as_of: dt.datetime) -> DataFrame:
 
     The span is half open; the last segment of a lot ends one hour after ``as_of``.
     """
-    order = ["time_stamp", SEQ, "operation"]
+    order = ["time_stamp", SEQ, "operation", "facility"]
     kept = boundaries.where(F.col("operation").isNotNull()).withColumn(
         "_route", F.coalesce("route", F.lit(NO_ROUTE))
     )

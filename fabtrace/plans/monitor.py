@@ -113,7 +113,7 @@ def visits(
 
 def _measured(matched: DataFrame, hold_time: bool) -> DataFrame:
     keys = [
-        "r_lot", "r_operation", "r_facility", "r_route", "r_route_order_seq", f"r_{SEQ}",
+        "r_lot", "r_operation", "r_facility", "r_route", "r_route_key", "r_route_order_seq", f"r_{SEQ}",
         "r_operation_desc", "r_store_flag", "r_optional_oper_flag",
         "l_lot", "l_operation", "l_facility", "l_route", "l_to_operation", "l_trans_time",
         "l_transcode", "l_cost_center", "l_work_center", "l_qty_out_1", "l_unit_1",

@@ -62,7 +62,7 @@ ORDER_COLUMNS = {
     "processGroup": "Process Group",
     "createUser": "Create User",
 }
-ORDER_NUMBERS = {"orderQuantity": "bigint", "deltaCurrentToPlan": "double"}
+ORDER_NUMBERS = {"deltaCurrentToPlan": "double"}
 ORDER_ELEMENT = ", ".join(f"{k} {ORDER_NUMBERS.get(k, 'string')}" for k in ORDER_COLUMNS)
 
 # Columns of the annotation table.
