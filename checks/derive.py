@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fabtrace.operators.ordered import ROWS_PER_SLICE, Prev, Running, find_hot, with_ordered, with_slice
+from fabtrace.operators.ordered import ROWS_PER_SLICE, By, Prev, Running, find_hot, with_ordered, with_slice
 from fabtrace.plans.monitor import LotTables
 from fabtrace.sources.tables import read_table
 
@@ -43,12 +43,11 @@ def stepped_events(spark: SparkSession, sf_dir: str, rows_per_slice: int = ROWS_
     else:
         back = with_ordered(
             with_slice(events, split, "ts"),
-            ["user_id"],
             order,
-            {"_b1": Prev("ts"), "rn": Running("count", "event_id")},
+            By(["user_id"], {"_b1": Prev("ts"), "rn": Running("count", "event_id")}),
         )
-        back = with_ordered(back, ["user_id"], order, {"_b2": Prev("_b1")})
-        back = with_ordered(back, ["user_id"], order, {"_b3": Prev("_b2")})
+        back = with_ordered(back, order, By(["user_id"], {"_b2": Prev("_b1")}))
+        back = with_ordered(back, order, By(["user_id"], {"_b3": Prev("_b2")}))
     step0 = whole((F.col("rn") - 1) / 4.0) % 12 + 1
     return (
         back.withColumn("_step0", step0)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +22,10 @@ from fabtrace.operators import (
 )
 from fabtrace.operators.ordered import find_hot
 from fabtrace.plans import monitor
-from fabtrace.session import shared_folder, tune
+from fabtrace.session import tune
 from fabtrace.sources import annotations as annotation_records
 from fabtrace.sources import files, payload
+from fabtrace.sources.scratch import new_path
 from fabtrace.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -398,7 +398,7 @@ def log_triage(spark, sf_dir):
 
 @query
 def csv_roundtrip(spark, sf_dir):
-    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    path = new_path(spark, "csv")
     board = orders.board(derive.priority_orders(spark, sf_dir))
     files.write_csv(board, path)
     return files.read_csv(spark, path, board.schema)
@@ -406,7 +406,7 @@ def csv_roundtrip(spark, sf_dir):
 
 @query
 def json_roundtrip(spark, sf_dir):
-    path = f"{shared_folder(spark)}/annotations-{uuid.uuid4().hex}"
+    path = new_path(spark, "annotations")
     annotation_records.save(derive.descriptions(spark, sf_dir), path)
     return annotation_records.read_saved(spark, path)
 

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from fabtrace.functions.time import MICROS_PER_DAY, days_between, micros_between
 from fabtrace.operators.ordered import (
     SLICE,
+    By,
     HotSplit,
     Prev,
     Running,
@@ -42,7 +43,9 @@ def hold_history(transactions: DataFrame, parameters: DataFrame, split: HotSplit
         .join(codes, "transcode")
     )
     placed = events.repartition("lot", "operation") if split is None else with_slice(events, split, "time_stamp")
-    ordered = with_ordered(placed, PLACE, ["time_stamp", "transcode"], {"hllt_time_stamp": Prev("time_stamp")})
+    ordered = with_ordered(
+        placed, ["time_stamp", "transcode"], By(PLACE, {"hllt_time_stamp": Prev("time_stamp")})
+    )
     return ordered.where("is_release").select(
         *PLACE,
         "transcode",
@@ -86,9 +89,8 @@ def with_hold_time(moves: DataFrame, releases: DataFrame, split: HotSplit | None
     stream = with_slice(probes.unionByName(released), split, "_at")
     totals = with_ordered(
         stream,
-        PLACE,
         ["_at", "_side"],
-        {"_sum": Running("sum", "hold_micros"), "_n": Running("count", "hold_micros")},
+        By(PLACE, {"_sum": Running("sum", "hold_micros"), "_n": Running("count", "hold_micros")}),
     )
     begin = F.when(F.col("_side") == 0, F.struct("_sum", "_n"))
     stay = [*PLACE, "_enter", "_leave"]

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fabtrace.operators.ordered import SLICE, HotSplit, Running, with_ordered, with_slice
+from fabtrace.operators.ordered import SLICE, By, HotSplit, Running, with_ordered, with_slice
 from fabtrace.operators.route import NO_ROUTE
+from fabtrace.sources.scratch import cut
 
 
 def with_segment(moves: DataFrame, segments: DataFrame) -> DataFrame:
@@ -36,7 +37,7 @@ def with_segment(moves: DataFrame, segments: DataFrame) -> DataFrame:
         *extra,
     )
     stream = with_ordered(
-        starts.unionByName(made), ["lot"], ["_at", "_kind"], {"segment_start": Running("last", "_start")}
+        starts.unionByName(made), ["_at", "_kind"], By(["lot"], {"segment_start": Running("last", "_start")})
     )
     return stream.where(F.col("_kind") == 1).select("lot", "_move.*", "segment_start", *extra)
 
@@ -75,6 +76,7 @@ def match_moves(moves: DataFrame, route: DataFrame, split: HotSplit | None = Non
 
     # A hot lot may have most of its moves at one planned operation.  Its planned rows are
     # repeated for each time slice their segment spans, so the join spreads over slices too.
+    left, right = cut(left), cut(right)
     leaving = with_slice(
         right.withColumnRenamed("r_slice", "_from").withColumnRenamed("r_lot", "lot"),
         split,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fabtrace.functions.time import days_between
-from fabtrace.operators.ordered import HotSplit, Prev, with_ordered, with_slice
+from fabtrace.operators.ordered import By, HotSplit, Prev, with_ordered, with_slice
 
 ORDER = ["time_stamp", "operation", "to_operation", "transcode"]
 
@@ -17,7 +17,7 @@ def timed_moves(transactions: DataFrame, split: HotSplit | None = None) -> DataF
         (F.col("operation") != F.col("to_operation")) & (F.col("deleted_flag") != "Y")
     )
     ordered = with_ordered(
-        with_slice(kept, split, "time_stamp"), ["lot"], ORDER, {"_prev": Prev("time_stamp")}
+        with_slice(kept, split, "time_stamp"), ORDER, By(["lot"], {"_prev": Prev("time_stamp")})
     )
     since = F.coalesce("_prev", "enter_operation_time_stamp")
     return ordered.select(

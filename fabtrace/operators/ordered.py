@@ -4,6 +4,9 @@ A plain ``Window.partitionBy("lot")`` hands each lot to one task.  That is the b
 while every lot is small, so it is what runs unless ``find_hot`` reports lots above the row
 bound.  Those lots are cut into time slices; a window is then computed inside each slice and
 completed with one carried row per (keys, slice), so no task sees more than a slice.
+
+The sliced form reads its rows twice, so it writes them to the shared folder first; plans
+stay small and a lost executor costs one stage.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fabtrace.sources.scratch import cut
+
 SLICE = "_slice"
 ROWS_PER_SLICE = 5_000_000
 MAX_SLICES = 8192
@@ -44,6 +49,14 @@ class Running:
     col: str
 
 
+@dataclass(frozen=True)
+class By:
+    """Window columns to add over ``keys``."""
+
+    keys: Sequence[str]
+    outputs: Mapping[str, Prev | Next | Running]
+
+
 @dataclass(frozen=True)
 class HotSplit:
     """Slice bounds of the keys above the row bound: one (_key, _bounds) row per hot key."""
@@ -53,6 +66,17 @@ class HotSplit:
     longest: int
     whole_table: list | None = None
 
+    def cold(self, df: DataFrame) -> DataFrame:
+        """Rows of the other keys."""
+        return df.join(self._keys(), F.col(self.key) == F.col("_key"), "left_anti")
+
+    def hot(self, df: DataFrame) -> DataFrame:
+        """Rows of the hot keys."""
+        return df.join(self._keys(), F.col(self.key) == F.col("_key"), "left_semi")
+
+    def _keys(self) -> DataFrame:
+        return F.broadcast(self.bounds.select("_key"))
+
 
 def find_hot(
     df: DataFrame,
@@ -120,30 +144,29 @@ def with_slice(df: DataFrame, split: HotSplit | None, at: str) -> DataFrame:
     return joined.withColumn(SLICE, F.when(F.col("_bounds").isNotNull(), position)).drop("_bounds")
 
 
-def with_ordered(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    outputs: Mapping[str, Prev | Next | Running],
-) -> DataFrame:
-    """Add ordered window columns over ``keys``; ``order[0]`` is the slicing axis.
+def with_ordered(df: DataFrame, order: Sequence[str], *specs: By) -> DataFrame:
+    """Add ordered window columns; ``order[0]`` is the slicing axis and nulls sort last.
 
-    Nulls sort last.  Rows carrying a slice number are completed across slices.
+    Specs come widest keys first, so one shuffle serves them all.  Rows carrying a slice
+    number are completed across slices.
     """
     sort = [F.col(c).asc_nulls_last() for c in order]
-    if SLICE not in df.columns:
-        w = Window.partitionBy(*keys).orderBy(*sort)
-        return df.withColumns({name: _plain(o, w) for name, o in outputs.items()})
-    return _with_sliced(df, list(keys), sort, dict(outputs))
+    if SLICE in df.columns:
+        return _with_sliced(df, sort, specs)
+    for spec in specs:
+        w = Window.partitionBy(*spec.keys).orderBy(*sort)
+        df = df.withColumns({name: _plain(o, w) for name, o in spec.outputs.items()})
+    return df
 
 
 def with_group_value(df: DataFrame, keys: Sequence[str], value: Column, name: str) -> DataFrame:
     """Add an aggregate over all rows of each group, whatever the group's size."""
     if SLICE not in df.columns:
         return df.withColumn(name, value.over(Window.partitionBy(*keys)))
-    renamed = [f"_g{i}" for i in range(len(keys))]
-    groups = df.groupBy(*[F.col(k).alias(g) for k, g in zip(keys, renamed)]).agg(value.alias(name))
-    return df.join(groups, _null_safe(keys, renamed), "left").drop(*renamed)
+    rows = cut(df)
+    renamed = [f"_ord_g{i}" for i in range(len(keys))]
+    groups = rows.groupBy(*[F.col(k).alias(g) for k, g in zip(keys, renamed)]).agg(value.alias(name))
+    return rows.join(groups, _null_safe(keys, renamed), "left").drop(*renamed)
 
 
 def _plain(o: Prev | Next | Running, w) -> Column:
@@ -167,69 +190,87 @@ def _null_safe(left: Sequence[str], right: Sequence[str]) -> Column:
     return condition
 
 
-def _with_sliced(df, keys, sort, outputs) -> DataFrame:
-    w = Window.partitionBy(*keys, SLICE).orderBy(*sort)
-    prevs = {n: o for n, o in outputs.items() if isinstance(o, Prev)}
-    nexts = {n: o for n, o in outputs.items() if isinstance(o, Next)}
-    runs = {n: o for n, o in outputs.items() if isinstance(o, Running)}
+def _with_sliced(df: DataFrame, sort: list[Column], specs: Sequence[By]) -> DataFrame:
+    local = df
+    for i, spec in enumerate(specs):
+        w = Window.partitionBy(*spec.keys, SLICE).orderBy(*sort)
+        local = local.withColumns(
+            {n: _inside_slice(o, w) for n, o in spec.outputs.items()}
+            | {
+                f"_ord_first{i}": F.lag(F.lit(1)).over(w).isNull(),
+                f"_ord_last{i}": F.lead(F.lit(1)).over(w).isNull(),
+            }
+        )
+    local = cut(local)
+    done = local
+    for i, spec in enumerate(specs):
+        done = _completed(done, _carried(local, i, spec), spec)
+    added = [name for spec in specs for name in spec.outputs]
+    return done.select(*df.columns, *added)
+
 
+def _inside_slice(o: Prev | Next | Running, w) -> Column:
     # Neighbours are wrapped in a struct so "no row" and "row with a null" stay apart.
-    local = df.withColumns(
-        {n: F.lag(F.struct(F.col(o.col).alias("v"))).over(w) for n, o in prevs.items()}
-        | {n: F.lead(F.struct(F.col(o.col).alias("v"))).over(w) for n, o in nexts.items()}
-        | {n: _plain(o, w) for n, o in runs.items()}
-        | {"_first": F.lag(F.lit(1)).over(w).isNull(), "_last": F.lead(F.lit(1)).over(w).isNull()}
-    )
+    if isinstance(o, Prev):
+        return F.lag(F.struct(F.col(o.col).alias("v"))).over(w)
+    if isinstance(o, Next):
+        return F.lead(F.struct(F.col(o.col).alias("v"))).over(w)
+    return _plain(o, w)
 
-    # One row per (keys, slice): what its first and last rows hand to the neighbours.
-    firsts = F.struct(F.lit(1).alias("_"), *[F.col(o.col).alias(n) for n, o in nexts.items()])
-    lasts = F.struct(
-        F.lit(1).alias("_"),
-        *[F.col(o.col).alias(n) for n, o in prevs.items()],
-        *[F.col(n).alias(n) for n in runs],
-    )
-    renamed = [f"_k{i}" for i in range(len(keys))]
+
+def _carried(local: DataFrame, i: int, spec: By) -> DataFrame:
+    """One row per (keys, slice) with what the neighbouring slices hand over."""
+    first, last = F.col(f"_ord_first{i}"), F.col(f"_ord_last{i}")
+    nexts = [F.col(o.col).alias(n) for n, o in spec.outputs.items() if isinstance(o, Next)]
+    prevs = [F.col(o.col).alias(n) for n, o in spec.outputs.items() if isinstance(o, Prev)]
+    runs = {n: o for n, o in spec.outputs.items() if isinstance(o, Running)}
+    here = F.lit(1).alias("_")
     edges = (
-        local.where(F.col(SLICE).isNotNull() & (F.col("_first") | F.col("_last")))
-        .groupBy(*[F.col(k).alias(r) for k, r in zip(keys, renamed)], F.col(SLICE).alias("_ks"))
+        local.where(F.col(SLICE).isNotNull() & (first | last))
+        .groupBy(*[F.col(k).alias(r) for k, r in zip(spec.keys, _renamed(spec))], F.col(SLICE).alias("_ord_ks"))
         .agg(
-            F.max(F.when(F.col("_first"), firsts)).alias("_f"),
-            F.max(F.when(F.col("_last"), lasts)).alias("_l"),
+            F.max(F.when(first, F.struct(here, *nexts))).alias("_ord_f"),
+            F.max(F.when(last, F.struct(here, *prevs, *[F.col(n) for n in runs]))).alias("_ord_l"),
         )
     )
-    over = Window.partitionBy(*renamed).orderBy("_ks")
+    over = Window.partitionBy(*_renamed(spec)).orderBy("_ord_ks")
     before = over.rowsBetween(Window.unboundedPreceding, -1)
     # Counts of earlier slices add up; every other running value combines with itself.
-    merge = {n: Running("sum" if o.fn == "count" else o.fn, f"_l.{n}") for n, o in runs.items()}
-    carried = edges.select(
-        *renamed,
-        "_ks",
-        F.lag("_l").over(over).alias("_prev"),
-        F.lead("_f").over(over).alias("_next"),
-        *[_running(m).over(before).alias(f"_run_{n}") for n, m in merge.items()],
-    )
-    joined = local.join(
-        carried, _null_safe(keys, renamed) & (F.col(SLICE) == F.col("_ks")), "left"
+    merge = {n: Running("sum" if o.fn == "count" else o.fn, f"_ord_l.{n}") for n, o in runs.items()}
+    return edges.select(
+        *_renamed(spec),
+        "_ord_ks",
+        F.lag("_ord_l").over(over).alias("_ord_prev"),
+        F.lead("_ord_f").over(over).alias("_ord_next"),
+        *[_running(m).over(before).alias(f"_ord_run_{n}") for n, m in merge.items()],
     )
 
-    def neighbour(name, default, side):
-        return (
-            F.when(F.col(name).isNotNull(), F.col(f"{name}.v"))
-            .when(F.col(side).isNotNull(), F.col(f"{side}.{name}"))
-            .otherwise(F.lit(default))
-        )
 
-    def combined(name, fn):
-        here, earlier = F.col(name), F.col(f"_run_{name}")
-        if fn == "max":
-            return F.greatest(here, earlier)
-        if fn == "last":
-            return F.coalesce(here, earlier)
-        return F.when(here.isNull(), earlier).otherwise(here + F.coalesce(earlier, F.lit(0)))
-
-    done = joined.withColumns(
-        {n: neighbour(n, o.default, "_prev") for n, o in prevs.items()}
-        | {n: neighbour(n, o.default, "_next") for n, o in nexts.items()}
-        | {n: combined(n, o.fn) for n, o in runs.items()}
+def _completed(rows: DataFrame, carried: DataFrame, spec: By) -> DataFrame:
+    joined = rows.join(
+        carried, _null_safe(spec.keys, _renamed(spec)) & (F.col(SLICE) == F.col("_ord_ks")), "left"
     )
-    return done.select(*df.columns, *outputs)
+    values = {}
+    for name, o in spec.outputs.items():
+        here = F.col(name)
+        if isinstance(o, Running):
+            earlier = F.col(f"_ord_run_{name}")
+            if o.fn == "max":
+                values[name] = F.greatest(here, earlier)
+            elif o.fn == "last":
+                values[name] = F.coalesce(here, earlier)
+            else:
+                total = here + F.coalesce(earlier, F.lit(0))
+                values[name] = F.when(here.isNull(), earlier).otherwise(total)
+        else:
+            side = "_ord_prev" if isinstance(o, Prev) else "_ord_next"
+            values[name] = (
+                F.when(here.isNotNull(), F.col(f"{name}.v"))
+                .when(F.col(side).isNotNull(), F.col(f"{side}.{name}"))
+                .otherwise(F.lit(o.default))
+            )
+    return joined.withColumns(values).drop(*carried.columns)
+
+
+def _renamed(spec: By) -> list[str]:
+    return [f"_ord_k{i}" for i in range(len(spec.keys))]

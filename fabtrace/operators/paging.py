@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fabtrace.operators.ordered import Running, find_hot, with_ordered, with_slice
+from fabtrace.operators.ordered import By, Running, find_hot, with_ordered, with_slice
 
 PAGE_SIZE = 200
 ROWS_PER_TASK = 1_000_000
@@ -23,7 +23,7 @@ def with_row_number(
     """
     split = find_hot(df, None, order[0], rows_per_task)
     numbered = with_ordered(
-        with_slice(df, split, order[0]), [], order, {name: Running("count", order[0])}
+        with_slice(df, split, order[0]), order, By([], {name: Running("count", order[0])})
     )
     return numbered.select(*[f"`{c}`" for c in df.columns], name)
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fabtrace.operators.ordered import (
     SLICE,
+    By,
     HotSplit,
     Next,
     Prev,
@@ -63,14 +64,14 @@ def boundary_moves(transactions: DataFrame, route_operations: DataFrame, split:
         .withColumn("_route", F.coalesce("p_route", F.lit(NO_ROUTE)))
         .withColumnRenamed("operation", "planned_operation")
     )
-    by_lot = with_ordered(
-        stepped, ["lot"], ORDER, {"_prev_route": Prev("_route", "prev"), "_next_route": Next("_route", "next")}
-    )
     by_route = with_ordered(
-        by_lot,
-        ["lot", "route"],
+        stepped,
         ORDER,
-        {"_prev_seq": Prev(SEQ), "_next_seq": Next(SEQ), "loop_back_indicator": Running("max", SEQ)},
+        By(["lot"], {"_prev_route": Prev("_route", "prev"), "_next_route": Next("_route", "next")}),
+        By(
+            ["lot", "route"],
+            {"_prev_seq": Prev(SEQ), "_next_seq": Next(SEQ), "loop_back_indicator": Running("max", SEQ)},
+        ),
     )
     boundary = (
         (F.col("_route") != F.col("_prev_route"))
@@ -100,23 +101,24 @@ def route_segments(boundaries: DataFrame, as_of: dt.datetime) -> DataFrame:
     kept = boundaries.where(F.col("operation").isNotNull()).withColumn(
         "_route", F.coalesce("route", F.lit(NO_ROUTE))
     )
-    by_lot = with_ordered(
-        kept, ["lot"], order, {"_prev_route": Prev("_route", "prev"), "_prev_seq": Prev(SEQ)}
+    by_route = with_ordered(
+        kept,
+        order,
+        By(["lot"], {"_prev_route": Prev("_route", "prev"), "_prev_seq": Prev(SEQ)}),
+        By(["lot", "route"], {"_next_seq": Next(SEQ, LAST_STEP)}),
     )
-    by_route = with_ordered(by_lot, ["lot", "route"], order, {"_next_seq": Next(SEQ, LAST_STEP)})
     starts = (
         by_route.withColumn("step_reached", F.coalesce("_next_seq", SEQ))
         .where((F.col("_route") != F.col("_prev_route")) | (F.col(SEQ) < F.col("_prev_seq")))
         .withColumn("route_order_seq", F.col("time_stamp"))
         .drop("_prev_route", "_prev_seq", "_next_seq")
     )
-    next_start = with_ordered(
+    next_step = with_ordered(
         starts,
-        ["lot"],
         order,
-        {"_next_operation": Next("operation"), "_next_start": Next("route_order_seq")},
+        By(["lot"], {"_next_operation": Next("operation"), "_next_start": Next("route_order_seq")}),
+        By(["lot", "route"], {"_next_seq": Next(SEQ, OPEN_END)}),
     )
-    next_step = with_ordered(next_start, ["lot", "route"], order, {"_next_seq": Next(SEQ, OPEN_END)})
     end_of_time = F.lit(as_of + dt.timedelta(hours=1)).cast("timestamp_ntz")
     return next_step.select(
         "lot",

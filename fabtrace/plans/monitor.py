@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from fabtrace.operators.ordered import (
     MAX_SLICES,
     ROWS_PER_SLICE,
     SLICE,
+    HotSplit,
     find_hot,
     with_group_value,
 )
@@ -76,28 +78,40 @@ class LotTables:
 
     def of_lots(self, lots: DataFrame) -> LotTables:
         """The same tables for the requested lots only (column ``lot``)."""
-        wanted = self.transactions.join(lots.select("lot"), "lot", "left_semi")
-        return LotTables(wanted, self.route_operations, self.operations, self.equipment, self.parameters)
+        return replace(self, transactions=self.transactions.join(lots.select("lot"), "lot", "left_semi"))
 
     def of_lot(self, lot: str) -> LotTables:
-        wanted = self.transactions.where(F.col("lot") == lot)
-        return LotTables(wanted, self.route_operations, self.operations, self.equipment, self.parameters)
+        return replace(self, transactions=self.transactions.where(F.col("lot") == lot))
 
 
-def visits(
+def visits(tables: LotTables, as_of: dt.datetime, hold_time: bool = True, **slicing) -> DataFrame:
+    """One row per planned operation visit and move, for all lots."""
+    return _in_parts(tables, lambda part, split: _visits(part, as_of, split, hold_time), **slicing)
+
+
+def _in_parts(
     tables: LotTables,
-    as_of: dt.datetime,
+    plan: Callable[[LotTables, HotSplit | None], DataFrame],
     rows_per_slice: int = ROWS_PER_SLICE,
     max_slices: int = MAX_SLICES,
-    hold_time: bool = True,
 ) -> DataFrame:
-    """One row per planned operation visit and move, for all lots; columns upper case.
+    """The plan over all lots, with the lots above the row bound planned apart in time slices.
 
-    Lots above the row bound are found with one count over the transactions and processed in
-    time slices; without such lots the plan has no trace of that.
+    One count over the transactions finds them; without any, the plan has no trace of that.
     """
     tx = tables.transactions
     split = find_hot(tx, "lot", "time_stamp", rows_per_slice, max_slices)
+    if split is None:
+        return plan(tables, None)
+    cold = plan(replace(tables, transactions=split.cold(tx)), None)
+    hot = plan(replace(tables, transactions=split.hot(tx)), split)
+    return cold.unionByName(hot.drop(SLICE))
+
+
+def _visits(
+    tables: LotTables, as_of: dt.datetime, split: HotSplit | None, hold_time: bool
+) -> DataFrame:
+    tx = tables.transactions
     segments = route.route_segments(
         route.boundary_moves(tx, tables.route_operations, split), as_of
     )
@@ -201,7 +215,9 @@ def lot_monitor(tables: LotTables, as_of: dt.datetime, keep_order: bool = False,
 
     ``keep_order`` adds the hidden ordering columns.
     """
-    rows = drop_covered(with_delay(visits(tables, as_of, **slicing)))
+    rows = _in_parts(
+        tables, lambda part, split: drop_covered(with_delay(_visits(part, as_of, split, True))), **slicing
+    )
     return rows.select(*MONITOR_COLUMNS, *(HIDDEN if keep_order else []))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -37,15 +35,3 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for intermediate tables.
-
-    A local temporary folder is used only by a single-machine session that names none.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="fabtrace-")
