@@ -88,8 +88,8 @@ def find_hot(
     """Bounds that cut every key with too many rows into slices of about equal row count.
 
     ``key=None`` treats the whole table as one key.  The threshold grows with the table, so
-    at most ``max_slices`` keys can exceed it and at most ``2 * max_slices`` bounds exist;
-    that is all the driver ever holds.
+    at most ``max_slices`` keys can exceed it and fewer than ``3 * max_slices`` bounds exist;
+    that is all the driver ever holds, and all that is broadcast.
     """
     keyed = df.select((F.lit(0) if key is None else F.col(key)).alias("_key"), F.col(at).alias("_at"))
     counts = keyed.groupBy("_key").agg(F.count("*").alias("_n"))
@@ -99,12 +99,13 @@ def find_hot(
     threshold = max(rows_per_slice, -(-total // max_slices))
     if largest <= threshold:
         return None
-    pieces = -(-largest // threshold)
+    # Quantiles finer than a slice; each key keeps every n-th, whatever its own row count.
+    pieces = 4 * -(-largest // threshold)
     hot = counts.where(F.col("_n") > threshold)
     quantiles = F.percentile_approx(
-        "_at", [i / pieces for i in range(1, pieces)], max(10_000, 4 * pieces)
+        "_at", [i / pieces for i in range(1, pieces)], max(10_000, 2 * pieces)
     )
-    step = F.ceil(F.lit(pieces) * threshold / F.col("_n"))
+    step = F.floor(F.lit(pieces) * threshold / F.col("_n"))
     hot_rows = keyed if key is None else keyed.join(F.broadcast(hot), "_key", "left_semi")
     found = (
         hot_rows.groupBy("_key")

@@ -12,6 +12,8 @@ SETTINGS = {
     # shuffled by (lot, operation) once for the hold windows, the route join, the
     # grouping and the final windows.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # The JVM never compiles methods above 8000 bytes; wide rows would run interpreted.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
