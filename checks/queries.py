@@ -21,7 +21,7 @@ from fabtrace.operators import (
     workbook,
 )
 from fabtrace.operators.ordered import find_hot
-from fabtrace.plans import monitor
+from fabtrace.plans import detail, monitor
 from fabtrace.session import tune
 from fabtrace.sources import annotations as annotation_records
 from fabtrace.sources import files, payload
@@ -208,8 +208,7 @@ def delayed_history(spark, sf_dir):
     opened = derive.annotation_keys(spark, sf_dir).select(
         F.col("lot").alias("LOT"), F.col("op").alias("OPERATION")
     )
-    wanted = history.operations_to_show(summary, opened)
-    return history.union_history(derive.history_sources(spark, sf_dir), wanted)
+    return detail.delayed_history(summary, derive.history_sources(spark, sf_dir), opened)
 
 
 @query

@@ -24,22 +24,16 @@ def _time(df: DataFrame, name: str) -> Column:
     return parse_timestamp(name) if df.schema[name].dataType.typeName() == "string" else F.col(name)
 
 
-def mes_rows(history: DataFrame, oracle_empty_is_null: bool = False) -> DataFrame:
-    """Execution-system history in the unified columns, with the lot first."""
+# Columns only the execution-system history has.
+MES_ONLY = [
+    "is_reserved", "is_reserved_machine", "is_reserved_operator", "quantity_1", "hold_code",
+    "hold_comment",
+]
+
+
+def mes_records(history: DataFrame) -> DataFrame:
+    """Execution-system history under the common names, texts not built yet."""
     c = F.col
-    text = mes_text(
-        c("transaction"),
-        c("operator_id"),
-        c("commenttext"),
-        c("actual_entity"),
-        c("is_reserved"),
-        c("is_reserved_machine"),
-        c("is_reserved_operator"),
-        c("quantity_1"),
-        c("hold_code"),
-        c("hold_comment"),
-        oracle_empty_is_null,
-    )
     return history.select(
         c("lot_number").alias("LOT"),
         _time(history, "trans_timestamp").alias("TRANS_TIMESTAMP"),
@@ -49,12 +43,13 @@ def mes_rows(history: DataFrame, oracle_empty_is_null: bool = False) -> DataFram
         c("actual_entity").alias("EQUIPMENT"),
         c("operator_id").alias("OPERATOR_ID"),
         c("commenttext").alias("COMMENTTEXT"),
-        text.alias("TEXT"),
+        *MES_ONLY,
+        F.lit(True).alias("is_mes"),
     )
 
 
-def fallback_rows(history: DataFrame, oracle_empty_is_null: bool = False) -> DataFrame:
-    """A fallback history in the unified columns, with the lot first."""
+def fallback_records(history: DataFrame) -> DataFrame:
+    """A fallback history under the common names, texts not built yet."""
     c = F.col
     return history.select(
         c("lot").alias("LOT"),
@@ -64,11 +59,45 @@ def fallback_rows(history: DataFrame, oracle_empty_is_null: bool = False) -> Dat
         c("sps_number").alias("UPS"),
         c("equipment").alias("EQUIPMENT"),
         c("operator").alias("OPERATOR_ID"),
-        clean_comment(c("transaction_comment")).alias("COMMENTTEXT"),
-        fallback_text(c("transcode"), c("operator"), c("transaction_comment"), oracle_empty_is_null).alias(
-            "TEXT"
-        ),
+        c("transaction_comment").alias("COMMENTTEXT"),
+        *[F.lit(None).cast("string").alias(n) for n in MES_ONLY],
+        F.lit(False).alias("is_mes"),
+    )
+
+
+def with_text(records: DataFrame, oracle_empty_is_null: bool = False) -> DataFrame:
+    """The unified columns, with the lot first, of records of either kind."""
+    c = F.col
+    code, who, comment = c("TRANSACTION"), c("OPERATOR_ID"), c("COMMENTTEXT")
+    of_mes = mes_text(
+        code,
+        who,
+        comment,
+        c("EQUIPMENT"),
+        c("is_reserved"),
+        c("is_reserved_machine"),
+        c("is_reserved_operator"),
+        c("quantity_1"),
+        c("hold_code"),
+        c("hold_comment"),
+        oracle_empty_is_null,
     )
+    of_fallback = fallback_text(code, who, comment, oracle_empty_is_null)
+    shown = {
+        "COMMENTTEXT": F.when(c("is_mes"), comment).otherwise(clean_comment(comment)),
+        "TEXT": F.when(c("is_mes"), of_mes).otherwise(of_fallback),
+    }
+    return records.select("LOT", *[shown.get(n, c(n)).alias(n) for n in COLUMNS])
+
+
+def mes_rows(history: DataFrame, oracle_empty_is_null: bool = False) -> DataFrame:
+    """Execution-system history in the unified columns, with the lot first."""
+    return with_text(mes_records(history), oracle_empty_is_null)
+
+
+def fallback_rows(history: DataFrame, oracle_empty_is_null: bool = False) -> DataFrame:
+    """A fallback history in the unified columns, with the lot first."""
+    return with_text(fallback_records(history), oracle_empty_is_null)
 
 
 def union_history(
@@ -80,30 +109,24 @@ def union_history(
 
     ``sources`` is in priority order; the one called ``mes`` has the execution-system layout
     and a source that is not available is None.  ``wanted`` (LOT, OPERATION) limits the
-    rows before any text is built.
+    rows.  Texts are built last, for the rows that remain.
     """
-    parts = []
-    for rank, (name, df) in enumerate(sources.items()):
-        if df is None:
-            continue
-        if wanted is not None:
-            lot = "lot_number" if name == MES else "lot"
-            keys = wanted.select(F.col("LOT").alias(lot), F.col("OPERATION").alias("operation"))
-            df = df.join(keys, [lot, "operation"], "left_semi")
-        shape = mes_rows if name == MES else fallback_rows
-        parts.append(shape(df, oracle_empty_is_null).withColumn("_rank", F.lit(rank)))
+    parts = [
+        (mes_records if name == MES else fallback_records)(df).withColumn("_rank", F.lit(rank))
+        for rank, (name, df) in enumerate(sources.items())
+        if df is not None
+    ]
     if not parts:
         raise ValueError("no history source is available")
     merged = reduce(DataFrame.unionByName, parts)
+    if wanted is not None:
+        merged = merged.join(wanted, ["LOT", "OPERATION"], "left_semi")
+    key = ["LOT", "TRANS_TIMESTAMP", "OPERATION", "TRANSACTION"]
+    rest = ["COMMENTTEXT", "UPS", "EQUIPMENT", "OPERATOR_ID", *MES_ONLY]
     # The first row of a group is also taken before the shuffle, so copies do not travel.
-    first = Window.partitionBy("LOT", "TRANS_TIMESTAMP", "OPERATION", "TRANSACTION").orderBy(
-        "_rank", *[F.col(c).asc_nulls_last() for c in ("TEXT", "COMMENTTEXT", "UPS", "EQUIPMENT", "OPERATOR_ID")]
-    )
-    return (
-        merged.withColumn("_first", F.row_number().over(first))
-        .where(F.col("_first") == 1)
-        .select("LOT", *COLUMNS)
-    )
+    first = Window.partitionBy(*key).orderBy("_rank", *[F.col(c).asc_nulls_last() for c in rest])
+    kept = merged.withColumn("_first", F.row_number().over(first)).where(F.col("_first") == 1)
+    return with_text(kept, oracle_empty_is_null)
 
 
 def in_time_order(history: DataFrame) -> DataFrame:
@@ -118,8 +141,16 @@ def operations_to_show(summary: DataFrame, opened: DataFrame | None = None) -> D
     delayed = summary.select("LOT", "OPERATION")
     if opened is None:
         return delayed
-    others = opened.select("LOT", "OPERATION").join(delayed.select("LOT"), "LOT", "left_anti")
-    return delayed.unionByName(others)
+    both = delayed.withColumn("_delayed", F.lit(True)).unionByName(
+        opened.select("LOT", "OPERATION").distinct().withColumn("_delayed", F.lit(False))
+    )
+    # A lot has at most its operations here, so the window stays small.
+    any_delayed = F.max("_delayed").over(Window.partitionBy("LOT"))
+    return (
+        both.withColumn("_any", any_delayed)
+        .where(F.col("_delayed") == F.col("_any"))
+        .select("LOT", "OPERATION")
+    )
 
 
 def of_operation(history: DataFrame, operations: Sequence[str]) -> DataFrame:
