@@ -4,44 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from fabtrace.operators.ordered import SLICE, By, HotSplit, Running, with_ordered, with_slice
+from fabtrace.operators.ordered import SLICE, HotSplit, with_slice
 from fabtrace.operators.route import NO_ROUTE
 from fabtrace.sources.scratch import cut
 
 
-def with_segment(moves: DataFrame, segments: DataFrame) -> DataFrame:
-    """Add ``segment_start``: the start of the latest segment of the lot at or before the move.
-
-    Segments of a lot follow each other, so an equality on this column replaces the interval
-    test of the route join.
-    """
-    extra = [SLICE] if SLICE in moves.columns else []
-    columns = [c for c in moves.columns if c not in (SLICE, "lot")]
-    payload = T.StructType([moves.schema[c] for c in columns])
-    starts = segments.select(
-        "lot",
-        F.col("route_order_seq").alias("_at"),
-        F.lit(0).alias("_kind"),
-        F.col("route_order_seq").alias("_start"),
-        F.lit(None).cast(payload).alias("_move"),
-        *extra,
-    )
-    made = moves.select(
-        "lot",
-        F.col("trans_time").alias("_at"),
-        F.lit(1).alias("_kind"),
-        F.lit(None).cast("timestamp_ntz").alias("_start"),
-        F.struct(*columns).alias("_move"),
-        *extra,
-    )
-    stream = with_ordered(
-        starts.unionByName(made), ["_at", "_kind"], By(["lot"], {"segment_start": Running("last", "_start")})
-    )
-    return stream.where(F.col("_kind") == 1).select("lot", "_move.*", "segment_start", *extra)
-
-
 def match_moves(moves: DataFrame, route: DataFrame, split: HotSplit | None = None) -> DataFrame:
     """Every planned operation with each of its moves, or once without when it has none.
 

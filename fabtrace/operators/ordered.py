@@ -49,12 +49,22 @@ class Running:
     col: str
 
 
+@dataclass(frozen=True)
+class Earlier:
+    """Last non-null value of ``col`` before the current row."""
+
+    col: str
+
+
+Output = Prev | Next | Running | Earlier
+
+
 @dataclass(frozen=True)
 class By:
     """Window columns to add over ``keys``."""
 
     keys: Sequence[str]
-    outputs: Mapping[str, Prev | Next | Running]
+    outputs: Mapping[str, Output]
 
 
 @dataclass(frozen=True)
@@ -170,11 +180,14 @@ def with_group_value(df: DataFrame, keys: Sequence[str], value: Column, name: st
     return rows.join(groups, _null_safe(keys, renamed), "left").drop(*renamed)
 
 
-def _plain(o: Prev | Next | Running, w) -> Column:
+def _plain(o: Output, w) -> Column:
     if isinstance(o, Prev):
         return F.lag(o.col, 1, o.default).over(w)
     if isinstance(o, Next):
         return F.lead(o.col, 1, o.default).over(w)
+    if isinstance(o, Earlier):
+        before = w.rowsBetween(Window.unboundedPreceding, -1)
+        return F.last(o.col, ignorenulls=True).over(before)
     return _running(o).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
@@ -210,7 +223,7 @@ def _with_sliced(df: DataFrame, sort: list[Column], specs: Sequence[By]) -> Data
     return done.select(*df.columns, *added)
 
 
-def _inside_slice(o: Prev | Next | Running, w) -> Column:
+def _inside_slice(o: Output, w) -> Column:
     # Neighbours are wrapped in a struct so "no row" and "row with a null" stay apart.
     if isinstance(o, Prev):
         return F.lag(F.struct(F.col(o.col).alias("v"))).over(w)
@@ -224,20 +237,26 @@ def _carried(local: DataFrame, i: int, spec: By) -> DataFrame:
     first, last = F.col(f"_ord_first{i}"), F.col(f"_ord_last{i}")
     nexts = [F.col(o.col).alias(n) for n, o in spec.outputs.items() if isinstance(o, Next)]
     prevs = [F.col(o.col).alias(n) for n, o in spec.outputs.items() if isinstance(o, Prev)]
-    runs = {n: o for n, o in spec.outputs.items() if isinstance(o, Running)}
+    # What a whole slice adds up to: the running value at its last row, that row included.
+    runs = {
+        n: F.coalesce(F.col(o.col), F.col(n)).alias(n) if isinstance(o, Earlier) else F.col(n)
+        for n, o in spec.outputs.items()
+        if isinstance(o, (Running, Earlier))
+    }
     here = F.lit(1).alias("_")
     edges = (
         local.where(F.col(SLICE).isNotNull() & (first | last))
         .groupBy(*[F.col(k).alias(r) for k, r in zip(spec.keys, _renamed(spec))], F.col(SLICE).alias("_ord_ks"))
         .agg(
             F.max(F.when(first, F.struct(here, *nexts))).alias("_ord_f"),
-            F.max(F.when(last, F.struct(here, *prevs, *[F.col(n) for n in runs]))).alias("_ord_l"),
+            F.max(F.when(last, F.struct(here, *prevs, *runs.values()))).alias("_ord_l"),
         )
     )
     over = Window.partitionBy(*_renamed(spec)).orderBy("_ord_ks")
     before = over.rowsBetween(Window.unboundedPreceding, -1)
     # Counts of earlier slices add up; every other running value combines with itself.
-    merge = {n: Running("sum" if o.fn == "count" else o.fn, f"_ord_l.{n}") for n, o in runs.items()}
+    fns = {n: getattr(spec.outputs[n], "fn", "last") for n in runs}
+    merge = {n: Running("sum" if f == "count" else f, f"_ord_l.{n}") for n, f in fns.items()}
     return edges.select(
         *_renamed(spec),
         "_ord_ks",
@@ -254,12 +273,12 @@ def _completed(rows: DataFrame, carried: DataFrame, spec: By) -> DataFrame:
     values = {}
     for name, o in spec.outputs.items():
         here = F.col(name)
-        if isinstance(o, Running):
+        if isinstance(o, (Running, Earlier)):
             earlier = F.col(f"_ord_run_{name}")
-            if o.fn == "max":
-                values[name] = F.greatest(here, earlier)
-            elif o.fn == "last":
+            if isinstance(o, Earlier) or o.fn == "last":
                 values[name] = F.coalesce(here, earlier)
+            elif o.fn == "max":
+                values[name] = F.greatest(here, earlier)
             else:
                 total = here + F.coalesce(earlier, F.lit(0))
                 values[name] = F.when(here.isNull(), earlier).otherwise(total)

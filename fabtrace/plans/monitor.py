@@ -20,6 +20,7 @@ from fabtrace.operators.ordered import (
     with_group_value,
 )
 from fabtrace.operators.route import SEQ
+from fabtrace.sources.scratch import cut
 
 DELAY_THRESHOLD = -0.5
 
@@ -104,7 +105,8 @@ def _in_parts(
     if split is None:
         return plan(tables, None)
     cold = plan(replace(tables, transactions=split.cold(tx)), None)
-    hot = plan(replace(tables, transactions=split.hot(tx)), split)
+    # Their rows are read three times; written out, one scan of the whole table is enough.
+    hot = plan(replace(tables, transactions=cut(split.hot(tx))), split)
     return cold.unionByName(hot.drop(SLICE))
 
 
@@ -116,7 +118,7 @@ def _visits(
         route.boundary_moves(tx, tables.route_operations, split), as_of
     )
     planned = route.route_master(segments, tables.route_operations, tables.operations)
-    made = matching.with_segment(moves.timed_moves(tx, split), segments)
+    made = moves.timed_moves(tx, split, segments)
     if hold_time:
         made = holds.with_hold_time(made, holds.hold_history(tx, tables.parameters, split), split)
     elif split is None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fabtrace.operators.ordered import (
     SLICE,
     By,
+    Earlier,
     Next,
     Prev,
     Running,
@@ -31,7 +32,7 @@ def skewed(spark):
 
 
 OUTPUTS = {"p": Prev("v", -1), "n": Next("v", -2), "m": Running("max", "v"), "s": Running("sum", "v"),
-           "c": Running("count", "v"), "l": Running("last", "v")}
+           "c": Running("count", "v"), "l": Running("last", "v"), "e": Earlier("v")}
 
 
 def test_sliced_windows_equal_plain_ones(skewed):
