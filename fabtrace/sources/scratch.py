@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,14 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for intermediate tables.
 
-    A local temporary folder is used only by a single-machine session that names none.
+    That is ``spark.checkpoint.dir``; a session of a single machine that names none uses a
+    folder below its warehouse.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="fabtrace-")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/fabtrace-scratch"
 
 
 def new_path(spark: SparkSession, kind: str) -> str:
