@@ -49,13 +49,12 @@ def gather(
             if piece.any():
                 yield _packed(at // PIECE, part, piece)
 
-    def merge(key, pieces: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merge(key, pieces):
         total = None
-        for batch in pieces:
-            for payload in batch.column("payload").to_pylist():
-                piece = np.frombuffer(zlib.decompress(payload), dtype).reshape(rows, -1)
-                total = piece if total is None else combine(total, piece)
-        yield _packed(key[0].as_py(), key[1].as_py(), total)
+        for payload in pieces.column("payload").to_pylist():
+            piece = np.frombuffer(zlib.decompress(payload), dtype).reshape(rows, -1)
+            total = piece if total is None else combine(total, piece)
+        return pa.Table.from_batches([_packed(key[0].as_py(), key[1].as_py(), total)])
 
     schema = "piece long, part long, payload binary"
     parts = df.mapInArrow(emit, schema)

@@ -2,12 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fabtrace.llm import exact
+from fabtrace.llm import decontaminate, exact, language
 from fabtrace.sources.tables import read_table
 
 
+def held_out(doc_id: Column) -> Column:
+    """Documents nothing is learned from: the checksum of the id as text is a multiple of 5."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+
+
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    prototypes = language.learn(docs.where(~held_out(F.col("doc_id"))))
+    found = docs.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        language.predict(F.col("text"), prototypes, spark).alias("found"),
+    )
+    return found.select(
+        "doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score")
+    )
+
+
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    benchmark = read_table(spark, sf_dir, "benchmark")
+    blocks = decontaminate.blocks_of(decontaminate.windows_of(benchmark))
+    found = docs.select("doc_id", decontaminate.find(F.col("text"), blocks).alias("found"))
+    return found.select("doc_id", "found.*")
+
+
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact.mark(docs, carry=["doc_id"]).select(
@@ -16,12 +43,42 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language_id": language_id,
+    "op4_decontamination": decontamination,
     "op6_exact_dedup": exact_dedup,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_WORDS = r"""regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
 ORACLE_SQL = {
+    "op4_decontamination": f"""
+        WITH b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+        i AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS p FROM b WHERE len(w) > 0),
+        windows AS (
+            SELECT DISTINCT item_id, least(len(w), 13) AS m,
+                   array_to_string(w[p:p + least(len(w), 13) - 1], ' ') AS g FROM i
+        ),
+        d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+        lengths AS (SELECT DISTINCT m FROM windows),
+        grams AS (
+            SELECT r, m, p, array_to_string(w[p:p + m - 1], ' ') AS g
+            FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM d, lengths WHERE len(w) >= m)
+        ),
+        hits AS (SELECT r, item_id, p, m FROM grams JOIN windows USING (m, g)),
+        hit_words AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + m)) AS q FROM hits) GROUP BY r),
+        items AS (
+            SELECT r, count(*) AS n, string_agg(x, ',' ORDER BY x) AS names
+            FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM hits) GROUP BY r
+        )
+        SELECT doc_id, len(w) AS n_words, coalesce(hit_words.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
+               sha256(coalesce(names, '')) AS items_sha256,
+               coalesce(hit_words.n, 0) > 0 AND 20 * coalesce(hit_words.n, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN hit_words USING (r) LEFT JOIN items USING (r)
+    """,
     "op6_exact_dedup": f"""
         WITH n AS (SELECT doc_id, {_LOWER} AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
