@@ -9,9 +9,11 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fabtrace.sources.scratch import new_path
+
 # Cells in a piece of a gathered array, and pieces merged by one task at a time.
 PIECE = 1 << 15
 FAN_IN = 32
@@ -96,3 +98,16 @@ def in_batches(texts: Iterable, most: int = BATCH_CHARS) -> Iterator[list]:
 
 def flat(lists: Iterable[Iterable]) -> list:
     return list(itertools.chain.from_iterable(lists))
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """The same rows in a table of the shared folder, and its path for ``drop``."""
+    path = new_path(df.sparkSession, "table")
+    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Remove an intermediate table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

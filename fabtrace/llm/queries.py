@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fabtrace.llm import decontaminate, exact, language
+from fabtrace.llm import bpe, decontaminate, exact, language, quality, tokens
+from fabtrace.sources.scratch import new_path
 from fabtrace.sources.tables import read_table
 
 
@@ -27,6 +29,18 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    field = quality.learn(docs, labels)
+    scored = docs.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        quality.predict(F.col("text"), field, spark).alias("score"),
+    )
+    return scored.withColumn("predicted", (F.col("score") >= quality.GOOD_FROM).cast("int"))
+
+
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     benchmark = read_table(spark, sf_dir, "benchmark")
@@ -42,10 +56,40 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+WORD_TOKENIZER, WORD_IDS, END_ID = "word_bpe_49k.json", 49_408, 1
+BYTE_TOKENIZER = "byte_bpe_50k.json"
+
+
+def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokenizer = tokens.load(spark, public_tokenizers.path(WORD_TOKENIZER))
+    path = new_path(spark, "token-files")
+    ids = tokens.tokenize(F.col("text"), tokenizer, END_ID)
+    tokens.write(docs.select(F.col("doc_id").alias("id"), ids.alias("ids")), path, WORD_IDS)
+    return tokens.read(spark, path).select(
+        F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokenizer = bpe.load(spark, public_tokenizers.path(BYTE_TOKENIZER))
+    encoded = docs.select("doc_id", bpe.encode(F.col("text"), tokenizer).alias("ids"))
+    return encoded.select(
+        "doc_id",
+        F.expr("CAST(octet_length(ids) / 4 AS BIGINT)").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(F.col("ids"), tokenizer).cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op2_language_id": language_id,
+    "op3_line_quality": line_quality,
     "op4_decontamination": decontamination,
+    "op5_token_files": token_files,
     "op6_exact_dedup": exact_dedup,
+    "op10_bpe_round_trip": bpe_round_trip,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -55,6 +99,7 @@ _WORDS = r"""regexp_extract_all(
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
 ORACLE_SQL = {
+    "op3_line_quality": line_quality,
     "op4_decontamination": f"""
         WITH b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
         i AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS p FROM b WHERE len(w) > 0),
