@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fabtrace.llm import bpe, chat, decontaminate, exact, language, quality, tokens
+from fabtrace.llm import bpe, chat, decontaminate, exact, language, near, quality, tokens
 from fabtrace.sources.scratch import new_path
 from fabtrace.sources.tables import read_table
 
@@ -78,6 +78,11 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near.mark(docs).select("row.doc_id", "class_id", "class_size", "kept")
+
+
 WORD_TOKENIZER, WORD_IDS, END_ID = "word_bpe_49k.json", 49_408, 1
 BYTE_TOKENIZER = "byte_bpe_50k.json"
 
@@ -112,6 +117,7 @@ QUERIES = {
     "op4_decontamination": decontamination,
     "op5_token_files": token_files,
     "op6_exact_dedup": exact_dedup,
+    "op9_near_dedup": near_dedup,
     "op10_bpe_round_trip": bpe_round_trip,
 }
 
