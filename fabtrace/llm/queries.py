@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fabtrace.llm import bpe, chat, decontaminate, exact, language, near, passages, quality, tokens
+from fabtrace.llm import bpe, chat, decontaminate, exact, language, lines, near, passages, quality, tokens
 from fabtrace.sources.scratch import new_path
 from fabtrace.sources.tables import read_table
 
@@ -78,6 +78,19 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.mark(docs).select(
+        "row.doc_id",
+        "n_lines",
+        "n_removed",
+        "n_links",
+        "removed",
+        F.char_length("kept_text").cast("long").alias("kept_chars"),
+        F.sha2("kept_text", 256).alias("kept_sha256"),
+    )
+
+
 def passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return passages.mark(docs).select(
@@ -131,6 +144,7 @@ QUERIES = {
     "op4_decontamination": decontamination,
     "op5_token_files": token_files,
     "op6_exact_dedup": exact_dedup,
+    "op7_line_dedup": line_dedup,
     "op8_passage_dedup": passage_dedup,
     "op9_near_dedup": near_dedup,
     "op10_bpe_round_trip": bpe_round_trip,

@@ -17,29 +17,32 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of all texts, one after the other, and the number of words of each.
+def hashed_words(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and place of every word of the text.
 
     Words are lower-cased (A-Z only) and end at ASCII characters that are no letter or digit.
     """
-    joined = b" ".join([*texts, b""]).translate(FOLD)
-    raw = np.frombuffer(joined, np.uint8)
+    raw = np.frombuffer(joined.translate(FOLD), np.uint8)
     blank = raw == 32
     start = ~blank
     start[1:] &= blank[:-1]
     at = np.flatnonzero(start)
-    ends = np.cumsum([len(t) + 1 for t in texts])
     if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+        return np.zeros(0, np.uint64), at
     place = np.arange(len(raw), dtype=np.int64)
     place -= at[np.maximum(np.cumsum(start) - 1, 0)]
     value = raw.astype(np.uint64)
     value *= place.astype(np.uint64) * _GOLDEN + np.uint64(0xD1B54A32D192ED03)
     value ^= value >> np.uint64(32)
     value[blank] = 0
-    hashes = mixed(np.add.reduceat(value, at))
-    counts = np.diff(np.searchsorted(at, np.concatenate([[0], ends])))
-    return hashes, counts
+    return mixed(np.add.reduceat(value, at)), at
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of all texts, one after the other, and the number of words of each."""
+    hashes, at = hashed_words(b" ".join([*texts, b""]))
+    ends = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return hashes, np.diff(np.searchsorted(at, ends))
 
 
 def shingle_hashes(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
