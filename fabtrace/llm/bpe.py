@@ -22,11 +22,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
-from fabtrace.llm.common import in_batches
+from fabtrace.llm.common import in_batches, values
 
 # Results kept by a task for words it meets again. Only speed depends on them.
-WORDS_KEPT = 500_000
-PIECES_KEPT = 250_000
+WORDS_KEPT = 250_000
+PIECES_KEPT = 150_000
 LONGEST_KEPT = 48
 
 # The byte-level pattern and what it takes for white space.
@@ -205,7 +205,7 @@ def encode(text: Column, tokenizer: Broadcast) -> Column:
         for texts in batches:
             if not len(texts):
                 yield pa.array([], pa.binary())
-            for part in in_batches((t or "" for t in texts.to_pylist()), 1 << 22):
+            for part in in_batches((t or "" for t in values(texts)), 1 << 20):
                 yield pa.array([bpe.encode(t) for t in part], pa.binary())
                 bpe.forget()
 
@@ -219,6 +219,8 @@ def decode(ids: Column, tokenizer: Broadcast) -> Column:
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = _made(tokenizer)
         for batch in batches:
-            yield pa.array([None if i is None else bpe.decode(i) for i in batch.to_pylist()], pa.string())
+            for at in range(0, max(len(batch), 1), 256):
+                part = batch.slice(at, 256).to_pylist()
+                yield pa.array([None if i is None else bpe.decode(i) for i in part], pa.string())
 
     return text(ids)

@@ -83,6 +83,12 @@ def _packed(piece: int, part: int, cells: np.ndarray) -> pa.RecordBatch:
     )
 
 
+def values(column: pa.Array) -> Iterator:
+    """The values of a column as Python objects, a few hundred at a time."""
+    for at in range(0, len(column), 256):
+        yield from column.slice(at, 256).to_pylist()
+
+
 def in_batches(texts: Iterable, most: int = BATCH_CHARS) -> Iterator[list]:
     """Consecutive texts, as many as fit in ``most`` characters (one at least)."""
     batch, size = [], 0
