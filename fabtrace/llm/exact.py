@@ -17,8 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType
 
-from fabtrace.llm.common import Batches, gather
-from fabtrace.sources.scratch import cut
+from fabtrace.llm.common import Batches, gather, stored
 
 CELLS_PER_ROW = 8
 # 64 MB for each of the two bit arrays a task fills; more rows take more passes, each over
@@ -102,7 +101,7 @@ def mark(
     """
     spark = docs.sparkSession
     row = F.struct(*[F.col(f"`{c}`") for c in (carry if carry is not None else docs.columns)])
-    table = cut(
+    table, _ = stored(
         docs.select(
             row.alias("row"),
             F.col(f"`{id_column}`").alias("id"),
@@ -135,11 +134,13 @@ def _alone(rows: DataFrame) -> DataFrame:
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    groups = rows.groupBy("digest").agg(
-        F.max(F.struct("id", (-F.col("number")).alias("n"))).alias("best"),
-        F.count(F.lit(1)).alias("group_size"),
+    groups, _ = stored(
+        rows.groupBy("digest").agg(
+            F.max(F.struct("id", (-F.col("number")).alias("n"))).alias("best"),
+            F.count(F.lit(1)).alias("group_size"),
+        )
     )
-    # A group of many rows is split by the skew join; its side of the groups has one row.
+    # Read from a table, the groups leave Spark free to split the rows of a large one.
     return rows.join(groups, "digest").select(
         "row",
         F.col("best.id").alias("keep_id"),

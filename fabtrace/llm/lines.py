@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
-from fabtrace.llm.common import BATCH_CHARS, Batches, drop, gather, in_batches, stored
+from fabtrace.llm.common import BATCH_CHARS, Batches, drop, gather, in_batches, stored, values
 from fabtrace.llm.shingles import hashed_words, mixed
 
 LEAST = 0.8
@@ -81,7 +81,7 @@ def cells(hashes: np.ndarray) -> np.ndarray:
 def _sets(batches: Batches, rarity: np.ndarray | None = None) -> Iterator[tuple[pa.RecordBatch, int, Sets]]:
     for batch in batches:
         at = 0
-        for texts in in_batches((t or b"" for t in batch.column("text").to_pylist()), 2 * BATCH_CHARS):
+        for texts in in_batches((t or b"" for t in values(batch.column("text"))), 2 * BATCH_CHARS):
             yield batch, at, Sets(texts, rarity)
             at += len(texts)
 
@@ -92,7 +92,7 @@ def word_rarity(texts: DataFrame) -> np.ndarray:
     def fill(batches: Batches) -> np.ndarray:
         total = np.zeros(COUNT_CELLS, np.uint32)
         for batch in batches:
-            for part in in_batches((t or b"" for t in batch.column("text").to_pylist()), 4 * BATCH_CHARS):
+            for part in in_batches((t or b"" for t in values(batch.column("text"))), 4 * BATCH_CHARS):
                 np.add.at(total, cells(hashed_words(b"\n".join(part))[0]), np.uint32(1))
         return total
 
@@ -263,12 +263,12 @@ def mark(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         .groupBy(F.col("x").alias("a"))
         .agg(F.min("first").alias("near"), F.count(F.lit(1)).alias("links"))
     )
-    lowest = (
+    lowest, _ = stored(
         firsts.join(near, "a", "left")
         .where("times > 1 OR near IS NOT NULL")
         .select("a", "b", F.least("first", "near").alias("low"), F.coalesce("links", F.lit(0)).alias("links"))
     )
-    # Sets of many lines are split by the skew join; this side has one row for each.
+    # Read from a table, this side leaves Spark free to split the lines of a frequent set.
     later = (F.col("n") != F.col("low.n")) | (F.col("line") != F.col("low.line"))
     of_doc = (
         lines.join(lowest, ["a", "b"])

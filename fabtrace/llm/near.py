@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fabtrace.llm.common import BATCH_CHARS, Batches, drop, gather, in_batches, stored
+from fabtrace.llm.common import BATCH_CHARS, Batches, drop, gather, in_batches, stored, values
 from fabtrace.llm.decontaminate import words as words_of
 from fabtrace.llm.graph import components
 from fabtrace.llm.shingles import counted, mixed, shingle_hashes, word_hashes
@@ -56,9 +56,8 @@ def idf_table(docs: DataFrame) -> np.ndarray:
     def fill(batches: Batches) -> np.ndarray:
         total = np.zeros(FREQUENCY_CELLS + 1, np.uint32)
         for batch in batches:
-            texts = [t or b"" for t in batch.column("text").to_pylist()]
-            total[-1] += len(texts)
-            for part in in_batches(texts, 4 * BATCH_CHARS):
+            total[-1] += batch.num_rows
+            for part in in_batches((t or b"" for t in values(batch.column("text"))), 4 * BATCH_CHARS):
                 np.add.at(total, frequency_cells(shingles(part)[0]), np.uint32(1))
         return total
 
@@ -190,8 +189,8 @@ def sketches(docs: DataFrame, idf) -> DataFrame:
 
     def sketch(batches: Batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_texts, at = [t or b"" for t in batch.column("text").to_pylist()], 0
-            for texts in in_batches(all_texts):
+            at = 0
+            for texts in in_batches(t or b"" for t in values(batch.column("text"))):
                 h, t, times = shingles(texts)
                 first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else []
                 keys: list = [None] * len(texts)
@@ -217,17 +216,17 @@ def sketches(docs: DataFrame, idf) -> DataFrame:
 
 def with_company(posts: DataFrame) -> DataFrame:
     """Posts with the number of texts that share a bucket with each text."""
-    sizes = posts.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    company = posts.join(sizes, "key").groupBy("n").agg(F.sum("size").alias("company"))
+    company = posts.groupBy("n").agg(F.sum("size").alias("company"))
     return posts.join(company, "n")
 
 
 def star_links(posts: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame:
     """Verified links (a, b) of every bucket's texts with its leader."""
     company = with_company(posts)
-    leaders = company.groupBy("key").agg(F.max(F.struct("company", (-F.col("n")).alias("m"))).alias("best"))
+    best = F.max(F.struct("company", (-F.col("n")).alias("m")))
+    leaders, _ = stored(company.groupBy("key").agg(best.alias("best")).select("key", (-F.col("best.m")).alias("a")))
     pairs = (
-        posts.join(leaders.select("key", (-F.col("best.m")).alias("a")), "key")
+        posts.join(leaders, "key")
         .where("a != n")
         .select("a", F.col("n").alias("b"))
         .distinct()
@@ -235,12 +234,11 @@ def star_links(posts: DataFrame, texts: DataFrame, idf, least: float) -> DataFra
 
     def verify(batches: Batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lefts, rights = batch.column("left").to_pylist(), batch.column("right").to_pylist()
             at = 0
-            for left in in_batches(lefts):
-                own = slice(at, at + len(left))
-                similar = similarity(left, rights[own], idf.value) >= least
-                yield batch.select(["a", "b"])[own].filter(pa.array(similar))
+            for left in in_batches(values(batch.column("left"))):
+                own = batch.slice(at, len(left))
+                similar = similarity(left, own.column("right").to_pylist(), idf.value) >= least
+                yield own.select(["a", "b"]).filter(pa.array(similar))
                 at += len(left)
 
     return (
@@ -258,13 +256,13 @@ def rest_links(posts: DataFrame, classes: DataFrame, texts: DataFrame, idf, leas
     every two blocks are compared by a task of their own, which keeps no more links than it
     takes to join the classes it found similar.
     """
-    own = posts.join(classes, "n", "left").select("key", "n", F.coalesce("component", "n").alias("component"))
+    own = posts.join(classes, "n", "left").select("key", "n", "size", F.coalesce("component", "n").alias("component"))
     buckets = (
         own.groupBy("key")
         .agg(
             F.min("component").alias("low"),
             F.max("component").alias("high"),
-            F.count(F.lit(1)).alias("size"),
+            F.first("size").alias("size"),
             F.sum(F.xxhash64("n").cast("decimal(20,0)")).alias("members"),
         )
         # Two texts have been compared already.
@@ -274,7 +272,7 @@ def rest_links(posts: DataFrame, classes: DataFrame, texts: DataFrame, idf, leas
         .select("key", F.ceil(F.col("size") / BLOCK).alias("blocks"))
     )
     block = F.pmod(F.xxhash64("n", F.lit(1)), F.col("blocks"))
-    members = own.join(buckets, "key").withColumn("block", block)
+    members = own.drop("size").join(buckets, "key").withColumn("block", block)
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     rows = members.join(texts, "n").select("key", "n", "component", "block", "text", other)
     rows = rows.select(
@@ -327,10 +325,11 @@ def mark(
     idf = spark.sparkContext.broadcast(idf_table(texts))
     known, _ = stored(sketches(texts, idf))
     # One row stands for all with the same words.
-    firsts = known.where("same IS NOT NULL").groupBy("same").agg(F.min("n").alias("head"))
+    firsts, _ = stored(known.where("same IS NOT NULL").groupBy("same").agg(F.min("n").alias("head")))
     posts = known.join(firsts, known.n == firsts["head"], "leftsemi").select("n", F.explode("keys").alias("key"))
-    shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    posts, posts_path = stored(posts.join(shared, "key").select("key", "n"))
+    shared, shared_path = stored(posts.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    posts, posts_path = stored(posts.join(shared, "key").select("key", "n", "size"))
+    drop(spark, shared_path)
     star, star_path = stored(star_links(posts, texts, idf, least))
     classes = components(star)
     rest = rest_links(posts, classes, texts, idf, least)
@@ -346,9 +345,12 @@ def mark(
         .select("n", F.coalesce("component", "head").alias("component"))
     )
     named = base.select("row", "n", F.col("row").getField(id_column).alias("id")).join(of_row, "n")
-    best = named.groupBy("component").agg(
-        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n")).alias("best"),
-        F.count(F.lit(1)).alias("class_size"),
+    # Read from tables, the firsts and the best leave Spark free to split the rows of a large class.
+    best, _ = stored(
+        named.groupBy("component").agg(
+            F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n")).alias("best"),
+            F.count(F.lit(1)).alias("class_size"),
+        )
     )
     return named.join(best, "component").select(
         "row",

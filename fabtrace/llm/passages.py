@@ -27,7 +27,7 @@ from pyspark.sql.types import (
     StructType,
 )
 
-from fabtrace.llm.common import Batches, stored
+from fabtrace.llm.common import Batches, stored, values
 from fabtrace.llm.decontaminate import words
 
 LEAST_WORDS = 6
@@ -82,7 +82,7 @@ def _unit_rows(texts: DataFrame, cut: str) -> DataFrame:
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             ids, all_n = batch.column("id").to_pylist(), batch.column("n").to_pylist()
-            for i, n, text in zip(ids, all_n, batch.column("text").to_pylist(), strict=True):
+            for i, n, text in zip(ids, all_n, values(batch.column("text")), strict=True):
                 for number, digest, size in digests(text or "", cut):
                     for column, value in zip(out, (i, n, number, digest, size), strict=True):
                         column.append(value)
@@ -117,13 +117,13 @@ def mark(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     )
     found = _unit_rows(texts, cut)
     place = F.struct(F.col("id").isNull().alias("none"), "id", "n", "unit")
-    firsts = (
+    firsts, _ = stored(
         found.groupBy("digest")
         .agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"))
         .where("times > 1")
         .select("digest", "first")
     )
-    # A digest of many units is split by the skew join; its side of the firsts has one row.
+    # Read from a table, the firsts leave Spark free to split the units of a frequent digest.
     removed = (
         found.join(firsts, "digest")
         .where((F.col("n") != F.col("first.n")) | (F.col("unit") != F.col("first.unit")))

@@ -3,19 +3,15 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabtrace.llm import bpe, chat, decontaminate, exact, language, lines, near, passages, quality, tokens
+from fabtrace.llm.common import held_out
 from fabtrace.sources.scratch import new_path
 from fabtrace.sources.tables import read_table
 
 
-def held_out(doc_id: Column) -> Column:
-    """Documents nothing is learned from: the checksum of the id as text is a multiple of 5."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
-
-
 def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
