@@ -57,11 +57,12 @@ def fold(log: DataFrame) -> DataFrame:
         "conv_id", "turn", "seq", kind.alias("kind"), "role", F.coalesce("text", F.lit("")).alias("text")
     )
     order = Window.partitionBy("conv_id", "turn").orderBy("seq", "kind", "role", "text")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumns(
         {
             "place": F.row_number().over(order),
-            "message": F.count_if(F.col("kind") == 1).over(order),
-            "version": F.count_if(F.col("kind") >= 3).over(order),
+            "message": F.count_if(F.col("kind") == 1).over(so_far),
+            "version": F.count_if(F.col("kind") >= 3).over(so_far),
         }
     )
     message = Window.partitionBy("conv_id", "turn", "message")

@@ -143,7 +143,7 @@ def similarity(texts: list[bytes], others: list[bytes], idf: np.ndarray) -> np.n
 
 
 def all_similar(texts: list[bytes], idf: np.ndarray) -> np.ndarray:
-    """Weighted Jaccard similarity of every two texts."""
+    """Weighted Jaccard similarity of every two texts (not of a text with itself)."""
     n = len(texts)
     h, t, times = shingles(texts)
     w = weights(h, times, idf).astype(np.float64)
