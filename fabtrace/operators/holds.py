@@ -7,16 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fabtrace.functions.time import MICROS_PER_DAY, days_between, micros_between
-from fabtrace.operators.ordered import (
-    SLICE,
-    By,
-    HotSplit,
-    Prev,
-    Running,
-    with_group_value,
-    with_ordered,
-    with_slice,
-)
+from fabtrace.operators.ordered import By, Prev, Running, with_group_value, with_ordered
 
 # Parameter names under which the transaction codes are listed.
 HOLD_START = "HOLD START TRANSACTION"
@@ -25,7 +16,7 @@ HOLD_RELEASE = "HOLD RELEASE TRANSACTION"
 PLACE = ["lot", "facility", "route", "operation"]
 
 
-def hold_history(transactions: DataFrame, parameters: DataFrame, split: HotSplit | None = None) -> DataFrame:
+def hold_history(transactions: DataFrame, parameters: DataFrame) -> DataFrame:
     """Releases with the time since the previous hold event at the same place.
 
     That event may be a release too; the first event of a place has no hold time.
@@ -38,13 +29,14 @@ def hold_history(transactions: DataFrame, parameters: DataFrame, split: HotSplit
         .agg(F.max(F.col("var_name") == HOLD_RELEASE).alias("is_release"))
     )
     events = (
-        transactions.where(F.col("deleted_flag") != "Y")
+        transactions.where(F.col("lot").isNotNull() & (F.col("deleted_flag") != "Y"))
         .select(*PLACE, "transcode", "time_stamp")
         .join(codes, "transcode")
     )
-    placed = events.repartition("lot", "operation") if split is None else with_slice(events, split, "time_stamp")
     ordered = with_ordered(
-        placed, ["time_stamp", "transcode"], By(PLACE, {"hllt_time_stamp": Prev("time_stamp")})
+        events.repartition("lot", "operation"),
+        ["time_stamp", "transcode"],
+        By(PLACE, {"hllt_time_stamp": Prev("time_stamp")}),
     )
     return ordered.where("is_release").select(
         *PLACE,
@@ -55,17 +47,16 @@ def hold_history(transactions: DataFrame, parameters: DataFrame, split: HotSplit
     )
 
 
-def with_hold_time(moves: DataFrame, releases: DataFrame, split: HotSplit | None = None) -> DataFrame:
+def with_hold_time(moves: DataFrame, releases: DataFrame) -> DataFrame:
     """Add ``actual_holdtime``: days of the releases within [enter_op_ts, trans_time].
 
     Works in time linear in moves and releases, without pairing them: running totals of hold
     time are read where a stay begins and where it ends, and subtracted.  Totals are whole
-    microseconds, so the difference is exact.
+    microseconds, so the difference is exact.  A stay without begin or end has no hold time.
     """
     # The place columns stay outside the payload, so their partitioning is kept.
-    columns = [c for c in moves.columns if c not in (SLICE, *PLACE)]
-    if split is None:
-        moves = moves.repartition("lot", "operation")
+    columns = [c for c in moves.columns if c not in PLACE]
+    moves = moves.repartition("lot", "operation")
     payload = T.StructType([moves.schema[c] for c in columns])
     # Within equal times: a stay begins (0), releases happen (1), a stay ends (2).
     probes = moves.withColumn("_side", F.explode(F.array(F.lit(0), F.lit(2)))).select(
@@ -86,9 +77,8 @@ def with_hold_time(moves: DataFrame, releases: DataFrame, split: HotSplit | None
         F.lit(None).cast(payload).alias("_move"),
         "hold_micros",
     )
-    stream = with_slice(probes.unionByName(released), split, "_at")
     totals = with_ordered(
-        stream,
+        probes.unionByName(released),
         ["_at", "_side"],
         By(PLACE, {"_sum": Running("sum", "hold_micros"), "_n": Running("count", "hold_micros")}),
     )
@@ -98,13 +88,14 @@ def with_hold_time(moves: DataFrame, releases: DataFrame, split: HotSplit | None
         totals.where(F.col("_side") != 1), stay, F.max(begin), "_begin"
     ).where(F.col("_side") == 2)
     held = F.when(
-        # A null place equals nothing, and neither does a null entry time.
-        F.col("facility").isNotNull()
+        # A null place equals nothing, and neither does a null time.
+        F.col("lot").isNotNull()
+        & F.col("facility").isNotNull()
         & F.col("route").isNotNull()
         & F.col("_enter").isNotNull()
+        & F.col("_leave").isNotNull()
         & (F.col("_n") > F.col("_begin._n")),
         (F.col("_sum") - F.coalesce("_begin._sum", F.lit(0))) / F.lit(float(MICROS_PER_DAY)),
     )
-    extra = [SLICE] if SLICE in paired.columns else []
-    return paired.select(*PLACE, "_move.*", held.alias("actual_holdtime"), *extra)
+    return paired.select(*PLACE, "_move.*", held.alias("actual_holdtime"))
 

@@ -5,68 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fabtrace.operators.ordered import SLICE, HotSplit, with_slice
 from fabtrace.operators.route import NO_ROUTE
-from fabtrace.sources.scratch import cut
 
 
-def match_moves(moves: DataFrame, route: DataFrame, split: HotSplit | None = None) -> DataFrame:
+def match_moves(moves: DataFrame, route: DataFrame) -> DataFrame:
     """Every planned operation with each of its moves, or once without when it has none.
 
     Move columns come back with the prefix ``l_``, planned ones with ``r_``.  Moves outside
     the planned route drop out.
     """
-    extra = {SLICE: "l_slice"} if split is not None else {}
     left = moves.select(
-        *[F.col(c).alias(extra.get(c, f"l_{c}")) for c in moves.columns],
+        *[F.col(c).alias(f"l_{c}") for c in moves.columns],
         F.coalesce("route", F.lit(NO_ROUTE)).alias("l_route_key"),
     )
     right = route.select(
-        *[F.col(c).alias(f"r_{c}") for c in route.columns if c != SLICE],
+        *[F.col(c).alias(f"r_{c}") for c in route.columns],
         F.coalesce("route", F.lit(NO_ROUTE)).alias("r_route_key"),
-        *[F.col(c).alias("r_slice") for c in route.columns if c == SLICE],
     )
-    same_place = (
+    # Catalyst keeps the hash partitioning of both sides through the join, the grouping
+    # and the windows that follow, as all of them are keyed by lot and operation.
+    return left.join(
+        right.repartition("r_lot", "r_operation"),
         (F.col("l_lot") == F.col("r_lot"))
         & (F.col("l_operation") == F.col("r_operation"))
         & (F.col("l_facility") == F.col("r_facility"))
         & (F.col("l_route_key") == F.col("r_route_key"))
         & (F.col("l_segment_start") == F.col("r_route_order_seq"))
-    )
-    if split is None:
-        # Catalyst keeps the hash partitioning of both sides through the join, the grouping
-        # and the windows that follow, as all of them are keyed by lot and operation.
-        return left.join(
-            right.repartition("r_lot", "r_operation"),
-            same_place & (F.col("l_trans_time") < F.col("r_route_leave_time_stamp")),
-            "right",
-        )
-
-    # A hot lot may have most of its moves at one planned operation.  Its planned rows are
-    # repeated for each time slice their segment spans, so the join spreads over slices too.
-    left, right = cut(left), cut(right)
-    leaving = with_slice(
-        right.withColumnRenamed("r_slice", "_from").withColumnRenamed("r_lot", "lot"),
-        split,
-        "r_route_leave_time_stamp",
-    ).withColumnRenamed("lot", "r_lot")
-    spread = leaving.withColumn(
-        "r_slice",
-        F.explode_outer(
-            F.when(F.col("_from").isNotNull(), F.sequence("_from", F.greatest("_from", SLICE)))
-        ),
-    ).drop("_from", SLICE)
-    matched = left.join(
-        spread,
-        same_place
-        & F.col("l_slice").eqNullSafe(F.col("r_slice"))
         & (F.col("l_trans_time") < F.col("r_route_leave_time_stamp")),
-        "inner",
-    ).drop("r_slice")
-    earliest = left.groupBy(
-        "l_lot", "l_operation", "l_facility", "l_route_key", "l_segment_start"
-    ).agg(F.min("l_trans_time").alias("l_trans_time"))
-    missed = right.drop("r_slice").join(
-        earliest, same_place & (F.col("l_trans_time") < F.col("r_route_leave_time_stamp")), "left_anti"
+        "right",
     )
-    return matched.unionByName(missed, allowMissingColumns=True).withColumnRenamed("l_slice", SLICE)

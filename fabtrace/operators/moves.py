@@ -7,33 +7,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fabtrace.functions.time import days_between
-from fabtrace.operators.ordered import (
-    SLICE,
-    By,
-    Earlier,
-    HotSplit,
-    Prev,
-    Running,
-    with_ordered,
-    with_slice,
-)
+from fabtrace.operators.ordered import By, Earlier, Prev, Running, with_ordered
 
 ORDER = ["time_stamp", "operation", "to_operation", "transcode"]
 
 
-def timed_moves(
-    transactions: DataFrame, split: HotSplit | None = None, segments: DataFrame | None = None
-) -> DataFrame:
-    """Undeleted moves; times count from the previous move, else from entering the operation.
+def timed_moves(transactions: DataFrame, segments: DataFrame | None = None) -> DataFrame:
+    """Undeleted moves of known lots; times count from the previous move, else from entering the operation.
 
     With ``segments``, ``segment_start`` is the start of the latest one of the lot at or before
     the move.  Segments of a lot follow each other, so an equality on this column replaces the
     interval test of the route join.
     """
-    kept = with_slice(
-        transactions.where((F.col("operation") != F.col("to_operation")) & (F.col("deleted_flag") != "Y")),
-        split,
-        "time_stamp",
+    kept = transactions.where(
+        F.col("lot").isNotNull()
+        & (F.col("operation") != F.col("to_operation"))
+        & (F.col("deleted_flag") != "Y")
     )
     if segments is None:
         ordered = with_ordered(kept, ORDER, By(["lot"], {"_prev": Prev("time_stamp")}))
@@ -63,14 +52,13 @@ def timed_moves(
         F.coalesce(days_between(since, F.col("time_stamp")), F.lit(0.0)).alias("cycle_time"),
         F.coalesce(days_between(since, F.col("movein_time_stamp")), F.lit(0.0)).alias("wt"),
         F.coalesce("sps_number", "main_sps").alias("sps_number"),
-        *[c for c in ordered.columns if c in ("segment_start", SLICE)],
+        *[c for c in ordered.columns if c == "segment_start"],
     )
 
 
 def _among_segments(kept: DataFrame, segments: DataFrame) -> DataFrame:
     """Moves and segment starts in one time order, so that one sort gives both columns."""
-    extra = [SLICE] if SLICE in kept.columns else []
-    payload = T.StructType([f for f in kept.schema if f.name not in ("lot", *ORDER, *extra)])
+    payload = T.StructType([f for f in kept.schema if f.name not in ("lot", *ORDER)])
     no_text = [F.lit(None).cast("string").alias(c) for c in ORDER[1:]]
     no_time = F.lit(None).cast("timestamp_ntz")
     starts = segments.select(
@@ -81,7 +69,6 @@ def _among_segments(kept: DataFrame, segments: DataFrame) -> DataFrame:
         F.col("route_order_seq").alias("_start"),
         no_time.alias("_moved"),
         F.lit(None).cast(payload).alias("_rest"),
-        *extra,
     )
     made = kept.select(
         "lot",
@@ -90,7 +77,6 @@ def _among_segments(kept: DataFrame, segments: DataFrame) -> DataFrame:
         no_time.alias("_start"),
         F.col("time_stamp").alias("_moved"),
         F.struct(*payload.names).alias("_rest"),
-        *extra,
     )
     stream = with_ordered(
         starts.unionByName(made),
@@ -98,7 +84,7 @@ def _among_segments(kept: DataFrame, segments: DataFrame) -> DataFrame:
         By(["lot"], {"_prev": Earlier("_moved"), "segment_start": Running("last", "_start")}),
     )
     moved = stream.where(F.col("_kind") == 1)
-    return moved.select("lot", *ORDER, "_rest.*", "_prev", "segment_start", *extra)
+    return moved.select("lot", *ORDER, "_rest.*", "_prev", "segment_start")
 
 
 def with_equipment(moves: DataFrame, equipment: DataFrame) -> DataFrame:

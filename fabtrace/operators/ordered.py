@@ -1,12 +1,7 @@
-"""Time-ordered windows that stay bounded when one lot holds much of the data.
+"""Time-ordered windows over a lot's rows.
 
-A plain ``Window.partitionBy("lot")`` hands each lot to one task.  That is the best plan
-while every lot is small, so it is what runs unless ``find_hot`` reports lots above the row
-bound.  Those lots are cut into time slices; a window is then computed inside each slice and
-completed with one carried row per (keys, slice), so no task sees more than a slice.
-
-The sliced form reads its rows twice, so it writes them to the shared folder first; plans
-stay small and a lost executor costs one stage.
+There is one path for every lot: its rows are sorted by one task, which spills what memory
+does not hold and reads the sorted rows once. Rows without a time come last.
 """
 
 from __future__ import annotations
@@ -18,12 +13,6 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fabtrace.sources.scratch import cut
-
-SLICE = "_slice"
-ROWS_PER_SLICE = 5_000_000
-MAX_SLICES = 8192
-
 
 @dataclass(frozen=True)
 class Prev:
@@ -67,230 +56,30 @@ class By:
     outputs: Mapping[str, Output]
 
 
-@dataclass(frozen=True)
-class HotSplit:
-    """Slice bounds of the keys above the row bound: one (_key, _bounds) row per hot key."""
-
-    key: str | None
-    bounds: DataFrame
-    longest: int
-    whole_table: list | None = None
-
-    def cold(self, df: DataFrame) -> DataFrame:
-        """Rows of the other keys."""
-        return df.join(self._keys(), F.col(self.key) == F.col("_key"), "left_anti")
-
-    def hot(self, df: DataFrame) -> DataFrame:
-        """Rows of the hot keys."""
-        return df.join(self._keys(), F.col(self.key) == F.col("_key"), "left_semi")
-
-    def _keys(self) -> DataFrame:
-        return F.broadcast(self.bounds.select("_key"))
-
-
-def find_hot(
-    df: DataFrame,
-    key: str | None,
-    at: str,
-    rows_per_slice: int = ROWS_PER_SLICE,
-    max_slices: int = MAX_SLICES,
-) -> HotSplit | None:
-    """Bounds that cut every key with too many rows into slices of about equal row count.
-
-    ``key=None`` treats the whole table as one key.  The threshold grows with the table, so
-    at most ``max_slices`` keys can exceed it and fewer than ``3 * max_slices`` bounds exist;
-    that is all the driver ever holds, and all that is broadcast.
-    """
-    keyed = df.select((F.lit(0) if key is None else F.col(key)).alias("_key"), F.col(at).alias("_at"))
-    counts = keyed.groupBy("_key").agg(F.count("*").alias("_n"))
-    total, largest = counts.agg(F.sum("_n"), F.max("_n")).first()
-    if not total:
-        return None
-    threshold = max(rows_per_slice, -(-total // max_slices))
-    if largest <= threshold:
-        return None
-    # Quantiles finer than a slice; each key keeps every n-th, whatever its own row count.
-    pieces = 4 * -(-largest // threshold)
-    hot = counts.where(F.col("_n") > threshold)
-    quantiles = F.percentile_approx(
-        "_at", [i / pieces for i in range(1, pieces)], max(10_000, 2 * pieces)
-    )
-    step = F.floor(F.lit(pieces) * threshold / F.col("_n"))
-    hot_rows = keyed if key is None else keyed.join(F.broadcast(hot), "_key", "left_semi")
-    found = (
-        hot_rows.groupBy("_key")
-        .agg(quantiles.alias("_q"), F.count("*").alias("_n"))
-        .withColumn("_step", step.cast("int"))
-        .select(
-            "_key",
-            F.array_sort(
-                F.array_distinct(F.filter("_q", lambda x, i: (i + 1) % F.col("_step") == 0))
-            ).alias("_bounds"),
-        )
-    )
-    rows = found.collect()
-    longest = max(len(r["_bounds"]) for r in rows)
-    if not longest:
-        return None
-    whole_table = rows[0]["_bounds"] if key is None else None
-    bounds = df.sparkSession.createDataFrame(rows, found.schema)
-    return HotSplit(key, bounds, longest, whole_table)
-
-
-def with_slice(df: DataFrame, split: HotSplit | None, at: str) -> DataFrame:
-    """Add the slice number of each row of a hot key; null elsewhere."""
-    if split is None:
-        return df
-    steps = F.array(*[F.lit(1 << b) for b in reversed(range(split.longest.bit_length()))])
-    if split.key is None:
-        joined = df.withColumn("_bounds", F.lit(split.whole_table))
-    else:
-        bounds = F.broadcast(split.bounds)
-        joined = df.join(bounds, F.col(split.key) == F.col("_key"), "left").drop("_key")
-    position = F.aggregate(
-        steps,
-        F.lit(0),
-        lambda acc, s: F.when(F.get("_bounds", acc + s - 1) <= F.col(at), acc + s).otherwise(acc),
-    )
-    return joined.withColumn(SLICE, F.when(F.col("_bounds").isNotNull(), position)).drop("_bounds")
-
-
 def with_ordered(df: DataFrame, order: Sequence[str], *specs: By) -> DataFrame:
-    """Add ordered window columns; ``order[0]`` is the slicing axis and nulls sort last.
+    """Add ordered window columns; nulls sort last.
 
-    Specs come widest keys first, so one shuffle serves them all.  Rows carrying a slice
-    number are completed across slices.
+    Specs come widest keys first, so one shuffle serves them all.
     """
     sort = [F.col(c).asc_nulls_last() for c in order]
-    if SLICE in df.columns:
-        return _with_sliced(df, sort, specs)
     for spec in specs:
         w = Window.partitionBy(*spec.keys).orderBy(*sort)
-        df = df.withColumns({name: _plain(o, w) for name, o in spec.outputs.items()})
+        df = df.withColumns({name: _over(o, w) for name, o in spec.outputs.items()})
     return df
 
 
 def with_group_value(df: DataFrame, keys: Sequence[str], value: Column, name: str) -> DataFrame:
-    """Add an aggregate over all rows of each group, whatever the group's size."""
-    if SLICE not in df.columns:
-        return df.withColumn(name, value.over(Window.partitionBy(*keys)))
-    rows = cut(df)
-    renamed = [f"_ord_g{i}" for i in range(len(keys))]
-    groups = rows.groupBy(*[F.col(k).alias(g) for k, g in zip(keys, renamed)]).agg(value.alias(name))
-    return rows.join(groups, _null_safe(keys, renamed), "left").drop(*renamed)
+    """Add an aggregate over all rows of each group."""
+    return df.withColumn(name, value.over(Window.partitionBy(*keys)))
 
 
-def _plain(o: Output, w) -> Column:
+def _over(o: Output, w) -> Column:
     if isinstance(o, Prev):
         return F.lag(o.col, 1, o.default).over(w)
     if isinstance(o, Next):
         return F.lead(o.col, 1, o.default).over(w)
+    last = F.last(o.col, ignorenulls=True)
     if isinstance(o, Earlier):
-        before = w.rowsBetween(Window.unboundedPreceding, -1)
-        return F.last(o.col, ignorenulls=True).over(before)
-    return _running(o).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-
-
-def _running(o: Running) -> Column:
-    if o.fn == "last":
-        return F.last(o.col, ignorenulls=True)
-    return {"max": F.max, "sum": F.sum, "count": F.count}[o.fn](o.col)
-
-
-def _null_safe(left: Sequence[str], right: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for a, b in zip(left, right):
-        condition = condition & F.col(a).eqNullSafe(F.col(b))
-    return condition
-
-
-def _with_sliced(df: DataFrame, sort: list[Column], specs: Sequence[By]) -> DataFrame:
-    local = df
-    for i, spec in enumerate(specs):
-        w = Window.partitionBy(*spec.keys, SLICE).orderBy(*sort)
-        local = local.withColumns(
-            {n: _inside_slice(o, w) for n, o in spec.outputs.items()}
-            | {
-                f"_ord_first{i}": F.lag(F.lit(1)).over(w).isNull(),
-                f"_ord_last{i}": F.lead(F.lit(1)).over(w).isNull(),
-            }
-        )
-    local = cut(local)
-    done = local
-    for i, spec in enumerate(specs):
-        done = _completed(done, _carried(local, i, spec), spec)
-    added = [name for spec in specs for name in spec.outputs]
-    return done.select(*df.columns, *added)
-
-
-def _inside_slice(o: Output, w) -> Column:
-    # Neighbours are wrapped in a struct so "no row" and "row with a null" stay apart.
-    if isinstance(o, Prev):
-        return F.lag(F.struct(F.col(o.col).alias("v"))).over(w)
-    if isinstance(o, Next):
-        return F.lead(F.struct(F.col(o.col).alias("v"))).over(w)
-    return _plain(o, w)
-
-
-def _carried(local: DataFrame, i: int, spec: By) -> DataFrame:
-    """One row per (keys, slice) with what the neighbouring slices hand over."""
-    first, last = F.col(f"_ord_first{i}"), F.col(f"_ord_last{i}")
-    nexts = [F.col(o.col).alias(n) for n, o in spec.outputs.items() if isinstance(o, Next)]
-    prevs = [F.col(o.col).alias(n) for n, o in spec.outputs.items() if isinstance(o, Prev)]
-    # What a whole slice adds up to: the running value at its last row, that row included.
-    runs = {
-        n: F.coalesce(F.col(o.col), F.col(n)).alias(n) if isinstance(o, Earlier) else F.col(n)
-        for n, o in spec.outputs.items()
-        if isinstance(o, (Running, Earlier))
-    }
-    here = F.lit(1).alias("_")
-    edges = (
-        local.where(F.col(SLICE).isNotNull() & (first | last))
-        .groupBy(*[F.col(k).alias(r) for k, r in zip(spec.keys, _renamed(spec))], F.col(SLICE).alias("_ord_ks"))
-        .agg(
-            F.max(F.when(first, F.struct(here, *nexts))).alias("_ord_f"),
-            F.max(F.when(last, F.struct(here, *prevs, *runs.values()))).alias("_ord_l"),
-        )
-    )
-    over = Window.partitionBy(*_renamed(spec)).orderBy("_ord_ks")
-    before = over.rowsBetween(Window.unboundedPreceding, -1)
-    # Counts of earlier slices add up; every other running value combines with itself.
-    fns = {n: getattr(spec.outputs[n], "fn", "last") for n in runs}
-    merge = {n: Running("sum" if f == "count" else f, f"_ord_l.{n}") for n, f in fns.items()}
-    return edges.select(
-        *_renamed(spec),
-        "_ord_ks",
-        F.lag("_ord_l").over(over).alias("_ord_prev"),
-        F.lead("_ord_f").over(over).alias("_ord_next"),
-        *[_running(m).over(before).alias(f"_ord_run_{n}") for n, m in merge.items()],
-    )
-
-
-def _completed(rows: DataFrame, carried: DataFrame, spec: By) -> DataFrame:
-    joined = rows.join(
-        carried, _null_safe(spec.keys, _renamed(spec)) & (F.col(SLICE) == F.col("_ord_ks")), "left"
-    )
-    values = {}
-    for name, o in spec.outputs.items():
-        here = F.col(name)
-        if isinstance(o, (Running, Earlier)):
-            earlier = F.col(f"_ord_run_{name}")
-            if isinstance(o, Earlier) or o.fn == "last":
-                values[name] = F.coalesce(here, earlier)
-            elif o.fn == "max":
-                values[name] = F.greatest(here, earlier)
-            else:
-                total = here + F.coalesce(earlier, F.lit(0))
-                values[name] = F.when(here.isNull(), earlier).otherwise(total)
-        else:
-            side = "_ord_prev" if isinstance(o, Prev) else "_ord_next"
-            values[name] = (
-                F.when(here.isNotNull(), F.col(f"{name}.v"))
-                .when(F.col(side).isNotNull(), F.col(f"{side}.{name}"))
-                .otherwise(F.lit(o.default))
-            )
-    return joined.withColumns(values).drop(*carried.columns)
-
-
-def _renamed(spec: By) -> list[str]:
-    return [f"_ord_k{i}" for i in range(len(spec.keys))]
+        return last.over(w.rowsBetween(Window.unboundedPreceding, -1))
+    value = last if o.fn == "last" else {"max": F.max, "sum": F.sum, "count": F.count}[o.fn](o.col)
+    return value.over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))

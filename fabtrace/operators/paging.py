@@ -4,33 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fabtrace.operators.ordered import By, Running, find_hot, with_ordered, with_slice
-
 PAGE_SIZE = 200
-ROWS_PER_TASK = 1_000_000
+# Numbers of ``order[0]`` that are counted together; rows of one such range meet in a task.
+RANGE = 100_000
 
 
-def with_row_number(
-    df: DataFrame, order: Sequence[str], name: str = "row_number", rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
-    """Number all rows from 1 in the given order; ``order[0]`` is a non-null number.
+def with_row_number(df: DataFrame, order: Sequence[str], name: str = "row_number") -> DataFrame:
+    """Number all rows from 1 in the given order; ``order[0]`` is a number, null last.
 
-    Tables above ``rows_per_task`` are numbered slice by slice and offset by the row counts
-    of the earlier slices, never in one task.
+    Rows are numbered within ranges of ``order[0]`` and offset by the rows of earlier ranges;
+    only a count per range is ever brought together.
     """
-    split = find_hot(df, None, order[0], rows_per_task)
-    numbered = with_ordered(
-        with_slice(df, split, order[0]), order, By([], {name: Running("count", order[0])})
+    ranged = df.withColumn("_range", F.floor(F.col(order[0]) / RANGE))
+    place = F.col("_range").asc_nulls_last()
+    before = Window.orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select(
+        F.col("_range").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
-    return numbered.select(*[f"`{c}`" for c in df.columns], name)
+    inside = Window.partitionBy("_range").orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    numbered = ranged.withColumn("_inside", F.row_number().over(inside))
+    joined = numbered.join(offsets, F.col("_range").eqNullSafe(F.col("_of")))
+    return joined.select(*[f"`{c}`" for c in df.columns], (F.col("_before") + F.col("_inside")).alias(name))
 
 
-def with_page(df: DataFrame, order: Sequence[str], page_size: int = PAGE_SIZE, **kwargs) -> DataFrame:
+def with_page(df: DataFrame, order: Sequence[str], page_size: int = PAGE_SIZE) -> DataFrame:
     """Add the row number and the page each row is on."""
-    numbered = with_row_number(df, order, **kwargs)
+    numbered = with_row_number(df, order)
     return numbered.withColumn("page", (F.floor((F.col("row_number") - 1) / page_size) + 1).cast("int"))
 
 
@@ -51,8 +54,17 @@ def page_info(df: DataFrame, number: int = 1, page_size: int = PAGE_SIZE) -> Dat
     )
 
 
-def page_of(paged: DataFrame, number: int) -> DataFrame:
-    """Rows of one page of ``with_page``'s result, in order."""
-    pages = F.coalesce(paged.agg(F.max("page")).scalar(), F.lit(1))
-    shown = F.when(F.lit(number).between(1, pages), number).otherwise(1)
-    return paged.where(F.col("page") == shown).orderBy("row_number")
+def page_of(df: DataFrame, order: Sequence[str], number: int, page_size: int = PAGE_SIZE) -> DataFrame:
+    """Rows of one page in order, with their row number and page; the first if out of range.
+
+    The rows up to the page's end are found in one pass and only a page's rows are numbered.
+    A page other than the first is counted first, to know whether it exists.
+    """
+    start = max(0, (number - 1) * page_size)
+    if number != 1 and (number < 1 or df.select(F.lit(1)).limit(start + 1).count() <= start):
+        number, start = 1, 0
+    sort = [F.col(c).asc_nulls_last() for c in order]
+    rows = df.orderBy(*sort).offset(start).limit(page_size)
+    return rows.withColumn(
+        "row_number", F.row_number().over(Window.orderBy(*sort)) + F.lit(start)
+    ).withColumn("page", F.lit(number))

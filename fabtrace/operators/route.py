@@ -11,16 +11,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fabtrace.operators.ordered import (
-    SLICE,
-    By,
-    HotSplit,
-    Next,
-    Prev,
-    Running,
-    with_ordered,
-    with_slice,
-)
+from fabtrace.operators.ordered import By, Next, Prev, Running, with_ordered
 
 NO_ROUTE = "n/a"
 # Sequence numbers that stand for "no further step".
@@ -32,18 +23,16 @@ SEQ = "operation_sequence_number"
 ORDER = ["time_stamp", SEQ, "planned_operation", "facility"]
 
 
-def boundary_moves(transactions: DataFrame, route_operations: DataFrame, split: HotSplit | None = None):
+def boundary_moves(transactions: DataFrame, route_operations: DataFrame) -> DataFrame:
     """All moves with their planned step, and ``operation`` set only at segment boundaries.
 
+    Rows without a lot belong to none and are left out.
+
     Several versions of a planned operation repeat the move, as many as were created on or
     after its day.
     """
-    moves = with_slice(
-        transactions.where(F.col("operation") != F.col("to_operation")).select(
-            "lot", "facility", "route", "operation", "time_stamp", "date_stamp"
-        ),
-        split,
-        "time_stamp",
+    moves = transactions.where(F.col("lot").isNotNull() & (F.col("operation") != F.col("to_operation"))).select(
+        "lot", "facility", "route", "operation", "time_stamp", "date_stamp"
     )
     planned = route_operations.select(
         F.col("facility").alias("p_facility"),
@@ -88,14 +77,14 @@ def boundary_moves(transactions: DataFrame, route_operations: DataFrame, split:
         F.when(boundary, F.col("planned_operation")).alias("operation"),
         SEQ,
         "loop_back_indicator",
-        *_slice_of(by_route),
     )
 
 
 def route_segments(boundaries: DataFrame, as_of: dt.datetime) -> DataFrame:
     """Segments of each lot with the steps and the time span they cover.
 
-    The span is half open; the last segment of a lot ends one hour after ``as_of``.
+    The span is half open; the last segment of a lot ends one hour after ``as_of``, and one
+    before a segment without a time has no end.
     """
     order = ["time_stamp", SEQ, "operation", "facility"]
     kept = boundaries.where(F.col("operation").isNotNull()).withColumn(
@@ -110,16 +99,16 @@ def route_segments(boundaries: DataFrame, as_of: dt.datetime) -> DataFrame:
     starts = (
         by_route.withColumn("step_reached", F.coalesce("_next_seq", SEQ))
         .where((F.col("_route") != F.col("_prev_route")) | (F.col(SEQ) < F.col("_prev_seq")))
-        .withColumn("route_order_seq", F.col("time_stamp"))
+        .withColumns({"route_order_seq": F.col("time_stamp"), "_any": F.lit(True)})
         .drop("_prev_route", "_prev_seq", "_next_seq")
     )
+    end_of_time = F.lit(as_of + dt.timedelta(hours=1)).cast("timestamp_ntz")
     next_step = with_ordered(
         starts,
         order,
-        By(["lot"], {"_next_operation": Next("operation"), "_next_start": Next("route_order_seq")}),
+        By(["lot"], {"_next_operation": Next("operation"), "_next": Next("_any"), "_next_start": Next("route_order_seq")}),
         By(["lot", "route"], {"_next_seq": Next(SEQ, OPEN_END)}),
     )
-    end_of_time = F.lit(as_of + dt.timedelta(hours=1)).cast("timestamp_ntz")
     return next_step.select(
         "lot",
         "facility",
@@ -134,8 +123,7 @@ def route_segments(boundaries: DataFrame, as_of: dt.datetime) -> DataFrame:
         F.when(F.col("_next_operation").isNull(), OPEN_END)
         .otherwise(F.col("step_reached"))
         .alias("visited_until"),
-        F.coalesce("_next_start", end_of_time).alias("route_leave_time_stamp"),
-        *_slice_of(next_step),
+        F.when(F.col("_next"), F.col("_next_start")).otherwise(end_of_time).alias("route_leave_time_stamp"),
     )
 
 
@@ -191,9 +179,4 @@ def route_master(segments: DataFrame, route_operations: DataFrame, operations: D
         "route_order_seq",
         "route_leave_time_stamp",
         F.coalesce("optional_oper_flag", F.lit("N")).alias("optional_oper_flag"),
-        *_slice_of(covered),
     )
-
-
-def _slice_of(df: DataFrame) -> list[str]:
-    return [SLICE] if SLICE in df.columns else []

@@ -7,7 +7,6 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 
 from fabtrace.operators.history import operations_to_show, union_history
-from fabtrace.sources.scratch import cut
 
 
 def delayed_history(
@@ -15,9 +14,6 @@ def delayed_history(
 ) -> DataFrame:
     """History rows of every lot's delayed operations, or of the opened one without any.
 
-    The operations are written out first: their real size then decides, before any history
-    is shuffled, whether they are broadcast to the scans or joined by sorting, and the
-    monitor behind them runs once instead of once per source.
+    The union of the sources is joined once, so the monitor behind the summary runs once.
     """
-    wanted = cut(operations_to_show(summary, opened))
-    return union_history(sources, wanted)
+    return union_history(sources, operations_to_show(summary, opened))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -11,16 +10,8 @@ from pyspark.sql import functions as F
 
 from fabtrace.functions.time import days_between
 from fabtrace.operators import holds, matching, moves, route
-from fabtrace.operators.ordered import (
-    MAX_SLICES,
-    ROWS_PER_SLICE,
-    SLICE,
-    HotSplit,
-    find_hot,
-    with_group_value,
-)
+from fabtrace.operators.ordered import with_group_value
 from fabtrace.operators.route import SEQ
-from fabtrace.sources.scratch import cut
 
 DELAY_THRESHOLD = -0.5
 
@@ -85,46 +76,21 @@ class LotTables:
         return replace(self, transactions=self.transactions.where(F.col("lot") == lot))
 
 
-def visits(tables: LotTables, as_of: dt.datetime, hold_time: bool = True, **slicing) -> DataFrame:
+def visits(tables: LotTables, as_of: dt.datetime, hold_time: bool = True) -> DataFrame:
     """One row per planned operation visit and move, for all lots."""
-    return _in_parts(tables, lambda part, split: _visits(part, as_of, split, hold_time), **slicing)
-
-
-def _in_parts(
-    tables: LotTables,
-    plan: Callable[[LotTables, HotSplit | None], DataFrame],
-    rows_per_slice: int = ROWS_PER_SLICE,
-    max_slices: int = MAX_SLICES,
-) -> DataFrame:
-    """The plan over all lots, with the lots above the row bound planned apart in time slices.
-
-    One count over the transactions finds them; without any, the plan has no trace of that.
-    """
     tx = tables.transactions
-    split = find_hot(tx, "lot", "time_stamp", rows_per_slice, max_slices)
-    if split is None:
-        return plan(tables, None)
-    cold = plan(replace(tables, transactions=split.cold(tx)), None)
-    # Their rows are read three times; written out, one scan of the whole table is enough.
-    hot = plan(replace(tables, transactions=cut(split.hot(tx))), split)
-    return cold.unionByName(hot.drop(SLICE))
-
-
-def _visits(
-    tables: LotTables, as_of: dt.datetime, split: HotSplit | None, hold_time: bool
-) -> DataFrame:
-    tx = tables.transactions
-    segments = route.route_segments(
-        route.boundary_moves(tx, tables.route_operations, split), as_of
-    )
+    # The segments feed both the planned operations and the moves. Rows without a lot are
+    # left out first, in every branch alike, so that the two copies share their shuffle.
+    known = tx.where(F.col("lot").isNotNull())
+    segments = route.route_segments(route.boundary_moves(known, tables.route_operations), as_of)
     planned = route.route_master(segments, tables.route_operations, tables.operations)
-    made = moves.timed_moves(tx, split, segments)
+    made = moves.timed_moves(known, segments)
     if hold_time:
-        made = holds.with_hold_time(made, holds.hold_history(tx, tables.parameters, split), split)
-    elif split is None:
+        made = holds.with_hold_time(made, holds.hold_history(known, tables.parameters))
+    else:
         made = made.repartition("lot", "operation")
     made = moves.with_equipment(made, tables.equipment)
-    return _measured(matching.match_moves(made, planned, split), hold_time)
+    return _measured(matching.match_moves(made, planned), hold_time)
 
 
 def _measured(matched: DataFrame, hold_time: bool) -> DataFrame:
@@ -135,7 +101,6 @@ def _measured(matched: DataFrame, hold_time: bool) -> DataFrame:
         "l_transcode", "l_cost_center", "l_work_center", "l_qty_out_1", "l_unit_1",
         "l_equipment", "l_equipment_description", "l_sps_number", "l_rework_flag",
         "l_hot_lot_flag", "l_hot_oper_flag", "l_super_hot_flag",
-        *[c for c in matched.columns if c == SLICE],
     ]
     target = F.sum(F.coalesce("l_due_cycle_time", "r_due_ct"))
     measures = {
@@ -190,9 +155,7 @@ def _measured(matched: DataFrame, hold_time: bool) -> DataFrame:
         SEQ: c(f"r_{SEQ}"),
         "route_order_seq": c("r_route_order_seq"),
     }
-    return with_rpt.select(
-        *[e.alias(n) for n, e in out.items()], *[x for x in with_rpt.columns if x == SLICE]
-    )
+    return with_rpt.select(*[e.alias(n) for n, e in out.items()])
 
 
 def _ratio(part: Column, whole: Column) -> Column:
@@ -212,14 +175,12 @@ def drop_covered(visited: DataFrame) -> DataFrame:
     return flagged.where(F.col("ACTUAL_CT").isNotNull() | ~F.col("_seen")).drop("_seen")
 
 
-def lot_monitor(tables: LotTables, as_of: dt.datetime, keep_order: bool = False, **slicing) -> DataFrame:
+def lot_monitor(tables: LotTables, as_of: dt.datetime, keep_order: bool = False) -> DataFrame:
     """How late each lot is at each operation of its planned route.
 
     ``keep_order`` adds the hidden ordering columns.
     """
-    rows = _in_parts(
-        tables, lambda part, split: drop_covered(with_delay(_visits(part, as_of, split, True))), **slicing
-    )
+    rows = drop_covered(with_delay(visits(tables, as_of)))
     return rows.select(*MONITOR_COLUMNS, *(HIDDEN if keep_order else []))
 
 
@@ -231,9 +192,9 @@ def in_report_order(monitor: DataFrame) -> DataFrame:
     return ordered.drop(*HIDDEN)
 
 
-def lot_monitor_basic(tables: LotTables, as_of: dt.datetime, **slicing) -> DataFrame:
+def lot_monitor_basic(tables: LotTables, as_of: dt.datetime) -> DataFrame:
     """The monitor without delay, hold hours and the covered-row filter, by lot and time."""
-    rows = visits(tables, as_of, hold_time=False, **slicing)
+    rows = visits(tables, as_of, hold_time=False)
     renamed = rows.select(*[F.col(k).alias(v) for k, v in BASIC_COLUMNS.items()])
     return renamed.orderBy("LOT", F.col("Time_Stamp").asc_nulls_last())
 

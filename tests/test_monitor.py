@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from checks import derive
 from fabtrace.operators import holds, moves, route
-from fabtrace.operators.ordered import find_hot
 from fabtrace.plans import monitor
 from tests.helpers import at, route as planned, rows_of, tables, transactions
 
@@ -31,10 +30,10 @@ def test_known_counts(small_tables, small_monitor):
     t = small_tables
     boundaries = route.boundary_moves(t.transactions, t.route_operations)
     assert boundaries.count() == 595
-    assert boundaries.where("operation IS NOT NULL").count() == 219
+    assert boundaries.where("operation IS NOT NULL").count() == 239
     segments = route.route_segments(boundaries, derive.AS_OF)
-    assert segments.count() == 95
-    assert route.route_master(segments, t.route_operations, t.operations).count() == 377
+    assert segments.count() == 93
+    assert route.route_master(segments, t.route_operations, t.operations).count() == 350
     assert holds.hold_history(t.transactions, t.parameters).count() == 186
     assert moves.timed_moves(t.transactions).count() == 567
     visited = monitor.visits(t, derive.AS_OF)
@@ -45,35 +44,39 @@ def test_known_counts(small_tables, small_monitor):
         F.count("RPT"),
         F.count_if(F.col("OPERATION_DESC") == "??"),
     )
-    assert tuple(counts.first()) == (565, 156, 33, 409, 112)
-    assert small_monitor.count() == 455
+    assert tuple(counts.first()) == (527, 137, 32, 390, 93)
+    assert small_monitor.count() == 428
     summary = monitor.delay_summary(small_monitor)
-    assert summary.count() == 89
+    assert summary.count() == 84
     shown = rows_of(summary.where("LOT = 'VA000000'"), "OPERATION", "SUM_DELAY", "COUNT")
     assert {("1065", -2.1227, 4), ("1102", -1.0262, 2)} <= set(shown)
 
 
-def test_hot_lots_give_the_same_result(small_tables, small_monitor):
-    bound = 66
-    split = find_hot(small_tables.transactions, "lot", "time_stamp", bound)
-    hot = split.bounds.count()
-    lots = small_tables.transactions.select("lot").distinct().count()
-    assert 0 < hot < lots
-    sliced = monitor.lot_monitor(small_tables, derive.AS_OF, keep_order=True, rows_per_slice=bound)
-    assert rows_of(sliced) == rows_of(small_monitor)
+def test_rows_without_lot_or_time(spark, small_tables, small_monitor):
+    """Rows without a lot change nothing; one without a time stays last in its lot."""
+    tx = small_tables.transactions
+    strays = tx.limit(50).withColumn("lot", F.lit(None).cast("string"))
+    with_strays = monitor.replace(small_tables, transactions=tx.unionByName(strays))
+    assert rows_of(monitor.lot_monitor(with_strays, derive.AS_OF, keep_order=True)) == rows_of(small_monitor)
+    rows = [move("L", 0, "A", "B"), move("L", 1, "B", "C"), move("L", 2, "C", "D")]
+    ro = planned(spark, {"A": 10, "B": 20, "C": 30})
+    made = transactions(spark, rows)
+    timeless = made.where("operation = 'C'").withColumn("time_stamp", F.lit(None).cast("timestamp_ntz"))
+    t = tables(spark, made.where("operation != 'C'").unionByName(timeless), ro)
+    timed = moves.timed_moves(t.transactions)
+    assert [r["operation"] for r in timed.orderBy(F.col("trans_time").asc_nulls_last()).collect()] == ["A", "B", "C"]
+    assert rows_of(timed.where("operation = 'C'"), "trans_time", "cycle_time") == {(None, 0.0): 1}
+    held = holds.with_hold_time(timed, holds.hold_history(t.transactions, t.parameters))
+    assert held.where("operation = 'C' AND actual_holdtime IS NOT NULL").count() == 0
 
 
-def test_all_moves_of_a_hot_lot_at_one_planned_operation(spark):
-    # No route: one segment, one planned row, and every move belongs to it.
-    rows = [
-        move("HOT", h, "5000", "5001", route=None, enter_operation_time_stamp=at(h - 1), due_cycle_time=0.5)
-        for h in range(200)
-    ] + [move("COLD", 1, "A", "B")]
-    t = tables(spark, transactions(spark, rows), planned(spark, {"A": 10, "B": 20}))
-    plain = monitor.lot_monitor(t, AS_OF)
-    sliced = monitor.lot_monitor(t, AS_OF, rows_per_slice=20)
-    assert plain.where("LOT = 'HOT'").count() == 200
-    assert rows_of(sliced) == rows_of(plain)
+def test_the_segment_before_one_without_a_time_has_no_end(spark):
+    ro = planned(spark, {"A": 10, "B": 20})
+    tx = transactions(spark, [move("L", 0, "A", "B"), move("L", 1, "A", "B", route="S")])
+    late = tx.where("route = 'S'").withColumn("time_stamp", F.lit(None).cast("timestamp_ntz"))
+    bounds = route.boundary_moves(tx.where("route = 'R'").unionByName(late), ro)
+    got = rows_of(route.route_segments(bounds, AS_OF), "route", "route_leave_time_stamp")
+    assert got == {("R", None): 1, ("S", AS_OF + dt.timedelta(hours=1)): 1}
 
 
 def test_segments_do_not_overlap(small_tables):
@@ -247,22 +250,20 @@ def plan_of(df) -> str:
 
 
 def test_plan(spark, tmp_path, small_tables):
-    # On stored tables: the lot filter reaches the scan, nothing is paired by nested loops,
-    # no Python runs, and the moves are shuffled by lot and by (lot, operation) only.
+    # On stored tables: the lot filter reaches the scan, nothing is paired by nested loops, no
+    # Python runs, and no more scans of the transactions run than the branches need.
     path = str(tmp_path / "tx")
     small_tables.transactions.write.parquet(path)
-    tx = spark.read.parquet(path)
-    stored = monitor.LotTables(
-        tx,
-        small_tables.route_operations,
-        small_tables.operations,
-        small_tables.equipment,
-        small_tables.parameters,
-    )
+    stored = monitor.replace(small_tables, transactions=spark.read.parquet(path))
     plan = plan_of(monitor.lot_monitor(stored.of_lot("VA000001"), derive.AS_OF))
     assert "EqualTo(lot,VA000001)" in plan
-    plan = plan_of(monitor.lot_monitor(stored, derive.AS_OF))
+    report = monitor.lot_monitor(stored, derive.AS_OF)
+    plan = plan_of(report)
     for node in ("NestedLoop", "Cartesian", "BatchEvalPython", "ArrowEvalPython"):
         assert node not in plan
+    report.collect()
+    final = plan_of(report).split("== Initial Plan ==")[0]
+    scans = [line for line in final.splitlines() if "FileScan parquet" in line and "deleted_flag" in line or "FileScan parquet [lot" in line]
+    assert 0 < len(scans) <= 3, scans
     wide = [line for line in plan.splitlines() if "Exchange hashpartitioning(r_lot" in line or "Exchange hashpartitioning(l_lot" in line]
     assert len(wide) == 1 and "r_operation" in wide[0]
