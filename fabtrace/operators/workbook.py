@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SHEET_NAME_LENGTH = 31
 DEFAULT_SHEET = "Sheet1"
 
 
@@ -22,24 +18,10 @@ def lots_from_text(requests: DataFrame, text: str, keep_empty: bool = False) ->
 
 
 def sheet_name(name: Column) -> Column:
-    """A name short enough for a sheet, never empty."""
-    return F.coalesce(F.nullif(F.substring(name, 1, SHEET_NAME_LENGTH), F.lit("")), F.lit(DEFAULT_SHEET))
-
-
-def merge_sheet(frames: Sequence[DataFrame]) -> DataFrame:
-    """Rows of one sheet from all files as text, over the union of their columns."""
-    as_text = [df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns]) for df in frames]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), as_text)
-
-
-def merge_workbook(files: Mapping[str, Sequence[DataFrame]]) -> dict[str, DataFrame]:
-    """Merged sheets by name, in the order they first appear."""
-    if not any(files.values()):
-        raise ValueError("no sheet could be read")
-    return {sheet: merge_sheet(frames) for sheet, frames in files.items() if frames}
+    """The sheet's name, never empty."""
+    return F.coalesce(F.nullif(name, F.lit("")), F.lit(DEFAULT_SHEET))
 
 
-def stacked(sheets: Mapping[str, DataFrame]) -> DataFrame:
-    """All sheets in one table with the shortened name in ``sheet``."""
-    named = [df.withColumn("sheet", sheet_name(F.lit(name))) for name, df in sheets.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+def of_sheet(book: DataFrame, name: str) -> DataFrame:
+    """Rows of one sheet from all lots, over the union of the workbook's columns."""
+    return book.where(F.col("sheet") == sheet_name(F.lit(name)))

@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fabtrace.sources.broken import BROKEN, broken, readable
 from fabtrace.sources.schemas import ANNOTATION_COLUMNS
 
 _SCHEMA = ", ".join(f"`{c}` string" for c in ANNOTATION_COLUMNS)
@@ -26,33 +27,56 @@ def clean(df: DataFrame) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of annotation records; empty when the file is missing or broken."""
-    return _read(spark, path, multi_line=True)
+    """JSON arrays of annotation records; empty when the path is missing.
+
+    Broken files and records are left out; ``record_errors`` lists them.
+    """
+    return clean(readable(_records(spark, path)))
+
+
+def record_errors(spark: SparkSession, path: str) -> DataFrame:
+    """Text of every file or record that can't be read, with what could be read of its lot."""
+    return broken(_records(spark, path)).select(F.col(BROKEN).alias("record"), "LOT NUMBER")
 
 
 def read_saved(spark: SparkSession, path: str) -> DataFrame:
-    """The latest version written by ``save``; empty when there is none."""
-    saved = _read(spark, path, multi_line=False, cleaned=False)
-    if "version" not in saved.columns:
-        return saved
-    latest = saved.agg(F.max("version")).scalar()
-    return clean(saved.where(F.col("version") == latest))
+    """The latest version written by ``save``; empty when there is none.
+
+    A damaged record is an error: the next ``save`` would lose it for good.
+    """
+    root = path.rstrip("/")
+    versions = _unless_missing(spark, "version bigint", lambda r: r.json(f"{root}/manifest"))
+    latest = versions.agg(F.max("version")).first()[0]  # a row per version
+    if latest is None:
+        return spark.createDataFrame([], _SCHEMA)
+    data = spark.read.schema(_SCHEMA).option("mode", "FAILFAST")
+    return clean(data.json(f"{root}/data/version={latest}"))
 
 
 def save(annotations: DataFrame, path: str) -> None:
-    """Write a new version next to the earlier ones, which may be what is being read."""
-    version = time.time_ns()
-    clean(annotations).write.mode("errorifexists").json(f"{path.rstrip('/')}/version={version}")
+    """Write a new version next to the earlier ones, which may be what is being read.
 
+    The version counts once the manifest names it, also if the table is empty.
+    """
+    root, version = path.rstrip("/"), time.time_ns()
+    clean(annotations).write.mode("errorifexists").json(f"{root}/data/version={version}")
+    named = annotations.sparkSession.range(1).select(F.lit(version).alias("version"))
+    named.write.mode("append").json(f"{root}/manifest")
 
-def _read(spark: SparkSession, path: str, multi_line: bool, cleaned: bool = True) -> DataFrame:
+
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    return _unless_missing(
+        spark,
+        f"{_SCHEMA}, {BROKEN} string",
+        lambda r: r.option("multiLine", True).option("columnNameOfCorruptRecord", BROKEN).json(path),
+    )
+
+
+def _unless_missing(spark: SparkSession, schema: str, read) -> DataFrame:
+    """What ``read`` gives; no rows if there is no such path. Other errors pass."""
     try:
-        df = (
-            spark.read.schema(_SCHEMA if multi_line else f"{_SCHEMA}, version bigint")
-            .option("multiLine", multi_line)
-            .option("mode", "DROPMALFORMED")
-            .json(path)
-        )
-    except AnalysisException:
-        return spark.createDataFrame([], _SCHEMA)
-    return clean(df) if cleaned else df
+        return read(spark.read.schema(schema))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)

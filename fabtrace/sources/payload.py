@@ -22,7 +22,11 @@ def orders_from_payload(payloads: DataFrame, value: str = "value") -> DataFrame:
 
 
 def payload_errors(payloads: DataFrame, value: str = "value") -> DataFrame:
-    """Payloads without the order array, with the keys they do have (null if not an object)."""
+    """Payloads without the order array, with the keys they do have (null if not an object).
+
+    What stands under the array's key but is no array, null too, counts as an error.
+    """
     keys = F.json_object_keys(value)
-    bad = ~F.coalesce(F.array_contains(keys, ARRAY_KEY), F.lit(False))
+    found = F.get_json_object(value, f"$.{ARRAY_KEY}")
+    bad = ~F.coalesce(F.array_contains(keys, ARRAY_KEY) & found.startswith("["), F.lit(False))
     return payloads.where(bad).withColumn("keys_found", keys).drop(value)

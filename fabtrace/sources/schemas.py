@@ -1,4 +1,4 @@
-"""Column layout of the lot-tracking tables."""
+"""Column layout of the lot-tracking tables: fixed values, as the tables come with them."""
 
 from __future__ import annotations
 
@@ -62,8 +62,8 @@ ORDER_COLUMNS = {
     "processGroup": "Process Group",
     "createUser": "Create User",
 }
-ORDER_NUMBERS = {"deltaCurrentToPlan": "double"}
-ORDER_ELEMENT = ", ".join(f"{k} {ORDER_NUMBERS.get(k, 'string')}" for k in ORDER_COLUMNS)
+# Every value is kept as it came; what looks like a number is read as one where it is shown.
+ORDER_ELEMENT = ", ".join(f"{k} string" for k in ORDER_COLUMNS)
 
 # Columns of the annotation table.
 ANNOTATION_COLUMNS = ["LOT NUMBER", "OPERATION", "DESCRIPTION", "ISSUE", "REMARKS"]

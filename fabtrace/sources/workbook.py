@@ -1,20 +1,50 @@
-"""Workbooks as folders: ``sheet=<name>`` below the root, all columns text."""
+"""Workbooks as folders: JSON records below ``of_lot=<lot>/of_sheet=<sheet>``, all values text."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fabtrace.operators.workbook import sheet_name
+from fabtrace.sources.broken import BROKEN, broken, readable
+
+
+def write_sheet(rows: DataFrame, root: str, lot: str, sheet: str) -> None:
+    """One lot's sheet. Its name is kept whole; folders have no limit."""
+    named = rows.withColumns({"lot": F.lit(lot), "sheet": sheet_name(F.lit(sheet))})
+    folders = named.withColumns({"of_lot": F.col("lot"), "of_sheet": F.col("sheet")})
+    folders.write.mode("append").partitionBy("of_lot", "of_sheet").json(root)
 
 
 def read_sheets(spark: SparkSession, root: str) -> DataFrame:
-    """All readable files below ``root``, over the union of their columns."""
-    return (
-        spark.read.option("mergeSchema", "true")
-        .option("ignoreCorruptFiles", "true")
-        .option("basePath", root)
-        .parquet(root)
-    )
+    """All sheets of all lots in one read, as text over the union of their columns.
 
+    Columns may have another type in every file. What can't be read is left out; see
+    ``unreadable``.
+    """
+    rows = _read(spark, root)
+    if "sheet" not in rows.columns:
+        raise ValueError("no sheet could be read")
+    return readable(rows) if BROKEN in rows.columns else rows
 
-def write_sheets(stacked: DataFrame, root: str) -> None:
-    """One folder per sheet."""
-    stacked.write.mode("errorifexists").partitionBy("sheet").parquet(root)
+
+def unreadable(spark: SparkSession, root: str) -> DataFrame:
+    """File and text of everything below ``root`` that is no record."""
+    rows = _read(spark, root)
+    if BROKEN not in rows.columns:
+        return spark.createDataFrame([], "file string, record string")
+    file, record = F.col("_metadata.file_name").alias("file"), BROKEN
+    if rows.columns == [BROKEN]:  # not one record
+        rows, record = spark.read.option("recursiveFileLookup", "true").text(root), "value"
+    else:
+        rows = broken(rows)
+    return rows.select(file, F.col(record).alias("record"))
+
+
+def _read(spark: SparkSession, root: str) -> DataFrame:
+    return (
+        spark.read.option("recursiveFileLookup", "true")
+        .option("primitivesAsString", "true")
+        .option("columnNameOfCorruptRecord", BROKEN)
+        .json(root)
+    )

@@ -9,7 +9,7 @@ from fabtrace.sources import annotations as records
 from fabtrace.sources import files
 from fabtrace.sources.scratch import shared_folder
 from fabtrace.sources.tables import query
-from fabtrace.sources.workbook import read_sheets, write_sheets
+from fabtrace.sources.workbook import read_sheets, unreadable, write_sheet
 from tests.helpers import rows_of
 
 COLUMNS = records.ANNOTATION_COLUMNS
@@ -26,6 +26,7 @@ def test_records_file(spark, tmp_path):
     assert records.read_records(spark, str(tmp_path / "none.json")).count() == 0
     path.write_text("[{broken")
     assert records.read_records(spark, str(path)).count() == 0
+    assert [r["record"] for r in records.record_errors(spark, str(path)).collect()] == ["[{broken"]
 
 
 def test_saving_over_what_is_read(spark, tmp_path):
@@ -35,6 +36,17 @@ def test_saving_over_what_is_read(spark, tmp_path):
     more = annotations.append(records.read_saved(spark, path), notes(spark, ("M", "2", "e", "—", "—")))
     records.save(more, path)
     assert rows_of(records.read_saved(spark, path)) == {("L", "1", "d", "", ""): 1, ("M", "2", "e", "", ""): 1}
+    records.save(records.read_saved(spark, path).where("OPERATION = '0'"), path)
+    assert records.read_saved(spark, path).count() == 0
+
+
+def test_damaged_saved_records_are_an_error(spark, tmp_path):
+    path = str(tmp_path / "notes")
+    records.save(notes(spark, ("L", "1", "d", "", "")), path)
+    version = next((tmp_path / "notes" / "data").iterdir())
+    (version / "part-extra.json").write_text("{damaged\n")
+    with pytest.raises(Exception, match="MALFORMED"):
+        records.read_saved(spark, path).collect()
 
 
 def test_append_then_delete(spark):
@@ -60,20 +72,27 @@ def test_lot_lists(spark):
 
 
 def test_workbook(spark, tmp_path):
-    a = spark.createDataFrame([(1, "x")], "k int, v string")
-    b = spark.createDataFrame([(2, 3.5)], "k int, w double")
-    merged = workbook.merge_workbook({"s" * 40: [a, b], "": [a]})
-    assert rows_of(merged["s" * 40]) == {("1", "x", None): 1, ("2", None, "3.5"): 1}
-    root = str(tmp_path / "book")
-    write_sheets(workbook.stacked(merged), root)
+    root, name = str(tmp_path / "book"), "s" * 40
+    write_sheet(spark.createDataFrame([(1, "x")], "k int, v string"), root, "VA1", name)
+    write_sheet(spark.createDataFrame([("two", 3.5)], "k string, w double"), root, "VA2", name)
+    write_sheet(spark.createDataFrame([(1, "x")], "k int, v string"), root, "VA2", "")
+    (tmp_path / "book" / "of_lot=VA3").mkdir()
+    (tmp_path / "book" / "of_lot=VA3" / "bad.json").write_text("{broken\n")
     back = read_sheets(spark, root)
-    assert rows_of(back, "sheet", "k", "v", "w") == {
-        ("s" * 31, "1", "x", None): 1,
-        ("s" * 31, "2", None, "3.5"): 1,
-        ("Sheet1", "1", "x", None): 1,
+    assert rows_of(back, "lot", "sheet", "k", "v", "w") == {
+        ("VA1", name, "1", "x", None): 1,
+        ("VA2", name, "two", None, "3.5"): 1,
+        ("VA2", "Sheet1", "1", "x", None): 1,
     }
+    assert workbook.of_sheet(back, "").count() == 1
+    assert [tuple(r) for r in unreadable(spark, root).collect()] == [("bad.json", "{broken")]
+
+
+def test_a_book_of_unreadable_files(spark, tmp_path):
+    (tmp_path / "bad.json").write_text("{broken\n")
     with pytest.raises(ValueError):
-        workbook.merge_workbook({})
+        read_sheets(spark, str(tmp_path))
+    assert unreadable(spark, str(tmp_path)).count() == 1
 
 
 def test_profile(spark):
@@ -93,6 +112,9 @@ def test_fingerprint_ignores_order_and_sees_changes(spark):
     assert quality.table_fingerprint(df.withColumn("t", F.coalesce("t", F.lit("")))).first() != base
     assert quality.table_fingerprint(df.unionAll(df.limit(1)).unionAll(df.limit(1))).first() != base
     assert quality.table_fingerprint(df.where("id < 0")).first()["row_count"] == 0
+    pairs = [("a\x1fb", "c"), ("a", "b\x1fc"), (None, "x"), ("\x00", "x"), ("-", "x"), ("", "x")]
+    texts = spark.createDataFrame(pairs, "a string, b string")
+    assert texts.select(quality.row_fingerprint(texts)).distinct().count() == len(pairs)
 
 
 def test_triage(spark):
