@@ -11,9 +11,9 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fabtrace.operators.ordered import ROWS_PER_SLICE, By, Prev, Running, find_hot, with_ordered, with_slice
 from fabtrace.plans.monitor import LotTables
 from fabtrace.sources.tables import read_table
+from fabtrace.sources.workbook import write_sheet
 
 AS_OF = dt.datetime(2024, 2, 1)
 
@@ -32,46 +32,46 @@ def whole(c: Column) -> Column:
     return F.floor(c).cast("int")
 
 
-def stepped_events(spark: SparkSession, sf_dir: str, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def stepped_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with their number within the user, their step and the time three events back."""
     events = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
-    split = find_hot(events, "user_id", "ts", rows_per_slice)
-    order = ["ts", "event_id"]
-    if split is None:
-        w = Window.partitionBy("user_id").orderBy(*order)
-        back = events.withColumns({"rn": F.row_number().over(w), "_b3": F.lag("ts", 3).over(w)})
-    else:
-        back = with_ordered(
-            with_slice(events, split, "ts"),
-            order,
-            By(["user_id"], {"_b1": Prev("ts"), "rn": Running("count", "event_id")}),
-        )
-        back = with_ordered(back, order, By(["user_id"], {"_b2": Prev("_b1")}))
-        back = with_ordered(back, order, By(["user_id"], {"_b3": Prev("_b2")}))
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    back = events.withColumns({"rn": F.row_number().over(w), "ts_back": F.lag("ts", 3).over(w)})
     step0 = whole((F.col("rn") - 1) / 4.0) % 12 + 1
+    step = F.when((F.col("event_id") % 9 == 0) & (F.col("_step0") > 3), F.col("_step0") - 3)
     return (
         back.withColumn("_step0", step0)
-        .withColumn(
-            "step",
-            F.when((F.col("event_id") % 9 == 0) & (F.col("_step0") > 3), F.col("_step0") - 3).otherwise(
-                F.col("_step0")
-            ),
-        )
-        .select("event_id", "ts", "user_id", "event_type", "rn", "step", F.col("_b3").alias("ts_back"))
+        .withColumn("step", step.otherwise(F.col("_step0")))
+        .select("event_id", "ts", "user_id", "event_type", "rn", "step", "ts_back")
     )
 
 
+# Parts that make up one group of two facilities with three routes of twelve steps.
+GROUP = 72
+
+
+def part_groups(spark: SparkSession, sf_dir: str) -> Column:
+    """How many such groups the parts make."""
+    part = read_table(spark, sf_dir, "part")
+    return part.agg((whole(F.max("p_partkey") / float(GROUP)) + 1).alias("groups")).scalar()
+
+
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     ts = F.col("ts")
     s = lambda c: c.cast("string")
-    route = F.concat(F.lit("R"), s((F.col("user_id") + whole((F.col("rn") - 1) / 48.0)) % 3))
+    # A lot stays in one group of the parts and passes through its routes.
+    place = F.col("place")
+    route = F.concat(F.lit("R"), s((F.col("user_id") + whole((F.col("rn") - 1) / 48.0)) % 3 + 3 * whole(place / 2.0)))
     code = F.create_map(*[F.lit(x) for kv in TRANSCODES.items() for x in kv])
     yes_no = lambda n: F.when(e % n == 0, "Y").otherwise("N")
     flag = lambda n: F.when(e % n == 0, "Y")
-    return stepped_events(spark, sf_dir).select(
+    placed = stepped_events(spark, sf_dir).withColumn(
+        "place", F.col("user_id") % (2 * part_groups(spark, sf_dir))
+    )
+    return placed.select(
         lot_of(F.col("user_id")).alias("lot"),
-        F.concat(F.lit("F"), s(F.col("user_id") % 2)).alias("facility"),
+        F.concat(F.lit("F"), s(place)).alias("facility"),
         F.when(e % 53 != 0, route).alias("route"),
         operation_of(F.col("step")).alias("operation"),
         F.when(e % 97 == 0, None)
@@ -103,23 +103,20 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _slots(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
-    """All parts folded onto ``size`` slots ``k``; each slot keeps its lowest part."""
-    part = read_table(spark, sf_dir, "part")
-    columns = ["p_name", "p_type", "p_brand"]
-    return (
-        part.groupBy((F.col("p_partkey") % size).alias("k"))
-        .agg(F.min_by(F.struct(*columns), "p_partkey").alias("p"))
-        .select("k", "p.*")
+def _slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part with its group ``g`` and its place ``k`` there."""
+    key = F.col("p_partkey")
+    return read_table(spark, sf_dir, "part").select(
+        whole(key / float(GROUP)).alias("g"), (key % GROUP).alias("k"), "p_name", "p_type", "p_brand"
     )
 
 
 def route_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("k")
+    k, g = F.col("k"), F.col("g")
     step = whole(k / 6.0) % 12 + 1
-    return _slots(spark, sf_dir, 72).select(
-        F.concat(F.lit("F"), (k % 2).cast("string")).alias("facility"),
-        F.concat(F.lit("R"), (whole(k / 2.0) % 3).cast("string")).alias("route"),
+    return _slots(spark, sf_dir).select(
+        F.concat(F.lit("F"), (k % 2 + 2 * g).cast("string")).alias("facility"),
+        F.concat(F.lit("R"), (whole(k / 2.0) % 3 + 3 * g).cast("string")).alias("route"),
         operation_of(step).alias("operation"),
         (step * 10).alias("operation_sequence_number"),
         F.when(k % 5 == 0, F.expr("timestamp_ntz'2024-01-20'"))
@@ -132,10 +129,12 @@ def route_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("k")
-    return _slots(spark, sf_dir, 22).select(
-        F.concat(F.lit("F"), (k % 2).cast("string")).alias("facility"),
-        operation_of(whole(k / 2.0) + 1).alias("operation"),
+    """All parts as operations; step 12 of the routes has none."""
+    k, g = F.col("k"), F.col("g")
+    step = whole(k / 2.0) + 1
+    return _slots(spark, sf_dir).select(
+        F.concat(F.lit("F"), (k % 2 + 2 * g).cast("string")).alias("facility"),
+        operation_of(F.when(step > 11, step + 1).otherwise(step)).alias("operation"),
         F.when(k % 3 != 0, F.concat("p_type", F.lit(" "), "p_brand")).alias("operation_long_desc"),
         F.when(k % 9 != 0, F.col("p_name")).alias("operation_short_desc"),
         F.when(k % 8 == 0, None).when(k % 4 == 1, "Y").otherwise("N").alias("store_flag_rep"),
@@ -242,14 +241,14 @@ def history_fallback(recorded: DataFrame) -> DataFrame:
 
 
 def history_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Four histories that overlap: each kept the events its number divides."""
+    """Four histories that overlap: three kept the events their number divides, the last all."""
     recorded = recorded_events(spark, sf_dir)
     kept = lambda n: recorded.where(F.col("event_id") % n == 0)
     return {
         "mes": history_mes(kept(2)),
         "fallback_1": history_fallback(kept(3)),
         "fallback_2": history_fallback(kept(5)),
-        "fallback_3": history_fallback(kept(7)),
+        "fallback_3": history_fallback(recorded),
     }
 
 
@@ -293,27 +292,35 @@ def priority_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landed payloads: an order and its second lot each, with error objects in between."""
+    """Landed payloads: an order and its second lot each, with other shapes in between.
+
+    Most give the delay as a number, some as a number in quotes or as text.
+    """
     orders = priority_orders(spark, sf_dir)
-    names = [c for c in orders.columns if c != "ordinal"]
-    second = F.struct(
-        F.concat("febesOrderId", F.lit("B")).alias("febesOrderId"),
-        *[
-            (F.col(c) if c in ("owner", "lotNumber") else F.lit(None).cast(orders.schema[c].dataType)).alias(c)
-            for c in names[1:]
-        ],
-    )
-    good = F.to_json(F.struct(F.array(F.struct(*names), second).alias("priorityOrders")))
-    k = F.col("ordinal")
+    k, delta = F.col("ordinal"), F.col("deltaCurrentToPlan")
+    text = F.when(k % 17 == 3, "n/a").otherwise(delta.cast("string"))
     return orders.select(
         k.alias("payload_id"),
         F.when(k % 50 == 7, '{"message":"expired","code":401}')
         .when(k % 50 == 8, "[1,2]")
-        .otherwise(good)
+        .when(k % 50 == 9, '{"priorityOrders":{"owner":"DEVT"}}')
+        .when(k % 50 == 10, '{"priorityOrders":null,"owner":"DEVT"}')
+        .when(k % 50 == 11, '{"priorityOrders":[{"owner":"DEVT"}')
+        .when((k % 17).isin(3, 4), _payload(orders, text))
+        .otherwise(_payload(orders, delta))
         .alias("value"),
     )
 
 
+def _payload(orders: DataFrame, delta: Column) -> Column:
+    """An order with the given delay, and a second lot of its owner."""
+    names = [c for c in orders.columns if c != "ordinal"]
+    first = [delta.alias(c) if c == "deltaCurrentToPlan" else F.col(c) for c in names]
+    second = [F.concat("febesOrderId", F.lit("B")).alias("febesOrderId"), F.col("owner"), F.col("lotNumber")]
+    both = F.concat_ws(",", F.to_json(F.struct(*first)), F.to_json(F.struct(*second)))
+    return F.concat(F.lit('{"priorityOrders":['), both, F.lit("]}"))
+
+
 # ---- annotations, requests, sheets, logs -------------------------------------------------
 
 
@@ -330,13 +337,16 @@ def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unrepaired_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records as found on disk: a column missing, unknown values spelled out."""
-    d = F.col("doc_id")
-    return read_table(spark, sf_dir, "documents").select(
+    return read_table(spark, sf_dir, "documents").select(*_unrepaired(F.col("doc_id")))
+
+
+def _unrepaired(d: Column) -> list[Column]:
+    return [
         (d % 12 + 1).alias("OPERATION"),
         F.col("text").alias("DESCRIPTION"),
         _pick(d % 4, ["nan", "None", "Batching", None]).alias("ISSUE"),
         lot_of(d % 150).alias("LOT NUMBER"),
-    )
+    ]
 
 
 def entered_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -367,18 +377,33 @@ def lot_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sheets(spark: SparkSession, sf_dir: str) -> dict[str, list[DataFrame]]:
-    """Sheets of per-lot workbooks whose columns differ between files."""
+LONG_SHEET = "a sheet name that is longer than a workbook allows"
+
+
+def write_sheets(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """Sheets of two lots' workbooks; their columns and the type of the key differ."""
     customer = read_table(spark, sf_dir, "customer")
     supplier = read_table(spark, sf_dir, "supplier")
     nation = read_table(spark, sf_dir, "nation")
-    return {
-        "a sheet name that is longer than allowed": [
-            customer.select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), "c_mktsegment"),
-            supplier.select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), "s_nationkey"),
-        ],
-        "": [nation.select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))],
-    }
+    write_sheet(
+        customer.select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), "c_mktsegment"),
+        root, "VA000001", LONG_SHEET,
+    )
+    key = F.concat(F.lit("S"), F.col("s_suppkey").cast("string"))
+    write_sheet(
+        supplier.select(key.alias("key"), F.col("s_name").alias("name"), "s_nationkey"), root, "VA000002", LONG_SHEET
+    )
+    write_sheet(nation.select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")), root, "VA000002", "")
+    damaged = nation.select(F.concat(F.lit("{damaged "), "n_name").alias("value"))
+    damaged.write.text(f"{root}/of_lot=VA000003/of_sheet=Sheet1")
+
+
+def write_records(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Annotations as files of one JSON array each, of 200 documents."""
+    d = F.col("doc_id")
+    array = F.to_json(F.collect_list(F.struct(*_unrepaired(d)))).alias("value")
+    arrays = read_table(spark, sf_dir, "documents").groupBy(whole(d / 200.0)).agg(array)
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
 
 
 LOG_MARKS = [

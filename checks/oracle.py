@@ -34,12 +34,14 @@ cte("ev", """
 cte("ev0", "SELECT *, CAST(floor((rn - 1) / 4e0) AS INT) % 12 + 1 AS step0 FROM ev")
 cte("st", """
     SELECT *, CASE WHEN event_id % 9 = 0 AND step0 > 3 THEN step0 - 3 ELSE step0 END AS step FROM ev0""")
+cte("part_groups", "SELECT max(p_partkey) // 72 + 1 AS groups FROM part")
 CODE = """CASE event_type WHEN 'error' THEN 'HLLT' WHEN 'signup' THEN 'RLLT' WHEN 'purchase' THEN 'MVOU'
     WHEN 'click' THEN 'MVIN' ELSE 'COMM' END"""
 cte("tx", f"""
-    SELECT {lot('user_id')} AS lot, 'F' || CAST(user_id % 2 AS VARCHAR) AS facility,
+    SELECT {lot('user_id')} AS lot, 'F' || CAST(user_id % (2 * groups) AS VARCHAR) AS facility,
       CASE WHEN event_id % 53 <> 0
-           THEN 'R' || CAST((user_id + CAST(floor((rn - 1) / 48e0) AS INT)) % 3 AS VARCHAR) END AS route,
+           THEN 'R' || CAST((user_id + CAST(floor((rn - 1) / 48e0) AS INT)) % 3
+                            + 3 * (user_id % (2 * groups) // 2) AS VARCHAR) END AS route,
       {op('step')} AS operation,
       CASE WHEN event_id % 97 = 0 THEN NULL WHEN event_type IN ('error', 'signup') THEN {op('step')}
            ELSE {op('step + 1')} END AS to_operation,
@@ -59,23 +61,24 @@ cte("tx", f"""
       (event_id % 3) * 0.0625e0 AS due_process_cycle_time,
       coalesce(CASE WHEN event_id % 6 <> 0 THEN 'S' || CAST(event_id % 8 AS VARCHAR) END,
                'M' || CAST(event_id % 3 AS VARCHAR)) AS sps
-    FROM st""")
+    FROM st, part_groups""")
 cte("slot", """
-    SELECT p_partkey AS k, p_name, p_type, p_brand, CAST(floor(p_partkey / 6e0) AS INT) % 12 + 1 AS step
-    FROM part WHERE p_partkey < 72""")
+    SELECT p_partkey % 72 AS k, p_partkey // 72 AS g, p_name, p_type, p_brand,
+      CAST(floor(p_partkey % 72 / 6e0) AS INT) % 12 + 1 AS step FROM part""")
 cte("ro", f"""
-    SELECT 'F' || CAST(k % 2 AS VARCHAR) AS facility,
-      'R' || CAST(CAST(floor(k / 2e0) AS INT) % 3 AS VARCHAR) AS route, {op('step')} AS operation,
+    SELECT 'F' || CAST(k % 2 + 2 * g AS VARCHAR) AS facility,
+      'R' || CAST(CAST(floor(k / 2e0) AS INT) % 3 + 3 * g AS VARCHAR) AS route, {op('step')} AS operation,
       step * 10 AS seq, CASE WHEN k % 5 = 0 THEN TIMESTAMP '2024-01-20' ELSE TIMESTAMP '2024-12-31' END AS created,
       step * 0.03125e0 AS process_ct, (step % 4) * 0.0625e0 AS queue_ct,
       CASE WHEN k % 11 = 0 THEN 'Y' WHEN k % 7 = 0 THEN NULL ELSE 'N' END AS optional
     FROM slot""")
 cte("oper", f"""
-    SELECT 'F' || CAST(k % 2 AS VARCHAR) AS facility, {op('CAST(floor(k / 2e0) AS INT) + 1')} AS operation,
+    SELECT 'F' || CAST(k % 2 + 2 * g AS VARCHAR) AS facility,
+      {op('CASE WHEN k < 22 THEN k // 2 + 1 ELSE k // 2 + 2 END')} AS operation,
       coalesce(CASE WHEN k % 3 <> 0 THEN p_type || ' ' || p_brand END,
                CASE WHEN k % 9 <> 0 THEN p_name END) AS described,
       CASE WHEN k % 8 = 0 THEN NULL WHEN k % 4 = 1 THEN 'Y' ELSE 'N' END AS store
-    FROM slot WHERE k < 22""")
+    FROM slot""")
 cte("equip", """
     SELECT 'EQ' || CAST(s_suppkey AS VARCHAR) AS equipment, min(s_name) AS described
     FROM supplier GROUP BY ALL""")
@@ -217,7 +220,7 @@ def mes_select(source: str, literal: bool = False) -> str:
     comment = "''" if literal else "CASE WHEN trim(r.comment) <> '' THEN chr(10) || r.comment ELSE '' END"
     hold = (
         "''" if literal
-        else "CASE WHEN trim(r.hold_comment) <> '' THEN chr(10) || left(r.hold_comment, 500) ELSE '' END"
+        else "CASE WHEN trim(r.hold_comment) <> '' THEN chr(10) || r.hold_comment ELSE '' END"
     )
     return f"""
     SELECT r.lot AS LOT, r.ts AS TRANS_TIMESTAMP, r.operation AS OPERATION, r.transcode AS TRANSACTION,
@@ -261,7 +264,7 @@ cte("merged", f"""
     SELECT 1 AS source, * FROM ({mes_select('(SELECT * FROM recorded WHERE event_id % 2 = 0)')})
     UNION ALL SELECT 2, * FROM ({fallback_select('(SELECT * FROM recorded WHERE event_id % 3 = 0)')})
     UNION ALL SELECT 3, * FROM ({fallback_select('(SELECT * FROM recorded WHERE event_id % 5 = 0)')})
-    UNION ALL SELECT 4, * FROM ({fallback_select('(SELECT * FROM recorded WHERE event_id % 7 = 0)')})""")
+    UNION ALL SELECT 4, * FROM ({fallback_select('recorded')})""")
 cte("timeline", """
     SELECT * EXCLUDE (source) FROM merged
     QUALIFY row_number() OVER (PARTITION BY LOT, TRANS_TIMESTAMP, OPERATION, TRANSACTION ORDER BY source) = 1""")
@@ -306,15 +309,36 @@ cte("paged", """
 cte("options", " UNION ".join(
     f"SELECT '{v}' AS facet, CAST({k} AS VARCHAR) AS value FROM po WHERE {k} IS NOT NULL" for k, v in BOARD
 ))
+# The payloads' orders; other shapes stand in some places, and some delays are text.
+OTHER_SHAPES = "ordinal % 50 IN (7, 8, 9, 10, 11)"
+cte("landed", f"""
+    SELECT * REPLACE (CASE WHEN ordinal % 17 = 3 THEN 'n/a' ELSE CAST(deltaCurrentToPlan AS VARCHAR) END
+                      AS deltaCurrentToPlan) RENAME (ordinal AS payload_id), 0 AS pos
+    FROM po WHERE NOT ({OTHER_SHAPES})
+    UNION ALL BY NAME SELECT ordinal AS payload_id, 1 AS pos, febesOrderId || 'B' AS febesOrderId, owner, lotNumber
+    FROM po WHERE NOT ({OTHER_SHAPES})""")
+cte("landed_board", "SELECT payload_id * 2 + pos AS ordinal, " + ", ".join(f'{k} AS "{v}"' for k, v in BOARD) + " FROM landed")
 DELTA = '"Delta Current To Plan"'
-DELTA_TEXT = f"""CASE WHEN {DELTA} IS NULL THEN '—' WHEN {DELTA} = 0 THEN '0.0000'
-    ELSE printf('%.4f', {DELTA}) END"""
-DELTA_SIGN = f"""CASE WHEN {DELTA} IS NULL THEN '' WHEN {DELTA} < 0 THEN 'negative' WHEN {DELTA} > 0 THEN 'positive'
-    ELSE 'zero' END"""
-CELLS = ", ".join(
-    f'{DELTA_TEXT} AS "{v}"' if k == "deltaCurrentToPlan" else f"""coalesce(nullif("{v}", ''), '—') AS "{v}" """
-    for k, v in BOARD
-)
+NUMBER = f"TRY_CAST({DELTA} AS DOUBLE)"
+DELTA_TEXT = f"""CASE WHEN {DELTA} IS NULL THEN '—' WHEN {NUMBER} = 0 THEN '0.0000'
+    WHEN {NUMBER} IS NOT NULL THEN printf('%.4f', {NUMBER}) ELSE CAST({DELTA} AS VARCHAR) END"""
+DELTA_SIGN = f"""CASE WHEN {DELTA} IS NULL THEN '' WHEN {NUMBER} < 0 THEN 'negative' WHEN {NUMBER} > 0 THEN 'positive'
+    WHEN {NUMBER} = 0 THEN 'zero' ELSE 'text' END"""
+
+
+def cells(empty: str) -> str:
+    return ", ".join(
+        f'{DELTA_TEXT} AS "{v}"'
+        if k == "deltaCurrentToPlan"
+        else f"""CASE WHEN "{v}" IS NULL OR {empty.format(f'"{v}"')} THEN '—' ELSE "{v}" END AS "{v}" """
+        for k, v in BOARD
+    )
+
+
+CLASSES = f"""CASE WHEN "Order Status" IN ('In Production', 'Confirmed', 'Warning', 'Done', 'Terminated')
+       THEN replace(lower("Order Status"), ' ', '-') ELSE 'x' END AS status_class,
+  CASE WHEN "Priority" IN ('Hot', 'Rocket', 'Normal') THEN lower("Priority") ELSE 'x' END AS priority_class,
+  {DELTA_SIGN} AS delta_sign, coalesce("Order Status" = 'Confirmed', false) AS highlight"""
 
 # ---- annotations -------------------------------------------------------------------------
 
@@ -340,9 +364,9 @@ cte("logs", f"""
     SELECT text || chr(10) || {pick('doc_id % 9', MARKS)} AS log, doc_id % 5 = 0 AS broke, doc_id % 4 <> 0 AS wrote
     FROM documents""")
 CUSTOMER_TEXT = (
-    "concat_ws(chr(31), "
+    "concat("
     + ", ".join(
-        f"coalesce(CAST({c} AS VARCHAR), chr(0))"
+        f"coalesce(CAST(length(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
         for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
     )
     + ")"
@@ -397,6 +421,7 @@ FINAL: dict[str, str] = {
     "lot_monitor_for_lots": f"""
         SELECT {MONITOR} FROM monitor WHERE LOT IN
           (SELECT {lot('c_custkey * 2')} FROM customer UNION SELECT {lot('c_custkey * 3')} FROM customer)""",
+    "lot_monitor_one_lot": f"SELECT {MONITOR} FROM monitor WHERE LOT = 'VA000007'",
     "ff_to_target": "SELECT LOT, OPERATION, TRANS_TIME, TARGET_CT, FF_TO_TARGET FROM visit",
     "rpt_by_operation": """
         SELECT DISTINCT LOT, FACILITY, ROUTE, OPERATION, SPS_NUMBER, RPT FROM visit WHERE RPT IS NOT NULL""",
@@ -415,25 +440,24 @@ FINAL: dict[str, str] = {
     "history_text_fallback": fallback_select("fallback_coded"),
     "history_unified": f"""
         SELECT {TIMELINE} FROM timeline ORDER BY LOT, TRANS_TIMESTAMP DESC NULLS LAST, OPERATION, TRANSACTION""",
+    "history_text_times": """
+        SELECT DISTINCT lot AS LOT, CASE WHEN event_id % 11 <> 0 THEN ts END AS TRANS_TIMESTAMP, operation AS OPERATION,
+          transcode AS TRANSACTION FROM recorded""",
     "delayed_history": f"""
         SELECT * FROM timeline t WHERE (LOT, OPERATION) IN (SELECT (LOT, OPERATION) FROM summary)
           OR ((LOT, OPERATION) IN (SELECT ({lot('doc_id % 150')}, {op('doc_id % 12 + 1')}) FROM labels)
               AND LOT NOT IN (SELECT LOT FROM summary))""",
     "history_one_operation": "SELECT * FROM timeline WHERE OPERATION = '991'",
-    "orders_from_payload": """
-        SELECT * REPLACE (febesOrderId AS febesOrderId) RENAME (ordinal AS payload_id), 0 AS pos FROM po
-        WHERE ordinal % 50 NOT IN (7, 8)
-        UNION ALL BY NAME SELECT ordinal AS payload_id, 1 AS pos, febesOrderId || 'B' AS febesOrderId, owner, lotNumber
-        FROM po WHERE ordinal % 50 NOT IN (7, 8)""",
-    "payload_errors": """
-        SELECT ordinal AS payload_id, CASE WHEN ordinal % 50 = 7 THEN 'message,code' END AS keys_found
-        FROM po WHERE ordinal % 50 IN (7, 8)""",
-    "order_board": f"""
-        SELECT ordinal, {CELLS},
-          CASE WHEN "Order Status" IN ('In Production', 'Confirmed', 'Warning', 'Done', 'Terminated')
-               THEN replace(lower("Order Status"), ' ', '-') ELSE 'x' END AS status_class,
-          CASE WHEN "Priority" IN ('Hot', 'Rocket', 'Normal') THEN lower("Priority") ELSE 'x' END AS priority_class,
-          {DELTA_SIGN} AS delta_sign, coalesce("Order Status" = 'Confirmed', false) AS highlight FROM board""",
+    "orders_from_payload": "SELECT * FROM landed",
+    "payload_errors": f"""
+        SELECT ordinal AS payload_id, CASE ordinal % 50 WHEN 7 THEN 'message,code' WHEN 9 THEN 'priorityOrders'
+          WHEN 10 THEN 'priorityOrders,owner' END AS keys_found
+        FROM po WHERE {OTHER_SHAPES}""",
+    "order_board": f"""SELECT ordinal, {cells("{0} = ''")}, {CLASSES} FROM landed_board""",
+    "order_board_zero_as_none": f"""
+        SELECT ordinal, {cells("{0} = '' OR coalesce(TRY_CAST({0} AS DOUBLE) = 0, false)")}, {CLASSES} FROM board""",
+    "orders_search_literal": """SELECT * FROM board WHERE contains(upper("Lot Number"), 'VA0001')""",
+    "orders_by_parameter": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'",
     "order_owners": """SELECT DISTINCT "Owner" FROM board WHERE "Owner" IS NOT NULL ORDER BY 1""",
     "orders_by_owner": "SELECT * FROM devt",
     "orders_search": """SELECT * FROM board WHERE regexp_matches(upper("Lot Number"), 'VA0+1[02]')""",
@@ -453,13 +477,19 @@ FINAL: dict[str, str] = {
         SELECT count(*) AS total, CAST(greatest(1, ceil(count(*) / 200e0)) AS INT) AS pages, 2 AS page,
           201 AS showing_from, least(400, count(*)) AS showing_to FROM devt""",
     "delta_format": f"""
-        SELECT ordinal, CASE WHEN {DELTA} IS NULL THEN '—' WHEN {DELTA} = floor({DELTA})
-            THEN CAST(CAST({DELTA} AS BIGINT) AS VARCHAR) ELSE printf('%.1f', {DELTA}) END AS short_text,
-          {DELTA_TEXT} AS delta_text, {DELTA_SIGN} AS delta_sign FROM board""",
+        SELECT ordinal, CASE WHEN {DELTA} IS NULL THEN '—' WHEN {NUMBER} = floor({NUMBER})
+            THEN CAST(CAST({NUMBER} AS BIGINT) AS VARCHAR) WHEN {NUMBER} IS NOT NULL THEN printf('%.1f', {NUMBER})
+            ELSE {DELTA} END AS short_text,
+          {DELTA_TEXT} AS delta_text, {DELTA_SIGN} AS delta_sign FROM landed_board""",
     "annotations_clean": f"""
         SELECT {lot('doc_id % 150')} AS "LOT NUMBER", CAST(doc_id % 12 + 1 AS VARCHAR) AS "OPERATION",
           text AS "DESCRIPTION", CASE WHEN doc_id % 4 = 2 THEN 'Batching' ELSE '' END AS "ISSUE", '' AS "REMARKS"
         FROM documents""",
+    "annotations_read": f"""
+        SELECT {lot('doc_id % 150')} AS "LOT NUMBER", CAST(doc_id % 12 + 1 AS VARCHAR) AS "OPERATION",
+          text AS "DESCRIPTION", CASE WHEN doc_id % 4 = 2 THEN 'Batching' ELSE '' END AS "ISSUE", '' AS "REMARKS"
+        FROM documents""",
+    "annotations_emptied": f"SELECT {NAMES} FROM entered",
     "annotation_categories": 'SELECT "CATEGORY", count(*) AS "RECORDS" FROM grouped GROUP BY 1 ORDER BY 1',
     "annotations_by_category": f"""
         SELECT "CATEGORY", {NAMES}, count(*) OVER (PARTITION BY "CATEGORY") AS "RECORDS" FROM grouped""",
@@ -475,11 +505,16 @@ FINAL: dict[str, str] = {
         SELECT c_custkey AS request_id, {lot('c_custkey * 2')} AS lot FROM customer
         UNION ALL SELECT c_custkey, {lot('c_custkey * 3')} FROM customer""",
     "workbook_merge": """
-        SELECT 'a sheet name that is longer tha' AS sheet, CAST(c_custkey AS VARCHAR) AS key, c_name AS name,
-          c_mktsegment, NULL::VARCHAR AS s_nationkey FROM customer
-        UNION ALL SELECT 'a sheet name that is longer tha', CAST(s_suppkey AS VARCHAR), s_name, NULL,
-          CAST(s_nationkey AS VARCHAR) FROM supplier
-        UNION ALL SELECT 'Sheet1', CAST(n_nationkey AS VARCHAR), n_name, NULL, NULL FROM nation""",
+        SELECT 'VA000001' AS lot, 'a sheet name that is longer than a workbook allows' AS sheet,
+          CAST(c_custkey AS VARCHAR) AS key, c_name AS name, c_mktsegment, NULL::VARCHAR AS s_nationkey FROM customer
+        UNION ALL SELECT 'VA000002', 'a sheet name that is longer than a workbook allows',
+          'S' || CAST(s_suppkey AS VARCHAR), s_name, NULL, CAST(s_nationkey AS VARCHAR) FROM supplier
+        UNION ALL SELECT 'VA000002', 'Sheet1', CAST(n_nationkey AS VARCHAR), n_name, NULL, NULL FROM nation""",
+    "workbook_read": "SELECT 'VA000002' AS lot, CAST(n_nationkey AS VARCHAR) AS key, n_name AS name FROM nation",
+    "workbook_unreadable": "SELECT '{damaged ' || n_name AS record FROM nation",
+    "table_profile_distinct": " UNION ALL ".join(
+        f"SELECT {i} AS ordinal, '{c}' AS column_name, true AS near_exact" for i, (c, _) in enumerate(ORDER_TYPES, 1)
+    ),
     "table_profile": " UNION ALL ".join(
         f"""SELECT {i} AS ordinal, '{c}' AS column_name, '{t}' AS data_type, count(*) AS row_count,
           count(*) - count({c}) AS null_count, CAST(min({c}) AS VARCHAR) AS min_value,

@@ -20,11 +20,11 @@ from fabtrace.operators import (
     route,
     workbook,
 )
-from fabtrace.operators.ordered import find_hot
 from fabtrace.plans import detail, monitor
 from fabtrace.session import tune
 from fabtrace.sources import annotations as annotation_records
-from fabtrace.sources import files, payload
+from fabtrace.sources import files, payload, tables
+from fabtrace.sources import workbook as sheets
 from fabtrace.sources.scratch import new_path
 from fabtrace.sources.tables import read_table
 
@@ -40,26 +40,13 @@ def query(f: Query) -> Query:
     return f
 
 
-def _hot(tables: monitor.LotTables):
-    return find_hot(tables.transactions, "lot", "time_stamp")
-
-
-def _boundaries(t: monitor.LotTables, split) -> DataFrame:
-    return route.boundary_moves(t.transactions, t.route_operations, split)
-
-
-def _timed(t: monitor.LotTables, split) -> DataFrame:
-    return moves.timed_moves(t.transactions, split)
+def _boundaries(t: monitor.LotTables) -> DataFrame:
+    return route.boundary_moves(t.transactions, t.route_operations)
 
 
 def _held(t: monitor.LotTables) -> DataFrame:
-    split = _hot(t)
-    releases = holds.hold_history(t.transactions, t.parameters, split)
-    return holds.with_hold_time(_timed(t, split), releases, split)
-
-
-def _shown(df: DataFrame) -> DataFrame:
-    return df.drop("_slice")
+    releases = holds.hold_history(t.transactions, t.parameters)
+    return holds.with_hold_time(moves.timed_moves(t.transactions), releases)
 
 
 # ---- lot monitor -----------------------------------------------------------------------
@@ -68,32 +55,32 @@ def _shown(df: DataFrame) -> DataFrame:
 @query
 def actual_cycle_time(spark, sf_dir):
     t = derive.lot_tables(spark, sf_dir)
-    return moves.actual_cycle_time(_timed(t, _hot(t)))
+    return moves.actual_cycle_time(moves.timed_moves(t.transactions))
 
 
 @query
 def boundary_moves(spark, sf_dir):
     t = derive.lot_tables(spark, sf_dir)
-    return _shown(_boundaries(t, _hot(t)))
+    return _boundaries(t)
 
 
 @query
 def route_segments(spark, sf_dir):
     t = derive.lot_tables(spark, sf_dir)
-    return _shown(route.route_segments(_boundaries(t, _hot(t)), derive.AS_OF))
+    return route.route_segments(_boundaries(t), derive.AS_OF)
 
 
 @query
 def route_master(spark, sf_dir):
     t = derive.lot_tables(spark, sf_dir)
-    segments = route.route_segments(_boundaries(t, _hot(t)), derive.AS_OF)
-    return _shown(route.route_master(segments, t.route_operations, t.operations))
+    segments = route.route_segments(_boundaries(t), derive.AS_OF)
+    return route.route_master(segments, t.route_operations, t.operations)
 
 
 @query
 def hold_history(spark, sf_dir):
     t = derive.lot_tables(spark, sf_dir)
-    return holds.hold_history(t.transactions, t.parameters, _hot(t)).drop("hold_micros")
+    return holds.hold_history(t.transactions, t.parameters).drop("hold_micros")
 
 
 @query
@@ -108,9 +95,7 @@ def hold_time_in_operation(spark, sf_dir):
 def valid_moves(spark, sf_dir):
     t = derive.lot_tables(spark, sf_dir)
     timed = moves.with_equipment(_held(t), t.equipment)
-    return _shown(
-        timed.withColumns({c: F.round(c, 6) for c in ("cycle_time", "wt", "actual_holdtime", "due_wait_time")})
-    )
+    return timed.withColumns({c: F.round(c, 6) for c in ("cycle_time", "wt", "actual_holdtime", "due_wait_time")})
 
 
 def _monitor(spark, sf_dir) -> DataFrame:
@@ -139,6 +124,11 @@ def lot_monitor_for_lots(spark, sf_dir):
     return monitor.lot_monitor(tables, derive.AS_OF)
 
 
+@query
+def lot_monitor_one_lot(spark, sf_dir):
+    return monitor.lot_monitor(derive.lot_tables(spark, sf_dir).of_lot("VA000007"), derive.AS_OF)
+
+
 @query
 def ff_to_target(spark, sf_dir):
     visited = monitor.visits(derive.lot_tables(spark, sf_dir), derive.AS_OF, hold_time=False)
@@ -202,6 +192,15 @@ def history_unified(spark, sf_dir):
     return history.in_time_order(merged)
 
 
+@query
+def history_text_times(spark, sf_dir):
+    recorded = derive.recorded_events(spark, sf_dir)
+    written = F.when(F.col("event_id") % 11 == 0, "not a time").otherwise(F.col("time_stamp").cast("string"))
+    source = derive.history_fallback(recorded.withColumn("time_stamp", written))
+    merged = history.union_history({"only": source, "gone": None})
+    return merged.select("LOT", "TRANS_TIMESTAMP", "OPERATION", "TRANSACTION")
+
+
 @query
 def delayed_history(spark, sf_dir):
     summary = monitor.delay_summary(_monitor(spark, sf_dir))
@@ -235,9 +234,21 @@ def _board(spark, sf_dir) -> DataFrame:
     return orders.board(derive.priority_orders(spark, sf_dir), keep=["ordinal"])
 
 
+def _ingested_board(spark, sf_dir) -> DataFrame:
+    """The board of what the payloads hold, in arrival order."""
+    landed = payload.orders_from_payload(derive.order_payloads(spark, sf_dir))
+    place = F.col("payload_id") * 2 + F.col("pos")
+    return orders.board(landed.withColumn("ordinal", place), keep=["ordinal"])
+
+
 @query
 def order_board(spark, sf_dir):
-    return orders.cells(_board(spark, sf_dir), keep=["ordinal"])
+    return orders.cells(_ingested_board(spark, sf_dir), keep=["ordinal"])
+
+
+@query
+def order_board_zero_as_none(spark, sf_dir):
+    return orders.cells(_board(spark, sf_dir), keep=["ordinal"], python_falsy=True)
 
 
 @query
@@ -255,11 +266,23 @@ def orders_search(spark, sf_dir):
     return orders.search_lots(_board(spark, sf_dir), " va0+1[02] ")
 
 
+@query
+def orders_search_literal(spark, sf_dir):
+    return orders.search_lots(_board(spark, sf_dir), " va0001", literal=True)
+
+
+@query
+def orders_by_parameter(spark, sf_dir):
+    read_table(spark, sf_dir, "orders").createOrReplaceTempView("landed_orders")
+    text = "SELECT o_orderkey, o_totalprice FROM landed_orders WHERE o_orderstatus = :status"
+    return tables.query(spark, text, status="F")
+
+
 FACET_CHOICE = {
     "Order Status": ["Confirmed", "Warning"],
     "Priority": None,
     "Wafer Size": ["200", "300"],
-    "Owner": ["DEVT", "PROD"],
+    "Owner": ["DEVT", "unknown", "PROD"],
 }
 
 
@@ -295,7 +318,7 @@ def order_pages(spark, sf_dir):
 
 @query
 def order_page(spark, sf_dir):
-    return paging.page_of(paging.with_page(orders.of_owners(_board(spark, sf_dir)), ["ordinal"]), 2)
+    return paging.page_of(orders.of_owners(_board(spark, sf_dir)), ["ordinal"], 2)
 
 
 @query
@@ -305,7 +328,7 @@ def order_page_info(spark, sf_dir):
 
 @query
 def delta_format(spark, sf_dir):
-    board = _board(spark, sf_dir)
+    board = _ingested_board(spark, sf_dir)
     delta = orders.named("Delta Current To Plan")
     return board.select(
         "ordinal",
@@ -323,6 +346,24 @@ def annotations_clean(spark, sf_dir):
     return annotation_records.clean(derive.unrepaired_descriptions(spark, sf_dir))
 
 
+@query
+def annotations_read(spark, sf_dir):
+    path = new_path(spark, "records")
+    derive.write_records(spark, sf_dir, path)
+    return annotation_records.read_records(spark, path)
+
+
+@query
+def annotations_emptied(spark, sf_dir):
+    """All saved annotations removed, then new ones added."""
+    path = new_path(spark, "annotations")
+    annotation_records.save(derive.descriptions(spark, sf_dir), path)
+    annotation_records.save(annotation_records.read_saved(spark, path).where(F.lit(False)), path)
+    entered = derive.entered_descriptions(spark, sf_dir)
+    annotation_records.save(annotations.append(annotation_records.read_saved(spark, path), entered), path)
+    return annotation_records.read_saved(spark, path)
+
+
 @query
 def annotation_categories(spark, sf_dir):
     return annotations.categories(derive.descriptions(spark, sf_dir))
@@ -366,7 +407,23 @@ def lots_from_text(spark, sf_dir):
 
 @query
 def workbook_merge(spark, sf_dir):
-    return workbook.stacked(workbook.merge_workbook(derive.sheets(spark, sf_dir)))
+    return _book(spark, sf_dir, sheets.read_sheets)
+
+
+@query
+def workbook_read(spark, sf_dir):
+    return workbook.of_sheet(_book(spark, sf_dir, sheets.read_sheets), "").select("lot", "key", "name")
+
+
+@query
+def workbook_unreadable(spark, sf_dir):
+    return _book(spark, sf_dir, sheets.unreadable).select("record")
+
+
+def _book(spark, sf_dir, read) -> DataFrame:
+    root = new_path(spark, "workbook")
+    derive.write_sheets(spark, sf_dir, root)
+    return read(spark, root)
 
 
 @query
@@ -376,7 +433,11 @@ def table_profile(spark, sf_dir):
 
 @query
 def table_profile_distinct(spark, sf_dir):
-    return quality.table_profile(read_table(spark, sf_dir, "orders"))
+    """Whether the approximate counts are within 15 % of the exact ones."""
+    table = read_table(spark, sf_dir, "orders")
+    exact = table.agg(F.array(*[F.count_distinct(c) for c in table.columns])).scalar()
+    near = F.abs(F.col("approx_distinct") - exact[F.col("ordinal") - 1]) <= exact[F.col("ordinal") - 1] * 0.15 + 1
+    return quality.table_profile(table).select("ordinal", "column_name", near.alias("near_exact"))
 
 
 @query

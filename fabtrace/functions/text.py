@@ -45,7 +45,6 @@ RESERVED_FROM = "   FROM OPERAT. "
 RESERVATION_CANCELED = "Reservation canceled."
 ALF_STOP = "ALF Stop logged by "
 NOBODY = "SYSTEM"
-HOLD_COMMENT_LENGTH = 500
 COMMENT_SEPARATOR = "\x14"
 
 
@@ -101,13 +100,16 @@ def mes_text(
     hold_code: Column,
     hold_comment: Column,
     oracle_empty_is_null: bool = False,
+    hold_comment_length: int | None = None,
 ) -> Column:
-    """Text of a transaction of the execution-system history."""
+    """Text of a transaction of the execution-system history.
+
+    The hold comment is shown whole, or as many characters of it as ``hold_comment_length``.
+    """
     who = F.coalesce(operator_id, F.lit(NOBODY))
     plus_comment = appended(comment, oracle_empty_is_null)
-    plus_hold = appended(
-        hold_comment, oracle_empty_is_null, F.substring(hold_comment, 1, HOLD_COMMENT_LENGTH)
-    )
+    shown = hold_comment if hold_comment_length is None else F.substring(hold_comment, 1, hold_comment_length)
+    plus_hold = appended(hold_comment, oracle_empty_is_null, shown)
     special_run = {
         code: joined(
             operator_id,

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fabtrace.functions.text import clean_comment, fallback_text, mes_text
 from fabtrace.functions.time import parse_timestamp
+from fabtrace.sources.schemas import HISTORY_FALLBACK
 
 COLUMNS = [
     "TRANS_TIMESTAMP", "OPERATION", "TRANSACTION", "UPS", "EQUIPMENT", "OPERATOR_ID",
@@ -108,8 +109,8 @@ def union_history(
     """One row per (lot, time, operation, transaction), from the first source that has it.
 
     ``sources`` is in priority order; the one called ``mes`` has the execution-system layout
-    and a source that is not available is None.  ``wanted`` (LOT, OPERATION) limits the
-    rows.  Texts are built last, for the rows that remain.
+    and a source that is not available is None; without any the result is empty.  ``wanted``
+    (LOT, OPERATION) limits the rows.  Texts are built last, for the rows that remain.
     """
     parts = [
         (mes_records if name == MES else fallback_records)(df).withColumn("_rank", F.lit(rank))
@@ -117,7 +118,8 @@ def union_history(
         if df is not None
     ]
     if not parts:
-        raise ValueError("no history source is available")
+        empty = SparkSession.active().createDataFrame([], HISTORY_FALLBACK)
+        parts = [fallback_records(empty).withColumn("_rank", F.lit(0))]
     merged = reduce(DataFrame.unionByName, parts)
     if wanted is not None:
         merged = merged.join(wanted, ["LOT", "OPERATION"], "left_semi")

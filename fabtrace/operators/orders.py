@@ -61,18 +61,21 @@ def search_lots(orders: DataFrame, text: str, literal: bool = False) -> DataFram
 def of_facets(orders: DataFrame, selected: Mapping[str, Sequence[str] | None]) -> DataFrame:
     """Orders passing every column's selection of values.
 
-    None is no filter, and so is a selection of as many values as the column has; an empty
-    selection of a column that has values keeps nothing.
+    None is no filter, and so is a selection of every value the column has; an empty selection
+    of a column that has values keeps nothing. One pass finds the columns with a value that
+    isn't selected.
     """
-    kept = orders
-    for column, values in selected.items():
-        if values is None:
-            continue
-        options = orders.agg(F.count_distinct(named(column))).scalar()
-        everything = F.lit(len(values)) >= options
-        chosen = F.coalesce(named(column).cast("string").isin(list(values)), F.lit(False))
-        kept = kept.where(everything | chosen)
-    return kept
+    chosen = {
+        c: F.coalesce(named(c).cast("string").isin(list(v)), F.lit(False)) for c, v in selected.items() if v is not None
+    }
+    if not chosen:
+        return orders
+    outside = [F.max(named(c).isNotNull() & ~test) for c, test in chosen.items()]
+    limited = orders.agg(F.array(*[F.coalesce(x, F.lit(False)) for x in outside]).alias("limited")).scalar()
+    kept = F.lit(True)
+    for i, test in enumerate(chosen.values()):
+        kept = kept & (test | ~limited[i])
+    return orders.where(kept)
 
 
 def facets(orders: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

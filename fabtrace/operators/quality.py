@@ -67,9 +67,10 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
 
 
 def _row_text(df: DataFrame) -> Column:
-    # A null differs from an empty text, and the separator keeps neighbours apart.
-    parts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in df.columns]
-    return F.concat_ws("\x1f", *parts)
+    # Each value after its length, so that different rows have different texts; a dash is null.
+    texts = [F.col(f"`{c}`").cast("string") for c in df.columns]
+    parts = [F.coalesce(F.concat(F.char_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
+    return F.concat(*parts)
 
 
 def triage(log_text: Column, exit_code: Column, has_output: Column) -> Column:

@@ -49,6 +49,9 @@ def test_facet_rules(board):
     assert ids(orders.of_facets(board, {"Owner": None})) == ["1", "2", "3", "4"]
     assert ids(orders.of_facets(board, {"Owner": ["DEVT", "PROD"]})) == ["1", "2", "3", "4"]
     assert ids(orders.of_facets(board, {"Owner": []})) == []
+    assert ids(orders.of_facets(board, {"Owner": ["DEVT", "zzz"]})) == ["1", "4"]
+    assert ids(orders.of_facets(board, {"Owner": ["DEVT", "zzz", "PROD"]})) == ["1", "2", "3", "4"]
+    assert ids(orders.of_facets(board, {})) == ["1", "2", "3", "4"]
     assert ids(orders.of_facets(board, {"Owner": ["DEVT"], "Order Status": ["Confirmed"]})) == ["1"]
     # Every option is counted on the board given, not on what earlier facets left of it.
     assert ids(orders.of_facets(board, {"Owner": ["DEVT"], "Order Status": ["Done"]})) == []
@@ -81,13 +84,17 @@ def test_payloads(spark):
         (2, '{"priorityOrders":[]}'),
         (3, '{"message":"x","code":1}'),
         (4, "not json"),
+        (5, '{"priorityOrders":[{"deltaCurrentToPlan":"1.5"},{"deltaCurrentToPlan":"n/a"}]}'),
+        (6, '{"priorityOrders":{"owner":"A"}}'),
+        (7, '{"priorityOrders":null}'),
+        (8, '{"priorityOrders":[{"owner":"A"}'),
     ]
     df = spark.createDataFrame(rows, "payload_id int, value string")
     got = orders_from_payload(df)
     assert len(got.columns) == 2 + 21
-    assert rows_of(got, "payload_id", "pos", "owner", "deltaCurrentToPlan") == {(1, 0, "A", -1.5): 1, (1, 1, "B", None): 1}
+    assert rows_of(got, "payload_id", "pos", "owner", "deltaCurrentToPlan") == {(1, 0, "A", "-1.5"): 1, (1, 1, "B", None): 1, (5, 0, None, "1.5"): 1, (5, 1, None, "n/a"): 1}
     bad = {r["payload_id"]: r["keys_found"] for r in payload_errors(df).collect()}
-    assert bad == {3: ["message", "code"], 4: None}
+    assert bad == {3: ["message", "code"], 4: None, 6: ["priorityOrders"], 7: ["priorityOrders"], 8: None}
 
 
 def test_known_counts(spark, small):

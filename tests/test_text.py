@@ -28,8 +28,8 @@ MES = {
     "1RCL": "Lot moved to entity logged by\n note ",
     "ALFG": "Transaction logged logged by\n note ",
     "2SHL": "note",
-    "2HLD": "Lot set on HOLD by OP1 | Code: H1\n" + "x" * 500,
-    "2HRL": "Hold released by OP1\n" + "x" * 500,
+    "2HLD": "Lot set on HOLD by OP1 | Code: H1\n" + "x" * 600,
+    "2HRL": "Hold released by OP1\n" + "x" * 600,
     "EI": "EI comment logged by\n note ",
     "EDC": "Transaction logged logged by\n note ",
     "JC": "Transaction logged logged by\n note ",
