@@ -10,8 +10,11 @@ vocabulary's byte strings.
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +28,8 @@ from pyspark.sql.types import BinaryType, StringType
 from fabtrace.llm.common import in_batches, values
 
 # Results kept by a task for words it meets again. Only speed depends on them.
-WORDS_KEPT = 250_000
-PIECES_KEPT = 150_000
+WORDS_KEPT = 450_000
+PIECES_KEPT = 300_000
 LONGEST_KEPT = 48
 
 # The byte-level pattern and what it takes for white space.
@@ -104,41 +107,43 @@ class Bpe:
 
     def merge(self, ids: list[int]) -> list[int]:
         """Apply the merges to the symbols of one piece, lowest rank first, then leftmost."""
-        n, rank_of = len(ids), self.ranks.get
+        n, rank_of, merged, pop, push = len(ids), self.ranks.get, self.merged, heapq.heappop, heapq.heappush
         queue = []
-        for i in range(n - 1):
-            rank = rank_of(ids[i] << 32 | ids[i + 1])
+        for i, (a, b) in enumerate(itertools.pairwise(ids)):
+            rank = rank_of(a << 32 | b)
             if rank is not None:
                 queue.append(rank << 32 | i)
         if not queue:
             return ids
         heapq.heapify(queue)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        before, after = [*range(-1, n - 1)], [*range(1, n), -1]
         while queue:
-            top = heapq.heappop(queue)
+            top = pop(queue)
             rank, i = top >> 32, top & 0xFFFFFFFF
             j = after[i]
             # Stale: a symbol was merged away, or has become another one.
             if ids[i] < 0 or j < 0 or rank_of(ids[i] << 32 | ids[j]) != rank:
                 continue
-            ids[i] = new = self.merged[rank]
+            ids[i] = new = merged[rank]
             ids[j] = -1
             j = after[i] = after[j]
             if j >= 0:
                 before[j] = i
                 rank = rank_of(new << 32 | ids[j])
                 if rank is not None:
-                    heapq.heappush(queue, rank << 32 | i)
+                    push(queue, rank << 32 | i)
             j = before[i]
             if j >= 0:
                 rank = rank_of(ids[j] << 32 | new)
                 if rank is not None:
-                    heapq.heappush(queue, rank << 32 | j)
+                    push(queue, rank << 32 | j)
         return [i for i in ids if i >= 0]
 
     def _piece(self, piece: str) -> bytes:
-        byte_ids = self.byte_ids
-        return np.array(self.merge([byte_ids[b] for b in piece.encode()]), "<u4").tobytes()
+        ids = array("I", self.merge([*map(self.byte_ids.__getitem__, piece.encode())]))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def _word(self, word: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, _PIECES.findall(word)))
