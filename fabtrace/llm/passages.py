@@ -7,6 +7,8 @@ stays, and the others are removed. What stays keeps its offsets in the original
 
 A unit of fewer than LEAST_WORDS words says too little on its own. Its digest also covers the
 units before it back to the last longer one, so it goes only where it follows the same text.
+Units that occur elsewhere first go where they make up a passage: consecutive ones of
+LEAST_PASSAGE words or more in all. A common line by itself is no passage.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from fabtrace.llm.common import Batches, stored, values
 from fabtrace.llm.decontaminate import words
 
 LEAST_WORDS = 6
+LEAST_PASSAGE = 30
 CUTS = {
     "line": re.compile(r"\n+"),
     "paragraph": re.compile(r"\n[ \t\r]*\n\s*"),
@@ -42,6 +45,9 @@ _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 LEFT = StructType(
     [
         StructField("n_units", LongType()),
+        StructField("n_removed", LongType()),
+        StructField("removed_words", LongType()),
+        StructField("kept_in", ArrayType(LongType())),
         StructField("kept_text", StringType()),
         StructField("kept", ArrayType(_SPAN)),
     ]
@@ -100,7 +106,25 @@ def _unit_rows(texts: DataFrame, cut: str) -> DataFrame:
     return texts.mapInArrow(rows, "id long, n long, unit int, digest binary, words int")
 
 
-def mark(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", cut: str = "sentence") -> DataFrame:
+def passages(repeated: list[dict], least: int = LEAST_PASSAGE) -> list[dict]:
+    """The units of runs of consecutive units that have ``least`` words or more in all."""
+    out, run = [], []
+    for unit in [*sorted(repeated, key=lambda u: u["unit"]), None]:
+        if run and (unit is None or unit["unit"] != run[-1]["unit"] + 1):
+            if sum(u["words"] for u in run) >= least:
+                out += run
+            run = []
+        run.append(unit)
+    return out
+
+
+def mark(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    cut: str = "sentence",
+    least_passage: int = LEAST_PASSAGE,
+) -> DataFrame:
     """One row per document: ``row`` (its own columns) and what is left of its text.
 
     n_units, n_removed, removed_words; kept_in, the ids of the documents that keep what was
@@ -124,39 +148,30 @@ def mark(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         .select("digest", "first")
     )
     # Read from a table, the firsts leave Spark free to split the units of a frequent digest.
-    removed = (
+    repeated = (
         found.join(firsts, "digest")
         .where((F.col("n") != F.col("first.n")) | (F.col("unit") != F.col("first.unit")))
         .groupBy("n")
-        .agg(
-            F.collect_list("unit").alias("units"),
-            F.sum("words").alias("removed_words"),
-            F.array_sort(F.collect_set("first.id")).alias("kept_in"),
-        )
-    )
-    strip = _strip(cut)
-    joined = base.join(removed, "n", "left").withColumn(
-        "left", strip(F.col("row").getField(text_column), F.coalesce("units", F.array().cast("array<int>")))
-    )
-    return joined.select(
-        "row",
-        F.col("left.n_units").alias("n_units"),
-        F.coalesce(F.size("units"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("removed_words", F.lit(0)).cast("long").alias("removed_words"),
-        F.coalesce("kept_in", F.array().cast("array<long>")).alias("kept_in"),
-        F.col("left.kept_text").alias("kept_text"),
-        F.col("left.kept").alias("kept"),
+        .agg(F.collect_list(F.struct("unit", "words", F.col("first.id").alias("first"))).alias("repeated"))
     )
+    strip = _strip(cut, least_passage)
+    none = F.array().cast("array<struct<unit:int,words:int,first:bigint>>")
+    left = strip(F.col("row").getField(text_column), F.coalesce("repeated", none))
+    return base.join(repeated, "n", "left").withColumn("left", left).select("row", "left.*")
 
 
-def _strip(cut: str):
-    """From a text and the numbers of the units to remove: n_units, kept_text and kept."""
+def _strip(cut: str, least: int):
+    """From a text and its units that occur elsewhere first: what stays of it."""
 
     @F.arrow_udf(LEFT)
-    def strip(texts: pa.Array, removed: pa.Array) -> pa.Array:
-        counts, kept_texts, kept = [], [], []
-        for text, gone in zip(texts.to_pylist(), removed.to_pylist(), strict=True):
-            found, gone = units(text or "", cut), set(gone)
+    def strip(texts: pa.Array, repeated: pa.Array) -> pa.Array:
+        counts, removed, sizes, sources, kept_texts, kept = [], [], [], [], [], []
+        for text, again in zip(values(texts), values(repeated), strict=True):
+            again = passages(again, least)
+            removed.append(len(again))
+            sizes.append(sum(u["words"] for u in again))
+            sources.append(sorted({u["first"] for u in again if u["first"] is not None}))
+            found, gone = units(text or "", cut), {u["unit"] for u in again}
             stay = [(i, *u) for i, u in enumerate(found) if i not in gone]
             counts.append(len(found))
             kept.append([{"start": a, "end": b} for _, a, b in stay])
@@ -164,7 +179,12 @@ def _strip(cut: str):
             parts = [text[found[i - 1][1] if k and i else a : b] for k, (i, a, b) in enumerate(stay)]
             kept_texts.append("".join(parts) if gone else text)
         return pa.StructArray.from_arrays(
-            [pa.array(counts, pa.int64()), pa.array(kept_texts, pa.string()), pa.array(kept, _SPANS)],
+            [
+                *(pa.array(x, pa.int64()) for x in (counts, removed, sizes)),
+                pa.array(sources, pa.list_(pa.int64())),
+                pa.array(kept_texts, pa.string()),
+                pa.array(kept, _SPANS),
+            ],
             LEFT.fieldNames(),
         )
 

@@ -4,30 +4,32 @@ from fabtrace.llm import passages
 from tests.llm.data import PASSAGE, ROWS, documents, empty
 
 
-def brute(rows, cut):
+def brute(rows, cut, least):
     """(doc_id, n_units, n_removed, removed_words, kept_in, kept) of each row, in rank order."""
     first, out = {}, []
     for n, (doc, text) in enumerate(rows):
-        gone, size, source = [], 0, set()
+        again = []
         for number, digest, n_words in passages.digests(text or "", cut):
             if first.setdefault(digest, (n, number, doc))[:2] != (n, number):
-                gone.append(number)
-                size += n_words
-                source.add(first[digest][2])
+                again.append((number, n_words, first[digest][2]))
+        whole = [sum(w for m, w, _ in again if all(k in {a[0] for a in again} for k in range(min(m, u), max(m, u))))
+                 for u, _, _ in again]
+        again = [a for a, words in zip(again, whole, strict=True) if words >= least]
+        gone, size, source = [a[0] for a in again], sum(a[1] for a in again), {a[2] for a in again}
         found = passages.units(text or "", cut)
         kept = [u for i, u in enumerate(found) if i not in gone]
         out.append((doc, len(found), len(gone), size, sorted(x for x in source if x is not None), kept))
     return out
 
 
-@pytest.mark.parametrize("cut", ["sentence", "line", "paragraph"])
-def test_awkward_rows(spark, cut):
+@pytest.mark.parametrize(("cut", "least"), [("sentence", 30), ("sentence", 1), ("line", 30), ("paragraph", 8)])
+def test_awkward_rows(spark, cut, least):
     ranked = [r for _, r in sorted(enumerate(ROWS), key=lambda r: (r[1][0] is None, r[1][0] or 0, r[0]))]
-    rows = passages.mark(documents(spark).coalesce(1), cut=cut).collect()
+    rows = passages.mark(documents(spark).coalesce(1), cut=cut, least_passage=least).collect()
     got = [
         (r.row.doc_id, r.n_units, r.n_removed, r.removed_words, list(r.kept_in), [tuple(k) for k in r.kept]) for r in rows
     ]
-    assert sorted(map(str, got)) == sorted(map(str, brute(ranked, cut)))
+    assert sorted(map(str, got)) == sorted(map(str, brute(ranked, cut, least)))
     for r in rows:
         text = r.row.text
         if not r.n_removed:
@@ -43,6 +45,14 @@ def test_a_passage_inside_a_line_is_found(spark):
     assert PASSAGE not in rows[10].kept_text and list(rows[10].kept_in) == [9]
 
 
+def test_only_runs_of_enough_words_are_passages():
+    unit = lambda n, w: {"unit": n, "words": w, "first": 1}
+    rows = [unit(7, 20), unit(1, 20), unit(2, 9), unit(4, 30), unit(6, 9), unit(8, 1)]
+    assert [u["unit"] for u in passages.passages(rows, 30)] == [4, 6, 7, 8]
+    assert [u["unit"] for u in passages.passages(rows, 29)] == [1, 2, 4, 6, 7, 8]
+    assert passages.passages([], 1) == []
+
+
 def test_short_units_go_only_after_the_same_text():
     long = "one two three four five six."
     keys = [d for _, d, _ in passages.digests(f"Yes. {long} Yes. Yes.\nOther words that make a long line. Yes.")]
