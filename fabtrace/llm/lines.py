@@ -7,6 +7,10 @@ word they share leaves enough words behind it in both (positional filter). A bit
 words rules out most of the pairs that pass, and the Jaccard similarity of the rest is taken
 from the sets themselves. Sets that are equal are one in the join.
 
+A line goes as soon as one earlier line is similar, so a set sends only its PARTNERS earliest
+candidates under each word, not a row for every pair of a large group. Sets for which none of
+these turns out to be similar, though there were more, are searched again with all of them.
+
 Words and sets go by hashes, words and sets in the join by 64 bits, equal lines by 128.
 """
 
@@ -16,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
@@ -24,16 +29,38 @@ from fabtrace.llm.common import BATCH_CHARS, Batches, drop, gather, in_batches,
 from fabtrace.llm.shingles import hashed_words, mixed
 
 LEAST = 0.8
+PARTNERS = 2
 COUNT_CELLS = 1 << 22
-# Bits of the table of sets that have a candidate; with more sets it only lets more through.
+# Bits of a table of hashes; with more hashes it only lets more rows through.
 MOST_BITS = 1 << 27
-# Sets a task remembers, to send equal ones once.
+# Sets a task remembers, to send equal ones once, and pairs it looks at together.
 SETS_KEPT = 400_000
+PAIRS_AT_ONCE = 1 << 21
+NO_ID = np.iinfo(np.int64).max
 _SLACK = 1e-9
+_LINES, _RARITY = 20, 20  # bits of a sort key
 
 LEFT = StructType([StructField("n_lines", LongType()), StructField("kept_text", StringType())])
 
 
+def _order(line: np.ndarray, hashes: np.ndarray, rarity: np.ndarray | None) -> np.ndarray:
+    """Places of the words by line, then rarity if given, then hash."""
+    rest = 64 - _LINES
+    key = line.astype(np.uint64) << np.uint64(rest)
+    count = None
+    if rarity is None:
+        key |= hashes >> np.uint64(_LINES)
+    else:
+        count = np.minimum(rarity[cells(hashes)], (1 << _RARITY) - 1).astype(np.uint64)
+        key |= count << np.uint64(rest - _RARITY) | hashes >> np.uint64(_LINES + _RARITY)
+    order = np.argsort(key)
+    k, h = key[order], hashes[order]
+    if len(line) and (line[-1] >> _LINES or ((k[1:] == k[:-1]) & (h[1:] != h[:-1])).any()):
+        # Too many lines for a short key, or words that it can't tell apart.
+        return np.lexsort((hashes, line) if count is None else (hashes, count, line))
+    return order
+
+
 class Sets:
     """The sets of words of all lines of some texts; lines without words have none.
 
@@ -46,10 +73,7 @@ class Sets:
         hashes, at = hashed_words(joined)
         feeds = np.flatnonzero(np.frombuffer(joined, np.uint8) == 10)
         line = np.searchsorted(feeds, at)
-        if rarity is None:
-            order = np.lexsort((hashes, line))
-        else:
-            order = np.lexsort((hashes, rarity[cells(hashes)], line))
+        order = _order(line, hashes, rarity)
         hashes, line = hashes[order], line[order]
         new = np.ones(len(line), bool)
         new[1:] = (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])
@@ -113,97 +137,170 @@ def line_rows(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(rows, "n long, line int, a long, b long")
 
 
-def _new(names: np.ndarray, seen: set) -> np.ndarray:
-    """Which names weren't seen, each at its first place; remembers them."""
-    if len(seen) > SETS_KEPT:
-        seen.clear()
-    out = np.zeros(len(names), bool)
-    for i, name in enumerate(names.tolist()):
-        if name not in seen:
-            seen.add(name)
-            out[i] = True
-    return out
-
+def _prefix(sizes: np.ndarray, least: float) -> np.ndarray:
+    """How many words of a set one of its first shared words can be among."""
+    return sizes - np.ceil(least * sizes - _SLACK).astype(np.int64) + 1
 
-def postings(texts: DataFrame, rarity, least: float) -> DataFrame:
-    """The first words of every set: word, name, size, place, bits.
 
-    Sets of fewer words than can differ and still be similar have none.
-    """
+def _bits_of(hashes: DataFrame) -> Broadcast:
+    """A bit for every hash in the only column."""
+    size = min(MOST_BITS, max(1 << 13, 1 << (16 * max(hashes.count(), 1) - 1).bit_length()))
 
-    def rows(batches: Batches) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for _, _, s in _sets(batches, rarity.value):
-            long = np.floor(s.size * (1 - least) + _SLACK) + np.floor((s.size + 1) * (1 - least) + _SLACK) > 0
-            own = np.flatnonzero(long & _new(s.a, seen))
-            prefix = s.size[own] - np.ceil(least * s.size[own] - _SLACK).astype(np.int64) + 1
-            nth = np.arange(prefix.sum()) - np.repeat(np.cumsum(prefix) - prefix, prefix)
-            of = np.repeat(own, prefix)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(s.words[s.first[of] + nth].view(np.int64)),
-                    pa.array(s.a[of].view(np.int64)),
-                    pa.array(s.size[of].astype(np.int32)),
-                    pa.array(nth.astype(np.int32)),
-                    pa.array(s.bitmap()[of].view(np.int64)),
-                ],
-                ["word", "name", "size", "place", "bits"],
-            )
+    def fill(batches: Batches) -> np.ndarray:
+        bits = np.zeros(size // 8, np.uint8)
+        for batch in batches:
+            cell = mixed(batch.column(0).to_numpy().view(np.uint64)) & np.uint64(size - 1)
+            np.bitwise_or.at(bits, (cell >> np.uint64(3)).astype(np.int64), np.uint8(1) << (cell & np.uint64(7)).astype(np.uint8))
+        return bits
 
-    return texts.mapInArrow(rows, "word long, name long, size int, place int, bits long")
-
-
-def candidates(posts: DataFrame, least: float) -> DataFrame:
-    """Pairs of sets (x, y) that pass the filters."""
-    once = posts.repartition("word").distinct()
-    x, y = once.alias("x"), once.alias("y")
-    sx, sy = F.col("x.size"), F.col("y.size")
-    overlap = F.ceil((sx + sy) * (least / (1 + least)) - _SLACK)
-    behind = 1 + F.least(sx - F.col("x.place") - 1, sy - F.col("y.place") - 1)
-    differ = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits")))
-    smaller = (sx < sy) | ((sx == sy) & (F.col("x.name") < F.col("y.name")))
-    passes = (
-        (F.col("x.word") == F.col("y.word"))
-        & smaller
-        & (sx >= sy * least - _SLACK)
-        & (behind >= overlap)
-        & (differ <= sx + sy - 2 * overlap)
+    return hashes.sparkSession.sparkContext.broadcast(
+        gather(hashes, fill, size // 8, np.uint8, combine=np.bitwise_or)[0]
     )
-    return x.join(y, passes).select(F.col("x.name").alias("x"), F.col("y.name").alias("y")).distinct()
 
 
-def _bits_of(names: DataFrame, column: str) -> np.ndarray:
-    """A bit for every name."""
-    size = min(MOST_BITS, max(1 << 13, 1 << (16 * max(names.count(), 1) - 1).bit_length()))
+def _among(hashes: np.ndarray, bits: Broadcast) -> np.ndarray:
+    """Whether each hash may be one of those with a bit."""
+    table = bits.value
+    cell = mixed(np.ascontiguousarray(hashes).view(np.uint64)) & np.uint64(len(table) * 8 - 1)
+    return (table[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
-    def fill(batches: Batches) -> np.ndarray:
-        bits = np.zeros(size // 8, np.uint8)
-        for batch in batches:
-            cell = batch.column(0).to_numpy() & (size - 1)
-            np.bitwise_or.at(bits, cell >> 3, (1 << (cell & 7)).astype(np.uint8))
-        return bits
 
-    return gather(names.select(column), fill, size // 8, np.uint8, combine=np.bitwise_or)[0]
+def postings(texts: DataFrame, rarity: Broadcast, least: float, only: Broadcast | None = None) -> DataFrame:
+    """The first words of every set: word, name, id (the least it occurs under), shape, bits.
 
+    ``shape`` is the size of the set, shifted by 32 bits, and the word's place in it. Sets of
+    fewer words than can differ and still be similar have none. ``only`` limits the words.
+    """
 
-def _words_of(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """name and words (64-bit hashes, in order) of every named set."""
-    bits = names.sparkSession.sparkContext.broadcast(_bits_of(names, "name"))
+    def rows(batches: Batches) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
+        for batch, at, s in _sets(batches, rarity.value):
+            ids = batch.column("id").to_numpy()[at + s.text]
+            fresh = np.zeros(len(ids), bool)
+            for i, (name, own) in enumerate(zip(s.a.tolist(), ids.tolist(), strict=True)):
+                if own < seen.get(name, NO_ID + 1):
+                    seen[name] = own
+                    fresh[i] = True
+            if len(seen) > SETS_KEPT:
+                seen.clear()
+            long = np.floor(s.size * (1 - least) + _SLACK) + np.floor((s.size + 1) * (1 - least) + _SLACK) > 0
+            sets = np.flatnonzero(long & fresh)
+            prefix = _prefix(s.size[sets], least)
+            place = np.arange(prefix.sum()) - np.repeat(np.cumsum(prefix) - prefix, prefix)
+            of = np.repeat(sets, prefix)
+            word = s.words[s.first[of] + place].view(np.int64)
+            if only is not None:
+                kept = _among(word, only)
+                word, place, of = word[kept], place[kept], of[kept]
+            columns = [word, s.a[of].view(np.int64), ids[of], s.size[of] << 32 | place, s.bitmap()[of].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _POSTING)
+
+    return texts.mapInArrow(rows, ", ".join(f"{c} long" for c in _POSTING))
+
+
+_POSTING = ["word", "name", "id", "shape", "bits"]
+
+
+def _passing(word, name, shape, bits, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of postings of one word that pass the filters; postings come by word and shape."""
+    n = len(word)
+    size, place = shape >> 32, shape & 0xFFFFFFFF
+    group = np.cumsum(np.concatenate([[0], word[1:] != word[:-1]]))
+    # Partners follow a posting: the same word, and no more words than may be similar.
+    largest = np.floor(size / least + _SLACK).astype(np.int64)
+    count = np.searchsorted(group << 32 | size, group << 32 | largest, "right") - np.arange(n) - 1
+    ends = np.cumsum(count)
+    left, right, at = [], [], 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+        own = count[at:to]
+        i = np.repeat(np.arange(at, to), own)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own)
+        both = size[i] + size[j]
+        overlap = np.ceil(both * (least / (1 + least)) - _SLACK).astype(np.int64)
+        passes = np.minimum(size[i] - place[i], size[j] - place[j]) >= overlap
+        i, j, room = i[passes], j[passes], (both - 2 * overlap)[passes]
+        passes = (np.bitwise_count(bits[i] ^ bits[j]) <= room) & (name[i] != name[j])
+        left.append(i[passes])
+        right.append(j[passes])
+        at = to
+    return np.concatenate(left), np.concatenate(right)
+
+
+def candidates(posts: DataFrame, least: float, of: Broadcast | None = None) -> DataFrame:
+    """Pairs of set names (x, y), and whether y has ``more`` candidates under a word.
+
+    For each set y the PARTNERS candidates with the least ids no larger than its own; or, of
+    the sets named in ``of`` only, all candidates. A task reads the postings of one word after
+    another and holds those of a word together.
+    """
+
+    def chosen(word, name, ids, shape, bits) -> pa.RecordBatch:
+        i, j = _passing(word, name, shape, bits.view(np.uint64), least)
+        x, y = np.concatenate([i, j]), np.concatenate([j, i])
+        more = np.zeros(len(x), bool)
+        if of is not None:
+            wanted = _among(name[y], of)
+            x, y, more = x[wanted], y[wanted], more[wanted]
+        else:
+            earlier = ids[x] <= ids[y]
+            x, y = x[earlier], y[earlier]
+            order = np.lexsort((name[x], ids[x], y))
+            x, y = x[order], y[order]
+            start = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]])) if len(y) else np.zeros(0, np.int64)
+            sizes = np.diff(np.append(start, len(y)))
+            kept = np.arange(len(y)) - np.repeat(start, sizes) < PARTNERS
+            x, y, more = x[kept], y[kept], np.repeat(sizes > PARTNERS, sizes)[kept]
+        return pa.record_batch({"x": pa.array(name[x]), "y": pa.array(name[y]), "more": pa.array(more)})
 
     def rows(batches: Batches) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        table = bits.value
-        for _, _, s in _sets(batches):
-            cell = s.a.view(np.int64) & (len(table) * 8 - 1)
-            own = np.flatnonzero((table[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1)
-            own = own[_new(s.a[own], seen)]
-            words = [s.words[s.first[i] : s.first[i] + s.size[i]].tobytes() for i in own]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(s.a[own].view(np.int64)), pa.array(words, pa.binary())], ["name", "words"]
+        held = None
+        for batch in batches:
+            columns = [c.to_numpy() for c in batch.columns]
+            if held is not None:
+                columns = [np.concatenate(c) for c in zip(held, columns, strict=True)]
+            if not len(columns[0]):
+                continue
+            last = int(np.searchsorted(columns[0], columns[0][-1]))  # the last word may go on
+            held = [c[last:] for c in columns]
+            if last:
+                yield chosen(*(c[:last] for c in columns))
+        if held is not None:
+            yield chosen(*held)
+
+    sorted_posts = posts.repartition("word").sortWithinPartitions("word", "shape")
+    found = sorted_posts.mapInArrow(rows, "x long, y long, more boolean")
+    return found.groupBy("x", "y").agg(F.max("more").alias("more"))
+
+
+def _words_of(texts: DataFrame, firsts: DataFrame, names: DataFrame) -> DataFrame:
+    """name and words (64-bit hashes, in order) of every named set, from where it occurs first."""
+    places = names.join(firsts, "name").select("name", "first.n", "first.line")
+    places = places.groupBy("n").agg(F.collect_list(F.struct("line", "name")).alias("wanted"))
+    places, path = stored(places)
+    bits = _bits_of(places.select("n"))
+
+    @F.arrow_udf(BooleanType())
+    def may(n: pa.Array) -> pa.Array:
+        return pa.array(_among(n.to_numpy(), bits))
+
+    def rows(batches: Batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, lines = [], []
+            for text, wanted in zip(values(batch.column("text")), values(batch.column("wanted")), strict=True):
+                split = text.split(b"\n")
+                names += [w["name"] for w in wanted]
+                lines += [split[w["line"]] for w in wanted]
+            s = Sets(lines)
+            words = [s.words[a : a + n].tobytes() for a, n in zip(s.first, s.size, strict=True)]
+            yield pa.record_batch(
+                {"name": pa.array([names[t] for t in s.text], pa.int64()), "words": pa.array(words, pa.binary())}
             )
 
-    found = texts.mapInArrow(rows, "name long, words binary").join(names, "name", "leftsemi")
-    return found.groupBy("name").agg(F.first("words").alias("words"))
+    found = texts.where(may("n")).join(places, "n").select("text", "wanted").mapInArrow(rows, "name long, words binary")
+    out, _ = stored(found.groupBy("name").agg(F.first("words").alias("words")))
+    drop(texts.sparkSession, path)
+    return out
 
 
 def similar(x: Column, y: Column, least: float) -> Column:
@@ -218,20 +315,63 @@ def similar(x: Column, y: Column, least: float) -> Column:
     return test(x, y)
 
 
-def links(texts: DataFrame, least: float = LEAST) -> DataFrame:
-    """All pairs (x, y) of different sets of words that are similar, for rows (n, text)."""
-    spark = texts.sparkSession
-    rarity = spark.sparkContext.broadcast(word_rarity(texts))
-    pairs, path = stored(candidates(postings(texts, rarity, least), least))
-    names = pairs.select(F.col("x").alias("name")).union(pairs.select("y")).distinct()
-    words = _words_of(texts, names)
-    found, _ = stored(
-        pairs.join(words.toDF("x", "words_x"), "x")
+def _matches(pairs: DataFrame, words: DataFrame, firsts: DataFrame, least: float) -> DataFrame:
+    """For every set with an earlier similar one among the pairs: its name and that one's place."""
+    found = (
+        pairs.select("x", "y")
+        .join(words.toDF("x", "words_x"), "x")
         .join(words.toDF("y", "words_y"), "y")
         .where(similar(F.col("words_x"), F.col("words_y"), least))
-        .select("x", "y")
+        .join(firsts.toDF("x", "at_x"), "x")
+        .join(firsts.toDF("y", "at_y"), "y")
+    )
+    earlier = F.col("at_x") < F.col("at_y")
+    out, _ = stored(
+        found.select(F.when(earlier, F.col("y")).otherwise(F.col("x")).alias("name"), F.least("at_x", "at_y").alias("at"))
+        .groupBy("name")
+        .agg(F.min("at").alias("near"))
     )
-    drop(spark, path)
+    return out
+
+
+def earlier_matches(texts: DataFrame, firsts: DataFrame, least: float = LEAST) -> DataFrame:
+    """name and ``near`` of every set that has a similar one before it.
+
+    ``texts`` has n, id and text; ``firsts`` the place (a struct that orders, with n and line) of
+    the first line of every set, by name.
+    """
+    spark = texts.sparkSession
+    rarity = spark.sparkContext.broadcast(word_rarity(texts))
+    pairs, path = stored(candidates(postings(texts, rarity, least), least))
+    words = _words_of(texts, firsts, pairs.select(F.explode(F.array("x", "y")).alias("name")).distinct())
+    matches = _matches(pairs, words, firsts, least)
+    rest = pairs.where("more").select(F.col("y").alias("name")).distinct().join(matches, "name", "left_anti")
+    rest, rest_path = stored(rest)
+    if rest.limit(1).count():
+        matches = matches.unionByName(_search_again(texts, firsts, words.join(rest, "name", "leftsemi"), rarity, least))
+    for done in (path, rest_path):
+        drop(spark, done)
+    return matches
+
+
+def _search_again(texts: DataFrame, firsts: DataFrame, rest: DataFrame, rarity: Broadcast, least: float) -> DataFrame:
+    """The same for the sets ``rest`` (name, words), with all their candidates."""
+
+    def first_words(batches: Batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [np.zeros(0, np.uint64)]
+            for words in batch.column("words").to_pylist():
+                w = np.frombuffer(words, np.uint64)
+                w = w[_order(np.zeros(len(w), np.int64), w, rarity.value)]
+                out.append(w[: int(_prefix(np.array([len(w)]), least)[0])])
+            yield pa.record_batch({"word": pa.array(np.concatenate(out).view(np.int64))})
+
+    common = _bits_of(rest.mapInArrow(first_words, "word long").distinct())
+    names = _bits_of(rest.select("name"))
+    pairs, path = stored(candidates(postings(texts, rarity, least, common), least, names))
+    words = _words_of(texts, firsts, pairs.select(F.explode(F.array("x", "y")).alias("name")).distinct())
+    found = _matches(pairs, words, firsts, least)
+    drop(texts.sparkSession, path)
     return found
 
 
@@ -240,56 +380,38 @@ def mark(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
     Lines rank by document id (a null one last; of rows with one id, the first read first), then
     by place. A line goes if an earlier line has the same words or a similar set of them.
-    Lines without words stay. n_lines and n_removed count lines; n_links counts the different
-    similar sets of each line; removed has, by line, the number of the removed line and the
-    document and line of the first one it is similar to; kept_text is the rest of the text. Ids
-    are whole numbers. Null and empty texts have no lines, and null stays null.
+    Lines without words stay. n_lines and n_removed count lines; removed has, by line, the number
+    of the removed line and the document and line of an earlier one it is equal or similar to;
+    kept_text is the rest of the text. Ids are whole numbers. Null and empty texts have no
+    lines, and null stays null.
     """
     base, _ = stored(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("n")))
-    text = F.col("row").getField(text_column)
-    texts = base.select("n", text.cast("binary").alias("text"))
-    ids = base.select("n", F.col("row").getField(id_column).cast("long").alias("id"))
+    text, own_id = F.col("row").getField(text_column), F.col("row").getField(id_column).cast("long")
+    texts = base.select("n", F.coalesce(own_id, F.lit(int(NO_ID))).alias("id"), text.cast("binary").alias("text"))
     lines, _ = stored(line_rows(texts))
-    found = links(texts, least)
-    both = found.union(found.select("y", "x"))
-
-    # The least place of every set, then of each set and those similar to it.
+    ids = base.select("n", own_id.alias("id"))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "n", "line")
     firsts, _ = stored(
         lines.join(ids, "n").groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"))
     )
-    near = (
-        both.join(firsts.select(F.col("a").alias("y"), "first"), "y")
-        .groupBy(F.col("x").alias("a"))
-        .agg(F.min("first").alias("near"), F.count(F.lit(1)).alias("links"))
-    )
+    near = earlier_matches(texts, firsts.groupBy(F.col("a").alias("name")).agg(F.min("first").alias("first")), least)
+    near = near.groupBy(F.col("name").alias("a")).agg(F.min("near").alias("near"))
     lowest, _ = stored(
         firsts.join(near, "a", "left")
         .where("times > 1 OR near IS NOT NULL")
-        .select("a", "b", F.least("first", "near").alias("low"), F.coalesce("links", F.lit(0)).alias("links"))
+        .select("a", "b", F.least("first", "near").alias("low"))
     )
     # Read from a table, this side leaves Spark free to split the lines of a frequent set.
     later = (F.col("n") != F.col("low.n")) | (F.col("line") != F.col("low.line"))
-    of_doc = (
-        lines.join(lowest, ["a", "b"])
-        .groupBy("n")
-        .agg(
-            F.array_sort(
-                F.collect_list(
-                    F.when(later, F.struct("line", F.col("low.id").alias("first_id"), F.col("low.line").alias("first_line")))
-                )
-            ).alias("removed"),
-            F.sum("links").alias("n_links"),
-        )
-    )
-    removed = F.coalesce("removed", F.array().cast("array<struct<line:int,first_id:long,first_line:int>>"))
+    found = F.struct("line", F.col("low.id").alias("first_id"), F.col("low.line").alias("first_line"))
+    of_doc = lines.join(lowest, ["a", "b"]).where(later).groupBy("n").agg(F.array_sort(F.collect_list(found)).alias("removed"))
+    removed = F.coalesce("removed", F.array().cast("array<struct<line:int,first_id:bigint,first_line:int>>"))
     out = base.join(of_doc, "n", "left").withColumn("gone", removed)
     out = out.withColumn("left", _strip()(text, F.transform("gone", lambda g: g["line"])))
     return out.select(
         "row",
         F.col("left.n_lines").alias("n_lines"),
         F.size("gone").cast("long").alias("n_removed"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.col("gone").alias("removed"),
         F.col("left.kept_text").alias("kept_text"),
     )

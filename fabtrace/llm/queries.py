@@ -80,7 +80,6 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id",
         "n_lines",
         "n_removed",
-        "n_links",
         "removed",
         F.char_length("kept_text").cast("long").alias("kept_chars"),
         F.sha2("kept_text", 256).alias("kept_sha256"),

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from fabtrace.llm import lines
 from fabtrace.llm.decontaminate import words
@@ -8,61 +9,92 @@ from tests.llm.data import ROWS, documents, empty
 
 
 def brute(rows, least=0.8):
-    """(doc_id, n_lines, n_links, removed, kept_text) of each row; rows are in rank order."""
-    all_lines, sets = [], []
+    """(doc_id, n_lines, {removed line: its earlier matches}) of each row; rows are in rank order."""
+    lines = []
     for n, (_, text) in enumerate(rows):
         for i, line in enumerate(text.split("\n") if text else []):
-            s = frozenset(words(line.encode()))
-            if s:
-                all_lines.append((n, i, s))
-                if s not in sets:
-                    sets.append(s)
-    first = {s: min((n, i) for n, i, t in all_lines if t == s) for s in sets}
-    like = {s: [t for t in sets if t != s and len(s & t) >= least * len(s | t) - 1e-9] for s in sets}
+            if s := frozenset(words(line.encode())):
+                lines.append((n, i, s))
     out = []
     for n, (doc, text) in enumerate(rows):
-        removed, n_links = [], 0
-        for m, i, s in all_lines:
+        removed = {}
+        for m, i, s in lines:
             if m == n:
-                n_links += len(like[s])
-                low = min([first[s], *(first[t] for t in like[s])])
-                if low < (n, i):
-                    removed.append((i, rows[low[0]][0], low[1]))
-        gone = {r[0] for r in removed}
-        split = text.split("\n") if text else []
-        kept = text if not gone else "\n".join(x for i, x in enumerate(split) if i not in gone)
-        out.append((doc, len(split), n_links, removed, kept))
+                alike = {
+                    (rows[k][0], j)
+                    for k, j, t in lines
+                    if (k, j) < (n, i) and len(s & t) >= least * len(s | t) - 1e-9
+                }
+                if alike:
+                    removed[i] = alike
+        out.append((doc, len(text.split("\n")) if text else 0, text, removed))
     return out
 
 
-def found(docs):
-    rows = lines.mark(docs).select("row.doc_id", "n_lines", "n_links", "removed", "kept_text").collect()
-    return [(r[0], r[1], r[2], [tuple(x) for x in r[3]], r[4]) for r in rows]
+def check(docs, rows):
+    """Every line that has an earlier match goes, and the match named is one of them."""
+    found = lines.mark(docs).select("row.doc_id", "n_lines", "row.text", "removed", "kept_text").collect()
+    key = lambda r: str((r[0], r[2], sorted(x[0] for x in r[3])))
+    want = [(doc, n, text, [(i,) for i in removed], removed) for doc, n, text, removed in brute(rows)]
+    assert len(found) == len(want)
+    for got, (doc, n, text, gone, removed) in zip(sorted(found, key=key), sorted(want, key=key), strict=True):
+        assert (got[0], got[1], got[2], [r[0] for r in got[3]]) == (doc, n, text, sorted(x[0] for x in gone))
+        for r in got[3]:
+            assert (r[1], r[2]) in removed[r[0]]
+        split = text.split("\n") if text else []
+        assert got[4] == (text if not gone else "\n".join(x for i, x in enumerate(split) if i not in removed))
+    return sum(len(w[3]) for w in want)
 
 
-def test_random_lines_against_all_pairs(spark):
-    rng = random.Random(8)
+def family(n_docs, changes, seed):
+    rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(30)]
     stock = [rng.sample(vocabulary, rng.randint(1, 15)) for _ in range(25)]
     rows = []
-    for d in range(60):
+    for d in range(n_docs):
         text = []
         for _ in range(rng.randint(0, 6)):
             line = list(rng.choice(stock))
-            for _ in range(rng.choice([0, 0, 1, 1, 2])):
+            for _ in range(rng.choice(changes)):
                 line[rng.randrange(len(line))] = rng.choice(vocabulary)
             rng.shuffle(line)
             text.append(" ".join(line))
         rows.append((d, "\n".join(text)))
-    got = found(documents(spark, rows).repartition(4))
-    assert sorted(got) == sorted(brute(rows))
-    assert sum(len(r[3]) for r in got) > 30 and sum(r[2] for r in got) > 30
+    return rows
+
+
+@pytest.mark.parametrize("partners", [1, 2])
+def test_random_lines_against_all_pairs(spark, monkeypatch, partners):
+    monkeypatch.setattr(lines, "PARTNERS", partners)
+    rows = family(60, [0, 0, 1, 1, 2], 8)
+    assert check(documents(spark, rows).repartition(4), rows) > 50
+
+
+def test_false_candidates_lead_to_a_second_search(spark, monkeypatch):
+    """Without the bitmap many candidates are false; what they hide is found again."""
+    searched = []
+    again = lines._search_again
+    monkeypatch.setattr(lines.Sets, "bitmap", lambda self: np.zeros(len(self.first), np.uint64))
+    monkeypatch.setattr(lines, "PARTNERS", 1)
+    monkeypatch.setattr(lines, "_search_again", lambda *a: searched.append(1) or again(*a))
+    rows = family(120, [1, 2, 3], 9)
+    assert check(documents(spark, rows).repartition(3), rows) > 50
+    assert searched
 
 
 def test_awkward_rows(spark):
-    ranked = sorted(enumerate(ROWS), key=lambda r: (r[1][0] is None, r[1][0] or 0, r[0]))
-    want = brute([r for _, r in ranked])
-    assert sorted(map(str, found(documents(spark).coalesce(1)))) == sorted(map(str, want))
+    ranked = [r for _, r in sorted(enumerate(ROWS), key=lambda r: (r[1][0] is None, r[1][0] or 0, r[0]))]
+    assert check(documents(spark).coalesce(1), ranked)
+
+
+def test_order_is_the_same_by_either_way(monkeypatch):
+    rng = np.random.default_rng(1)
+    line = np.sort(rng.integers(0, 50, 2000))
+    hashes = rng.integers(0, 40, 2000).astype(np.uint64) << np.uint64(58)
+    rarity = rng.integers(0, 3, lines.COUNT_CELLS).astype(np.uint32)
+    for table in (None, rarity):
+        short = [(line[i], 0 if table is None else table[lines.cells(hashes[i : i + 1])[0]], hashes[i]) for i in lines._order(line, hashes, table)]
+        assert short == sorted(short)
 
 
 def test_empty_table(spark):
