@@ -9,7 +9,9 @@ offset at which a reader can begin.
 from __future__ import annotations
 
 import itertools
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from fabtrace.llm.common import Batches, drop, gather, in_batches, stored
+from fabtrace.llm.common import Batches, drop, gather, in_batches, stored, values
 
 # Ids between two checkpoints.
 BLOCK = 512
@@ -29,7 +31,9 @@ LEAST_LIMIT, SPARE_BITS, MOST_LIMIT = 16, 2, 24
 # Ids coded or decoded at once by a task, and words it keeps the ids of; only memory and
 # speed depend on them.
 IDS_AT_ONCE = 1 << 19
-WORDS_KEPT = 500_000
+WORDS_KEPT = 600_000
+# Characters whose words are looked up together.
+CHARS_AT_ONCE = 1 << 16
 
 
 def code_lengths(counts: np.ndarray, limit: int | None = None) -> np.ndarray:
@@ -89,10 +93,11 @@ def pack(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray, lengths: np.ndar
     doc_bytes = (doc_bits + 7) // 8
     doc_at = np.concatenate([[0], np.cumsum(doc_bytes)])
     at = ends[:-1] + np.repeat(doc_at[:-1] * 8 - ends[first[:-1]], sizes)
-    value = codes[ids] << (32 - (at & 7) - size)
-    out = np.zeros(int(doc_at[-1]) + 4)
-    for k in range(4):
-        out += np.bincount((at >> 3) + k, (value >> (24 - 8 * k)) & 255, len(out))
+    spread = (int(lengths.max(initial=1)) + 14) // 8  # bytes that a code can touch
+    value = codes[ids] << (8 * spread - (at & 7) - size)
+    out = np.zeros(int(doc_at[-1]) + spread)
+    for k in range(spread):
+        out += np.bincount((at >> 3) + k, (value >> (8 * (spread - 1 - k))) & 255, len(out))
     raw = out.astype(np.uint8).tobytes()
     bits, checkpoints = [], []
     for i in range(len(sizes)):
@@ -153,7 +158,8 @@ def write(tokens: DataFrame, path: str, vocabulary: int, limit: int | None = Non
     def count(batches: Batches) -> np.ndarray:
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
+            for at in range(0, batch.num_rows, 256):
+                ids = b"".join(batch.column(0).slice(at, 256).to_pylist())
                 found = np.bincount(np.frombuffer(ids, "<u4"), minlength=vocabulary)
                 if len(found) > vocabulary:
                     raise ValueError(f"an id is not below {vocabulary}")
@@ -246,48 +252,101 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-_MADE: dict = {}
+# A word of Latin-1 letters and what may end it. The tokenizer below lower-cases it, keeps its
+# letters together and takes the end by itself.
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+_STEPS = ("NFC", "Replace", "Lowercase")
+_LETTERS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-def _tokenizer(source: str):
-    """The tokenizer of this Python worker and the words whose ids it knows."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class Words:
+    """The library's tokenizer, given every word between two blanks or line feeds once.
+
+    It drops white space, and nothing in it reaches across a blank or line feed. Plain words,
+    lower-cased and without the stop or comma behind them, go to a copy of the tokenizer
+    without normaliser and word pattern, which would change nothing in them.
+    """
 
+    def __init__(self, source: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        spec = json.loads(source)
+        normalizer, cut = spec["normalizer"], spec["pre_tokenizer"]
+        steps = tuple(n["type"] for n in (normalizer or {}).get("normalizers", []))
+        patterns = [c.get("pattern", {}).get("Regex") for c in (cut or {}).get("pretokenizers", [])]
+        if steps != _STEPS or patterns != [_LETTERS, None]:
+            raise ValueError("not a tokenizer of lower-cased words that drops white space")
+        self.library, self.plain = Tokenizer.from_str(source), Tokenizer.from_str(source)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.known: dict[str, bytes] = {}
+        self.ends = {"": b""} | {e: self._ids(self.library.encode(e, add_special_tokens=False).ids) for e in ".,"}
+
+    @staticmethod
+    def _ids(ids: list[int]) -> bytes:
+        return np.array(ids, "<u4").tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        known = self.known
+        found = [(w, _WORD.fullmatch(w)) for w in words]
+        stems = list({m[1].lower() for _, m in found if m}.difference(known))
+        if stems:
+            encoded = self.plain.encode(stems, is_pretokenized=True, add_special_tokens=False)
+            raw = self._ids(encoded.ids)
+            cuts = np.searchsorted(np.array(encoded.word_ids), np.arange(len(stems) + 1)).tolist()
+            known.update((w, raw[4 * a : 4 * b]) for w, (a, b) in zip(stems, itertools.pairwise(cuts), strict=True))
+        others = [w for w, m in found if not m]
+        encoded = self.library.encode_batch_fast(others, add_special_tokens=False)
+        known.update((w, self._ids(e.ids)) for w, e in zip(others, encoded, strict=True))
+        known.update((w, known[m[1].lower()] + self.ends[m[2]]) for w, m in found if m)
+
+    def encode(self, texts: list[str], end: bytes) -> list[bytes]:
+        """Ids of each text and then the end."""
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        if new := set().union(*split).difference(self.known):
+            if len(self.known) > WORDS_KEPT:
+                self.known.clear()
+                new = set().union(*split)
+            self._learn(list(new))
+        return [b"".join(map(self.known.__getitem__, s)) + end for s in split]
+
+
+_MADE: dict[int, Words] = {}
+
+
+def _tokenizer(source: str) -> Words:
+    """The tokenizer of this Python worker and the words whose ids it knows."""
     key = hash(source)
     if key not in _MADE:
         _MADE.clear()
-        _MADE[key] = (Tokenizer.from_str(source), {})
+        _MADE[key] = Words(source)
     return _MADE[key]
 
 
 def load(spark: SparkSession, path: str) -> Broadcast:
-    """A tokenizer file whose words end at white space, sent to all tasks."""
+    """A tokenizer file, sent to all tasks; its size is bounded by the vocabulary."""
     with open(path, encoding="utf-8") as f:
-        return spark.sparkContext.broadcast(f.read())
+        source = f.read()
+    Words(source)
+    return spark.sparkContext.broadcast(source)
 
 
 def tokenize(text: Column, tokenizer: Broadcast, end: int) -> Column:
     """Ids of a text and then the end id, as little-endian unsigned 32-bit integers.
 
-    The tokenizer drops white space and nothing in it reaches across a blank or line feed, so
-    every word between two of them is given to the library once. Null counts as empty.
+    Null counts as empty.
     """
 
     @F.arrow_udf(BinaryType())
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        library, known = _tokenizer(tokenizer.value)
-        last = np.uint32(end).tobytes()
+        words, last = _tokenizer(tokenizer.value), np.uint32(end).tobytes()
         for texts in batches:
             if not len(texts):
                 yield pa.array([], pa.binary())
-            for part in in_batches((t or "" for t in texts.to_pylist()), 1 << 22):
-                split = [t.replace("\n", " ").split(" ") for t in part]
-                new = list(set().union(*split) - known.keys())
-                for w, found in zip(new, library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    known[w] = np.array(found.ids, "<u4").tobytes()
-                yield pa.array([b"".join(map(known.__getitem__, s)) + last for s in split], pa.binary())
-                if len(known) > WORDS_KEPT:
-                    known.clear()
+            found = []
+            for part in in_batches((t or "" for t in values(texts)), CHARS_AT_ONCE):
+                found += words.encode(part, last)
+            yield pa.array(found, pa.binary())
 
     return ids(text)

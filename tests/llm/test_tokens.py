@@ -1,4 +1,5 @@
 import heapq
+import random
 import uuid
 import zlib
 
@@ -83,6 +84,32 @@ def test_files_hold_what_the_library_says(spark, tmp_path):
     assert ordered == sorted(ordered)
 
 
+def test_words_as_the_library_has_them():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        words = tokens.Words(f.read())
+    library = Tokenizer.from_file(path)
+    rng = random.Random(7)
+    bits = [
+        " ", "\n", "\t", "\x1c", "\x85", "\xa0", "\u2028", "a", "The", "É", "é", "e\u0301", "\u0301", "ß", "ẞ", "İ", "ſ",
+        "Σ", "ς", "µ", "ª", "×", "÷", "ÿ", "Ÿ", "中文", "1", "²", "'s", "'LL", "'", "!", ".", ",", "..", ").", "-",
+        "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "\U0001f600", "word", "WORD",
+    ]
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(words.encode([text], b"")[0], "<u4").tolist() == ids, text
+
+
+def test_forgetting_words_changes_nothing(monkeypatch):
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        words = tokens.Words(f.read())
+    texts = [t or "" for _, t in ROWS]
+    want = words.encode(texts, b"")
+    monkeypatch.setattr(tokens, "WORDS_KEPT", 0)
+    assert [words.encode([t], b"")[0] for t in texts] == want
+
+
 def test_empty_files_and_foreign_ids(spark, tmp_path):
     nothing = spark.createDataFrame([], "id long, ids binary")
     tokens.write(nothing, f"{tmp_path}/none", 10)
