@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fabtrace.llm import bpe, chat, decontaminate, exact, language, lines, near, passages, quality, tokens
+from fabtrace.llm import (
+    bpe, chat, decontaminate, exact, language, lines, near, passages, phrases, quality, spelling, tokens, warc,
+)
 from fabtrace.llm.common import held_out
 from fabtrace.sources.scratch import new_path
 from fabtrace.sources.tables import read_table
@@ -132,6 +134,23 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.variants(spelling.vocabulary(spelling.with_slips(spelling.runs(docs))))
+
+
+def web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.payloads(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    path = new_path(spark, "archives")
+    warc.write(warc.with_revisits(found), path)
+    back = warc.pages(warc.read(spark, path), id_type="long")
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_chat_format": chat_format,
     "op2_language_id": language_id,
@@ -143,6 +162,9 @@ QUERIES = {
     "op8_passage_dedup": passage_dedup,
     "op9_near_dedup": near_dedup,
     "op10_bpe_round_trip": bpe_round_trip,
+    "op11_phrase_mining": phrase_mining,
+    "op12_spelling_variants": spelling_variants,
+    "op13_web_archive": web_archive,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -200,4 +222,54 @@ ORACLE_SQL = {
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY t)
     """,
+    "op11_phrase_mining": f"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ),
+        words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+        runs AS (SELECT lang, w, i, unnest(range(1, least(4, len(w) - i + 1) + 1)) AS k FROM places),
+        f AS (SELECT lang, w[i:i + k - 1] AS p, k, count(*) AS f FROM runs GROUP BY ALL),
+        totals AS (SELECT lang, count(*) AS n FROM places GROUP BY ALL),
+        candidates AS (SELECT lang, p, k, f AS a FROM f WHERE k > 1 AND f >= 30),
+        cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM candidates),
+        scores AS (
+            SELECT c.lang, c.p, c.k, c.a, cut, x.f AS l, y.f AS r,
+                   CAST(2000000 AS HUGEINT) * c.a // (CAST(x.f AS HUGEINT) + y.f) AS score
+            FROM cuts c JOIN f x ON x.lang = c.lang AND x.p = c.p[1:cut]
+                        JOIN f y ON y.lang = c.lang AND y.p = c.p[cut + 1:c.k]
+        ),
+        weakest AS (
+            SELECT * FROM scores
+            QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1
+        ),
+        inner_runs AS (
+            SELECT DISTINCT lang, s.a AS longer, s.p[j:j + m - 1] AS p FROM (
+                SELECT lang, p, k, a, m, unnest(range(1, k - m + 2)) AS j
+                FROM (SELECT *, unnest(range(2, k)) AS m FROM candidates)
+            ) s
+        ),
+        dropped AS (
+            SELECT DISTINCT w.lang, w.p FROM weakest w JOIN inner_runs i ON i.lang = w.lang AND i.p = w.p
+            WHERE CAST(100 AS HUGEINT) * i.longer >= CAST(80 AS HUGEINT) * w.a
+        ),
+        ranked AS (
+            SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank,
+                   array_to_string(p, ' ') AS phrase, a, l, r, CAST(score AS BIGINT) AS score
+            FROM weakest ANTI JOIN dropped USING (lang, p)
+        )
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
+    "op13_web_archive": """
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+            FROM pages
+        ),
+        s AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS least FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> least THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> least THEN least END AS refers_to
+        FROM s
+    """,
 }
