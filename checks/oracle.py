@@ -473,6 +473,18 @@ FINAL: dict[str, str] = {
     "order_status_counts": 'SELECT "Order Status", count(*) AS orders FROM board GROUP BY 1',
     "order_pages": "SELECT * FROM paged",
     "order_page": "SELECT * FROM paged WHERE page = 2 ORDER BY row_number",
+    "order_pages_by_text": """
+        SELECT *, row_number() OVER w AS row_number, CAST((row_number() OVER w - 1) // 200 + 1 AS INT) AS page
+        FROM board WINDOW w AS (ORDER BY "Current Delivery" DESC NULLS LAST, "External Order")""",
+    "history_pages": f"""
+        SELECT {TIMELINE}, row_number() OVER w AS row_number, CAST((row_number() OVER w - 1) // 200 + 1 AS INT) AS page
+        FROM timeline WINDOW w AS (ORDER BY TRANS_TIMESTAMP DESC NULLS LAST, LOT, OPERATION, TRANSACTION)""",
+    "order_page_deep": """
+        SELECT *, 5 AS page FROM (SELECT *, row_number() OVER (ORDER BY "Priority" NULLS LAST,
+          "Delta Current To Plan" NULLS LAST, ordinal) AS row_number FROM board)
+        WHERE row_number BETWEEN 801 AND 1000 ORDER BY row_number""",
+    "order_page_after": """
+        SELECT * FROM board ORDER BY "Lot Number" NULLS LAST, ordinal LIMIT 200 OFFSET 400""",
     "order_page_info": """
         SELECT count(*) AS total, CAST(greatest(1, ceil(count(*) / 200e0)) AS INT) AS pages, 2 AS page,
           201 AS showing_from, least(400, count(*)) AS showing_to FROM devt""",
@@ -489,6 +501,10 @@ FINAL: dict[str, str] = {
         SELECT {lot('doc_id % 150')} AS "LOT NUMBER", CAST(doc_id % 12 + 1 AS VARCHAR) AS "OPERATION",
           text AS "DESCRIPTION", CASE WHEN doc_id % 4 = 2 THEN 'Batching' ELSE '' END AS "ISSUE", '' AS "REMARKS"
         FROM documents""",
+    "annotations_two_writers": f"""
+        SELECT {NAMES} FROM notes WHERE ("LOT NUMBER", "OPERATION") NOT IN
+          (SELECT ("LOT NUMBER", "OPERATION") FROM entered)
+        UNION ALL SELECT {NAMES} FROM (SELECT * REPLACE ('0' AS "OPERATION") FROM entered)""",
     "annotations_emptied": f"SELECT {NAMES} FROM entered",
     "annotation_categories": 'SELECT "CATEGORY", count(*) AS "RECORDS" FROM grouped GROUP BY 1 ORDER BY 1',
     "annotations_by_category": f"""
@@ -510,7 +526,19 @@ FINAL: dict[str, str] = {
         UNION ALL SELECT 'VA000002', 'a sheet name that is longer than a workbook allows',
           'S' || CAST(s_suppkey AS VARCHAR), s_name, NULL, CAST(s_nationkey AS VARCHAR) FROM supplier
         UNION ALL SELECT 'VA000002', 'Sheet1', CAST(n_nationkey AS VARCHAR), n_name, NULL, NULL FROM nation""",
-    "workbook_read": "SELECT 'VA000002' AS lot, CAST(n_nationkey AS VARCHAR) AS key, n_name AS name FROM nation",
+    "workbook_read": """
+        SELECT 'VA000002' AS lot, 'Sheet1' AS sheet, CAST(n_nationkey AS VARCHAR) AS key, n_name AS name FROM nation""",
+    "workbook_read_wide": """
+        SELECT 'VA000001' AS lot, 'a sheet name that is longer than a workbook allows' AS sheet,
+          CAST(c_custkey AS VARCHAR) AS key, c_name AS name, c_mktsegment, NULL::VARCHAR AS s_nationkey FROM customer
+        UNION ALL SELECT 'VA000002', 'a sheet name that is longer than a workbook allows',
+          'S' || CAST(s_suppkey AS VARCHAR), s_name, NULL, CAST(s_nationkey AS VARCHAR) FROM supplier""",
+    "workbook_catalogue": """
+        SELECT * FROM (VALUES ('a sheet name that is longer than a workbook allows', 1, 'key'),
+          ('a sheet name that is longer than a workbook allows', 2, 'name'),
+          ('a sheet name that is longer than a workbook allows', 3, 'c_mktsegment'),
+          ('a sheet name that is longer than a workbook allows', 4, 's_nationkey'),
+          ('Sheet1', 1, 'key'), ('Sheet1', 2, 'name')) t(sheet, ordinal, column_name)""",
     "workbook_unreadable": "SELECT '{damaged ' || n_name AS record FROM nation",
     "table_profile_distinct": " UNION ALL ".join(
         f"SELECT {i} AS ordinal, '{c}' AS column_name, true AS near_exact" for i, (c, _) in enumerate(ORDER_TYPES, 1)

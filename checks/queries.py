@@ -321,6 +321,41 @@ def order_page(spark, sf_dir):
     return paging.page_of(orders.of_owners(_board(spark, sf_dir)), ["ordinal"], 2)
 
 
+@query
+def order_pages_by_text(spark, sf_dir):
+    """Latest delivery first, orders without one at the end; few different texts."""
+    board = _board(spark, sf_dir)
+    return paging.with_page(board, ["Current Delivery", "External Order"], descending=["Current Delivery"])
+
+
+@query
+def history_pages(spark, sf_dir):
+    """All lots' history in one order of time, latest first."""
+    merged = history.union_history(derive.history_sources(spark, sf_dir))
+    return paging.with_page(
+        merged.select("LOT", *history.SHOWN), ["TRANS_TIMESTAMP", "LOT", "OPERATION", "TRANSACTION"], descending=["TRANS_TIMESTAMP"]
+    )
+
+
+@query
+def order_page_deep(spark, sf_dir):
+    """The fifth page by priority and delay, from a ranking kept."""
+    kept = paging.ranked(_board(spark, sf_dir), ["Priority", "Delta Current To Plan", "ordinal"])
+    return paging.page_of(kept, [], 5)
+
+
+@query
+def order_page_after(spark, sf_dir):
+    """What follows the second page by lot, read on from its last row."""
+    order = ["Lot Number", "ordinal"]
+    board = _board(spark, sf_dir)
+    last = None
+    for _ in range(2):
+        page = paging.page_after(board, order, last)
+        last = page.orderBy(F.col("Lot Number").desc_nulls_first(), F.col("ordinal").desc()).first().asDict()
+    return paging.page_after(board, order, last)
+
+
 @query
 def order_page_info(spark, sf_dir):
     return paging.page_info(orders.of_owners(_board(spark, sf_dir)), 2)
@@ -358,9 +393,27 @@ def annotations_emptied(spark, sf_dir):
     """All saved annotations removed, then new ones added."""
     path = new_path(spark, "annotations")
     annotation_records.save(derive.descriptions(spark, sf_dir), path)
-    annotation_records.save(annotation_records.read_saved(spark, path).where(F.lit(False)), path)
+    annotation_records.update(spark, path, lambda saved: saved.where(F.lit(False)))
     entered = derive.entered_descriptions(spark, sf_dir)
-    annotation_records.save(annotations.append(annotation_records.read_saved(spark, path), entered), path)
+    annotation_records.update(spark, path, lambda saved: annotations.append(saved, entered))
+    return annotation_records.read_saved(spark, path)
+
+
+@query
+def annotations_two_writers(spark, sf_dir):
+    """One writer removes annotations while another adds some; both changes count."""
+    path = new_path(spark, "annotations")
+    annotation_records.save(derive.descriptions(spark, sf_dir), path)
+    entered = annotations.submitted(derive.entered_descriptions(spark, sf_dir))
+    late = [entered]
+
+    def remove(saved: DataFrame) -> DataFrame:
+        left = annotations.delete(saved, derive.annotation_keys(spark, sf_dir))
+        if late:  # the other writer is faster
+            annotation_records.add(late.pop().withColumn("OPERATION", F.lit("0")), path)
+        return left
+
+    annotation_records.update(spark, path, remove)
     return annotation_records.read_saved(spark, path)
 
 
@@ -412,7 +465,18 @@ def workbook_merge(spark, sf_dir):
 
 @query
 def workbook_read(spark, sf_dir):
-    return workbook.of_sheet(_book(spark, sf_dir, sheets.read_sheets), "").select("lot", "key", "name")
+    return _book(spark, sf_dir, lambda s, root: sheets.read_sheet(s, root, ""))
+
+
+@query
+def workbook_read_wide(spark, sf_dir):
+    """A sheet whose columns differ from lot to lot."""
+    return _book(spark, sf_dir, lambda s, root: sheets.read_sheet(s, root, derive.LONG_SHEET))
+
+
+@query
+def workbook_catalogue(spark, sf_dir):
+    return _book(spark, sf_dir, sheets.catalogue)
 
 
 @query

@@ -1,39 +1,114 @@
-"""Pages over an ordered table of any size."""
+"""Pages over an ordered table of any size.
+
+Rows are ordered by any columns; nulls come last, and rows equal in all of these follow each
+other by their other columns. Three ways lead to a page:
+
+* ``ranked`` sorts the table once: a range exchange on sampled bounds, a sort of every range and a
+  count of each. A row's number is its place in its range plus the rows of earlier ranges. The
+  sorted rows are kept, so any page is read from the files that hold it.
+* ``page_of`` without a ranking is a top-k for the first page and ranks for a later one.
+* ``page_after`` goes on from the last row seen, at the same cost on every page.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Mapping, Sequence
+from dataclasses import dataclass
+from itertools import accumulate
+from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
+
+from fabtrace.sources.scratch import cut
 
 PAGE_SIZE = 200
-# Numbers of ``order[0]`` that are counted together; rows of one such range meet in a task.
-RANGE = 100_000
+# Bits of ``monotonically_increasing_id`` that count the rows of a partition.
+_PLACE_BITS = 33
+
+
+def _sorted_by(df: DataFrame, order: Sequence[str], descending: Collection[str]) -> list[Column]:
+    """The order's columns, then all others that can be compared."""
+    others = [
+        f.name for f in df.schema if f.name not in order and not isinstance(f.dataType, (MapType, VariantType))
+    ]
+    return [
+        F.col(f"`{c}`").desc_nulls_last() if c in descending else F.col(f"`{c}`").asc_nulls_last()
+        for c in [*order, *others]
+    ]
+
+
+@dataclass(frozen=True)
+class Ranked:
+    """A table sorted by ranges: its rows with ``_place``, and (range, rows) of every range."""
+
+    rows: DataFrame
+    ranges: list[tuple[int, int]]
+    columns: list[str]
+
+    @property
+    def total(self) -> int:
+        return sum(n for _, n in self.ranges)
+
+    def _before(self) -> dict[int, int]:
+        return dict(zip((r for r, _ in self.ranges), accumulate((n for _, n in self.ranges), initial=0)))  # noqa: B905
 
+    def _number(self, offsets: Column) -> Column:
+        return F.col("_place").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)) + offsets + 1
 
-def with_row_number(df: DataFrame, order: Sequence[str], name: str = "row_number") -> DataFrame:
-    """Number all rows from 1 in the given order; ``order[0]`` is a number, null last.
+    def with_row_number(self, name: str = "row_number") -> DataFrame:
+        """All rows numbered from 1. The offsets sent along are one number per range."""
+        spark = self.rows.sparkSession
+        before = F.broadcast(
+            spark.createDataFrame(list(self._before().items()), "_range int, _before long")
+        )
+        placed = self.rows.withColumn("_range", F.shiftright("_place", _PLACE_BITS).cast("int"))
+        numbered = placed.join(before, "_range")
+        return numbered.select(*[f"`{c}`" for c in self.columns], self._number(F.col("_before")).alias(name))
 
-    Rows are numbered within ranges of ``order[0]`` and offset by the rows of earlier ranges;
-    only a count per range is ever brought together.
+    def slice(self, start: int, size: int, name: str = "row_number") -> DataFrame:
+        """Rows ``start`` + 1 to ``start`` + ``size`` in order; only their files are read."""
+        wanted, number = F.lit(False), F
+        before = self._before()
+        for r, n in self.ranges:
+            low, high = max(0, start - before[r]), min(n, start + size - before[r])
+            if low < high:
+                base = r << _PLACE_BITS
+                own = F.col("_place").between(base + low, base + high - 1)
+                wanted = wanted | own
+                number = number.when(own, self._number(F.lit(before[r])))
+        found = self.rows.where(wanted)
+        numbered = found.withColumn(name, F.lit(None).cast("long") if number is F else number)
+        return numbered.orderBy("_place").select(*[f"`{c}`" for c in self.columns], name)
+
+
+def ranked(df: DataFrame, order: Sequence[str], descending: Collection[str] = ()) -> Ranked:
+    """Sort a table and keep it in the shared folder.
+
+    The range exchange samples the order for its bounds. Rows that agree in all columns can't
+    be told apart and stay in one range. Only a count per range comes to the driver.
     """
-    ranged = df.withColumn("_range", F.floor(F.col(order[0]) / RANGE))
-    place = F.col("_range").asc_nulls_last()
-    before = Window.orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        F.col("_range").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
-    )
-    inside = Window.partitionBy("_range").orderBy(*[F.col(c).asc_nulls_last() for c in order])
-    numbered = ranged.withColumn("_inside", F.row_number().over(inside))
-    joined = numbered.join(offsets, F.col("_range").eqNullSafe(F.col("_of")))
-    return joined.select(*[f"`{c}`" for c in df.columns], (F.col("_before") + F.col("_inside")).alias(name))
+    sort = _sorted_by(df, order, descending)
+    # A range and the place in it are what this function counts by.
+    placed = df.repartitionByRange(*sort).sortWithinPartitions(*sort)
+    rows = cut(placed.withColumn("_place", F.monotonically_increasing_id()))
+    sizes = rows.groupBy(F.shiftright("_place", _PLACE_BITS).cast("int").alias("r")).agg(F.count(F.lit(1)).alias("n"))
+    return Ranked(rows, sorted((x.r, x.n) for x in sizes.collect()), df.columns)
+
 
+def with_row_number(
+    df: DataFrame, order: Sequence[str], name: str = "row_number", descending: Collection[str] = ()
+) -> DataFrame:
+    """Number all rows from 1 in the given order."""
+    return ranked(df, order, descending).with_row_number(name)
 
-def with_page(df: DataFrame, order: Sequence[str], page_size: int = PAGE_SIZE) -> DataFrame:
+
+def with_page(
+    df: DataFrame, order: Sequence[str], page_size: int = PAGE_SIZE, descending: Collection[str] = ()
+) -> DataFrame:
     """Add the row number and the page each row is on."""
-    numbered = with_row_number(df, order)
+    numbered = with_row_number(df, order, descending=descending)
     return numbered.withColumn("page", (F.floor((F.col("row_number") - 1) / page_size) + 1).cast("int"))
 
 
@@ -54,17 +129,58 @@ def page_info(df: DataFrame, number: int = 1, page_size: int = PAGE_SIZE) -> Dat
     )
 
 
-def page_of(df: DataFrame, order: Sequence[str], number: int, page_size: int = PAGE_SIZE) -> DataFrame:
+def page_of(
+    df: DataFrame | Ranked,
+    order: Sequence[str],
+    number: int,
+    page_size: int = PAGE_SIZE,
+    descending: Collection[str] = (),
+) -> DataFrame:
     """Rows of one page in order, with their row number and page; the first if out of range.
 
-    The rows up to the page's end are found in one pass and only a page's rows are numbered.
-    A page other than the first is counted first, to know whether it exists.
+    The first page of a table is a top-k. For another one the table is ranked; with a ranking
+    at hand (``df`` is what ``ranked`` gave) every page is read from its own files.
+    """
+    if isinstance(df, Ranked) or number > 1:
+        table = df if isinstance(df, Ranked) else ranked(df, order, descending)
+        if number < 1 or (number - 1) * page_size >= table.total:
+            number = 1
+        return table.slice((number - 1) * page_size, page_size).withColumn("page", F.lit(number))
+    sort = _sorted_by(df, order, descending)
+    rows = df.orderBy(*sort).limit(page_size)
+    numbered = rows.withColumn("row_number", F.row_number().over(Window.orderBy(*sort)).cast("long"))
+    return numbered.withColumn("page", F.lit(1))
+
+
+def page_after(
+    df: DataFrame,
+    order: Sequence[str],
+    last: Mapping[str, Any] | None,
+    page_size: int = PAGE_SIZE,
+    descending: Collection[str] = (),
+) -> DataFrame:
+    """The next rows in order after a row with the values ``last`` of the order's columns.
+
+    None gives the first rows. The order has to tell rows apart, as by a key at its end: rows
+    equal to ``last`` count as seen. The comparison reaches the scan, and a top-k of a page's
+    size is all that is gathered.
     """
-    start = max(0, (number - 1) * page_size)
-    if number != 1 and (number < 1 or df.select(F.lit(1)).limit(start + 1).count() <= start):
-        number, start = 1, 0
-    sort = [F.col(c).asc_nulls_last() for c in order]
-    rows = df.orderBy(*sort).offset(start).limit(page_size)
-    return rows.withColumn(
-        "row_number", F.row_number().over(Window.orderBy(*sort)) + F.lit(start)
-    ).withColumn("page", F.lit(number))
+    rows = df
+    if last is not None:
+        # Of the columns' own types, so that no column is cast and the scan can compare.
+        seen = {c: None if last[c] is None else F.lit(last[c]).cast(df.schema[c].dataType) for c in order}
+        beyond, first = F.lit(False), True
+        for c in reversed(order):
+            column, value = F.col(f"`{c}`"), seen[c]
+            if value is None:  # nulls come last, so only nulls may follow
+                further, same = F.lit(False), column.isNull()
+            else:
+                further = column.isNull() | (column < value if c in descending else column > value)
+                same = column == value
+            beyond = further if first else further | (same & beyond)
+            first = False
+        rows = df.where(beyond)
+        lead, value = F.col(f"`{order[0]}`"), seen[order[0]]
+        if value is not None:  # said apart from the rest, for the scan
+            rows = rows.where(lead.isNull() | (lead <= value if order[0] in descending else lead >= value))
+    return rows.orderBy(*_sorted_by(df, order, descending)).limit(page_size)

@@ -20,8 +20,3 @@ def lots_from_text(requests: DataFrame, text: str, keep_empty: bool = False) ->
 def sheet_name(name: Column) -> Column:
     """The sheet's name, never empty."""
     return F.coalesce(F.nullif(name, F.lit("")), F.lit(DEFAULT_SHEET))
-
-
-def of_sheet(book: DataFrame, name: str) -> DataFrame:
-    """Rows of one sheet from all lots, over the union of the workbook's columns."""
-    return book.where(F.col("sheet") == sheet_name(F.lit(name)))

@@ -1,13 +1,14 @@
-"""The annotation table, kept as JSON records."""
+"""The annotation table, kept as JSON records behind a log of versions."""
 
 from __future__ import annotations
 
-import time
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fabtrace.sources import commits
 from fabtrace.sources.broken import BROKEN, broken, readable
 from fabtrace.sources.schemas import ANNOTATION_COLUMNS
 
@@ -40,28 +41,54 @@ def record_errors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_saved(spark: SparkSession, path: str) -> DataFrame:
-    """The latest version written by ``save``; empty when there is none.
+    """The latest version written; empty when there is none.
 
-    A damaged record is an error: the next ``save`` would lose it for good.
+    A damaged record is an error: the next change would lose it for good.
     """
-    root = path.rstrip("/")
-    versions = _unless_missing(spark, "version bigint", lambda r: r.json(f"{root}/manifest"))
-    latest = versions.agg(F.max("version")).first()[0]  # a row per version
-    if latest is None:
-        return spark.createDataFrame([], _SCHEMA)
-    data = spark.read.schema(_SCHEMA).option("mode", "FAILFAST")
-    return clean(data.json(f"{root}/data/version={latest}"))
+    return _read_parts(spark, path, commits.entries(spark, path))
 
 
 def save(annotations: DataFrame, path: str) -> None:
-    """Write a new version next to the earlier ones, which may be what is being read.
+    """Make these rows the table, in place of whatever it holds.
+
+    They may come from the earlier version, whose files stay. To keep what other writers add
+    meanwhile use ``add`` or ``update``.
+    """
+    part = _write_part(annotations, path)
+    commits.add(annotations.sparkSession, path, part, replaces=True)
+
+
+def add(rows: DataFrame, path: str) -> None:
+    """Add rows to the saved table; only they are written."""
+    commits.add(rows.sparkSession, path, _write_part(rows, path))
+
+
+def update(
+    spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame], tries: int | None = None
+) -> None:
+    """Save what ``change`` makes of the table.
 
-    The version counts once the manifest names it, also if the table is empty.
+    If another writer saves or adds meanwhile, the change is made again on the newer table.
     """
-    root, version = path.rstrip("/"), time.time_ns()
-    clean(annotations).write.mode("errorifexists").json(f"{root}/data/version={version}")
-    named = annotations.sparkSession.range(1).select(F.lit(version).alias("version"))
-    named.write.mode("append").json(f"{root}/manifest")
+
+    def make(log: list[commits.Entry]) -> commits.Entry:
+        part = _write_part(change(_read_parts(spark, path, log)), path)
+        return commits.Entry(0, part, replaces=True)
+
+    commits.change(spark, path, make, tries)
+
+
+def _write_part(rows: DataFrame, path: str) -> str:
+    part = commits.new_part()
+    clean(rows).write.mode("errorifexists").json(f"{path.rstrip('/')}/{part}")
+    return part
+
+
+def _read_parts(spark: SparkSession, path: str, log: list[commits.Entry]) -> DataFrame:
+    parts = [f"{path.rstrip('/')}/{e.part}" for e in commits.current(log)]
+    if not parts:
+        return spark.createDataFrame([], _SCHEMA)
+    return clean(spark.read.schema(_SCHEMA).option("mode", "FAILFAST").json(parts))
 
 
 def _records(spark: SparkSession, path: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+from concurrent.futures import ThreadPoolExecutor
 from types import SimpleNamespace
 
 import pytest
@@ -6,10 +7,10 @@ from pyspark.sql import functions as F
 
 from fabtrace.operators import annotations, quality, workbook
 from fabtrace.sources import annotations as records
-from fabtrace.sources import files
+from fabtrace.sources import commits, files
 from fabtrace.sources.scratch import shared_folder
 from fabtrace.sources.tables import query
-from fabtrace.sources.workbook import read_sheets, unreadable, write_sheet
+from fabtrace.sources.workbook import catalogue, read_sheet, read_sheets, unreadable, write_sheet
 from tests.helpers import rows_of
 
 COLUMNS = records.ANNOTATION_COLUMNS
@@ -35,7 +36,10 @@ def test_saving_over_what_is_read(spark, tmp_path):
     records.save(notes(spark, ("L", "1", "d", "", "")), path)
     more = annotations.append(records.read_saved(spark, path), notes(spark, ("M", "2", "e", "—", "—")))
     records.save(more, path)
-    assert rows_of(records.read_saved(spark, path)) == {("L", "1", "d", "", ""): 1, ("M", "2", "e", "", ""): 1}
+    both = {("L", "1", "d", "", ""): 1, ("M", "2", "e", "", ""): 1}
+    assert rows_of(records.read_saved(spark, path)) == both
+    records.add(notes(spark, ("N", "3", "f", "", "")), path)
+    assert rows_of(records.read_saved(spark, path)) == both | {("N", "3", "f", "", ""): 1}
     records.save(records.read_saved(spark, path).where("OPERATION = '0'"), path)
     assert records.read_saved(spark, path).count() == 0
 
@@ -84,10 +88,69 @@ def test_workbook(spark, tmp_path):
         ("VA2", name, "two", None, "3.5"): 1,
         ("VA2", "Sheet1", "1", "x", None): 1,
     }
-    assert workbook.of_sheet(back, "").count() == 1
     assert [tuple(r) for r in unreadable(spark, root).collect()] == [("bad.json", "{broken")]
 
 
+def test_a_sheet_has_the_columns_of_its_own_files(spark, tmp_path):
+    root = str(tmp_path / "book")
+    write_sheet(spark.createDataFrame([(1, None)], "`b.c` int, a string"), root, "VA1", "S")
+    write_sheet(spark.createDataFrame([(1.5, "x", "y")], "z double, a string, `b.c` string"), root, "VA2", "S")
+    write_sheet(spark.createDataFrame([], "only int"), root, "VA2", "T")
+    sheet = read_sheet(spark, root, "S")
+    assert sheet.columns == ["lot", "sheet", "b.c", "a", "z"]  # a column of nulls is still one
+    assert rows_of(sheet) == {("VA1", "S", "1", None, None): 1, ("VA2", "S", "y", "x", "1.5"): 1}
+    assert len({f.rsplit("/", 2)[1] for f in sheet.inputFiles()}) == 2
+    assert read_sheet(spark, root, "T").columns == ["lot", "sheet", "only"]
+    assert read_sheet(spark, root, "U").columns == ["lot", "sheet"]
+    assert [tuple(r) for r in catalogue(spark, root).orderBy("sheet", "ordinal").collect()] == [
+        ("S", 1, "b.c"), ("S", 2, "a"), ("S", 3, "z"), ("T", 1, "only"),
+    ]
+    assert read_sheets(spark, root).columns == ["lot", "sheet", "b.c", "a", "z", "only"]
+
+
+# ---- versions --------------------------------------------------------------------------------
+
+
+def test_two_writers(spark, tmp_path):
+    path = str(tmp_path / "notes")
+    records.save(notes(spark, ("L", "1", "old", "", "")), path)
+    runs = []
+
+    def change(saved):
+        runs.append(saved.count())
+        if len(runs) == 1:  # another writer is faster
+            records.add(notes(spark, ("M", "2", "new", "", "")), path)
+        return saved.withColumn("ISSUE", F.lit("seen"))
+
+    records.update(spark, path, change)
+    assert runs == [1, 2]
+    assert rows_of(records.read_saved(spark, path)) == {("L", "1", "old", "seen", ""): 1, ("M", "2", "new", "seen", ""): 1}
+    runs.clear()
+    with pytest.raises(commits.Conflict):
+        records.update(spark, path, change, tries=1)
+    assert rows_of(records.read_saved(spark, path), "ISSUE") == {("seen",): 2, ("",): 1}
+
+
+def test_many_writers_at_once(spark, tmp_path):
+    path = str(tmp_path / "notes")
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda i: records.add(notes(spark, ("L", str(i), "d", "", "")), path), range(18)))
+    assert [e.version for e in commits.entries(spark, path)] == list(range(1, 19))
+    assert rows_of(records.read_saved(spark, path), "OPERATION") == {(str(i),): 1 for i in range(18)}
+
+
+def test_a_version_is_seen_whole_or_not_at_all(spark, tmp_path):
+    path = str(tmp_path / "notes")
+    records.save(notes(spark, ("L", "1", "d", "", "")), path)
+    before = records.read_saved(spark, path)
+    records._write_part(notes(spark, ("M", "2", "e", "", "")), path)  # a writer that never came to its entry
+    assert rows_of(records.read_saved(spark, path)) == rows_of(before)
+    records.save(notes(spark), path)
+    assert rows_of(before) == {("L", "1", "d", "", ""): 1}  # a reader keeps the version it began with
+    assert not commits.commit(spark, path, commits.Entry(2, "data/x"))
+    assert not any(p.name.startswith(".") and not p.name.endswith(".crc") for p in (tmp_path / "notes" / "log").iterdir())
+
+
 def test_a_book_of_unreadable_files(spark, tmp_path):
     (tmp_path / "bad.json").write_text("{broken\n")
     with pytest.raises(ValueError):
