@@ -17,12 +17,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def hashed_words(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(joined: bytes, fold: bytes = FOLD) -> tuple[np.ndarray, np.ndarray]:
     """Hash and place of every word of the text.
 
-    Words are lower-cased (A-Z only) and end at ASCII characters that are no letter or digit.
+    Words are lower-cased (A-Z only) and end at ASCII characters that are no letter or digit,
+    or at what else ``fold`` makes a blank.
     """
-    raw = np.frombuffer(joined.translate(FOLD), np.uint8)
+    raw = np.frombuffer(joined.translate(fold), np.uint8)
     blank = raw == 32
     start = ~blank
     start[1:] &= blank[:-1]
