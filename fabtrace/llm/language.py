@@ -23,9 +23,12 @@ DIMENSIONS = 1024
 UNKNOWN = "und"
 # More languages than this make the table of prototypes too large to send around.
 MOST_LANGUAGES = 4096
-# Longer texts are bundled piece by piece; a trigram across two pieces is split by a blank.
+# Longer texts are counted piece by piece, with two letters carried from one to the next, so that
+# only memory depends on it.
 LONGEST_PIECE = 1 << 18
 GRAMS_AT_ONCE = 4096
+# Texts times trigrams in one table of counts; more are counted in halves.
+MOST_COUNTS = 1 << 23
 # Texts whose best cosine is below this are rejected by ``keep_known``. A word or two can have
 # a very low one, so by default only texts without a letter are.
 LEAST_SCORE = 0.0
@@ -53,58 +56,86 @@ def letter_vectors(code_points: np.ndarray, dimensions: int = DIMENSIONS) -> np.
 
 
 def bundles(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
-    """The bundle of every text's trigrams; zero where a text has no letter."""
-    pieces, owner = [], []
-    for i, text in enumerate(texts):
-        for at in range(0, max(len(text), 1), LONGEST_PIECE):
-            pieces.append(text[at : at + LONGEST_PIECE])
-            owner.append(i)
+    """The bundle of every text's trigrams; zero where a text has no letter.
+
+    Letters are lower-cased; everything between two words is one blank, and so are a text's ends.
+    """
     out = np.zeros((len(texts), dimensions), np.float32)
+    short = [i for i, t in enumerate(texts) if len(t) <= LONGEST_PIECE]
     done = 0
-    for batch in in_batches(pieces):
-        counts, grams = _counts(batch)
-        vectors = np.zeros((len(batch), dimensions), np.float32)
-        if grams is not None:
-            letters, ids = grams
-            size = len(letters)
-            base = letter_vectors(letters, dimensions)
-            first, second = np.roll(base, 2, axis=1), np.roll(base, 1, axis=1)
-            for at in range(0, len(ids), GRAMS_AT_ONCE):
-                g = ids[at : at + GRAMS_AT_ONCE]
-                bound = first[g // (size * size)] * second[g // size % size] * base[g % size]
-                vectors += counts[:, at : at + GRAMS_AT_ONCE] @ bound.astype(np.float32)
-        np.add.at(out, owner[done : done + len(batch)], vectors)
+    for batch in in_batches(texts[i] for i in short):
+        classes, owner = _joined([t.lower() for t in batch])
+        out[short[done : done + len(batch)]] = _bundled(classes, owner, len(batch), dimensions)
         done += len(batch)
+    for i, text in enumerate(texts):
+        if len(text) > LONGEST_PIECE:
+            for classes in _pieces(text.lower()):
+                out[i] += _bundled(classes, np.zeros(len(classes), np.int64), 1, dimensions)[0]
     return out
 
 
-def _counts(texts: list[str]) -> tuple[np.ndarray | None, tuple[np.ndarray, np.ndarray] | None]:
-    """How often each text has each trigram; the letters and trigrams these columns stand for.
-
-    Letters are lower-cased; everything between two words is one blank, and so are a text's ends.
-    """
-    lowered = [t.lower() for t in texts]
+def _joined(lowered: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Letters as code points and blanks as 0, of all texts one after the other, and whose they are."""
     points = np.frombuffer(("\0".join(["", *lowered, ""])).encode("utf-32-le"), np.uint32)
-    text_of = np.repeat(np.arange(-1, len(texts)), [1, *[len(t) + 1 for t in lowered]])
+    text_of = np.repeat(np.arange(-1, len(lowered)), [1, *[len(t) + 1 for t in lowered]])
     letter = _letters()[points]
     keep = letter.copy()
     keep[0] = True
     keep[1:] |= letter[:-1]  # the first blank after a word
-    points, text_of, letter = points[keep], text_of[keep], letter[keep]
-    classes = np.where(letter, points, 0)
+    return np.where(letter, points, 0)[keep], text_of[keep]
+
+
+def _pieces(lowered: str) -> Iterator[np.ndarray]:
+    """The same of one text, in pieces that begin with the last two classes of the one before."""
+    carried = np.zeros(1, np.uint32)
+    for at in range(0, len(lowered), LONGEST_PIECE):
+        piece = lowered[at : at + LONGEST_PIECE]
+        if at + LONGEST_PIECE >= len(lowered):
+            piece += "\0"
+        points = np.frombuffer(piece.encode("utf-32-le"), np.uint32)
+        letter = _letters()[points]
+        keep = letter.copy()
+        keep[0] |= carried[-1] != 0
+        keep[1:] |= letter[:-1]
+        classes = np.concatenate([carried, np.where(letter, points, 0)[keep]])
+        yield classes
+        carried = classes[-2:]
+
+
+def bundle_of_all(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
+    """The sum of the bundles of all texts."""
+    total = np.zeros(dimensions)
+    for batch in in_batches(t for t in texts if len(t) <= LONGEST_PIECE):
+        total += _bundled(*_joined([t.lower() for t in batch]), 1, dimensions)[0]
+    for text in texts:
+        if len(text) > LONGEST_PIECE:
+            total += bundles([text], dimensions)[0]
+    return total
+
+
+def _bundled(classes: np.ndarray, owner: np.ndarray, n: int, dimensions: int) -> np.ndarray:
+    """The bundles of n texts from their classes, of all together if n is 1.
+
+    A text begins with the blank that ends the one before.
+    """
     present = np.zeros(0x110000, bool)
     present[classes] = True
     present[0] = True
     letters = np.flatnonzero(present)
     rank = np.zeros(0x110000, np.int64)
     rank[letters] = np.arange(len(letters))
-    c = rank[classes]
-    if len(c) < 3:
-        return None, None
-    size = len(letters)
-    inside = text_of[1:-1] == text_of[2:]  # not across two texts
+    c, size = rank[classes], len(letters)
+    inside = owner[1:-1] == owner[2:]  # not across two texts
     grams = (c[:-2] * size * size + c[1:-1] * size + c[2:])[inside]
-    owner = text_of[2:][inside]
+    return _weighted(grams, owner[2:][inside] if n > 1 else np.zeros(len(grams), np.int64), n, letters, dimensions)
+
+
+def _weighted(grams: np.ndarray, owner: np.ndarray, n: int, letters: np.ndarray, dimensions: int) -> np.ndarray:
+    """The sum of the vectors of each text's trigrams; ``owner`` does not fall."""
+    vectors = np.zeros((n, dimensions), np.float32)
+    if not len(grams):
+        return vectors
+    size = len(letters)
     if size**3 <= 1 << 22:
         ids = np.flatnonzero(np.bincount(grams, minlength=size**3))
         place = np.zeros(size**3, np.int64)
@@ -112,8 +143,19 @@ def _counts(texts: list[str]) -> tuple[np.ndarray | None, tuple[np.ndarray, np.n
         place = place[grams]
     else:
         ids, place = np.unique(grams, return_inverse=True)
-    counts = np.bincount(owner * len(ids) + place, minlength=len(texts) * len(ids))
-    return counts.reshape(len(texts), len(ids)).astype(np.float32), (letters, ids)
+    if n > 1 and n * len(ids) > MOST_COUNTS:
+        half, at = n // 2, np.searchsorted(owner, n // 2)
+        vectors[:half] = _weighted(grams[:at], owner[:at], half, letters, dimensions)
+        vectors[half:] = _weighted(grams[at:], owner[at:] - half, n - half, letters, dimensions)
+        return vectors
+    counts = np.bincount(owner * len(ids) + place, minlength=n * len(ids)).reshape(n, len(ids)).astype(np.float32)
+    base = letter_vectors(letters, dimensions)
+    first, second = np.roll(base, 2, axis=1), np.roll(base, 1, axis=1)
+    for at in range(0, len(ids), GRAMS_AT_ONCE):
+        g = ids[at : at + GRAMS_AT_ONCE]
+        bound = first[g // (size * size)] * second[g // size % size] * base[g % size]
+        vectors += counts[:, at : at + GRAMS_AT_ONCE] @ bound.astype(np.float32)
+    return vectors
 
 
 def learn(labelled: DataFrame, text_column: str = "text", lang_column: str = "lang") -> dict[str, np.ndarray]:
@@ -136,9 +178,7 @@ def learn(labelled: DataFrame, text_column: str = "text", lang_column: str = "la
             for t, n in zip(texts, langs, strict=True):
                 by_lang.setdefault(n, []).append(t)
             for n, own in by_lang.items():
-                # Texts joined by a character that is no letter have the same trigrams.
-                for part in in_batches(own):
-                    total[place[n]] += bundles(["\n".join(part)])[0]
+                total[place[n]] += bundle_of_all(own)
         return total
 
     found = gather(rows, fill, DIMENSIONS, np.float64, len(names))
