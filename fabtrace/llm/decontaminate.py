@@ -8,6 +8,7 @@ pairs that end a window lead to a bucket of candidates, and these are compared w
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -29,8 +30,10 @@ from fabtrace.sources.scratch import cut
 
 WINDOW = 13
 # Windows searched together. The tables of one block take about 1 KB per window; a larger
-# benchmark is searched in several blocks, each by the same tasks.
+# benchmark is searched in several blocks, one after the other by the same tasks.
 WINDOWS_PER_BLOCK = 100_000
+# Characters of text a task searches with the tables of one block before it builds the next.
+SEARCHED_AT_ONCE = 1 << 24
 
 FOUND = StructType(
     [
@@ -89,9 +92,9 @@ class Searcher:
             end += 1
 
 
-def build(rows: Iterable[tuple[str, str]]) -> list[Searcher]:
+def build(rows: Iterable[tuple[str, str | None]]) -> list[Searcher]:
     """Searchers for (window, item) rows, the words of a window joined by blanks."""
-    by_length: dict[int, dict[tuple[bytes, ...], set[str]]] = defaultdict(dict)
+    by_length: dict[int, dict[tuple[bytes, ...], set[str | None]]] = defaultdict(dict)
     for window, item in rows:
         parts = tuple(window.encode().split(b" "))
         by_length[len(parts)].setdefault(parts, set()).add(item)
@@ -103,11 +106,11 @@ def windows_of(benchmark: DataFrame, id_column: str = "item_id", text_column: st
 
     def cut_out(batches: Batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[str, str]] = []
+            out: list[tuple[str, str | None]] = []
             for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 w = words(text)
                 for i in range(max(1, len(w) - WINDOW + 1) if w else 0):
-                    out.append((b" ".join(w[i : i + WINDOW]).decode(), item or ""))
+                    out.append((b" ".join(w[i : i + WINDOW]).decode(), item))
             yield pa.record_batch(
                 {"window": pa.array([o[0] for o in out], pa.string()), "item": pa.array([o[1] for o in out], pa.string())}
             )
@@ -130,15 +133,43 @@ def blocks_of(windows: DataFrame, per_block: int = WINDOWS_PER_BLOCK) -> list[Br
     own = F.pmod(F.xxhash64("window"), F.lit(blocks)) if blocks > 1 else F.lit(0)
     out = []
     for k in range(blocks):
-        rows = table.where(own == k).toLocalIterator()
-        text = "\n".join(f"{r.window}\t{r.item}" for r in rows)
-        out.append(spark.sparkContext.broadcast(zlib.compress(text.encode())))
+        rows = [(r.window, r.item) for r in table.where(own == k).toLocalIterator()]
+        out.append(spark.sparkContext.broadcast(zlib.compress(json.dumps(rows).encode())))
     return out
 
 
 def _searchers(block: Broadcast) -> list[Searcher]:
-    lines = zlib.decompress(block.value).decode().split("\n")
-    return build(line.split("\t") for line in lines if line)
+    return build(json.loads(zlib.decompress(block.value)))
+
+
+def _gathered(batches: Iterator[pa.Array]) -> Iterator[list[pa.Array]]:
+    """Batches of texts, as many at once as SEARCHED_AT_ONCE allows."""
+    own, size = [], 0
+    for batch in batches:
+        own.append(batch)
+        size += batch.nbytes
+        if size >= SEARCHED_AT_ONCE:
+            yield own
+            own, size = [], 0
+    if own:
+        yield own
+
+
+def _summary(found: list[tuple[bytearray, set[str | None]]]) -> pa.Array:
+    """FOUND for the hit words and items of each text."""
+    n_words = [len(hit) for hit, _ in found]
+    n_hit = [hit.count(1) for hit, _ in found]
+    names = [",".join(sorted(i or "" for i in items)) for _, items in found]
+    return pa.StructArray.from_arrays(
+        [
+            pa.array(n_words, pa.int64()),
+            pa.array(n_hit, pa.int64()),
+            pa.array([len(items) for _, items in found], pa.int64()),
+            pa.array([hashlib.sha256(x.encode()).hexdigest() for x in names]),
+            pa.array([h > 0 and 20 * h >= n for h, n in zip(n_hit, n_words, strict=True)], pa.bool_()),
+        ],
+        FOUND.fieldNames(),
+    )
 
 
 def find(text: Column, blocks: list[Broadcast]) -> Column:
@@ -146,37 +177,23 @@ def find(text: Column, blocks: list[Broadcast]) -> Column:
 
     A word is hit if any occurrence of a window covers it. A document is contaminated if it
     has hits and these are a twentieth of its words or more. Null has no words. Items without
-    an id are found and named by an empty string.
+    an id are one item, named by an empty string.
     """
 
     @F.arrow_udf(FOUND)
     def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kept = _searchers(blocks[0]) if len(blocks) == 1 else None
-        for batch in batches:
-            texts = [words(t) for t in batch.to_pylist()]
-            hits: list[bytearray | None] = [None] * len(texts)
-            items: list[set[str]] = [set() for _ in texts]
-            for block in blocks:
-                searchers = kept if kept is not None else _searchers(block)
-                for i, text in enumerate(texts):
-                    for s in searchers:
-                        for start, names in s.search(text):
-                            if hits[i] is None:
-                                hits[i] = bytearray(len(text))
-                            hits[i][start : start + s.length] = b"\1" * s.length
-                            items[i] |= names
-            n_words = [len(t) for t in texts]
-            n_hit = [h.count(1) if h else 0 for h in hits]
-            yield pa.StructArray.from_arrays(
-                [
-                    pa.array(n_words, pa.int64()),
-                    pa.array(n_hit, pa.int64()),
-                    pa.array([len(x) for x in items], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]),
-                    pa.array([h > 0 and 20 * h >= n for h, n in zip(n_hit, n_words, strict=True)], pa.bool_()),
-                ],
-                FOUND.fieldNames(),
-            )
+        kept = [_searchers(blocks[0])] if len(blocks) == 1 else None
+        for together in _gathered(batches):
+            texts = [[words(t) for t in batch.to_pylist()] for batch in together]
+            found = [[(bytearray(len(t)), set()) for t in batch] for batch in texts]
+            for searchers in kept or map(_searchers, blocks):
+                for batch, results in zip(texts, found, strict=True):
+                    for text, (hit, items) in zip(batch, results, strict=True):
+                        for s in searchers:
+                            for start, names in s.search(text):
+                                hit[start : start + s.length] = b"\1" * s.length
+                                items |= names
+            yield from map(_summary, found)
 
     return search(text.cast("binary"))
 

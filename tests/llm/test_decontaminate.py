@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -15,6 +16,10 @@ ITEMS = [
     (5, "中文"),
     (5, "中文"),
 ]
+NAMED = [
+    ("a\tb", "One two three"), ("c\nd\r", "seven eight"), ("", "One two"), (None, "two three"), ('"', "four five"),
+    ("\\", "école"), ("a", "été"),
+]
 
 
 def brute(items, text):
@@ -27,8 +32,8 @@ def brute(items, text):
             for at in range(len(w) - len(window) + 1):
                 if w[at : at + len(window)] == window:
                     hit.update(range(at, at + len(window)))
-                    names.add("" if item is None else str(item))
-    return len(w), len(hit), sorted(names), len(hit) > 0 and 20 * len(hit) >= len(w)
+                    names.add(item if item is None else str(item))
+    return len(w), len(hit), sorted(n or "" for n in names), len(hit) > 0 and 20 * len(hit) >= len(w)
 
 
 def test_search_against_brute_force():
@@ -52,8 +57,6 @@ def test_search_against_brute_force():
 
 
 def test_awkward_rows_in_one_block_and_several(spark):
-    import hashlib
-
     benchmark = spark.createDataFrame(ITEMS, "item_id long, text string")
     want = [brute(ITEMS, t) for _, t in ROWS]
     want = sorted((n, h, len(k), hashlib.sha256(",".join(k).encode()).hexdigest(), c) for n, h, k, c in want)
@@ -64,6 +67,16 @@ def test_awkward_rows_in_one_block_and_several(spark):
         assert sorted(map(tuple, found)) == want
 
 
+def test_ids_of_any_text(spark):
+    benchmark = spark.createDataFrame(NAMED, "item_id string, text string")
+    want = [brute(NAMED, t) for _, t in ROWS]
+    want = sorted((n, h, len(k), hashlib.sha256(",".join(k).encode()).hexdigest(), c) for n, h, k, c in want)
+    for size in (100, 2):
+        blocks = decontaminate.blocks_of(decontaminate.windows_of(benchmark), size)
+        found = documents(spark).select(decontaminate.find(F.col("text"), blocks).alias("f")).select("f.*").collect()
+        assert sorted(map(tuple, found)) == want
+
+
 def test_empty_tables(spark):
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.keep_clean(documents(spark), nothing).count() == len(ROWS)
