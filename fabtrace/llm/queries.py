@@ -95,6 +95,7 @@ def passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_units",
         "n_removed",
         "removed_words",
+        "in_passages",
         "kept_in",
         "kept",
         F.char_length("kept_text").cast("long").alias("kept_chars"),
