@@ -103,6 +103,19 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def earlier_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was known before: of a third of the lots the last days are missing, of some lots
+    rows were deleted meanwhile, and of others a row within came late."""
+    n = F.substring("lot", 3, 6).cast("int")
+    rows = transactions(spark, sf_dir)
+    known = rows.where(
+        ~((n % 3 == 0) & (F.col("time_stamp") >= F.expr("timestamp_ntz'2024-01-20'")))
+        & ~((n % 7 == 1) & (F.col("qty_out_1") == 3))
+    )
+    undeleted = F.when((n % 5 == 2) & (F.col("deleted_flag") == "Y"), "N").otherwise(F.col("deleted_flag"))
+    return known.withColumn("deleted_flag", undeleted)
+
+
 def _slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part with its group ``g`` and its place ``k`` there."""
     key = F.col("p_partkey")
@@ -128,6 +141,23 @@ def route_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def versioned_route_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with one or two earlier versions of most, which were slower and a step later."""
+    planned = route_operations(spark, sf_dir)
+    step = F.col("operation_sequence_number") / F.lit(10)
+    age = F.explode(F.array(*[F.lit(a) for a in range(3)])).alias("age")
+    every = planned.select("*", age).where((F.col("age") == 0) | (step % (F.col("age") + 1) != 0))
+    earlier = F.when(F.col("age") == 0, F.col("create_date")).otherwise(
+        F.expr("timestamp_ntz'2024-01-20' - make_dt_interval(4 * age)")
+    )
+    slower = F.col("process_cycle_time") * (F.col("age") + 1)
+    later = (F.col("operation_sequence_number") + F.col("age")).cast("int")
+    changed = every.withColumns(
+        {"create_date": earlier, "process_cycle_time": slower, "operation_sequence_number": later}
+    )
+    return changed.drop("age")
+
+
 def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All parts as operations; step 12 of the routes has none."""
     k, g = F.col("k"), F.col("g")
@@ -182,6 +212,12 @@ def _pick(n: Column, values: list) -> Column:
     return F.get(F.array(*[F.lit(v).cast("string") if not isinstance(v, Column) else v for v in values]), n.cast("int"))
 
 
+QUANTITIES = [
+    "025", "25.50", "abc", None, "0.50", "100", "123456789012345678901234567890123456789012.00000000000120",
+    "-0.000000000000001", "1.5e3",
+]
+
+
 def recorded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transactions with the texts a history keeps of them."""
     e = F.col("event_id")
@@ -202,7 +238,7 @@ def recorded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(e % 2 == 0, "Y").otherwise("N").alias("is_reserved"),
         F.when(e % 3 != 0, F.concat(F.lit("RM"), s(e % 9))).alias("is_reserved_machine"),
         F.when(e % 4 != 0, F.concat(F.lit("RO"), s(e % 11))).alias("is_reserved_operator"),
-        _pick(F.floor(e / 24) % 6, ["025", "25.50", "abc", None, "0.50", "100"]).alias("quantity_1"),
+        _pick(F.floor(e / 24) % 9, QUANTITIES).alias("quantity_1"),
         F.when(e % 3 != 1, F.concat(F.lit("H"), s(e % 6))).alias("hold_code"),
         _pick(F.floor(e / 24) % 4, [None, "  ", "held", F.repeat(note, 60)]).alias("hold_comment"),
     )

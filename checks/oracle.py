@@ -127,6 +127,40 @@ cte("master", """
     LEFT JOIN oper o ON o.facility = coalesce(r.facility, s.facility) AND o.operation = coalesce(r.operation, s.operation)
     WHERE coalesce(r.optional, 'N') = 'N'""")
 
+# The same with versions of the plan: of those created on or after a day the first counts, in the
+# plan of a segment the last one if there is none.
+cte("ro_versions", """
+    SELECT * REPLACE (CASE WHEN age = 0 THEN created ELSE TIMESTAMP '2024-01-20' - to_days(CAST(4 * age AS INT)) END AS created,
+                      process_ct * (age + 1) AS process_ct, seq + age AS seq)
+    FROM ro, (SELECT unnest([0, 1, 2]) AS age) WHERE age = 0 OR (seq / 10) % (age + 1) <> 0""")
+cte("stepped_v", """
+    SELECT t.lot, t.facility, t.route, t.time_stamp, t.operation, r.seq, r.route IS NULL AS unplanned,
+      coalesce(r.route, 'n/a') AS planned_route
+    FROM (SELECT row_number() OVER () AS id, * FROM tx WHERE operation <> to_operation) t
+    LEFT JOIN ro_versions r ON r.facility = t.facility AND r.route = t.route AND r.operation = t.operation
+      AND r.created >= t.date_stamp
+    QUALIFY row_number() OVER (PARTITION BY t.id ORDER BY r.created, r.seq) = 1""")
+for name, source, target in (("neighbours", "stepped", "neighbours_v"), ("bounds", "neighbours", "bounds_v"),
+                             ("kept", "bounds", "kept_v"), ("begun", "kept", "begun_v"), ("seg", "begun", "seg_v")):
+    cte(target, CTES[name].replace(f"FROM {source}", f"FROM {source}_v"))
+cte("ro_of_segment", """
+    SELECT s.lot, s.facility, s.route, s.began, r.* EXCLUDE (facility, route)
+    FROM (SELECT DISTINCT lot, facility, route, began FROM seg_v) s
+    JOIN ro_versions r ON r.facility = s.facility AND r.route = s.route
+    QUALIFY row_number() OVER (PARTITION BY s.lot, s.facility, s.route, s.began, r.operation
+      ORDER BY created < date_trunc('day', s.began),
+        CASE WHEN created < date_trunc('day', s.began) THEN -epoch(created) ELSE epoch(created) END, seq) = 1""")
+cte("master_v", """
+    SELECT s.lot, s.facility, s.route, coalesce(r.operation, s.operation) AS operation, o.store, r.seq,
+      CASE WHEN r.seq > s.visited_until THEN 'Y' ELSE 'N' END AS off_route, coalesce(o.described, '??') AS described,
+      CASE WHEN s.reached > r.seq THEN NULL ELSE r.queue_ct END AS queue_ct,
+      CASE WHEN s.reached > r.seq THEN NULL ELSE round(r.process_ct + r.queue_ct, 3) END AS due_ct,
+      s.began, s.left_at
+    FROM seg_v s LEFT JOIN ro_of_segment r ON r.lot = s.lot AND r.facility = s.facility AND r.route = s.route
+      AND r.began = s.began AND r.seq >= s.seq AND r.seq < s.to_seq
+    LEFT JOIN oper o ON o.facility = s.facility AND o.operation = coalesce(r.operation, s.operation)
+    WHERE coalesce(r.optional, 'N') = 'N'""")
+
 # ---- holds and moves ---------------------------------------------------------------------
 
 cte("hold_events", """
@@ -195,12 +229,14 @@ cte("recorded", f"""
       ([NULL, '', '   ', 'a;b', {NOTE}])[event_id % 5 + 1] AS comment, event_id % 2 = 0 AS reserved,
       CASE WHEN event_id % 3 <> 0 THEN 'RM' || CAST(event_id % 9 AS VARCHAR) END AS machine,
       CASE WHEN event_id % 4 <> 0 THEN 'RO' || CAST(event_id % 11 AS VARCHAR) END AS reserver,
-      (['025', '25.50', 'abc', NULL, '0.50', '100'])[CAST(floor(event_id / 24e0) AS BIGINT) % 6 + 1] AS quantity,
-      (['25', '25.5', '', NULL, '.5', '100'])[CAST(floor(event_id / 24e0) AS BIGINT) % 6 + 1] AS quantity_shown,
+      (['025', '25.50', 'abc', NULL, '0.50', '100', '123456789012345678901234567890123456789012.00000000000120',
+        '-0.000000000000001', '1.5e3'])[CAST(floor(event_id / 24e0) AS BIGINT) % 9 + 1] AS quantity,
+      (['25', '25.5', '', NULL, '.5', '100', '123456789012345678901234567890123456789012.0000000000012',
+        '-.000000000000001', '1500'])[CAST(floor(event_id / 24e0) AS BIGINT) % 9 + 1] AS quantity_shown,
       CASE WHEN event_id % 3 <> 1 THEN 'H' || CAST(event_id % 6 AS VARCHAR) END AS hold_code,
       ([NULL, '  ', 'held', repeat({NOTE}, 60)])[CAST(floor(event_id / 24e0) AS BIGINT) % 4 + 1] AS hold_comment
     FROM st""")
-# code, text, followed by the operator, followed by the comment
+# Fixed values, as the texts are defined: code, text, followed by the operator, followed by the comment
 cte("wording", """
     SELECT * FROM (VALUES ('MVIN', 'Lot moved in logged by ', true, true),
       ('MVOU', 'Lot moved out logged by ', true, true), ('TRST', 'Lot moved to/from store logged by ', true, true),
@@ -396,6 +432,13 @@ FINAL: dict[str, str] = {
         SELECT lot, facility, route, operation, store AS store_flag, seq AS operation_sequence_number,
           off_route AS is_off_route, described AS operation_desc, queue_ct AS queue_cycle_time, due_ct,
           began AS route_order_seq, left_at AS route_leave_time_stamp, 'N' AS optional_oper_flag FROM master""",
+    "boundary_moves_one_version": """
+        SELECT lot, facility, route, time_stamp, operation, seq AS operation_sequence_number,
+          reached AS loop_back_indicator FROM bounds_v""",
+    "route_master_one_version": """
+        SELECT lot, facility, route, operation, store AS store_flag, seq AS operation_sequence_number,
+          off_route AS is_off_route, described AS operation_desc, queue_ct AS queue_cycle_time, due_ct,
+          began AS route_order_seq, left_at AS route_leave_time_stamp, 'N' AS optional_oper_flag FROM master_v""",
     "hold_history": """
         SELECT lot, facility, route, operation, transcode, released_at AS rllt_time_stamp, held AS actual_holdtime
         FROM released""",
@@ -566,7 +609,12 @@ FINAL: dict[str, str] = {
         FROM logs GROUP BY 1""",
     "csv_roundtrip": "SELECT * EXCLUDE (ordinal) FROM board",
     "json_roundtrip": f"SELECT {NAMES} FROM notes",
+    "csv_roundtrip_in_lines": "SELECT * FROM board",
 }
+# Results that come another way must be the same.
+FINAL["lot_monitor_refreshed"] = FINAL["lot_monitor"]
+FINAL["lot_kpis_of_kept_monitor"] = FINAL["lot_kpis"]
+FINAL["delayed_history_of_kept_monitor"] = FINAL["delayed_history"]
 
 
 def _needed(sql: str) -> list[str]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +22,7 @@ from fabtrace.operators import (
     route,
     workbook,
 )
-from fabtrace.plans import detail, monitor
+from fabtrace.plans import detail, monitor, stored
 from fabtrace.session import tune
 from fabtrace.sources import annotations as annotation_records
 from fabtrace.sources import files, payload, tables
@@ -162,6 +164,53 @@ def lot_kpis(spark, sf_dir):
     return monitor.lot_kpis(_monitor(spark, sf_dir))
 
 
+def _versioned(spark, sf_dir) -> monitor.LotTables:
+    planned = derive.versioned_route_operations(spark, sf_dir)
+    return dataclasses.replace(derive.lot_tables(spark, sf_dir), route_operations=planned)
+
+
+@query
+def boundary_moves_one_version(spark, sf_dir):
+    t = _versioned(spark, sf_dir)
+    return route.boundary_moves(t.transactions, t.route_operations, one_version=True)
+
+
+@query
+def route_master_one_version(spark, sf_dir):
+    t = _versioned(spark, sf_dir)
+    bounds = route.boundary_moves(t.transactions, t.route_operations, one_version=True)
+    segments = route.route_segments(bounds, derive.AS_OF)
+    return route.route_master(segments, t.route_operations, t.operations, one_version=True)
+
+
+def _kept_monitor(spark, sf_dir) -> DataFrame:
+    """Built of what was known before, then brought up to date."""
+    root, now = new_path(spark, "monitor"), derive.lot_tables(spark, sf_dir)
+    before = dataclasses.replace(now, transactions=derive.earlier_transactions(spark, sf_dir))
+    stored.refresh(before, dt.datetime(2024, 1, 22), root)
+    stored.refresh(now, derive.AS_OF, root)
+    return stored.read(spark, root)
+
+
+@query
+def lot_monitor_refreshed(spark, sf_dir):
+    return _kept_monitor(spark, sf_dir).drop(*monitor.HIDDEN)
+
+
+@query
+def lot_kpis_of_kept_monitor(spark, sf_dir):
+    return monitor.lot_kpis(_kept_monitor(spark, sf_dir))
+
+
+@query
+def delayed_history_of_kept_monitor(spark, sf_dir):
+    summary = monitor.delay_summary(_kept_monitor(spark, sf_dir))
+    opened = derive.annotation_keys(spark, sf_dir).select(
+        F.col("lot").alias("LOT"), F.col("op").alias("OPERATION")
+    )
+    return detail.delayed_history(summary, derive.history_sources(spark, sf_dir), opened)
+
+
 # ---- history ---------------------------------------------------------------------------
 
 
@@ -528,6 +577,15 @@ def csv_roundtrip(spark, sf_dir):
     return files.read_csv(spark, path, board.schema)
 
 
+@query
+def csv_roundtrip_in_lines(spark, sf_dir):
+    """No cell of these orders holds a line feed, so files may be split."""
+    path = new_path(spark, "csv")
+    board = orders.board(derive.priority_orders(spark, sf_dir), keep=["ordinal"])
+    files.write_csv(board, path)
+    return files.read_csv(spark, path, board.schema, line_feeds_in_cells=False)
+
+
 @query
 def json_roundtrip(spark, sf_dir):
     path = new_path(spark, "annotations")

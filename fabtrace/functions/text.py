@@ -62,11 +62,32 @@ def clean_comment(c: Column) -> Column:
     return F.replace(c, F.lit(";"), F.lit(COMMENT_SEPARATOR))
 
 
+# Text of a number, and the exponents beyond which it is none for the source.
+NUMBER = r"^\s*([+-]?)(?=\.?[0-9])([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]{1,3}))?\s*$"
+LARGEST_EXPONENT = 130
+
+
 def number_text(c: Column) -> Column:
-    """Shortest decimal text of a number held as text; null when it is not a number."""
-    plain = c.try_cast("decimal(38,10)").cast("string")
-    short = F.rtrim(F.rtrim(plain, F.lit("0")), F.lit("."))
-    return F.regexp_replace(short, r"^(-?)0\.", "$1.")
+    """Shortest decimal text of a number held as text; null when it is not a number.
+
+    The text itself is rewritten, so no digit is lost, however many there are.
+    """
+    sign, before, after, exponent = (F.regexp_extract(c, NUMBER, i) for i in range(1, 5))
+    power = F.coalesce(F.nullif(exponent, F.lit("")).try_cast("int"), F.lit(0))
+    digits = F.concat(before, after)
+    point = F.char_length(before) + power
+    # Zeros the point moves across, none if it stays within the digits.
+    padded = F.concat(
+        F.repeat(F.lit("0"), F.greatest(F.lit(0), -point)),
+        digits,
+        F.repeat(F.lit("0"), F.greatest(F.lit(0), point - F.char_length(digits))),
+    )
+    cut = F.greatest(F.lit(0), point)
+    whole = F.ltrim(F.substring(padded, F.lit(1), cut), F.lit("0"))
+    part = F.rtrim(F.substring(padded, cut + 1, F.char_length(padded)), F.lit("0"))
+    shown = F.concat(whole, F.when(part != "", F.concat(F.lit("."), part)).otherwise(""))
+    text = F.when(shown == "", "0").otherwise(F.concat(F.when(sign == "-", "-").otherwise(""), shown))
+    return F.when(c.rlike(NUMBER) & (F.abs(power) <= LARGEST_EXPONENT), text)
 
 
 def appended(c: Column, oracle_empty_is_null: bool, shown: Column | None = None) -> Column:

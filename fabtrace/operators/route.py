@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fabtrace.operators.ordered import By, Next, Prev, Running, with_ordered
@@ -23,31 +23,63 @@ SEQ = "operation_sequence_number"
 ORDER = ["time_stamp", SEQ, "planned_operation", "facility"]
 
 
-def boundary_moves(transactions: DataFrame, route_operations: DataFrame) -> DataFrame:
+def in_force(route_operations: DataFrame) -> DataFrame:
+    """Planned operations with the days each version is the one to take, for joins by day.
+
+    A version counts after the day of the one before (``force_after``, null for the first) and
+    up to its own; the latest one also stays in force (``force_until`` is null). So a day has
+    one version, and an as-of join is a join on the operation and an interval. Of versions
+    created together the first in the order of their values counts. Versions without a day are
+    never in force.
+    """
+    key = ["facility", "route", "operation"]
+    values = [F.col(c).asc_nulls_last() for c in route_operations.columns if c not in (*key, "create_date")]
+    together = Window.partitionBy(*key, "create_date").orderBy(*values)
+    dated = route_operations.where(F.col("create_date").isNotNull())
+    single = dated.withColumn("_nth", F.row_number().over(together)).where("_nth = 1").drop("_nth")
+    by_day = Window.partitionBy(*key).orderBy("create_date")
+    return single.withColumns(
+        {
+            "force_after": F.lag("create_date").over(by_day),
+            "force_until": F.when(F.lead("create_date").over(by_day).isNotNull(), F.col("create_date")),
+        }
+    )
+
+
+def _is_in_force(day: Column) -> Column:
+    after, until = F.col("force_after"), F.col("force_until")
+    return (after.isNull() | (day > after)) & (until.isNull() | (day <= until))
+
+
+def boundary_moves(transactions: DataFrame, route_operations: DataFrame, one_version: bool = False) -> DataFrame:
     """All moves with their planned step, and ``operation`` set only at segment boundaries.
 
     Rows without a lot belong to none and are left out.
 
     Several versions of a planned operation repeat the move, as many as were created on or
-    after its day.
+    after its day. With ``one_version`` it has the first of these only.
     """
     moves = transactions.where(F.col("lot").isNotNull() & (F.col("operation") != F.col("to_operation"))).select(
         "lot", "facility", "route", "operation", "time_stamp", "date_stamp"
     )
-    planned = route_operations.select(
+    planned = (in_force(route_operations) if one_version else route_operations).select(
         F.col("facility").alias("p_facility"),
         F.col("route").alias("p_route"),
         F.col("operation").alias("p_operation"),
         SEQ,
         "create_date",
+        *(["force_after", "force_until"] if one_version else []),
     )
+    right_day = F.col("date_stamp") <= F.col("create_date")
+    if one_version:
+        right_day = right_day & _is_in_force(F.col("date_stamp"))
     stepped = (
         moves.join(
             planned,
             (F.col("facility") == F.col("p_facility"))
             & (F.col("route") == F.col("p_route"))
             & (F.col("operation") == F.col("p_operation"))
-            & (F.col("date_stamp") <= F.col("create_date")),
+            & right_day,
             "left",
         )
         .withColumn("_route", F.coalesce("p_route", F.lit(NO_ROUTE)))
@@ -127,9 +159,15 @@ def route_segments(boundaries: DataFrame, as_of: dt.datetime) -> DataFrame:
     )
 
 
-def route_master(segments: DataFrame, route_operations: DataFrame, operations: DataFrame) -> DataFrame:
-    """Planned mandatory operations of every segment, with target times and descriptions."""
-    planned = route_operations.select(
+def route_master(
+    segments: DataFrame, route_operations: DataFrame, operations: DataFrame, one_version: bool = False
+) -> DataFrame:
+    """Planned mandatory operations of every segment, with target times and descriptions.
+
+    Every version of an operation is planned once more. With ``one_version`` it is the one in
+    force on the day the segment begins.
+    """
+    planned = (in_force(route_operations) if one_version else route_operations).select(
         F.col("facility").alias("p_facility"),
         F.col("route").alias("p_route"),
         F.col("operation").alias("p_operation"),
@@ -137,7 +175,9 @@ def route_master(segments: DataFrame, route_operations: DataFrame, operations: D
         "process_cycle_time",
         "queue_cycle_time",
         "optional_oper_flag",
+        *(["force_after", "force_until"] if one_version else []),
     )
+    began = F.date_trunc("day", "route_order_seq").cast("timestamp_ntz")
     described = operations.select(
         F.col("facility").alias("o_facility"),
         F.col("operation").alias("o_operation"),
@@ -151,7 +191,8 @@ def route_master(segments: DataFrame, route_operations: DataFrame, operations: D
             (F.col("facility") == F.col("p_facility"))
             & (F.col("route") == F.col("p_route"))
             & (F.col("p_seq") >= F.col(SEQ))
-            & (F.col("p_seq") < F.col("to_operation_sequence_number")),
+            & (F.col("p_seq") < F.col("to_operation_sequence_number"))
+            & (_is_in_force(began) if one_version else F.lit(True)),
             "left",
         )
         .where(F.coalesce("optional_oper_flag", F.lit("N")) == "N")

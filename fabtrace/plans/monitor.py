@@ -76,14 +76,16 @@ class LotTables:
         return replace(self, transactions=self.transactions.where(F.col("lot") == lot))
 
 
-def visits(tables: LotTables, as_of: dt.datetime, hold_time: bool = True) -> DataFrame:
+def visits(
+    tables: LotTables, as_of: dt.datetime, hold_time: bool = True, one_version: bool = False
+) -> DataFrame:
     """One row per planned operation visit and move, for all lots."""
     tx = tables.transactions
     # The segments feed both the planned operations and the moves. Rows without a lot are
     # left out first, in every branch alike, so that the two copies share their shuffle.
     known = tx.where(F.col("lot").isNotNull())
-    segments = route.route_segments(route.boundary_moves(known, tables.route_operations), as_of)
-    planned = route.route_master(segments, tables.route_operations, tables.operations)
+    segments = route.route_segments(route.boundary_moves(known, tables.route_operations, one_version), as_of)
+    planned = route.route_master(segments, tables.route_operations, tables.operations, one_version)
     made = moves.timed_moves(known, segments)
     if hold_time:
         made = holds.with_hold_time(made, holds.hold_history(known, tables.parameters))
@@ -175,12 +177,15 @@ def drop_covered(visited: DataFrame) -> DataFrame:
     return flagged.where(F.col("ACTUAL_CT").isNotNull() | ~F.col("_seen")).drop("_seen")
 
 
-def lot_monitor(tables: LotTables, as_of: dt.datetime, keep_order: bool = False) -> DataFrame:
+def lot_monitor(
+    tables: LotTables, as_of: dt.datetime, keep_order: bool = False, one_version: bool = False
+) -> DataFrame:
     """How late each lot is at each operation of its planned route.
 
-    ``keep_order`` adds the hidden ordering columns.
+    ``keep_order`` adds the hidden ordering columns. ``one_version`` takes one version of a
+    planned operation as of the day instead of all of them.
     """
-    rows = drop_covered(with_delay(visits(tables, as_of)))
+    rows = drop_covered(with_delay(visits(tables, as_of, one_version=one_version)))
     return rows.select(*MONITOR_COLUMNS, *(HIDDEN if keep_order else []))
 
 

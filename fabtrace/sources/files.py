@@ -11,14 +11,21 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, schema: StructType | str, line_feeds_in_cells: bool = True
+) -> DataFrame:
+    """Rows written by ``write_csv``.
+
+    A cell may hold line feeds, so a file is read by one task from its start. Say where no cell
+    does, and several tasks share a large file.
+    """
     # An unquoted empty cell is null and a quoted one is empty text, as written above; the
     # reader needs a null mark other than the empty text to keep them apart.
     return (
         spark.read.schema(schema)
         .option("header", True)
         .option("escape", '"')
-        .option("multiLine", True)
+        .option("multiLine", line_feeds_in_cells)
         .option("nullValue", "\x00")
         .csv(path)
     )

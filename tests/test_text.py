@@ -88,7 +88,10 @@ def test_fallback_texts(spark):
 
 @pytest.mark.parametrize(
     "given, shown",
-    [("025", "25"), ("25.50", "25.5"), ("100", "100"), ("0.50", ".5"), ("-0.5", "-.5"), ("0", "0"), ("abc", None)],
+    [("025", "25"), ("25.50", "25.5"), ("100", "100"), ("0.50", ".5"), ("-0.5", "-.5"), ("0", "0"), ("abc", None),
+     ("1" * 60 + "." + "0" * 30 + "10", "1" * 60 + "." + "0" * 30 + "1"), ("-0.00", "0"), ("+7.", "7"), (".5", ".5"),
+     (" 12 ", "12"), ("1.5e3", "1500"), ("12.5E-4", ".00125"), ("-1e2", "-100"), ("123.45e1", "1234.5"), ("0e9", "0"),
+     ("1e131", None), ("1e", None), (".", None), ("", None), ("1 2", None), ("--1", None), (None, None)],
 )
 def test_number_text(spark, given, shown):
     df = spark.createDataFrame([(given,)], "q string")
