@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fabtrace.plans.monitor import LotTables
+from fabtrace.sources.scratch import new_path
 from fabtrace.sources.tables import read_table
 from fabtrace.sources.workbook import write_sheet
 
@@ -327,8 +328,21 @@ def priority_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_LANDED: dict[tuple[str, str], str] = {}
+
+
 def order_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landed payloads: an order and its second lot each, with other shapes in between.
+    """Landed payloads, which an application writes once for all queries that read them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LANDED:
+        path = new_path(spark, "payloads")
+        _made_payloads(spark, sf_dir).write.parquet(path)
+        _LANDED[key] = path
+    return spark.read.parquet(_LANDED[key])
+
+
+def _made_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order and its second lot in each payload, with other shapes in between.
 
     Most give the delay as a number, some as a number in quotes or as text.
     """
