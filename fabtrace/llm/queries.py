@@ -141,7 +141,9 @@ def phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return spelling.variants(spelling.vocabulary(spelling.with_slips(spelling.runs(docs))))
+    # A slip only shortens a run, so shorter ones never become a word.
+    runs = spelling.runs(docs, least_chars=spelling.LEAST_CHARS)
+    return spelling.variants(spelling.vocabulary(spelling.with_slips(runs)))
 
 
 def web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,29 +16,29 @@ from pyspark.sql import functions as F
 
 from fabtrace.llm.common import drop, stored
 
-LETTERS = "[a-zÀ-ÿ]+"
+LETTERS = "[a-zÀ-ÿ]"
 LEAST_CHARS = 5
 LEAST_COUNT = 3
 # A variant's form occurs at least so many times as often as the variant.
 DOMINANCE = 2
-# How often a word is cut in two; the parts that must agree are named by the sides they are on.
-CUTS = 2
 # One in so many words of a text gets an artificial slip.
 SLIPS = 97
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def runs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def runs(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_chars: int = 1
+) -> DataFrame:
     """(doc, run): the maximal runs of letters of every text, A-Z lower-cased.
 
-    ``doc`` is the id as text, empty for a null id. A null text has no runs; repeated rows
+    Runs of fewer than ``least_chars`` letters are left out. ``doc`` is the id as text, empty for a null id. A null text has no runs; repeated rows
     count as often as they occur.
     """
     text = F.translate(F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")), _UPPER, _LOWER)
     return docs.select(
         F.coalesce(F.col(f"`{id_column}`").cast("string"), F.lit("")).alias("doc"),
-        F.explode(F.regexp_extract_all(text, F.lit(LETTERS), F.lit(0))).alias("run"),
+        F.explode(F.regexp_extract_all(text, F.lit(f"{LETTERS}{{{least_chars},}}"), F.lit(0))).alias("run"),
     )
 
 
@@ -56,41 +56,46 @@ def vocabulary(words: DataFrame, least_chars: int = LEAST_CHARS, least_count: in
     return long_enough.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_count)
 
 
-def _sides(word: str, size: str, short: str, start: str = "1", cuts: int = CUTS) -> list[tuple[str, str]]:
-    """The chunks of a stretch of ``word`` that stay whole, for every way one edit can spare them.
+# A word is cut in halves and the half with the edit in halves again, so two chunks stay whole:
+# the left or the right half of the word, and the left or the right one of the rest. Each is
+# (start, length), told by the word's ``size``, the chunk lengths ``a`` and ``b`` and the rest.
+_WHOLE = [
+    [("1", "a"), ("1 + a", "b")],
+    [("1", "a"), ("1 + size - b", "b")],
+    [("1 + size - a", "a"), ("1", "b")],
+    [("1 + size - a", "a"), ("1 + size - a - b", "b")],
+]
 
-    The stretch has ``size`` code points from ``start``, and ``short`` in the shorter word of
-    a pair, half of which a chunk has. L and R tell on which side the chunk is.
+
+def _chunked(words: DataFrame, shorter_by: int) -> DataFrame:
+    """(word, n, a, b, side, key): what a word shares with a near one that is shorter by 0 or 1.
+
+    ``a`` is half of the shorter word, ``b`` half of what is left of it.
     """
-    if not cuts:
-        return [("", "''")]
-    half = f"({short} DIV 2)"
-    rest = (f"({size} - {half})", f"({short} - {half})")
-    left = f"substring({word}, {start}, {half})"
-    right = f"substring({word}, {start} + {size} - {half}, {half})"
-    after = _sides(word, *rest, f"({start} + {half})", cuts - 1)
-    before = _sides(word, *rest, start, cuts - 1)
-    return [(f"L{s}", f"concat({left}, ':', {c})") for s, c in after] + [
-        (f"R{s}", f"concat({right}, ':', {c})") for s, c in before
+    sized = words.withColumn("size", F.char_length("word"))
+    halved = sized.withColumn("a", F.expr(f"(size - {shorter_by}) DIV 2"))
+    cut = halved.withColumn("b", F.expr(f"(size - {shorter_by} - a) DIV 2"))
+    keys = [
+        f"concat(size - {shorter_by}, '{side}:', " + ", ':', ".join(f"substring(word, {at}, {n})" for at, n in whole) + ")"
+        for side, whole in zip("abcd", _WHOLE, strict=True)
     ]
+    return cut.select("word", "n", "a", "b", F.posexplode(F.expr(f"array({', '.join(keys)})")).alias("side", "key"))
 
 
-def _keys(word: str, shorter_by: int) -> list[str]:
-    """What ``word`` shares with a near word that is shorter by 0 or 1, as SQL expressions."""
-    size = f"char_length({word})"
-    short = f"({size} - {shorter_by})"
-    return [f"concat({short}, '{side}', {chunks})" for side, chunks in _sides(word, size, short)]
+def _first_meeting() -> Column:
+    """Whether a pair that met on one side did not meet on an earlier one, too."""
 
+    def same_left(n: str) -> str:
+        return f"left(word, {n}) = left(other, {n})"
 
-def _chunked(words: DataFrame, shorter_by: int) -> DataFrame:
-    keys = ", ".join(_keys("word", shorter_by))
-    return words.select("word", "n", F.posexplode(F.expr(f"array({keys})")).alias("side", "key"))
-
+    def same_right(n: str) -> str:
+        return f"right(word, {n}) = right(other, {n})"
 
-def _first_shared(shorter_by: int) -> Column:
-    """The first of the keys on which a pair agrees; it meets once for each of them."""
-    pairs = zip(_keys("word", 0), _keys("other", shorter_by), strict=True)
-    return F.expr("CASE " + " ".join(f"WHEN {a} = {b} THEN {i}" for i, (a, b) in enumerate(pairs)) + " END")
+    met = [same_left("a + b"), f"{same_left('a')} AND {same_right('b')}", f"{same_right('a')} AND {same_left('b')}"]
+    return F.expr(
+        f"CASE side WHEN 0 THEN true WHEN 1 THEN NOT ({met[0]}) WHEN 2 THEN NOT ({met[0]} OR {met[1]}) "
+        f"ELSE NOT ({met[0]} OR {met[1]} OR {met[2]}) END"
+    )
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
@@ -104,8 +109,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
         met = chunks.join(grams, ["key", "side"])
         if not shorter_by:
             met = met.where("word < other")
-        one_edit = met.where(F.levenshtein("word", "other", 1) == 1)
-        pairs = one_edit.where(_first_shared(shorter_by) == F.col("side")).select("word", "n", "other", "other_n")
+        one_edit = met.where(F.levenshtein("word", "other", 1) == 1).where(_first_meeting())
+        pairs = one_edit.select("word", "n", "other", "other_n")
         out = pairs if out is None else out.unionByName(pairs)
     return out
 
