@@ -592,6 +592,16 @@ FINAL: dict[str, str] = {
           CAST(max({c}) AS VARCHAR) AS max_value FROM orders"""
         for i, (c, t) in enumerate(ORDER_TYPES, 1)
     ),
+    "table_profile_kept": " UNION ALL ".join(
+        f"""SELECT {i} AS ordinal, '{c}' AS column_name, '{t}' AS data_type, count(*) AS row_count,
+          count(*) - count({c}) AS null_count, CAST(min({c}) AS VARCHAR) AS min_value,
+          CAST(max({c}) AS VARCHAR) AS max_value, true AS near_exact, true AS near_median FROM orders"""
+        for i, (c, t) in enumerate(ORDER_TYPES, 1)
+    ),
+    "changed_customers": """
+        SELECT c_custkey AS key, CASE WHEN c_custkey % 83 = 5 THEN 'added' ELSE 'changed' END AS change
+        FROM customer WHERE c_custkey % 83 = 5 OR (c_custkey % 89 = 7 AND c_acctbal IS NOT NULL)
+        UNION ALL SELECT c_custkey + 10000000, 'removed' FROM customer WHERE c_custkey % 97 = 3""",
     "table_fingerprint": f"""
         SELECT count(*) AS row_count, bit_xor(h) AS xor_hash, CAST(sum(CAST(h AS HUGEINT)) AS VARCHAR) AS sum_hash
         FROM (SELECT ('0x' || substr(md5({CUSTOMER_TEXT}), 1, 15))::BIGINT AS h FROM customer)""",

@@ -18,8 +18,10 @@ from fabtrace.operators import (
     moves,
     orders,
     paging,
+    profiles,
     quality,
     route,
+    trees,
     workbook,
 )
 from fabtrace.plans import detail, monitor, stored
@@ -558,6 +560,47 @@ def table_fingerprint(spark, sf_dir):
     return quality.table_fingerprint(read_table(spark, sf_dir, "customer"))
 
 
+@query
+def table_profile_kept(spark, sf_dir):
+    """A table that got another half, profiled file by file; estimates as whether they are near."""
+    path, root = new_path(spark, "orders"), new_path(spark, "profile")
+    rows = read_table(spark, sf_dir, "orders")
+    for half in (F.col("o_orderkey") % 2 == 0, F.col("o_orderkey") % 2 == 1):
+        rows.where(half).write.mode("append").parquet(path)
+        table = spark.read.parquet(path)
+        profiles.add_files(table, root)
+    exact = rows.agg(F.array(*[F.count_distinct(c) for c in rows.columns])).scalar()
+    median = rows.agg(
+        F.array(*[F.percentile(c, 0.5) if c in ("o_orderkey", "o_custkey", "o_totalprice") else F.lit(None) for c in rows.columns])
+    ).scalar()
+    at = F.col("ordinal") - 1
+    near = F.abs(F.col("approx_distinct") - exact[at]) <= exact[at] * 0.08 + 1
+    middle = F.abs(F.col("quantiles")[1] - median[at]) <= F.abs(median[at]) * 0.15 + 1
+    kept = profiles.profile(table, root)
+    return kept.select(
+        "ordinal", "column_name", "data_type", "row_count", "null_count", "min_value", "max_value",
+        near.alias("near_exact"), F.coalesce(middle, F.lit(True)).alias("near_median"),
+    )
+
+
+@query
+def changed_customers(spark, sf_dir):
+    """Customers that differ from an earlier state, found by their fingerprints' trees."""
+    now = read_table(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    earlier = now.where(key % 83 != 5).withColumn(
+        "c_acctbal", F.when(key % 89 == 7, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal"))
+    )
+    gone = now.where(key % 97 == 3).withColumn("c_custkey", key + 10_000_000)
+    earlier = earlier.unionByName(gone)
+    stored_trees = []
+    for state in (earlier, now):
+        path = new_path(spark, "tree")
+        trees.tree(state, "c_custkey", width=8).write.parquet(path)
+        stored_trees.append(spark.read.parquet(path))
+    return trees.changed_keys(earlier, now, "c_custkey", *stored_trees, width=8)
+
+
 @query
 def row_fingerprints(spark, sf_dir):
     customer = read_table(spark, sf_dir, "customer")
