@@ -31,6 +31,8 @@ from fabtrace.llm.common import in_batches, values
 WORDS_KEPT = 450_000
 PIECES_KEPT = 300_000
 LONGEST_KEPT = 48
+# Stands for the rank of a pair that never merges.
+_NO_MERGE = 1 << 30
 
 # The byte-level pattern and what it takes for white space.
 _BLANK = "".join(
@@ -41,6 +43,9 @@ _PIECES = regex.compile(
     rf"|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
 )
 _WORDS = re.compile(rf"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
+# Words that need no search for their pieces: plain letters and then plain marks, of which none
+# begins a contraction.
+_SIMPLE = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?)\]}\"]*)").fullmatch
 # A blank after other white space: such a text isn't cut at every blank.
 _RUN = re.compile(r"\s ")
 
@@ -92,12 +97,14 @@ class Bpe:
         self.table: list[bytes] = [b""] * (1 + max([*vocabulary.values(), *added.values()]))
         for token, i in (vocabulary | added).items():
             self.table[i] = bytes(byte_of[c] for c in token)
-        self.ranks: dict[int, int] = {}
+        ranks: list[dict[int, int]] = [{} for _ in self.table]  # by first symbol, then by the second
         self.merged: list[int] = []
         for merge in model["merges"]:
             a, b = merge.split(" ") if isinstance(merge, str) else merge
-            self.ranks[vocabulary[a] << 32 | vocabulary[b]] = len(self.merged)
+            ranks[vocabulary[a]][vocabulary[b]] = len(self.merged)
             self.merged.append(vocabulary[a + b])
+        self.rank_after = [own.get for own in ranks]
+        self.first_ranks = [[ranks[a].get(b, _NO_MERGE) for b in self.byte_ids] for a in self.byte_ids]
         self.added = {t: np.uint32(i).tobytes() for t, i in added.items()}
         names = sorted(self.added, key=len, reverse=True)
         self.specials = re.compile("|".join(map(re.escape, names))) if names else None
@@ -105,47 +112,56 @@ class Bpe:
         self.words = _Known(self._word, WORDS_KEPT)
         self.after_blank = _Known(lambda w: self._word(" " + w), WORDS_KEPT)
 
-    def merge(self, ids: list[int]) -> list[int]:
-        """Apply the merges to the symbols of one piece, lowest rank first, then leftmost."""
-        n, rank_of, merged, pop, push = len(ids), self.ranks.get, self.merged, heapq.heappop, heapq.heappush
-        queue = []
-        for i, (a, b) in enumerate(itertools.pairwise(ids)):
-            rank = rank_of(a << 32 | b)
-            if rank is not None:
-                queue.append(rank << 32 | i)
+    def merge(self, piece: bytes) -> list[int]:
+        """Apply the merges to the symbols of one piece, lowest rank first, then leftmost.
+
+        ``rank[i]`` is that of the pair that begins at symbol i now. An entry of the queue with
+        another one is stale: a symbol was merged away, or has become another one.
+        """
+        ids = [*map(self.byte_ids.__getitem__, piece)]
+        rows = self.first_ranks
+        rank = [rows[a][b] for a, b in zip(piece, piece[1:], strict=False)]
+        queue = [(r << 32) + i for i, r in enumerate(rank) if r != _NO_MERGE]
         if not queue:
             return ids
+        n, merged, rank_after, pop, push = len(ids), self.merged, self.rank_after, heapq.heappop, heapq.heappush
         heapq.heapify(queue)
-        before, after = [*range(-1, n - 1)], [*range(1, n), -1]
+        rank.append(_NO_MERGE)
+        before, after = [*range(-1, n - 1)], [*range(1, n + 1)]
         while queue:
             top = pop(queue)
-            rank, i = top >> 32, top & 0xFFFFFFFF
-            j = after[i]
-            # Stale: a symbol was merged away, or has become another one.
-            if ids[i] < 0 or j < 0 or rank_of(ids[i] << 32 | ids[j]) != rank:
+            i = top & 0xFFFFFFFF
+            if rank[i] != top >> 32:
                 continue
-            ids[i] = new = merged[rank]
-            ids[j] = -1
+            j = after[i]
+            ids[i] = new = merged[top >> 32]
+            ids[j], rank[j] = -1, _NO_MERGE
             j = after[i] = after[j]
-            if j >= 0:
+            if j < n:
                 before[j] = i
-                rank = rank_of(new << 32 | ids[j])
-                if rank is not None:
-                    push(queue, rank << 32 | i)
+                rank[i] = r = rank_after[new](ids[j], _NO_MERGE)
+                if r != _NO_MERGE:
+                    push(queue, (r << 32) + i)
+            else:
+                rank[i] = _NO_MERGE
             j = before[i]
             if j >= 0:
-                rank = rank_of(ids[j] << 32 | new)
-                if rank is not None:
-                    push(queue, rank << 32 | j)
+                rank[j] = r = rank_after[ids[j]](new, _NO_MERGE)
+                if r != _NO_MERGE:
+                    push(queue, (r << 32) + j)
         return [i for i in ids if i >= 0]
 
     def _piece(self, piece: str) -> bytes:
-        ids = array("I", self.merge([*map(self.byte_ids.__getitem__, piece.encode())]))
+        ids = array("I", self.merge(piece.encode()))
         if sys.byteorder == "big":
             ids.byteswap()
         return ids.tobytes()
 
     def _word(self, word: str) -> bytes:
+        simple = _SIMPLE(word)
+        if simple:  # letters, and what follows them: two pieces
+            letters, rest = simple.groups()
+            return self.pieces[letters] + self.pieces[rest] if rest else self.pieces[letters]
         return b"".join(map(self.pieces.__getitem__, _PIECES.findall(word)))
 
     def _plain(self, text: str) -> bytes:
