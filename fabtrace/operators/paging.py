@@ -6,7 +6,7 @@ other by their other columns. Three ways lead to a page:
 * ``ranked`` sorts the table once: a range exchange on sampled bounds, a sort of every range and a
   count of each. A row's number is its place in its range plus the rows of earlier ranges. The
   sorted rows are kept, so any page is read from the files that hold it.
-* ``page_of`` without a ranking is a top-k for the first page and ranks for a later one.
+* ``page_of`` without a ranking is a top-k for pages near the start and ranks for later ones.
 * ``page_after`` goes on from the last row seen, at the same cost on every page.
 """
 
@@ -24,6 +24,8 @@ from pyspark.sql.types import MapType, VariantType
 from fabtrace.sources.scratch import cut
 
 PAGE_SIZE = 200
+# Rows up to a page's end that a top-k of an unranked table may hold.
+TOP_ROWS = 10_000
 # Bits of ``monotonically_increasing_id`` that count the rows of a partition.
 _PLACE_BITS = 33
 
@@ -138,18 +140,22 @@ def page_of(
 ) -> DataFrame:
     """Rows of one page in order, with their row number and page; the first if out of range.
 
-    The first page of a table is a top-k. For another one the table is ranked; with a ranking
-    at hand (``df`` is what ``ranked`` gave) every page is read from its own files.
+    Pages within the first TOP_ROWS rows of a table are a top-k. For a later one the table is
+    ranked; with a ranking at hand (``df`` is what ``ranked`` gave) every page is read from its
+    own files.
     """
-    if isinstance(df, Ranked) or number > 1:
+    start = max(0, number - 1) * page_size
+    if isinstance(df, Ranked) or start + page_size > max(TOP_ROWS, page_size):
         table = df if isinstance(df, Ranked) else ranked(df, order, descending)
-        if number < 1 or (number - 1) * page_size >= table.total:
-            number = 1
-        return table.slice((number - 1) * page_size, page_size).withColumn("page", F.lit(number))
+        if start >= table.total:
+            start = 0
+        return table.slice(start, page_size).withColumn("page", F.lit(start // page_size + 1))
+    if start and df.select(F.lit(1)).limit(start + 1).count() <= start:
+        start = 0
     sort = _sorted_by(df, order, descending)
-    rows = df.orderBy(*sort).limit(page_size)
-    numbered = rows.withColumn("row_number", F.row_number().over(Window.orderBy(*sort)).cast("long"))
-    return numbered.withColumn("page", F.lit(1))
+    rows = df.orderBy(*sort).offset(start).limit(page_size)
+    place = F.row_number().over(Window.orderBy(*sort)) + F.lit(start)
+    return rows.withColumns({"row_number": place.cast("long"), "page": F.lit(start // page_size + 1)})
 
 
 def page_after(

@@ -83,7 +83,9 @@ def test_numbers_pages_and_reading_on(spark, order, descending):
         assert seen == [r["id"] for r in rows]
 
 
-def test_pages_of_a_table(spark):
+@pytest.mark.parametrize("top", [paging.TOP_ROWS, 50])
+def test_pages_of_a_table(spark, monkeypatch, top):
+    monkeypatch.setattr(paging, "TOP_ROWS", top)
     df = table(spark, 90)
     rows = in_order(df, ["text"])
     for number, start in ((1, 0), (2, 40), (3, 80), (4, 0), (0, 0), (-3, 0)):
