@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -106,9 +107,25 @@ def flat(lists: Iterable[Iterable]) -> list:
     return list(itertools.chain.from_iterable(lists))
 
 
+_recorded: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """Collects the paths of the tables stored meanwhile, for ``drop`` once their results are saved."""
+    paths: list[str] = []
+    _recorded.append(paths)
+    try:
+        yield paths
+    finally:
+        _recorded.remove(paths)
+
+
 def stored(df: DataFrame) -> tuple[DataFrame, str]:
     """The same rows in a table of the shared folder, and its path for ``drop``."""
     path = new_path(df.sparkSession, "table")
+    for paths in _recorded:
+        paths.append(path)
     df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 

@@ -29,9 +29,10 @@ LONGEST_PIECE = 1 << 18
 GRAMS_AT_ONCE = 4096
 # Texts times trigrams in one table of counts; more are counted in halves.
 MOST_COUNTS = 1 << 23
-# Texts whose best cosine is below this are rejected by ``keep_known``. A word or two can have
-# a very low one, so by default only texts without a letter are.
-LEAST_SCORE = 0.0
+# Texts whose best cosine is below this are rejected by ``keep_known``: three times the standard
+# deviation of the cosine of unrelated vectors. A text in a language that was not learned, or of
+# random letters, seldom reaches it; of learned languages only texts of a word or two don't.
+LEAST_SCORE = 3 / DIMENSIONS**0.5
 
 PREDICTION = StructType([StructField("lang", StringType()), StructField("score", DoubleType())])
 

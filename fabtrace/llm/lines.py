@@ -142,7 +142,7 @@ def _prefix(sizes: np.ndarray, least: float) -> np.ndarray:
     return sizes - np.ceil(least * sizes - _SLACK).astype(np.int64) + 1
 
 
-def _bits_of(hashes: DataFrame) -> Broadcast:
+def bits_of(hashes: DataFrame) -> Broadcast:
     """A bit for every hash in the only column."""
     size = min(MOST_BITS, max(1 << 13, 1 << (16 * max(hashes.count(), 1) - 1).bit_length()))
 
@@ -158,7 +158,7 @@ def _bits_of(hashes: DataFrame) -> Broadcast:
     )
 
 
-def _among(hashes: np.ndarray, bits: Broadcast) -> np.ndarray:
+def among(hashes: np.ndarray, bits: Broadcast) -> np.ndarray:
     """Whether each hash may be one of those with a bit."""
     table = bits.value
     cell = mixed(np.ascontiguousarray(hashes).view(np.uint64)) & np.uint64(len(table) * 8 - 1)
@@ -190,7 +190,7 @@ def postings(texts: DataFrame, rarity: Broadcast, least: float, only: Broadcast
             of = np.repeat(sets, prefix)
             word = s.words[s.first[of] + place].view(np.int64)
             if only is not None:
-                kept = _among(word, only)
+                kept = among(word, only)
                 word, place, of = word[kept], place[kept], of[kept]
             columns = [word, s.a[of].view(np.int64), ids[of], s.size[of] << 32 | place, s.bitmap()[of].view(np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _POSTING)
@@ -240,7 +240,7 @@ def candidates(posts: DataFrame, least: float, of: Broadcast | None = None) -> D
         x, y = np.concatenate([i, j]), np.concatenate([j, i])
         more = np.zeros(len(x), bool)
         if of is not None:
-            wanted = _among(name[y], of)
+            wanted = among(name[y], of)
             x, y, more = x[wanted], y[wanted], more[wanted]
         else:
             earlier = ids[x] <= ids[y]
@@ -278,11 +278,11 @@ def _words_of(texts: DataFrame, firsts: DataFrame, names: DataFrame) -> DataFram
     places = names.join(firsts, "name").select("name", "first.n", "first.line")
     places = places.groupBy("n").agg(F.collect_list(F.struct("line", "name")).alias("wanted"))
     places, path = stored(places)
-    bits = _bits_of(places.select("n"))
+    bits = bits_of(places.select("n"))
 
     @F.arrow_udf(BooleanType())
     def may(n: pa.Array) -> pa.Array:
-        return pa.array(_among(n.to_numpy(), bits))
+        return pa.array(among(n.to_numpy(), bits))
 
     def rows(batches: Batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -366,8 +366,8 @@ def _search_again(texts: DataFrame, firsts: DataFrame, rest: DataFrame, rarity:
                 out.append(w[: int(_prefix(np.array([len(w)]), least)[0])])
             yield pa.record_batch({"word": pa.array(np.concatenate(out).view(np.int64))})
 
-    common = _bits_of(rest.mapInArrow(first_words, "word long").distinct())
-    names = _bits_of(rest.select("name"))
+    common = bits_of(rest.mapInArrow(first_words, "word long").distinct())
+    names = bits_of(rest.select("name"))
     pairs, path = stored(candidates(postings(texts, rarity, least, common), least, names))
     words = _words_of(texts, firsts, pairs.select(F.explode(F.array("x", "y")).alias("name")).distinct())
     found = _matches(pairs, words, firsts, least)

@@ -22,10 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from fabtrace.llm.common import BATCH_CHARS, Batches, drop, gather, in_batches, stored, values
 from fabtrace.llm.decontaminate import words as words_of
 from fabtrace.llm.graph import components
+from fabtrace.llm.lines import among, bits_of
 from fabtrace.llm.shingles import counted, mixed, shingle_hashes, word_hashes
 
 SIMILAR = 0.8
@@ -307,18 +309,8 @@ def rest_links(posts: DataFrame, classes: DataFrame, texts: DataFrame, idf, leas
     return rows.groupBy("task").applyInArrow(compare, "a long, b long")
 
 
-def mark(
-    docs: DataFrame,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-    least: float = SIMILAR,
-) -> DataFrame:
-    """One row per document: ``row`` (its own columns), class_id, class_size and kept.
-
-    A class is named by the least id in it, and the document with that id stays (a null id
-    counts as larger than any; of rows with one id, the first read). Texts without words, null
-    among them, are alone in their class. An empty table gives an empty result.
-    """
+def _decided(docs: DataFrame, id_column: str, text_column: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """The rows with numbers of their own, and what becomes of each number."""
     spark: SparkSession = docs.sparkSession
     base, _ = stored(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("n")))
     texts = base.select("n", F.col("row").getField(text_column).cast("binary").alias("text"))
@@ -344,22 +336,56 @@ def mark(
         .join(classes.withColumnRenamed("n", "head"), "head", "left")
         .select("n", F.coalesce("component", "head").alias("component"))
     )
-    named = base.select("row", "n", F.col("row").getField(id_column).alias("id")).join(of_row, "n")
+    named = base.select("n", F.col("row").getField(id_column).alias("id")).join(of_row, "n")
     # Read from tables, the firsts and the best leave Spark free to split the rows of a large class.
-    best, _ = stored(
+    best, best_path = stored(
         named.groupBy("component").agg(
             F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n")).alias("best"),
             F.count(F.lit(1)).alias("class_size"),
         )
     )
-    return named.join(best, "component").select(
-        "row",
-        F.col("best.id").alias("class_id"),
-        "class_size",
-        (F.col("n") == F.col("best.n")).alias("kept"),
+    decided, _ = stored(
+        named.join(best, "component").select(
+            "n",
+            F.col("best.id").alias("class_id"),
+            "class_size",
+            (F.col("n") == F.col("best.n")).alias("kept"),
+        )
     )
+    drop(spark, best_path)
+    return base, decided
+
+
+def mark(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    least: float = SIMILAR,
+) -> DataFrame:
+    """One row per document: ``row`` (its own columns), class_id, class_size and kept.
+
+    A class is named by the least id in it, and the document with that id stays (a null id
+    counts as larger than any; of rows with one id, the first read). Texts without words, null
+    among them, are alone in their class. An empty table gives an empty result.
+    """
+    base, decided = _decided(docs, id_column, text_column, least)
+    return base.join(decided, "n").select("row", "class_id", "class_size", "kept")
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One document of each class, with its own columns."""
-    return mark(docs, id_column, text_column).where("kept").select("row.*")
+    """One document of each class, with its own columns.
+
+    A table of bits tells which rows may be among those to go; only these are shuffled, the
+    others pass straight through.
+    """
+    base, decided = _decided(docs, id_column, text_column, SIMILAR)
+    others = decided.where("NOT kept").select("n")
+    bits = bits_of(others)
+
+    @F.arrow_udf(BooleanType())
+    def may_go(n: pa.Array) -> pa.Array:
+        return pa.array(among(n.to_numpy(), bits))
+
+    marked = base.withColumn("_may_go", may_go("n"))
+    unsure = marked.where("_may_go").join(others, "n", "left_anti")
+    return marked.where("NOT _may_go").unionByName(unsure).select("row.*")
