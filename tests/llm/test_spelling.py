@@ -67,12 +67,12 @@ def marked(spark, counts):
 
 
 def test_every_edit_of_every_length(spark):
-    base = ["abcde", "abcdef", "abcdefg", "abcdefghijk", "ééééé", "aaaaa", "ab×de", "z" * 300]
+    base = ["abcde", "aaaaa", "ééééé", "ab×de", "abcdef", "abcdefghi", "z" * 200]
     counts = {}
     for n, w in enumerate(base):
         for v in [w, *one_less(w), *(w[:i] + "q" + w[i:] for i in range(len(w) + 1)),
                   *(w[:i] + "q" + w[i + 1 :] for i in range(len(w)))]:
-            if len(v) >= 5 and len(counts) < 900:
+            if len(v) >= 5 and len(counts) < 500:
                 counts.setdefault(v, 3 + 7 * n + len(counts) % 40)
     assert marked(spark, counts) == expected(counts, all_pairs(counts))
 
