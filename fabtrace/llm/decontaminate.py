@@ -25,14 +25,14 @@ from pyspark.sql.types import (
     StructType,
 )
 
-from fabtrace.llm.common import Batches
+from fabtrace.llm.common import Batches, values
 from fabtrace.sources.scratch import cut
 
 WINDOW = 13
 # Windows searched together. The tables of one block take about 1 KB per window; a larger
 # benchmark is searched in several blocks, one after the other by the same tasks.
 WINDOWS_PER_BLOCK = 100_000
-# Characters of text a task searches with the tables of one block before it builds the next.
+# Bytes of text a task searches with the tables of one block before it builds the next.
 SEARCHED_AT_ONCE = 1 << 24
 
 FOUND = StructType(
@@ -155,16 +155,34 @@ def _gathered(batches: Iterator[pa.Array]) -> Iterator[list[pa.Array]]:
         yield own
 
 
-def _summary(found: list[tuple[bytearray, set[str | None]]]) -> pa.Array:
-    """FOUND for the hit words and items of each text."""
-    n_words = [len(hit) for hit, _ in found]
-    n_hit = [hit.count(1) for hit, _ in found]
-    names = [",".join(sorted(i or "" for i in items)) for _, items in found]
+class Hits:
+    """The hit words of a text and the items they belong to."""
+
+    __slots__ = ("hit", "items", "n_words")
+
+    def __init__(self):
+        self.n_words, self.hit, self.items = 0, None, set()
+
+    def add(self, text: list[bytes], searchers: list[Searcher]) -> None:
+        self.n_words = len(text)
+        for s in searchers:
+            for start, names in s.search(text):
+                if self.hit is None:
+                    self.hit = bytearray(len(text))
+                self.hit[start : start + s.length] = b"\1" * s.length
+                self.items |= names
+
+
+def _summary(found: list[Hits]) -> pa.Array:
+    """FOUND for the hits of each text."""
+    n_words = [h.n_words for h in found]
+    n_hit = [h.hit.count(1) if h.hit else 0 for h in found]
+    names = [",".join(sorted(i or "" for i in h.items)) for h in found]
     return pa.StructArray.from_arrays(
         [
             pa.array(n_words, pa.int64()),
             pa.array(n_hit, pa.int64()),
-            pa.array([len(items) for _, items in found], pa.int64()),
+            pa.array([len(h.items) for h in found], pa.int64()),
             pa.array([hashlib.sha256(x.encode()).hexdigest() for x in names]),
             pa.array([h > 0 and 20 * h >= n for h, n in zip(n_hit, n_words, strict=True)], pa.bool_()),
         ],
@@ -184,15 +202,12 @@ def find(text: Column, blocks: list[Broadcast]) -> Column:
     def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kept = [_searchers(blocks[0])] if len(blocks) == 1 else None
         for together in _gathered(batches):
-            texts = [[words(t) for t in batch.to_pylist()] for batch in together]
-            found = [[(bytearray(len(t)), set()) for t in batch] for batch in texts]
+            found = [[Hits() for _ in range(len(batch))] for batch in together]
             for searchers in kept or map(_searchers, blocks):
-                for batch, results in zip(texts, found, strict=True):
-                    for text, (hit, items) in zip(batch, results, strict=True):
-                        for s in searchers:
-                            for start, names in s.search(text):
-                                hit[start : start + s.length] = b"\1" * s.length
-                                items |= names
+                for batch, results in zip(together, found, strict=True):
+                    # The words of one text at a time are held; they take ten times its bytes.
+                    for text, hits in zip(values(batch), results, strict=True):
+                        hits.add(words(text), searchers)
             yield from map(_summary, found)
 
     return search(text.cast("binary"))
