@@ -9,6 +9,8 @@ from fabtrace.functions.display import DASH
 from fabtrace.sources.annotations import clean
 
 UNCATEGORIZED = "Uncategorized"
+# A category's records are dealt over so many shares, so that no task reads a large one whole.
+SHARES = 256
 
 
 def category() -> Column:
@@ -50,14 +52,23 @@ def categories(annotations: DataFrame) -> DataFrame:
     )
 
 
+def with_size(annotations: DataFrame) -> DataFrame:
+    """Every record with its category and that category's size.
+
+    Records meet the size by category and share; records that are equal have the same share.
+    """
+    share = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in annotations.columns]), F.lit(SHARES))
+    rows = annotations.withColumn("CATEGORY", category()).withColumn("_share", F.struct("CATEGORY", share.alias("share")))
+    shares = rows.groupBy("_share").agg(F.count("*").alias("n")).withColumn("CATEGORY", F.col("_share.CATEGORY"))
+    sizes = shares.groupBy("CATEGORY").agg(F.sum("n").alias("RECORDS"))
+    # One key: rows hashed by the category alone would do for a join by category and share.
+    of_share = shares.join(sizes, "CATEGORY").select("_share", "RECORDS")
+    return rows.join(of_share, "_share").select("CATEGORY", *[f"`{c}`" for c in annotations.columns], "RECORDS")
+
+
 def by_category(annotations: DataFrame) -> DataFrame:
     """Every record with its category and that category's size, in category order."""
-    sizes = annotations.groupBy(category().alias("CATEGORY")).agg(F.count("*").alias("RECORDS"))
-    return (
-        annotations.withColumn("CATEGORY", category())
-        .join(sizes, "CATEGORY")
-        .orderBy("CATEGORY", "LOT NUMBER", "OPERATION", "DESCRIPTION")
-    )
+    return with_size(annotations).orderBy("CATEGORY", "LOT NUMBER", "OPERATION", "DESCRIPTION")
 
 
 def of_category(annotations: DataFrame, name: str) -> DataFrame:

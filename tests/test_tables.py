@@ -69,6 +69,23 @@ def test_categories(spark):
     assert annotations.of_category(df, "Uncategorized").count() == 2
 
 
+def test_a_large_category_is_dealt_over_tasks(spark):
+    ids = spark.range(4000)
+    df = notes(spark).unionByName(
+        ids.selectExpr("'L' AS `LOT NUMBER`", "'1' AS OPERATION", "string(id) AS DESCRIPTION", "if(id < 3900, '', 'x') AS ISSUE", "'' AS REMARKS")
+    )
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        own = annotations.with_size(df)
+        parts = own.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert max(r["count"] for r in parts) < 1000 and sum(r["count"] for r in parts) == 4000
+        assert rows_of(own, "CATEGORY", "RECORDS") == {("Uncategorized", 3900): 3900, ("x", 100): 100}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_lot_lists(spark):
     df = spark.createDataFrame([(1, " VA1, ,VA2 ,"), (2, "")], "id int, lots string")
     assert rows_of(workbook.lots_from_text(df, "lots")) == {(1, "VA1"): 1, (1, "VA2"): 1}
