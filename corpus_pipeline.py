@@ -46,7 +46,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents in a known language; those like none of them, or without a letter, go.
     Languages are learned from the documents of this stage that aren't held out and name theirs."""
     prototypes = language.learn(docs.where(~held_out(F.col("doc_id"))))
-    return language.keep_known(docs, prototypes)
+    return language.keep_known(docs, prototypes, least=language.LEAST_SCORE)
 
 
 @stage
