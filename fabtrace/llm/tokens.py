@@ -11,18 +11,18 @@ from __future__ import annotations
 import itertools
 import json
 import os
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from fabtrace.llm.common import Batches, drop, gather, in_batches, stored, values
+from fabtrace.llm.common import Batches, drop, gather, stored
 
 # Ids between two checkpoints.
 BLOCK = 512
@@ -32,8 +32,9 @@ LEAST_LIMIT, SPARE_BITS, MOST_LIMIT = 16, 2, 24
 # speed depend on them.
 IDS_AT_ONCE = 1 << 19
 WORDS_KEPT = 600_000
-# Characters whose words are looked up together.
-CHARS_AT_ONCE = 1 << 16
+# Bytes of text whose words are looked up together, and words the library gets at once.
+BYTES_AT_ONCE = 1 << 22
+WORDS_AT_ONCE = 1 << 12
 
 
 def code_lengths(counts: np.ndarray, limit: int | None = None) -> np.ndarray:
@@ -134,7 +135,7 @@ def unpack(bits: list[bytes], checkpoints: list[bytes], sizes: np.ndarray, table
 
 
 def _parts(sizes: list[int], most: int = IDS_AT_ONCE) -> Iterator[slice]:
-    """Consecutive rows with ``most`` ids in all (one row at least)."""
+    """Consecutive rows with ``most`` ids or bytes in all (one row at least)."""
     start = total = 0
     for i, n in enumerate(sizes):
         if i > start and total + n > most:
@@ -254,7 +255,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 # A word of Latin-1 letters and what may end it. The tokenizer below lower-cases it, keeps its
 # letters together and takes the end by itself.
-_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+_PLAIN = "^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<end>[.,!#$%&*]*)$"
 _STEPS = ("NFC", "Replace", "Lowercase")
 _LETTERS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -263,7 +264,7 @@ class Words:
     """The library's tokenizer, given every word between two blanks or line feeds once.
 
     It drops white space, and nothing in it reaches across a blank or line feed. Plain words,
-    lower-cased and without the stop or comma behind them, go to a copy of the tokenizer
+    lower-cased and without the marks behind them, go to a copy of the tokenizer
     without normaliser and word pattern, which would change nothing in them.
     """
 
@@ -272,7 +273,7 @@ class Words:
         from tokenizers import Tokenizer, pre_tokenizers
 
         spec = json.loads(source)
-        normalizer, cut = spec["normalizer"], spec["pre_tokenizer"]
+        normalizer, cut, model = spec["normalizer"], spec["pre_tokenizer"], spec["model"]
         steps = tuple(n["type"] for n in (normalizer or {}).get("normalizers", []))
         patterns = [c.get("pattern", {}).get("Regex") for c in (cut or {}).get("pretokenizers", [])]
         if steps != _STEPS or patterns != [_LETTERS, None]:
@@ -281,35 +282,84 @@ class Words:
         self.plain.normalizer = None
         self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[str, bytes] = {}
-        self.ends = {"": b""} | {e: self._ids(self.library.encode(e, add_special_tokens=False).ids) for e in ".,"}
+        # Whether an id ends a word.
+        self.last = np.zeros(max(model["vocab"].values()) + 1, bool)
+        if suffix := model.get("end_of_word_suffix"):
+            self.last[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
 
     @staticmethod
     def _ids(ids: list[int]) -> bytes:
         return np.array(ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
+    def _by_library(self, words: list[str]) -> list[bytes]:
+        return [self._ids(e.ids) for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _by_plain(self, stems: list[str]) -> list[bytes]:
+        """The same for plain words, as one text that is cut where a word ends."""
+        found = self.plain.encode_batch_fast([stems], is_pretokenized=True, add_special_tokens=False)[0]
+        ids = np.array(found.ids, "<u4")
+        cuts = [0, *((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()]
+        if len(cuts) != len(stems) + 1:  # a word has an end that is not in the vocabulary
+            return [self._ids(e.ids) for e in self.plain.encode_batch_fast(stems, add_special_tokens=False)]
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in itertools.pairwise(cuts)]
+
+    def _look_up(self, words: list[str], encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
         known = self.known
-        found = [(w, _WORD.fullmatch(w)) for w in words]
-        stems = list({m[1].lower() for _, m in found if m}.difference(known))
-        if stems:
-            encoded = self.plain.encode(stems, is_pretokenized=True, add_special_tokens=False)
-            raw = self._ids(encoded.ids)
-            cuts = np.searchsorted(np.array(encoded.word_ids), np.arange(len(stems) + 1)).tolist()
-            known.update((w, raw[4 * a : 4 * b]) for w, (a, b) in zip(stems, itertools.pairwise(cuts), strict=True))
-        others = [w for w, m in found if not m]
-        encoded = self.library.encode_batch_fast(others, add_special_tokens=False)
-        known.update((w, self._ids(e.ids)) for w, e in zip(others, encoded, strict=True))
-        known.update((w, known[m[1].lower()] + self.ends[m[2]]) for w, m in found if m)
+        new = [w for w in words if w not in known]
+        for at in range(0, len(new), WORDS_AT_ONCE):
+            own = new[at : at + WORDS_AT_ONCE]
+            known.update(zip(own, encode(own), strict=True))
+        return [known[w] for w in words]
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
         """Ids of each text and then the end."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if new := set().union(*split).difference(self.known):
-            if len(self.known) > WORDS_KEPT:
-                self.known.clear()
-                new = set().union(*split)
-            self._learn(list(new))
-        return [b"".join(map(self.known.__getitem__, s)) + end for s in split]
+        return self.encode_array(pa.array(texts, pa.string()), end).to_pylist()
+
+    def encode_array(self, texts: pa.Array, end: bytes) -> pa.Array:
+        """The same for an array without nulls.
+
+        The ids of every distinct word are put together from those of its letters and its end, and
+        those of a text from its words'.
+        """
+        if len(self.known) > WORDS_KEPT:
+            self.known.clear()
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        order = split.flatten().dictionary_encode()
+        words = order.dictionary
+        cut = pc.extract_regex(words, _PLAIN)
+        plain = cut.is_valid()
+        cut, others = cut.filter(plain), words.filter(pc.invert(plain)).to_pylist()
+        stems = pc.utf8_lower(pc.struct_field(cut, "letters")).dictionary_encode()
+        marks = pc.struct_field(cut, "end").dictionary_encode()
+        parts = self._look_up(stems.dictionary.to_pylist(), self._by_plain)
+        no_stem = len(parts)
+        parts += self._look_up([*others, *marks.dictionary.to_pylist()], self._by_library) + [b"", end]
+        nothing = len(parts) - 2
+
+        plain = plain.to_numpy(zero_copy_only=False)
+        first, last = np.zeros(len(words), np.int64), np.full(len(words), nothing)
+        first[plain], last[plain] = stems.indices.to_numpy(), marks.indices.to_numpy() + no_stem + len(others)
+        first[~plain] = no_stem + np.arange(len(others))
+        # The last word is the end of a text.
+        which = np.append(np.stack([first, last], 1).ravel(), [nothing, nothing + 1])
+        ids, sizes = _taken(np.frombuffer(b"".join(parts), "<u4"), np.array([len(p) // 4 for p in parts]), which)
+        sizes = sizes.reshape(-1, 2).sum(1)
+
+        text_ends = np.cumsum(pc.list_value_length(split).to_numpy())
+        which = np.insert(order.indices.to_numpy(), text_ends, len(words))
+        ids, sizes = _taken(ids, sizes, which)
+        ends = np.cumsum(sizes)[text_ends + np.arange(len(texts))] * 4
+        offsets = pa.array(np.append(0, ends), pa.int32())
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, offsets.buffers()[1], pa.py_buffer(ids)])
+
+
+def _taken(ids: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of consecutive rows of ids of the given sizes, the rows ``which``, and their sizes."""
+    first = (np.cumsum(sizes) - sizes)[which]
+    n = sizes[which]
+    ends = np.cumsum(n)
+    return ids[np.arange(n.sum()) + np.repeat(first - ends + n, n)], n
 
 
 _MADE: dict[int, Words] = {}
@@ -340,13 +390,12 @@ def tokenize(text: Column, tokenizer: Broadcast, end: int) -> Column:
 
     @F.arrow_udf(BinaryType())
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words, last = _tokenizer(tokenizer.value), np.uint32(end).tobytes()
+        words, last = _tokenizer(tokenizer.value), np.array([end], "<u4").tobytes()
         for texts in batches:
             if not len(texts):
                 yield pa.array([], pa.binary())
-            found = []
-            for part in in_batches((t or "" for t in values(texts)), CHARS_AT_ONCE):
-                found += words.encode(part, last)
-            yield pa.array(found, pa.binary())
+            texts = pc.fill_null(texts, "")
+            for own in _parts(pc.binary_length(texts).to_pylist(), BYTES_AT_ONCE):
+                yield words.encode_array(texts[own], last)
 
     return ids(text)

@@ -4,6 +4,7 @@ import uuid
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -110,6 +111,25 @@ def test_forgetting_words_changes_nothing(monkeypatch):
     assert [words.encode([t], b"")[0] for t in texts] == want
 
 
+def test_arrays_of_words(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        words = tokens.Words(f.read())
+    library, asked, by_plain = Tokenizer.from_file(path), [], words._by_plain
+    monkeypatch.setattr(words, "_by_plain", lambda stems: asked.extend(stems) or by_plain(stems))
+    texts = ["One two, ONE. two", "", "Éa!! one$$$ d'accord l'an 12 a.b", "x\ny  two#%", *[t or "" for _, t in ROWS]] * 2
+    array = pa.array(["not asked", *texts])[1:]
+    found = [np.frombuffer(b, "<u4").tolist() for b in words.encode_array(array, np.uint32(1).tobytes()).to_pylist()]
+    assert found == [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    # Every plain word is asked for once, whatever its case and the marks behind it.
+    assert len(asked) == len(set(asked)) and {"one", "two", "éa"} <= set(asked) and "asked" not in asked
+    assert words.encode_array(pa.array([], pa.string()), b"").to_pylist() == []
+    # The same if the vocabulary doesn't tell where a word ends.
+    words.known.clear()
+    words.last[:] = False
+    assert [np.frombuffer(b, "<u4").tolist() for b in words.encode(texts, np.uint32(1).tobytes())] == found
+
+
 def test_empty_files_and_foreign_ids(spark, tmp_path):
     nothing = spark.createDataFrame([], "id long, ids binary")
     tokens.write(nothing, f"{tmp_path}/none", 10)
