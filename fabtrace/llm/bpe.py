@@ -182,10 +182,10 @@ class Bpe:
             at = found.end()
         return b"".join([*out, self._plain(text[at:])])
 
-    def forget(self) -> None:
-        """Start anew with the words kept, where no more can be."""
+    def forget(self, everything: bool = False) -> None:
+        """Start anew with the words kept, where no more can be or with all of them."""
         for known in (self.words, self.after_blank, self.pieces):
-            if len(known) >= known.most:
+            if everything or len(known) >= known.most:
                 known.clear()
 
     def decode(self, ids: bytes) -> str:
@@ -197,7 +197,7 @@ _MADE: dict[int, Bpe] = {}
 
 
 def _made(source: Broadcast) -> Bpe:
-    """The tokenizer of this Python worker, with the words it knows already."""
+    """The tokenizer of this Python worker."""
     text = source.value
     key = hash(text)
     if key not in _MADE:
@@ -217,18 +217,22 @@ def load(spark, path: str) -> Broadcast:
 def encode(text: Column, tokenizer: Broadcast) -> Column:
     """Token ids of a text as a binary of little-endian unsigned 32-bit integers.
 
-    Null counts as empty; an empty text has no ids.
+    Null counts as empty; an empty text has no ids. A task leaves no words behind: Spark keeps
+    its workers, and would hold the words of each of them while others work.
     """
 
     @F.arrow_udf(BinaryType())
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = _made(tokenizer)
-        for texts in batches:
-            if not len(texts):
-                yield pa.array([], pa.binary())
-            for part in in_batches((t or "" for t in values(texts)), 1 << 20):
-                yield pa.array([bpe.encode(t) for t in part], pa.binary())
-                bpe.forget()
+        try:
+            for texts in batches:
+                if not len(texts):
+                    yield pa.array([], pa.binary())
+                for part in in_batches((t or "" for t in values(texts)), 1 << 20):
+                    yield pa.array([bpe.encode(t) for t in part], pa.binary())
+                    bpe.forget()
+        finally:
+            bpe.forget(everything=True)
 
     return ids(text)
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +59,19 @@ def test_forgetting_changes_nothing(own):
     assert [own.encode(t or "") for _, t in ROWS] == before
 
 
+def test_tasks_leave_no_words_behind(spark):
+    tokenizer = bpe.load(spark, PATH)
+    docs = spark.range(0, 64, 1, 64).select(F.concat(F.lit("some words of "), "id").alias("text"))
+    docs.select(bpe.encode(F.col("text"), tokenizer)).write.format("noop").mode("overwrite").save()
+
+    def held(batches):
+        kept = sum(len(k) for b in bpe._MADE.values() for k in (b.words, b.after_blank, b.pieces))
+        yield pa.record_batch({"made": pa.array([len(bpe._MADE)]), "kept": pa.array([kept])})
+
+    rows = spark.range(0, 64, 1, 64).mapInArrow(held, "made long, kept long").collect()
+    assert any(r.made for r in rows) and not any(r.kept for r in rows)
+
+
 def test_awkward_rows(spark, library):
     tokenizer = bpe.load(spark, PATH)
     docs = documents(spark).select("text", bpe.encode(F.col("text"), tokenizer).alias("ids"))
