@@ -1,15 +1,19 @@
 """Lines similar to an earlier line, found by an exact set-similarity join, and removed.
 
 A line is the set of its words. Two sets are similar if their Jaccard similarity is at least
-LEAST. Words are ordered by rarity, the same way everywhere. Similar sets share a word among
-the first few of both (prefix filter), their sizes are close (length filter), and the first
-word they share leaves enough words behind it in both (positional filter). A bitmap of all
-words rules out most of the pairs that pass, and the Jaccard similarity of the rest is taken
-from the sets themselves. Sets that are equal are one in the join.
+LEAST. Words are ordered by rarity, the same way everywhere. Similar sets share a run of RUN
+words, next to each other in both, among the first of both (prefix filter; see ``_runs``), their
+sizes are close (length filter), and the run leaves about as many words before and behind it in
+both (positional filter). A bitmap of all words rules out most of the pairs that pass, and the
+Jaccard similarity of the rest is taken from the sets themselves. Sets that are equal are one in
+the join. A run that only one set has makes no pair, so runs are looked for alone first. Similar
+sets share up to SHARED such runs, so a set is sent only under runs that occur again, and under
+all but some of these: the same prefix filter once more, on runs.
 
 A line goes as soon as one earlier line is similar, so a set sends only its PARTNERS earliest
-candidates under each word, not a row for every pair of a large group. Sets for which none of
-these turns out to be similar, though there were more, are searched again with all of them.
+candidates under each run, not a row for every pair of a large group. Sets for which none of
+these turns out to be similar, though there were more, are searched again with the next ones,
+MORE_PARTNERS times as many, until a similar one is found or none is left.
 
 Words and sets go by hashes, words and sets in the join by 64 bits, equal lines by 128.
 """
@@ -25,24 +29,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
-from fabtrace.llm.common import BATCH_CHARS, Batches, drop, gather, in_batches, stored, values
-from fabtrace.llm.shingles import hashed_words, mixed
+from fabtrace.llm.common import BATCH_CHARS, Batches, combined, drop, gather, in_batches, pieces_of, stored, values
+from fabtrace.llm.shingles import FOLD, mixed
 
 LEAST = 0.8
-PARTNERS = 2
+PARTNERS = 4
+MORE_PARTNERS = 1024
+RUN = 3
+SHARED = 8
 COUNT_CELLS = 1 << 22
 # Bits of a table of hashes; with more hashes it only lets more rows through.
 MOST_BITS = 1 << 27
-# Sets a task remembers, to send equal ones once, and pairs it looks at together.
-SETS_KEPT = 400_000
+# Runs and postings a task sends together, words for each range of runs, pairs looked at together.
+RUNS_AT_ONCE = 1 << 21
+POSTINGS_AT_ONCE = 1 << 18
+WORDS_PER_RANGE = 1 << 21
 PAIRS_AT_ONCE = 1 << 21
 NO_ID = np.iinfo(np.int64).max
 _SLACK = 1e-9
 _LINES, _RARITY = 20, 20  # bits of a sort key
+_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_ODD, _GOLDEN = np.uint64(0xD1B54A32D192ED03), np.uint64(0x9E3779B97F4A7C15)
 
 LEFT = StructType([StructField("n_lines", LongType()), StructField("kept_text", StringType())])
 
 
+def word_hashes(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and place of every word of the text, lower-cased (A-Z only), eight bytes at a time."""
+    raw = np.frombuffer(b" " + joined.translate(FOLD) + b" " * 9, np.uint8)
+    blank = raw == 32
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    at, size = edges[::2], edges[1::2] - edges[::2]
+    eights = np.lib.stride_tricks.as_strided(raw[1:], (len(raw) - 8, 8), (1, 1), writeable=False)
+
+    def eight(of: np.ndarray, k: int) -> np.ndarray:
+        return eights[at[of] + k].view(np.uint64).ravel() & _BYTES[np.minimum(size[of] - k, 8)]
+
+    hashes = mixed(eight(np.arange(len(at)), 0) * _ODD + size.astype(np.uint64) * _GOLDEN)
+    longer, k = np.flatnonzero(size > 8), 8
+    while len(longer):
+        hashes[longer] = mixed(hashes[longer] ^ (eight(longer, k) * _GOLDEN + np.uint64(k)))
+        k += 8
+        longer = longer[size[longer] > k]
+    return hashes, at
+
+
 def _order(line: np.ndarray, hashes: np.ndarray, rarity: np.ndarray | None) -> np.ndarray:
     """Places of the words by line, then rarity if given, then hash."""
     rest = 64 - _LINES
@@ -70,7 +101,7 @@ class Sets:
 
     def __init__(self, texts: list[bytes], rarity: np.ndarray | None = None):
         joined = b"\n".join([*texts, b""])
-        hashes, at = hashed_words(joined)
+        hashes, at = word_hashes(joined)
         feeds = np.flatnonzero(np.frombuffer(joined, np.uint8) == 10)
         line = np.searchsorted(feeds, at)
         order = _order(line, hashes, rarity)
@@ -93,9 +124,13 @@ class Sets:
         )
 
     def bitmap(self) -> np.ndarray:
-        """One bit per set and residue of its words: the parity of how many have it."""
-        bit = np.uint64(1) << (mixed(self.words) & np.uint64(63))
-        return np.bitwise_xor.reduceat(bit, self.first) if len(self.first) else bit
+        """256 bits per set, one for every residue of its words: the parity of how many have it."""
+        residue = mixed(self.words) & np.uint64(255)
+        bit = np.uint64(1) << (residue & np.uint64(63))
+        quarters = [np.where(residue >> np.uint64(6) == of, bit, np.uint64(0)) for of in range(4)]
+        if len(self.first):
+            quarters = [np.bitwise_xor.reduceat(q, self.first) for q in quarters]
+        return np.stack(quarters, 1)
 
 
 def cells(hashes: np.ndarray) -> np.ndarray:
@@ -110,36 +145,41 @@ def _sets(batches: Batches, rarity: np.ndarray | None = None) -> Iterator[tuple[
             at += len(texts)
 
 
-def word_rarity(texts: DataFrame) -> np.ndarray:
-    """How many words of all texts fall in each cell; rarer words come first in a set."""
+def scanned(texts: DataFrame) -> tuple[DataFrame, np.ndarray, str]:
+    """Every line with words: n, line, a, b (the name of its set), id; how many words of all texts
+    fall in each cell; and the path of the table that holds the lines.
 
-    def fill(batches: Batches) -> np.ndarray:
-        total = np.zeros(COUNT_CELLS, np.uint32)
-        for batch in batches:
-            for part in in_batches((t or b"" for t in values(batch.column("text"))), 4 * BATCH_CHARS):
-                np.add.at(total, cells(hashed_words(b"\n".join(part))[0]), np.uint32(1))
-        return total
-
-    return gather(texts.select("text"), fill, COUNT_CELLS, np.uint32)[0]
-
-
-def line_rows(texts: DataFrame) -> DataFrame:
-    """Every line with words: n, line, a, b (the name of its set)."""
+    Rarer words come first in a set. Each task counts its own words and sends the pieces of its
+    counts after its lines.
+    """
 
     def rows(batches: Batches) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNT_CELLS, np.uint32)
         for batch, at, s in _sets(batches):
+            # Every word once per line: the order needs no more.
+            np.add.at(total, cells(s.words), np.uint32(1))
             n = batch.column("n").to_numpy()[at + s.text]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(n), pa.array(s.line.astype(np.int32)), pa.array(s.a.view(np.int64)), pa.array(s.b.view(np.int64))],
-                ["n", "line", "a", "b"],
-            )
+            line = [pa.array(n), pa.array(s.line.astype(np.int32)), pa.array(s.a.view(np.int64)), pa.array(s.b.view(np.int64))]
+            line.append(batch.column("own").take(pa.array(at + s.text)))
+            blank = [pa.nulls(len(n), t) for t in (pa.int64(), pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays(line + blank, [*_LINE, *_PIECE])
+        for piece in pieces_of(total.reshape(1, -1)):
+            blank = [pa.nulls(1, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(blank + piece.columns, [*_LINE, *_PIECE])
+
+    found = texts.mapInArrow(rows, "n long, line int, a long, b long, id long, piece long, part long, payload binary")
+    table, path = _kept(found)
+    counted = table.where("payload IS NOT NULL").select(*_PIECE)
+    rarity = combined(counted, texts.rdd.getNumPartitions(), COUNT_CELLS, np.uint32)[0]
+    return table.where("payload IS NULL").select(*_LINE), rarity, path
 
-    return texts.mapInArrow(rows, "n long, line int, a long, b long")
 
+_LINE, _PIECE = ["n", "line", "a", "b", "id"], ["piece", "part", "payload"]
 
-def _prefix(sizes: np.ndarray, least: float) -> np.ndarray:
-    """How many words of a set one of its first shared words can be among."""
-    return sizes - np.ceil(least * sizes - _SLACK).astype(np.int64) + 1
+
+def _kept(df: DataFrame) -> tuple[DataFrame, str]:
+    """``stored``, and the shuffles that led to the table are gone with it."""
+    return stored(df, free=True)
 
 
 def bits_of(hashes: DataFrame) -> Broadcast:
@@ -165,214 +205,391 @@ def among(hashes: np.ndarray, bits: Broadcast) -> np.ndarray:
     return (table[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def postings(texts: DataFrame, rarity: Broadcast, least: float, only: Broadcast | None = None) -> DataFrame:
-    """The first words of every set: word, name, id (the least it occurs under), shape, bits.
+def _run_length(sizes: np.ndarray, least: float) -> np.ndarray:
+    """How many words, RUN at most, sets similar to one of each size share next to each other.
+
+    Of u words that two sets have together, at most d = (1 - least) * u are not shared. They cut
+    the u - d shared ones into d + 1 runs at most, so one has q words if u > q * d + q - 1. For
+    the smaller set of a pair u is at least its size.
+    """
+    out = np.ones(len(sizes), np.int64)
+    for q in range(2, RUN + 1):
+        room = 1 - q * (1 - least)
+        if room > _SLACK:
+            out[sizes > (q - 1) / room + _SLACK] = q
+    return out
+
+
+def _shared(sizes: np.ndarray, q: int, least: float) -> np.ndarray:
+    """How many runs of q words sets share if the smaller has one of these sizes, SHARED at most."""
+    spare = sizes - np.floor(q * (1 - least) * sizes + _SLACK) - q + 1
+    return np.clip(spare, 1, SHARED).astype(np.int64)
 
-    ``shape`` is the size of the set, shifted by 32 bits, and the word's place in it. Sets of
-    fewer words than can differ and still be similar have none. ``only`` limits the words.
+
+def _runs(s: Sets, sets: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, place and set of the runs among which every similar set shares some; and how many.
+
+    Before the first run of q shared words each word that is not shared follows at most q - 1
+    shared ones. With a such words of this set and b of the other, the run ends within
+    q * a + (q - 1) * b + q words of this set, and as a <= (1 - least) * size - least * b that
+    is at most q * (1 - least) * size + q. Each word more brings one shared run more, as far as
+    there are words. A set takes the lengths of all smaller sets it may be similar to, and as
+    many runs as the smallest of them shares. Sets of fewer words than can differ and still be
+    similar have no runs.
+    """
+    size = s.size[sets]
+    long = np.floor(size * (1 - least) + _SLACK) + np.floor((size + 1) * (1 - least) + _SLACK) > 0
+    sets, size = sets[long], size[long]
+    smallest = np.ceil(least * size - _SLACK)
+    shortest, longest = _run_length(smallest, least), _run_length(size, least)
+    out = []
+    for q in range(1, RUN + 1):
+        here = (shortest <= q) & (q <= longest)
+        if not here.any():
+            continue
+        n = size[here]
+        end = np.floor(q * (1 - least) * n + _SLACK).astype(np.int64) + q + _shared(n, q, least) - 1
+        count, shared = np.zeros((2, len(s.size)), np.int64)
+        count[sets[here]] = np.maximum(np.minimum(n, end) - q + 1, 0)
+        # Sets of a shorter run than q are met under that.
+        low = np.where(shortest[here] < q, np.floor((q - 1) / (1 - q * (1 - least)) + _SLACK) + 1, smallest[here])
+        shared[sets[here]] = _shared(low, q, least)
+        place = np.arange(len(s.words)) - np.repeat(s.first, s.size)
+        at = np.flatnonzero(place < np.repeat(count, s.size))
+        run = s.words * (_GOLDEN + np.uint64(2 * q))
+        for k in range(1, q):
+            run[:-k] += s.words[k:] * (_ODD + np.uint64(2 * k))
+        of = np.repeat(np.arange(len(s.size)), s.size)[at]
+        out.append([mixed(run[at]), place[at], of, shared[of]])
+    if not out:
+        return np.zeros(0, np.uint64), *np.zeros((3, 0), np.int64)
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _under(run: np.ndarray, of: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Places of the runs to send each set under: the least, but as many fewer as are shared less one."""
+    order = np.lexsort((run, shared, of))
+    own, need = of[order], shared[order]
+    start = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (need[1:] != need[:-1])])) if len(own) else own
+    count = np.diff(np.append(start, len(own)))
+    number = np.arange(len(own)) - np.repeat(start, count)
+    return order[number <= np.repeat(count, count) - need]
+
+
+def _second(code: np.ndarray) -> np.ndarray:
+    return mixed(code.view(np.uint64) ^ _ODD)
+
+
+def _place_key(n, line):
+    """One number for a line's place; ``n`` and ``line`` are arrays of 64 bits, or columns."""
+    if isinstance(n, Column):
+        return n.bitwiseXOR(F.shiftleft(line.cast("long"), 44))
+    return n ^ line << 44
+
+
+def _range(run: np.ndarray, spread: int) -> np.ndarray:
+    """The range of hashes that a run is in; there are 2 ** spread."""
+    return run >> np.uint64(64 - spread) if spread else np.zeros_like(run)
+
+
+def _in_range(run: np.ndarray, spread: int) -> np.ndarray:
+    """The 32 bits of a run that tell it from others of its range."""
+    return ((run << np.uint64(spread)) >> np.uint64(32)).astype(np.uint32)
+
+
+def _by_range(run: np.ndarray, columns: list[np.ndarray], spread: int) -> pa.RecordBatch:
+    """A row for each range: the runs in order, as steps, and the columns beside them, byte by byte."""
+    order = np.argsort(run)
+    of, key = _range(run[order], spread), _in_range(run[order], spread)
+    start = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+    step = np.diff(key, prepend=np.uint32(0))
+    step[start] = key[start]
+    columns = [step, *(c[order] for c in columns)]
+    ends = np.append(start, len(of))
+    payload = [
+        b"".join(c[a:b].view(np.uint8).reshape(b - a, -1).T.tobytes() for c in columns)
+        for a, b in zip(ends[:-1], ends[1:], strict=True)
+    ]
+    columns = [pa.array(of[start].astype(np.int64)), pa.array(np.diff(ends)), pa.array(payload, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["range", "runs", "payload"])
+
+
+_BY_RANGE = "range long, runs long, payload binary"
+
+
+def _unpacked(rows: pa.Table, types: list[type]) -> list[np.ndarray]:
+    """The runs and the columns beside them of all rows; of the last type are all that follow."""
+    out = []
+    for n, payload in zip(rows.column("runs").to_pylist(), rows.column("payload").to_pylist(), strict=True):
+        raw, at, columns = np.frombuffer(payload, np.uint8).reshape(-1, n), 0, []
+        while at < len(raw):
+            kind = np.dtype(np.uint32 if not columns else types[min(len(columns), len(types)) - 1])
+            columns.append(np.ascontiguousarray(raw[at : at + kind.itemsize].T).view(kind).ravel())
+            at += kind.itemsize
+        columns[0] = np.cumsum(columns[0], dtype=np.uint32)
+        out.append(columns)
+    return [np.concatenate(c) for c in zip(*out, strict=True)]
+
+
+def repeated_runs(texts: DataFrame, firsts: Broadcast, rarity: Broadcast, least: float, spread: int) -> DataFrame:
+    """Two hashes of every run that occurs again.
+
+    ``firsts`` has the places where sets occur first; a set is taken there only. Runs of one
+    range come to one task, in two or three bytes each.
     """
 
     def rows(batches: Batches) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, int] = {}
+        held, count = [], 0
         for batch, at, s in _sets(batches, rarity.value):
-            ids = batch.column("id").to_numpy()[at + s.text]
-            fresh = np.zeros(len(ids), bool)
-            for i, (name, own) in enumerate(zip(s.a.tolist(), ids.tolist(), strict=True)):
-                if own < seen.get(name, NO_ID + 1):
-                    seen[name] = own
-                    fresh[i] = True
-            if len(seen) > SETS_KEPT:
-                seen.clear()
-            long = np.floor(s.size * (1 - least) + _SLACK) + np.floor((s.size + 1) * (1 - least) + _SLACK) > 0
-            sets = np.flatnonzero(long & fresh)
-            prefix = _prefix(s.size[sets], least)
-            place = np.arange(prefix.sum()) - np.repeat(np.cumsum(prefix) - prefix, prefix)
-            of = np.repeat(sets, prefix)
-            word = s.words[s.first[of] + place].view(np.int64)
-            if only is not None:
-                kept = among(word, only)
-                word, place, of = word[kept], place[kept], of[kept]
-            columns = [word, s.a[of].view(np.int64), ids[of], s.size[of] << 32 | place, s.bitmap()[of].view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _POSTING)
-
-    return texts.mapInArrow(rows, ", ".join(f"{c} long" for c in _POSTING))
-
-
-_POSTING = ["word", "name", "id", "shape", "bits"]
-
-
-def _passing(word, name, shape, bits, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of postings of one word that pass the filters; postings come by word and shape."""
-    n = len(word)
-    size, place = shape >> 32, shape & 0xFFFFFFFF
-    group = np.cumsum(np.concatenate([[0], word[1:] != word[:-1]]))
-    # Partners follow a posting: the same word, and no more words than may be similar.
-    largest = np.floor(size / least + _SLACK).astype(np.int64)
-    count = np.searchsorted(group << 32 | size, group << 32 | largest, "right") - np.arange(n) - 1
-    ends = np.cumsum(count)
-    left, right, at = [], [], 0
-    while at < n:
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
-        own = count[at:to]
-        i = np.repeat(np.arange(at, to), own)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own)
-        both = size[i] + size[j]
-        overlap = np.ceil(both * (least / (1 + least)) - _SLACK).astype(np.int64)
-        passes = np.minimum(size[i] - place[i], size[j] - place[j]) >= overlap
-        i, j, room = i[passes], j[passes], (both - 2 * overlap)[passes]
-        passes = (np.bitwise_count(bits[i] ^ bits[j]) <= room) & (name[i] != name[j])
-        left.append(i[passes])
-        right.append(j[passes])
-        at = to
-    return np.concatenate(left), np.concatenate(right)
-
-
-def candidates(posts: DataFrame, least: float, of: Broadcast | None = None) -> DataFrame:
-    """Pairs of set names (x, y), and whether y has ``more`` candidates under a word.
-
-    For each set y the PARTNERS candidates with the least ids no larger than its own; or, of
-    the sets named in ``of`` only, all candidates. A task reads the postings of one word after
-    another and holds those of a word together.
-    """
+            run, *_ = _runs(s, _first_sets(batch, at, s, firsts), least)
+            held.append(run)
+            count += len(run)
+            if count > RUNS_AT_ONCE:
+                yield _by_range(np.concatenate(held), [], spread)
+                held, count = [], 0
+        if count:
+            yield _by_range(np.concatenate(held), [], spread)
+
+    def again(key, rows):
+        (run,) = _unpacked(rows, [])
+        run.sort()
+        code = np.uint64(key[0].as_py() << 32) | np.unique(run[1:][run[1:] == run[:-1]]).astype(np.uint64)
+        return pa.table({"run": pa.array(np.concatenate([code, _second(code)]).view(np.int64))})
+
+    return texts.mapInArrow(rows, _BY_RANGE).groupBy("range").applyInArrow(again, "run long")
 
-    def chosen(word, name, ids, shape, bits) -> pa.RecordBatch:
-        i, j = _passing(word, name, shape, bits.view(np.uint64), least)
-        x, y = np.concatenate([i, j]), np.concatenate([j, i])
-        more = np.zeros(len(x), bool)
-        if of is not None:
-            wanted = among(name[y], of)
-            x, y, more = x[wanted], y[wanted], more[wanted]
-        else:
-            earlier = ids[x] <= ids[y]
-            x, y = x[earlier], y[earlier]
-            order = np.lexsort((name[x], ids[x], y))
-            x, y = x[order], y[order]
-            start = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]])) if len(y) else np.zeros(0, np.int64)
-            sizes = np.diff(np.append(start, len(y)))
-            kept = np.arange(len(y)) - np.repeat(start, sizes) < PARTNERS
-            x, y, more = x[kept], y[kept], np.repeat(sizes > PARTNERS, sizes)[kept]
-        return pa.record_batch({"x": pa.array(name[x]), "y": pa.array(name[y]), "more": pa.array(more)})
+
+def _first_sets(batch: pa.RecordBatch, at: int, s: Sets, firsts: Broadcast) -> np.ndarray:
+    """The sets that may occur here first."""
+    n = batch.column("n").to_numpy()[at + s.text]
+    return np.flatnonzero(among(_place_key(n, s.line.astype(np.int64)), firsts))
+
+
+def postings(
+    texts: DataFrame, firsts: Broadcast, rarity: Broadcast, least: float, spread: int, only: Broadcast
+) -> DataFrame:
+    """The runs to send every set under, by range, with its name, id, size, place and bits."""
+    bitmap = Sets.bitmap
 
     def rows(batches: Batches) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            columns = [c.to_numpy() for c in batch.columns]
-            if held is not None:
-                columns = [np.concatenate(c) for c in zip(held, columns, strict=True)]
-            if not len(columns[0]):
-                continue
-            last = int(np.searchsorted(columns[0], columns[0][-1]))  # the last word may go on
-            held = [c[last:] for c in columns]
-            if last:
-                yield chosen(*(c[:last] for c in columns))
-        if held is not None:
-            yield chosen(*held)
-
-    sorted_posts = posts.repartition("word").sortWithinPartitions("word", "shape")
-    found = sorted_posts.mapInArrow(rows, "x long, y long, more boolean")
-    return found.groupBy("x", "y").agg(F.max("more").alias("more"))
+        held, count = [], 0
+        for batch, at, s in _sets(batches, rarity.value):
+            run, place, of, shared = _runs(s, _first_sets(batch, at, s, firsts), least)
+            code = _range(run, spread) << np.uint64(32) | _in_range(run, spread).astype(np.uint64)
+            kept = np.flatnonzero(among(code, only))
+            kept = kept[among(_second(code[kept]), only)]
+            kept = kept[_under(run[kept], of[kept], shared[kept])]
+            run, place, of = run[kept], place[kept], of[kept]
+            ids = batch.column("id").to_numpy()[at + s.text[of]]
+            bits = bitmap(s).reshape(len(s.first), -1)[of]
+            held.append([run, s.a[of], ids, s.size[of].astype(np.int32), place.astype(np.int32), *bits.T])
+            count += len(run)
+            if count > POSTINGS_AT_ONCE:
+                run, *columns = map(np.concatenate, zip(*held, strict=True))
+                yield _by_range(run, columns, spread)
+                held, count = [], 0
+        if count:
+            run, *columns = map(np.concatenate, zip(*held, strict=True))
+            yield _by_range(run, columns, spread)
+
+    return texts.mapInArrow(rows, _BY_RANGE)
+
+
+_POSTING = [np.int64, np.int64, np.int32, np.int32, np.uint64]  # name, id, size, place, bits
+
+
+def _passing(
+    run, name, ids, size, place, bits, wanted, least: float, most: int
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of postings of one run that pass the filters, the second no earlier than the first.
+
+    Postings come by run and id. Each ``wanted`` one meets the earliest of its run first, a
+    block at a time and each larger than the last, until more than ``most`` pass or none is left.
+    """
+    n = len(run)
+    new_run = np.concatenate([[True], run[1:] != run[:-1]])
+    new_id = new_run | np.concatenate([[True], ids[1:] != ids[:-1]])
+    start = np.flatnonzero(new_run)[np.cumsum(new_run) - 1]
+    end = np.append(np.flatnonzero(new_id), n)[np.cumsum(new_id)]  # of those no later
+    found = np.zeros(n, np.int64)
+    left, met, block = np.flatnonzero(wanted & (end - start > 1)), 0, 16
+    while len(left):
+        at, step = 0, max(1, PAIRS_AT_ONCE // block)
+        while at < len(left):
+            own = left[at : at + step]
+            count = np.minimum(end[own] - start[own] - met, block)
+            j = np.repeat(own, count)
+            i = start[j] + met + np.arange(len(j)) - np.repeat(np.cumsum(count) - count, count)
+            both = size[i] + size[j]
+            room = both - 2 * np.ceil(both * (least / (1 + least)) - _SLACK).astype(np.int64)
+            before = place[i] - place[j]
+            passes = np.abs(before) + np.abs(size[i] - size[j] - before) <= room
+            passes &= name[i] != name[j]
+            i, j, room = i[passes], j[passes], room[passes]
+            differ = sum(np.bitwise_count(b[i] ^ b[j]).astype(np.int64) for b in bits)
+            i, j = i[differ <= room], j[differ <= room]
+            np.add.at(found, j, 1)
+            yield i, j
+            at += step
+        met += block
+        block = min(2 * block, PAIRS_AT_ONCE)
+        left = left[(found[left] <= most) & (end[left] - start[left] > met)]
+
+
+def candidates(posts: DataFrame, least: float, done: int, most: int, of: Broadcast | None = None) -> DataFrame:
+    """Pairs of set names (x, y), and whether y has ``more`` candidates under a run.
+
+    For each set y (of those named in ``of``, if given) the candidates with the least ids no
+    larger than its own, under every run: all up to the ``most``th but the first ``done``. A
+    task holds the postings of a range of runs together.
+    """
 
+    def earliest(x, y, ids, name) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((name[x], ids[x], y))
+        x, y = x[order], y[order]
+        start = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]])) if len(y) else np.zeros(0, np.int64)
+        number = np.arange(len(y)) - np.repeat(start, np.diff(np.append(start, len(y))))
+        kept = number <= most  # one beyond, to know of more
+        return x[kept], y[kept], number[kept]
+
+    def chosen(key, rows):
+        run, name, ids, size, place, *bits = _unpacked(rows, _POSTING)
+        order = np.lexsort((name, ids, run))
+        run, name, ids, size, place, *bits = (
+            c[order] for c in (run, name, ids, size.astype(np.int64), place.astype(np.int64), *bits)
+        )
+        wanted = np.ones(len(name), bool) if of is None else among(name, of)
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for i, j in _passing(run, name, ids, size, place, bits, wanted, least, most):
+            parts.append(earliest(i, j, ids, name)[:2])
+            if sum(len(p[0]) for p in parts) > 4 * PAIRS_AT_ONCE:
+                parts = [earliest(*map(np.concatenate, zip(*parts, strict=True)), ids, name)[:2]]
+        x, y, number = earliest(*map(np.concatenate, zip(*parts, strict=True)), ids, name)
+        more = np.zeros(len(name), bool)
+        more[y[number == most]] = True
+        kept = (number >= done) & (number < most)
+        x, y = x[kept], y[kept]
+        found = pa.table({"x": pa.array(name[x]), "y": pa.array(name[y]), "more": pa.array(more[y])})
+        return found.group_by(["x", "y"]).aggregate([("more", "max")]).rename_columns(["x", "y", "more"])
+
+    found = posts.groupBy("range").applyInArrow(chosen, "x long, y long, more boolean")
+    return found.groupBy("x", "y").agg(F.max("more").alias("more"))
 
-def _words_of(texts: DataFrame, firsts: DataFrame, names: DataFrame) -> DataFrame:
-    """name and words (64-bit hashes, in order) of every named set, from where it occurs first."""
-    places = names.join(firsts, "name").select("name", "first.n", "first.line")
-    places = places.groupBy("n").agg(F.collect_list(F.struct("line", "name")).alias("wanted"))
-    places, path = stored(places)
-    bits = bits_of(places.select("n"))
 
+def _may(column: str, bits: Broadcast) -> Column:
     @F.arrow_udf(BooleanType())
-    def may(n: pa.Array) -> pa.Array:
-        return pa.array(among(n.to_numpy(), bits))
+    def may(hashes: pa.Array) -> pa.Array:
+        return pa.array(among(hashes.to_numpy(), bits))
+
+    return may(column)
+
+
+def _words_of(texts: DataFrame, firsts: DataFrame, names: DataFrame) -> tuple[DataFrame, str]:
+    """name, first and words (64-bit hashes, in order) of every named set, from where it occurs first."""
+    names, names_path = _kept(names.distinct())
+    places = firsts.where(_may("name", bits_of(names))).join(names, "name").groupBy("name").agg(F.min("first").alias("first"))
+    wanted = F.collect_list(F.struct(F.col("first.line").alias("line"), "name", "first")).alias("wanted")
+    places, path = _kept(places.groupBy(F.col("first.n").alias("n")).agg(wanted))
 
     def rows(batches: Batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, lines = [], []
+            found, lines = [], []
             for text, wanted in zip(values(batch.column("text")), values(batch.column("wanted")), strict=True):
                 split = text.split(b"\n")
-                names += [w["name"] for w in wanted]
+                found += wanted
                 lines += [split[w["line"]] for w in wanted]
             s = Sets(lines)
             words = [s.words[a : a + n].tobytes() for a, n in zip(s.first, s.size, strict=True)]
-            yield pa.record_batch(
-                {"name": pa.array([names[t] for t in s.text], pa.int64()), "words": pa.array(words, pa.binary())}
-            )
+            found = [found[t] for t in s.text]
+            firsts = pa.array([w["first"] for w in found], batch.schema.field("wanted").type.value_type.field("first").type)
+            columns = [pa.array([w["name"] for w in found], pa.int64()), firsts, pa.array(words, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["name", "first", "words"])
 
-    found = texts.where(may("n")).join(places, "n").select("text", "wanted").mapInArrow(rows, "name long, words binary")
-    out, _ = stored(found.groupBy("name").agg(F.first("words").alias("words")))
-    drop(texts.sparkSession, path)
-    return out
+    first = firsts.schema["first"].dataType.simpleString()
+    found = texts.where(_may("n", bits_of(places.select("n")))).join(places, "n").select("text", "wanted")
+    out, out_path = _kept(found.mapInArrow(rows, f"name long, first {first}, words binary"))
+    for done in (names_path, path):
+        drop(texts.sparkSession, done)
+    return out, out_path
+
+
+def _flat(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all sets of a column, and how many each has."""
+    sizes = np.array([len(w) // 8 for w in words.to_pylist()], np.int64)
+    return np.frombuffer(b"".join(words.to_pylist()), np.uint64), sizes
 
 
 def similar(x: Column, y: Column, least: float) -> Column:
     @F.arrow_udf(BooleanType())
     def test(xs: pa.Array, ys: pa.Array) -> pa.Array:
-        out = []
-        for a, b in zip(xs.to_pylist(), ys.to_pylist(), strict=True):
-            both = len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), True))
-            out.append(both >= least * (len(a) // 8 + len(b) // 8 - both) - _SLACK)
-        return pa.array(out, pa.bool_())
+        (a, in_a), (b, in_b) = _flat(xs), _flat(ys)
+        words = np.concatenate([a, b])
+        pair = np.concatenate([np.repeat(np.arange(len(xs)), in_a), np.repeat(np.arange(len(ys)), in_b)])
+        order = np.lexsort((words, pair))
+        words, pair = words[order], pair[order]
+        twice = (words[1:] == words[:-1]) & (pair[1:] == pair[:-1])
+        both = np.bincount(pair[1:][twice], minlength=len(xs))
+        return pa.array(both >= least * (in_a + in_b - both) - _SLACK)
 
     return test(x, y)
 
 
-def _matches(pairs: DataFrame, words: DataFrame, firsts: DataFrame, least: float) -> DataFrame:
+def _matches(texts: DataFrame, firsts: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     """For every set with an earlier similar one among the pairs: its name and that one's place."""
+    words, path = _words_of(texts, firsts, pairs.select(F.explode(F.array("x", "y")).alias("name")))
     found = (
         pairs.select("x", "y")
-        .join(words.toDF("x", "words_x"), "x")
-        .join(words.toDF("y", "words_y"), "y")
+        .join(words.toDF("x", "at_x", "words_x"), "x")
+        .join(words.toDF("y", "at_y", "words_y"), "y")
         .where(similar(F.col("words_x"), F.col("words_y"), least))
-        .join(firsts.toDF("x", "at_x"), "x")
-        .join(firsts.toDF("y", "at_y"), "y")
     )
     earlier = F.col("at_x") < F.col("at_y")
-    out, _ = stored(
+    out, _ = _kept(
         found.select(F.when(earlier, F.col("y")).otherwise(F.col("x")).alias("name"), F.least("at_x", "at_y").alias("at"))
         .groupBy("name")
         .agg(F.min("at").alias("near"))
     )
+    drop(texts.sparkSession, path)
     return out
 
 
-def earlier_matches(texts: DataFrame, firsts: DataFrame, least: float = LEAST) -> DataFrame:
-    """name and ``near`` of every set that has a similar one before it.
+def earlier_matches(texts: DataFrame, firsts: DataFrame, rarity: np.ndarray, least: float = LEAST) -> DataFrame:
+    """name and ``near`` of sets that have a similar one before them, every such set at least once.
 
     ``texts`` has n, id and text; ``firsts`` the place (a struct that orders, with n and line) of
-    the first line of every set, by name.
+    the first line of every set, by name; ``rarity`` how many words fall in each cell.
     """
     spark = texts.sparkSession
-    rarity = spark.sparkContext.broadcast(word_rarity(texts))
-    pairs, path = stored(candidates(postings(texts, rarity, least), least))
-    words = _words_of(texts, firsts, pairs.select(F.explode(F.array("x", "y")).alias("name")).distinct())
-    matches = _matches(pairs, words, firsts, least)
-    rest = pairs.where("more").select(F.col("y").alias("name")).distinct().join(matches, "name", "left_anti")
-    rest, rest_path = stored(rest)
-    if rest.limit(1).count():
-        matches = matches.unionByName(_search_again(texts, firsts, words.join(rest, "name", "leftsemi"), rarity, least))
-    for done in (path, rest_path):
+    # So many ranges that each has about as many runs, however many there are.
+    spread = min(32, max(0, int(rarity.sum(dtype=np.int64)) // WORDS_PER_RANGE).bit_length())
+    order = spark.sparkContext.broadcast(rarity)
+    at_first = bits_of(firsts.select(_place_key(F.col("first.n"), F.col("first.line")).alias("key")))
+    again, again_path = _kept(repeated_runs(texts, at_first, order, least, spread))
+    posts, posts_path = _kept(postings(texts, at_first, order, least, spread, bits_of(again)))
+    matches = _search(posts, texts, firsts, least, 0, PARTNERS, None)
+    for done in (again_path, posts_path):
         drop(spark, done)
     return matches
 
 
-def _search_again(texts: DataFrame, firsts: DataFrame, rest: DataFrame, rarity: Broadcast, least: float) -> DataFrame:
-    """The same for the sets ``rest`` (name, words), with all their candidates."""
+def _search(posts: DataFrame, texts: DataFrame, firsts: DataFrame, least: float, done: int, most: int, of: Broadcast | None) -> DataFrame:
+    """The matches among the candidates from the ``done``th to the ``most``th, and those of the
+    sets that have none there, though more candidates, among their next ones."""
+    spark = posts.sparkSession
+    pairs, path = _kept(candidates(posts, least, done, most, of))
+    matches = _matches(texts, firsts, pairs, least)
+    rest, rest_path = _kept(pairs.where("more").select(F.col("y").alias("name")).distinct().join(matches, "name", "left_anti"))
+    drop(spark, path)
+    if rest.limit(1).count():
+        next_most = most + MORE_PARTNERS * (most - done)
+        matches = matches.unionByName(_search_again(posts, texts, firsts, least, most, next_most, bits_of(rest)))
+    drop(spark, rest_path)
+    return matches
+
 
-    def first_words(batches: Batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [np.zeros(0, np.uint64)]
-            for words in batch.column("words").to_pylist():
-                w = np.frombuffer(words, np.uint64)
-                w = w[_order(np.zeros(len(w), np.int64), w, rarity.value)]
-                out.append(w[: int(_prefix(np.array([len(w)]), least)[0])])
-            yield pa.record_batch({"word": pa.array(np.concatenate(out).view(np.int64))})
-
-    common = bits_of(rest.mapInArrow(first_words, "word long").distinct())
-    names = bits_of(rest.select("name"))
-    pairs, path = stored(candidates(postings(texts, rarity, least, common), least, names))
-    words = _words_of(texts, firsts, pairs.select(F.explode(F.array("x", "y")).alias("name")).distinct())
-    found = _matches(pairs, words, firsts, least)
-    drop(texts.sparkSession, path)
-    return found
+def _search_again(posts: DataFrame, texts: DataFrame, firsts: DataFrame, least: float, done: int, most: int, of: Broadcast) -> DataFrame:
+    """``_search`` for the sets named in ``of``."""
+    return _search(posts, texts, firsts, least, done, most, of)
 
 
 def mark(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: float = LEAST) -> DataFrame:
@@ -385,18 +602,17 @@ def mark(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     kept_text is the rest of the text. Ids are whole numbers. Null and empty texts have no
     lines, and null stays null.
     """
-    base, _ = stored(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("n")))
+    base, _ = _kept(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("n")))
     text, own_id = F.col("row").getField(text_column), F.col("row").getField(id_column).cast("long")
     texts = base.select("n", F.coalesce(own_id, F.lit(int(NO_ID))).alias("id"), text.cast("binary").alias("text"))
-    lines, _ = stored(line_rows(texts))
-    ids = base.select("n", own_id.alias("id"))
+    lines, rarity, _ = scanned(base.select("n", own_id.alias("own"), text.cast("binary").alias("text")))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "n", "line")
-    firsts, _ = stored(
-        lines.join(ids, "n").groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"))
+    firsts, _ = _kept(
+        lines.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"))
     )
-    near = earlier_matches(texts, firsts.groupBy(F.col("a").alias("name")).agg(F.min("first").alias("first")), least)
+    near = earlier_matches(texts, firsts.select(F.col("a").alias("name"), "first"), rarity, least)
     near = near.groupBy(F.col("name").alias("a")).agg(F.min("near").alias("near"))
-    lowest, _ = stored(
+    lowest, _ = _kept(
         firsts.join(near, "a", "left")
         .where("times > 1 OR near IS NOT NULL")
         .select("a", "b", F.least("first", "near").alias("low"))

@@ -5,6 +5,7 @@ import pytest
 
 from fabtrace.llm import lines
 from fabtrace.llm.decontaminate import words
+from fabtrace.llm.shingles import hashed_words
 from tests.llm.data import ROWS, documents, empty
 
 
@@ -107,3 +108,48 @@ def test_sets_do_not_depend_on_their_neighbours():
     assert list(zip(together.text.tolist(), together.line.tolist(), strict=True)) == [(1, 2), (2, 0), (4, 0), (4, 1), (4, 3)]
     assert together.a[0] == together.a[1] and len(np.unique(together.a)) == 4
     assert together.size.tolist() == [2, 2, 1, 1, 2]
+
+
+def test_words_are_hashed_eight_bytes_at_a_time():
+    text = "One, one ONE\n abcdefgh abcdefghi abcdefghj 中文中文中文 a\n".encode()
+    hashes, at = lines.word_hashes(text)
+    assert at.tolist() == hashed_words(text)[1].tolist()
+    assert hashes[0] == hashes[1] == hashes[2] and len(np.unique(hashes)) == 6
+    assert len(lines.word_hashes(b"")[0]) == len(lines.word_hashes(b" .\n")[0]) == 0
+
+
+@pytest.mark.parametrize("least", [0.5, 0.7, 0.8, 0.9])
+def test_similar_sets_are_sent_under_a_common_run(least):
+    """Whatever other runs occur again; sets of 1 to 80 words, changed as much as may be."""
+    rng = random.Random(7)
+    pairs = 0
+    for _ in range(3000):
+        x = [f"w{i}" for i in rng.sample(range(500), rng.randint(1, 80))]
+        most = int(len(x) * (1 - least) / least) + 1
+        gone = rng.randint(0, most)
+        y = rng.sample(x, max(1, len(x) - gone)) + [f"v{i}" for i in range(rng.randint(0, most - gone))]
+        shared, union = len(set(x) & set(y)), len(set(x) | set(y))
+        if shared == union or shared < least * union:
+            continue
+        pairs += 1
+        a, b = (lines.Sets([" ".join(t).encode()]) for t in (x, y))
+        runs = [lines._runs(s, np.arange(1), least) for s in (a, b)]
+        both = np.intersect1d(runs[0][0], runs[1][0])
+        sent = []
+        for run, _, of, need in runs:
+            again = np.isin(run, both) | (np.random.default_rng(pairs).random(len(run)) < 0.3)
+            sent.append(run[again][lines._under(run[again], of[again], need[again])])
+        assert len(np.intersect1d(*sent))
+    assert pairs > 300
+
+
+def test_lines_alone_are_not_sent(spark, monkeypatch):
+    """Words that many lines have make no rows; only runs that occur again do."""
+    sent = []
+    find = lines.candidates
+    monkeypatch.setattr(lines, "candidates", lambda posts, *a: sent.append(posts.agg({"runs": "sum"}).first()[0]) or find(posts, *a))
+    rng = random.Random(4)
+    rows = [(d, " ".join(f"w{rng.randrange(2000)}" for _ in range(40))) for d in range(300)]
+    rows += [(300, rows[7][1] + " more")]
+    assert check(documents(spark, rows).repartition(3), rows) == 1
+    assert 0 < sent[0] < 300
