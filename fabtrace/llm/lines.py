@@ -400,10 +400,11 @@ _POSTING = [np.int64, np.int64, np.int32, np.int32, np.uint64]  # name, id, size
 
 def _passing(
     run, name, ids, size, place, bits, wanted, least: float, most: int
-) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of postings of one run that pass the filters, the second no earlier than the first.
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of postings of one run that pass the filters, the second no earlier than the first,
+    and how many of the second's come before.
 
-    Postings come by run and id. Each ``wanted`` one meets the earliest of its run first, a
+    Postings come by run, id and name. Each ``wanted`` one meets the earliest of its run first, a
     block at a time and each larger than the last, until more than ``most`` pass or none is left.
     """
     n = len(run)
@@ -428,8 +429,12 @@ def _passing(
             i, j, room = i[passes], j[passes], room[passes]
             differ = sum(np.bitwise_count(b[i] ^ b[j]).astype(np.int64) for b in bits)
             i, j = i[differ <= room], j[differ <= room]
-            np.add.at(found, j, 1)
-            yield i, j
+            first = np.flatnonzero(np.concatenate([[True], j[1:] != j[:-1]])) if len(j) else j
+            count = np.diff(np.append(first, len(j)))
+            number = found[j] + np.arange(len(j)) - np.repeat(first, count)
+            found[j[first]] += count
+            kept = number <= most  # one beyond, to know of more
+            yield i[kept], j[kept], number[kept]
             at += step
         met += block
         block = min(2 * block, PAIRS_AT_ONCE)
@@ -444,14 +449,6 @@ def candidates(posts: DataFrame, least: float, done: int, most: int, of: Broadca
     task holds the postings of a range of runs together.
     """
 
-    def earliest(x, y, ids, name) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        order = np.lexsort((name[x], ids[x], y))
-        x, y = x[order], y[order]
-        start = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]])) if len(y) else np.zeros(0, np.int64)
-        number = np.arange(len(y)) - np.repeat(start, np.diff(np.append(start, len(y))))
-        kept = number <= most  # one beyond, to know of more
-        return x[kept], y[kept], number[kept]
-
     def chosen(key, rows):
         run, name, ids, size, place, *bits = _unpacked(rows, _POSTING)
         order = np.lexsort((name, ids, run))
@@ -459,12 +456,8 @@ def candidates(posts: DataFrame, least: float, done: int, most: int, of: Broadca
             c[order] for c in (run, name, ids, size.astype(np.int64), place.astype(np.int64), *bits)
         )
         wanted = np.ones(len(name), bool) if of is None else among(name, of)
-        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for i, j in _passing(run, name, ids, size, place, bits, wanted, least, most):
-            parts.append(earliest(i, j, ids, name)[:2])
-            if sum(len(p[0]) for p in parts) > 4 * PAIRS_AT_ONCE:
-                parts = [earliest(*map(np.concatenate, zip(*parts, strict=True)), ids, name)[:2]]
-        x, y, number = earliest(*map(np.concatenate, zip(*parts, strict=True)), ids, name)
+        parts = [(np.zeros(0, np.int64),) * 3, *_passing(run, name, ids, size, place, bits, wanted, least, most)]
+        x, y, number = map(np.concatenate, zip(*parts, strict=True))
         more = np.zeros(len(name), bool)
         more[y[number == most]] = True
         kept = (number >= done) & (number < most)
