@@ -243,7 +243,7 @@ def _runs(s: Sets, sets: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarr
     smallest = np.ceil(least * size - _SLACK)
     shortest, longest = _run_length(smallest, least), _run_length(size, least)
     out = []
-    for q in range(1, RUN + 1):
+    for q in range(RUN, 0, -1):
         here = (shortest <= q) & (q <= longest)
         if not here.any():
             continue
@@ -267,8 +267,11 @@ def _runs(s: Sets, sets: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarr
 
 
 def _under(run: np.ndarray, of: np.ndarray, shared: np.ndarray) -> np.ndarray:
-    """Places of the runs to send each set under: the least, but as many fewer as are shared less one."""
-    order = np.lexsort((run, shared, of))
+    """Places of the runs to send each set under: the first, but as many fewer as are shared less one.
+
+    Runs come by length, then by place: the same order for all sets, with the rarest words first.
+    """
+    order = np.lexsort((shared, of))
     own, need = of[order], shared[order]
     start = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (need[1:] != need[:-1])])) if len(own) else own
     count = np.diff(np.append(start, len(own)))

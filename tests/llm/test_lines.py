@@ -153,3 +153,15 @@ def test_lines_alone_are_not_sent(spark, monkeypatch):
     rows += [(300, rows[7][1] + " more")]
     assert check(documents(spark, rows).repartition(3), rows) == 1
     assert 0 < sent[0] < 300
+
+
+def test_sets_are_sent_under_their_rarest_runs():
+    """Common words that many lines end with must not bring these together."""
+    rarity = np.zeros(lines.COUNT_CELLS, np.uint32)
+    text = b" ".join(b"w%d" % i for i in range(25))
+    rarity[lines.cells(lines.Sets([text]).words)] = 1 + np.random.default_rng(3).permutation(25).astype(np.uint32)
+    s = lines.Sets([text], rarity)
+    run, place, of, shared = lines._runs(s, np.arange(1), 0.8)
+    sent = place[lines._under(run, of, shared)]
+    assert len(sent) == len(run) - shared[0] + 1 < len(run)
+    assert sorted(sent) == list(range(len(sent)))
