@@ -3,6 +3,7 @@ import hashlib
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,3 +206,23 @@ def test_a_revisit_of_a_lost_page_has_no_size(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(warc._member(warc._record("2", None, payload, digest, "1")))
     row = warc.pages(warc.read(spark, str(tmp_path)), "long").first()
     assert (row.page_id, row.record_type, row.refers_to, row.payload_bytes, row.payload_digest) == (2, "revisit", 1, None, digest)
+
+
+def test_few_large_rows_are_handed_to_python_at_a_time(spark, tmp_path, monkeypatch):
+    """Pages by the hundred, archives one by one; the session's own setting is back afterwards."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(setting), []
+    keep = warc.stored
+    monkeypatch.setattr(warc, "stored", lambda df: seen.append(spark.conf.get(setting)) or keep(df))
+    rows = spark.createDataFrame([(i, "http://x", "page %d" % i) for i in range(9)], "page_id long, url string, html string")
+    warc.write(warc.with_revisits(warc.payloads(rows)), str(tmp_path / "a"), archive_bytes=1)
+    assert warc.pages(warc.read(spark, str(tmp_path / "a"))).count() == 9
+    assert seen[-1] == "1" and spark.conf.get(setting) == before
+
+
+def test_an_archive_is_not_copied():
+    whole = bytearray(b"x" * (4 << 20))
+    held = pa.total_allocated_bytes()
+    batch = warc._archive(whole, 1, True)
+    assert pa.total_allocated_bytes() - held < 1 << 20
+    assert batch.column("archive")[0].as_py() == bytes(whole)
