@@ -20,7 +20,8 @@ Words and sets go by hashes, words and sets in the join by 64 bits, equal lines
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -93,17 +94,32 @@ def _order(line: np.ndarray, hashes: np.ndarray, rarity: np.ndarray | None) -> n
 
 
 class Sets:
-    """The sets of words of all lines of some texts; lines without words have none.
+    """The sets of words of all lines of some texts, or of those that are ``wanted`` by text and
+    number; lines without words have none.
 
     words: the sets' words, set after set; first, size: where each begins and its length;
     text, line: the text of each and its number there; a, b: 128 bits that name it.
     """
 
-    def __init__(self, texts: list[bytes], rarity: np.ndarray | None = None):
+    def __init__(
+        self,
+        texts: list[bytes],
+        rarity: np.ndarray | None = None,
+        wanted: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
+    ):
         joined = b"\n".join([*texts, b""])
         hashes, at = word_hashes(joined)
         feeds = np.flatnonzero(np.frombuffer(joined, np.uint8) == 10)
         line = np.searchsorted(feeds, at)
+        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+        feeds_before = np.searchsorted(feeds, np.concatenate([[0], ends[:-1] + 1]))
+        if wanted is not None:
+            own = np.unique(line)
+            text = np.searchsorted(feeds_before, own, "right") - 1
+            table = np.zeros(len(feeds) + 1, bool)
+            table[own] = wanted(text, own - feeds_before[text])
+            kept = table[line]
+            hashes, line = hashes[kept], line[kept]
         order = _order(line, hashes, rarity)
         hashes, line = hashes[order], line[order]
         new = np.ones(len(line), bool)
@@ -113,15 +129,20 @@ class Sets:
         start[1:] = line[1:] != line[:-1]
         self.first = np.flatnonzero(start)
         self.size = np.diff(np.append(self.first, len(line)))
-        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
-        feeds_before = np.searchsorted(feeds, np.concatenate([[0], ends[:-1] + 1]))
         line = line[self.first]
         self.text = np.searchsorted(feeds_before, line, "right") - 1
         self.line = line - feeds_before[self.text]
-        self.a, self.b = (
-            np.add.reduceat(mixed(self.words ^ np.uint64(seed)), self.first) if len(line) else self.words
-            for seed in (0x243F6A8885A308D3, 0x13198A2E03707344)
-        )
+
+    def _name(self, seed: int) -> np.ndarray:
+        return np.add.reduceat(mixed(self.words ^ np.uint64(seed)), self.first) if len(self.first) else self.words
+
+    @cached_property
+    def a(self) -> np.ndarray:
+        return self._name(0x243F6A8885A308D3)
+
+    @cached_property
+    def b(self) -> np.ndarray:
+        return self._name(0x13198A2E03707344)
 
     def bitmap(self) -> np.ndarray:
         """256 bits per set, one for every residue of its words: the parity of how many have it."""
@@ -137,11 +158,16 @@ def cells(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - COUNT_CELLS.bit_length() + 1)).astype(np.int64)
 
 
-def _sets(batches: Batches, rarity: np.ndarray | None = None) -> Iterator[tuple[pa.RecordBatch, int, Sets]]:
+def _sets(
+    batches: Batches, rarity: np.ndarray | None = None, firsts: Broadcast | None = None
+) -> Iterator[tuple[pa.RecordBatch, int, Sets]]:
+    """The sets of a few texts at a time; with ``firsts`` those that may occur there first."""
     for batch in batches:
         at = 0
         for texts in in_batches((t or b"" for t in values(batch.column("text"))), 2 * BATCH_CHARS):
-            yield batch, at, Sets(texts, rarity)
+            n = batch.column("n").to_numpy()[at : at + len(texts)]
+            wanted = firsts and (lambda text, line, n=n: among(_place_key(n[text], line.astype(np.int64)), firsts))
+            yield batch, at, Sets(texts, rarity, wanted)
             at += len(texts)
 
 
@@ -184,12 +210,26 @@ def _kept(df: DataFrame) -> tuple[DataFrame, str]:
 
 def bits_of(hashes: DataFrame) -> Broadcast:
     """A bit for every hash in the only column."""
-    size = min(MOST_BITS, max(1 << 13, 1 << (16 * max(hashes.count(), 1) - 1).bit_length()))
+    return _bits(hashes, hashes.count(), lambda column: column.to_numpy().view(np.uint64))
+
+
+def run_bits(runs: DataFrame) -> Broadcast:
+    """Two bits for every run of ``repeated_runs``."""
+
+    def hashes(column: pa.Array) -> np.ndarray:
+        code = np.frombuffer(b"".join(column.to_pylist()), np.uint64)
+        return np.concatenate([code, _second(code)])
+
+    return _bits(runs.select("payload"), 2 * (runs.agg(F.sum("runs")).first()[0] or 0), hashes)
+
+
+def _bits(hashes: DataFrame, count: int, unpacked: Callable[[pa.Array], np.ndarray]) -> Broadcast:
+    size = min(MOST_BITS, max(1 << 13, 1 << (16 * max(count, 1) - 1).bit_length()))
 
     def fill(batches: Batches) -> np.ndarray:
         bits = np.zeros(size // 8, np.uint8)
         for batch in batches:
-            cell = mixed(batch.column(0).to_numpy().view(np.uint64)) & np.uint64(size - 1)
+            cell = mixed(unpacked(batch.column(0))) & np.uint64(size - 1)
             np.bitwise_or.at(bits, (cell >> np.uint64(3)).astype(np.int64), np.uint8(1) << (cell & np.uint64(7)).astype(np.uint8))
         return bits
 
@@ -305,18 +345,18 @@ def _by_range(run: np.ndarray, columns: list[np.ndarray], spread: int) -> pa.Rec
     order = np.argsort(run)
     of, key = _range(run[order], spread), _in_range(run[order], spread)
     start = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
-    step = np.diff(key, prepend=np.uint32(0))
-    step[start] = key[start]
-    columns = [step, *(c[order] for c in columns)]
+    columns = [c[order] for c in columns]
     ends = np.append(start, len(of))
-    payload = [
-        b"".join(c[a:b].view(np.uint8).reshape(b - a, -1).T.tobytes() for c in columns)
-        for a, b in zip(ends[:-1], ends[1:], strict=True)
-    ]
+    payload = [_payload(key[a:b], [c[a:b] for c in columns]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
     columns = [pa.array(of[start].astype(np.int64)), pa.array(np.diff(ends)), pa.array(payload, pa.binary())]
     return pa.RecordBatch.from_arrays(columns, ["range", "runs", "payload"])
 
 
+def _payload(key: np.ndarray, columns: list[np.ndarray]) -> bytes:
+    step = np.diff(key, prepend=np.uint32(0))
+    return b"".join(c.view(np.uint8).reshape(len(key), -1).T.tobytes() for c in [step, *columns])
+
+
 _BY_RANGE = "range long, runs long, payload binary"
 
 
@@ -335,7 +375,7 @@ def _unpacked(rows: pa.Table, types: list[type]) -> list[np.ndarray]:
 
 
 def repeated_runs(texts: DataFrame, firsts: Broadcast, rarity: Broadcast, least: float, spread: int) -> DataFrame:
-    """Two hashes of every run that occurs again.
+    """Every run that occurs again, those of a range in one row.
 
     ``firsts`` has the places where sets occur first; a set is taken there only. Runs of one
     range come to one task, in two or three bytes each.
@@ -343,8 +383,8 @@ def repeated_runs(texts: DataFrame, firsts: Broadcast, rarity: Broadcast, least:
 
     def rows(batches: Batches) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
-        for batch, at, s in _sets(batches, rarity.value):
-            run, *_ = _runs(s, _first_sets(batch, at, s, firsts), least)
+        for _, _, s in _sets(batches, rarity.value, firsts):
+            run, *_ = _runs(s, np.arange(len(s.size)), least)
             held.append(run)
             count += len(run)
             if count > RUNS_AT_ONCE:
@@ -357,15 +397,9 @@ def repeated_runs(texts: DataFrame, firsts: Broadcast, rarity: Broadcast, least:
         (run,) = _unpacked(rows, [])
         run.sort()
         code = np.uint64(key[0].as_py() << 32) | np.unique(run[1:][run[1:] == run[:-1]]).astype(np.uint64)
-        return pa.table({"run": pa.array(np.concatenate([code, _second(code)]).view(np.int64))})
+        return pa.table({"runs": pa.array([len(code)], pa.int64()), "payload": pa.array([code.tobytes()], pa.binary())})
 
-    return texts.mapInArrow(rows, _BY_RANGE).groupBy("range").applyInArrow(again, "run long")
-
-
-def _first_sets(batch: pa.RecordBatch, at: int, s: Sets, firsts: Broadcast) -> np.ndarray:
-    """The sets that may occur here first."""
-    n = batch.column("n").to_numpy()[at + s.text]
-    return np.flatnonzero(among(_place_key(n, s.line.astype(np.int64)), firsts))
+    return texts.mapInArrow(rows, _BY_RANGE).groupBy("range").applyInArrow(again, "runs long, payload binary")
 
 
 def postings(
@@ -376,8 +410,8 @@ def postings(
 
     def rows(batches: Batches) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
-        for batch, at, s in _sets(batches, rarity.value):
-            run, place, of, shared = _runs(s, _first_sets(batch, at, s, firsts), least)
+        for batch, at, s in _sets(batches, rarity.value, firsts):
+            run, place, of, shared = _runs(s, np.arange(len(s.size)), least)
             code = _range(run, spread) << np.uint64(32) | _in_range(run, spread).astype(np.uint64)
             kept = np.flatnonzero(among(code, only))
             kept = kept[among(_second(code[kept]), only)]
@@ -445,11 +479,12 @@ def _passing(
 
 
 def candidates(posts: DataFrame, least: float, done: int, most: int, of: Broadcast | None = None) -> DataFrame:
-    """Pairs of set names (x, y), and whether y has ``more`` candidates under a run.
+    """Pairs of set names (x, y), and whether y has ``more`` candidates under a run; and, in rows
+    of their own, the postings of the runs under which any set has more.
 
     For each set y (of those named in ``of``, if given) the candidates with the least ids no
     larger than its own, under every run: all up to the ``most``th but the first ``done``. A
-    task holds the postings of a range of runs together.
+    task holds the postings of a range of runs together. A pair may come from several ranges.
     """
 
     def chosen(key, rows):
@@ -466,10 +501,18 @@ def candidates(posts: DataFrame, least: float, done: int, most: int, of: Broadca
         kept = (number >= done) & (number < most)
         x, y = x[kept], y[kept]
         found = pa.table({"x": pa.array(name[x]), "y": pa.array(name[y]), "more": pa.array(more[y])})
-        return found.group_by(["x", "y"]).aggregate([("more", "max")]).rename_columns(["x", "y", "more"])
+        found = found.group_by(["x", "y"]).aggregate([("more", "max")]).rename_columns(["x", "y", "more"])
+        again = np.isin(run, run[more])
+        columns = [name, ids, size.astype(np.int32), place.astype(np.int32), *bits]
+        payload = _payload(run[again], [c[again] for c in columns]) if again.any() else b""
+        left = pa.table({"range": [key[0].as_py()], "runs": [int(again.sum())], "payload": pa.array([payload], pa.binary())})
+        left = left.slice(0, int(again.any()))
+        return pa.concat_tables([found, left], promote_options="default").select(_FOUND)
+
+    return posts.groupBy("range").applyInArrow(chosen, f"x long, y long, more boolean, {_BY_RANGE}")
 
-    found = posts.groupBy("range").applyInArrow(chosen, "x long, y long, more boolean")
-    return found.groupBy("x", "y").agg(F.max("more").alias("more"))
+
+_FOUND = ["x", "y", "more", "range", "runs", "payload"]
 
 
 def _may(column: str, bits: Broadcast) -> Column:
@@ -561,25 +604,26 @@ def earlier_matches(texts: DataFrame, firsts: DataFrame, rarity: np.ndarray, lea
     order = spark.sparkContext.broadcast(rarity)
     at_first = bits_of(firsts.select(_place_key(F.col("first.n"), F.col("first.line")).alias("key")))
     again, again_path = _kept(repeated_runs(texts, at_first, order, least, spread))
-    posts, posts_path = _kept(postings(texts, at_first, order, least, spread, bits_of(again)))
-    matches = _search(posts, texts, firsts, least, 0, PARTNERS, None)
-    for done in (again_path, posts_path):
-        drop(spark, done)
-    return matches
+    repeated = run_bits(again)
+    drop(spark, again_path)
+    return _search(postings(texts, at_first, order, least, spread, repeated), texts, firsts, least, 0, PARTNERS, None)
 
 
 def _search(posts: DataFrame, texts: DataFrame, firsts: DataFrame, least: float, done: int, most: int, of: Broadcast | None) -> DataFrame:
     """The matches among the candidates from the ``done``th to the ``most``th, and those of the
     sets that have none there, though more candidates, among their next ones."""
     spark = posts.sparkSession
-    pairs, path = _kept(candidates(posts, least, done, most, of))
+    found, found_path = _kept(candidates(posts, least, done, most, of))
+    pairs, path = _kept(found.where("payload IS NULL").groupBy("x", "y").agg(F.max("more").alias("more")))
+    left = found.where("payload IS NOT NULL").select("range", "runs", "payload")
     matches = _matches(texts, firsts, pairs, least)
     rest, rest_path = _kept(pairs.where("more").select(F.col("y").alias("name")).distinct().join(matches, "name", "left_anti"))
     drop(spark, path)
     if rest.limit(1).count():
         next_most = most + MORE_PARTNERS * (most - done)
-        matches = matches.unionByName(_search_again(posts, texts, firsts, least, most, next_most, bits_of(rest)))
-    drop(spark, rest_path)
+        matches = matches.unionByName(_search_again(left, texts, firsts, least, most, next_most, bits_of(rest)))
+    for done_path in (rest_path, found_path):
+        drop(spark, done_path)
     return matches
 
 

@@ -165,3 +165,25 @@ def test_sets_are_sent_under_their_rarest_runs():
     sent = place[lines._under(run, of, shared)]
     assert len(sent) == len(run) - shared[0] + 1 < len(run)
     assert sorted(sent) == list(range(len(sent)))
+
+
+def test_only_runs_with_more_candidates_are_kept_for_the_next_search(spark, monkeypatch):
+    """The first search leaves no table of all postings behind, and the next one reads less."""
+    sent = []
+    find = lines.candidates
+    monkeypatch.setattr(lines.Sets, "bitmap", lambda self: np.zeros(len(self.first), np.uint64))
+    monkeypatch.setattr(lines, "PARTNERS", 1)
+    monkeypatch.setattr(lines, "candidates", lambda posts, *a: sent.append(posts.agg({"runs": "sum"}).first()[0]) or find(posts, *a))
+    rows = family(120, [1, 2, 3], 9)
+    assert check(documents(spark, rows).repartition(3), rows) > 50
+    assert len(sent) > 1 and 0 < sent[1] < sent[0]
+
+
+def test_sets_of_wanted_lines_only():
+    texts = [b"a b\n\nc d e", b"f\ng h"]
+    every = lines.Sets(texts)
+    some = lines.Sets(texts, wanted=lambda text, line: (text == 1) & (line == 1) | (text == 0) & (line == 2))
+    at = [1, 3]
+    assert some.text.tolist() == [0, 1] and some.line.tolist() == [2, 1] and some.size.tolist() == [3, 2]
+    assert (some.a == every.a[at]).all() and (some.b == every.b[at]).all()
+    assert len(lines.Sets(texts, wanted=lambda text, line: text < 0).a) == 0
