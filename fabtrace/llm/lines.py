@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType
 
 from fabtrace.llm.common import BATCH_CHARS, Batches, combined, drop, gather, in_batches, pieces_of, stored, values
 from fabtrace.llm.shingles import FOLD, mixed
@@ -52,8 +52,6 @@ _LINES, _RARITY = 20, 20  # bits of a sort key
 _BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _ODD, _GOLDEN = np.uint64(0xD1B54A32D192ED03), np.uint64(0x9E3779B97F4A7C15)
 
-LEFT = StructType([StructField("n_lines", LongType()), StructField("kept_text", StringType())])
-
 
 def word_hashes(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hash and place of every word of the text, lower-cased (A-Z only), eight bytes at a time."""
@@ -61,12 +59,12 @@ def word_hashes(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
     blank = raw == 32
     edges = np.flatnonzero(blank[1:] != blank[:-1])
     at, size = edges[::2], edges[1::2] - edges[::2]
-    eights = np.lib.stride_tricks.as_strided(raw[1:], (len(raw) - 8, 8), (1, 1), writeable=False)
+    eights = np.ndarray((len(raw) - 8,), np.uint64, raw.data, 1, (1,))  # from every byte on
 
     def eight(of: np.ndarray, k: int) -> np.ndarray:
-        return eights[at[of] + k].view(np.uint64).ravel() & _BYTES[np.minimum(size[of] - k, 8)]
+        return eights[at[of] + k] & _BYTES[np.minimum(size[of] - k, 8)]
 
-    hashes = mixed(eight(np.arange(len(at)), 0) * _ODD + size.astype(np.uint64) * _GOLDEN)
+    hashes = mixed((eights[at] & _BYTES[np.minimum(size, 8)]) * _ODD + size.astype(np.uint64) * _GOLDEN)
     longer, k = np.flatnonzero(size > 8), 8
     while len(longer):
         hashes[longer] = mixed(hashes[longer] ^ (eight(longer, k) * _GOLDEN + np.uint64(k)))
@@ -83,16 +81,23 @@ def _order(line: np.ndarray, hashes: np.ndarray, rarity: np.ndarray | None) -> n
     if rarity is None:
         key |= hashes >> np.uint64(_LINES)
     else:
-        count = np.minimum(rarity[cells(hashes)], (1 << _RARITY) - 1).astype(np.uint64)
-        key |= count << np.uint64(rest - _RARITY) | hashes >> np.uint64(_LINES + _RARITY)
+        count = rarity[cells(hashes)]
+        key |= count.astype(np.uint64) << np.uint64(rest - _RARITY) | hashes >> np.uint64(_LINES + _RARITY)
     order = np.argsort(key)
-    k, h = key[order], hashes[order]
-    if len(line) and (line[-1] >> _LINES or ((k[1:] == k[:-1]) & (h[1:] != h[:-1])).any()):
+    k = key[order]
+    tie = np.flatnonzero(k[1:] == k[:-1])
+    if len(line) and (line[-1] >> _LINES or (hashes[order[tie]] != hashes[order[tie + 1]]).any()):
         # Too many lines for a short key, or words that it can't tell apart.
         return np.lexsort((hashes, line) if count is None else (hashes, count, line))
     return order
 
 
+def rarities(counts: np.ndarray) -> np.ndarray:
+    """How rare the words of each cell are among all cells, in as few bytes as hold it."""
+    _, rank = np.unique(np.minimum(counts, (1 << _RARITY) - 1), return_inverse=True)
+    return rank.astype(np.min_scalar_type(int(rank.max(initial=0))))
+
+
 class Sets:
     """The sets of words of all lines of some texts, or of those that are ``wanted`` by text and
     number; lines without words have none.
@@ -110,7 +115,8 @@ class Sets:
         joined = b"\n".join([*texts, b""])
         hashes, at = word_hashes(joined)
         feeds = np.flatnonzero(np.frombuffer(joined, np.uint8) == 10)
-        line = np.searchsorted(feeds, at)
+        # The words before each line feed are those of its line.
+        line = np.repeat(np.arange(len(feeds)), np.diff(np.searchsorted(at, feeds), prepend=0))
         ends = np.cumsum([len(t) + 1 for t in texts]) - 1
         feeds_before = np.searchsorted(feeds, np.concatenate([[0], ends[:-1] + 1]))
         if wanted is not None:
@@ -121,7 +127,7 @@ class Sets:
             kept = table[line]
             hashes, line = hashes[kept], line[kept]
         order = _order(line, hashes, rarity)
-        hashes, line = hashes[order], line[order]
+        hashes = hashes[order]  # lines are in order already
         new = np.ones(len(line), bool)
         new[1:] = (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])
         self.words, line = hashes[new], line[new]
@@ -342,10 +348,13 @@ def _in_range(run: np.ndarray, spread: int) -> np.ndarray:
 
 def _by_range(run: np.ndarray, columns: list[np.ndarray], spread: int) -> pa.RecordBatch:
     """A row for each range: the runs in order, as steps, and the columns beside them, byte by byte."""
-    order = np.argsort(run)
-    of, key = _range(run[order], spread), _in_range(run[order], spread)
+    if columns:
+        order = np.argsort(run)
+        run, columns = run[order], [c[order] for c in columns]
+    else:
+        run = np.sort(run)
+    of, key = _range(run, spread), _in_range(run, spread)
     start = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
-    columns = [c[order] for c in columns]
     ends = np.append(start, len(of))
     payload = [_payload(key[a:b], [c[a:b] for c in columns]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
     columns = [pa.array(of[start].astype(np.int64)), pa.array(np.diff(ends)), pa.array(payload, pa.binary())]
@@ -478,6 +487,14 @@ def _passing(
         left = left[(found[left] <= most) & (end[left] - start[left] > met)]
 
 
+def _by_run(run: np.ndarray, ids: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """Places of the postings by run, id and name."""
+    low = int(ids.min(initial=0))
+    if int(ids.max(initial=0)) - low >> 32:
+        return np.lexsort((name, ids, run))
+    return _sorted_by(run.astype(np.uint64) << np.uint64(32) | (ids - low).astype(np.uint64), name)
+
+
 def candidates(posts: DataFrame, least: float, done: int, most: int, of: Broadcast | None = None) -> DataFrame:
     """Pairs of set names (x, y), and whether y has ``more`` candidates under a run; and, in rows
     of their own, the postings of the runs under which any set has more.
@@ -489,7 +506,7 @@ def candidates(posts: DataFrame, least: float, done: int, most: int, of: Broadca
 
     def chosen(key, rows):
         run, name, ids, size, place, *bits = _unpacked(rows, _POSTING)
-        order = np.lexsort((name, ids, run))
+        order = _by_run(run, ids, name)
         run, name, ids, size, place, *bits = (
             c[order] for c in (run, name, ids, size.astype(np.int64), place.astype(np.int64), *bits)
         )
@@ -558,13 +575,30 @@ def _flat(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(words.to_pylist()), np.uint64), sizes
 
 
+def _by_pair(pair: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Places of the words by pair, then hash."""
+    bits = max(1, int(pair.max(initial=0)).bit_length())
+    return _sorted_by(pair.astype(np.uint64) << np.uint64(64 - bits) | words >> np.uint64(bits), words)
+
+
+def _sorted_by(key: np.ndarray, then: np.ndarray) -> np.ndarray:
+    """Places by key, then by ``then``, which is looked at only where keys are equal."""
+    order = np.argsort(key)
+    k = key[order]
+    tie = k[1:] == k[:-1]
+    at = np.flatnonzero(np.append(tie, False) | np.append(False, tie)) if tie.any() else []
+    if len(at):
+        order[at] = order[at][np.lexsort((then[order[at]], k[at]))]
+    return order
+
+
 def similar(x: Column, y: Column, least: float) -> Column:
     @F.arrow_udf(BooleanType())
     def test(xs: pa.Array, ys: pa.Array) -> pa.Array:
         (a, in_a), (b, in_b) = _flat(xs), _flat(ys)
         words = np.concatenate([a, b])
         pair = np.concatenate([np.repeat(np.arange(len(xs)), in_a), np.repeat(np.arange(len(ys)), in_b)])
-        order = np.lexsort((words, pair))
+        order = _by_pair(pair, words)
         words, pair = words[order], pair[order]
         twice = (words[1:] == words[:-1]) & (pair[1:] == pair[:-1])
         both = np.bincount(pair[1:][twice], minlength=len(xs))
@@ -601,7 +635,7 @@ def earlier_matches(texts: DataFrame, firsts: DataFrame, rarity: np.ndarray, lea
     spark = texts.sparkSession
     # So many ranges that each has about as many runs, however many there are.
     spread = min(32, max(0, int(rarity.sum(dtype=np.int64)) // WORDS_PER_RANGE).bit_length())
-    order = spark.sparkContext.broadcast(rarity)
+    order = spark.sparkContext.broadcast(rarities(rarity))
     at_first = bits_of(firsts.select(_place_key(F.col("first.n"), F.col("first.line")).alias("key")))
     again, again_path = _kept(repeated_runs(texts, at_first, order, least, spread))
     repeated = run_bits(again)
@@ -662,28 +696,13 @@ def mark(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     found = F.struct("line", F.col("low.id").alias("first_id"), F.col("low.line").alias("first_line"))
     of_doc = lines.join(lowest, ["a", "b"]).where(later).groupBy("n").agg(F.array_sort(F.collect_list(found)).alias("removed"))
     removed = F.coalesce("removed", F.array().cast("array<struct<line:int,first_id:bigint,first_line:int>>"))
-    out = base.join(of_doc, "n", "left").withColumn("gone", removed)
-    out = out.withColumn("left", _strip()(text, F.transform("gone", lambda g: g["line"])))
+    out = base.join(of_doc.hint("shuffle_hash"), "n", "left").withColumn("gone", removed).withColumn("split", F.split(text, "\n"))
+    gone = F.transform("gone", lambda g: g["line"])
+    left = F.array_join(F.filter("split", lambda x, i: ~F.array_contains(gone, i)), "\n")
     return out.select(
         "row",
-        F.col("left.n_lines").alias("n_lines"),
+        F.when(text != "", F.size("split").cast("long")).otherwise(0).alias("n_lines"),
         F.size("gone").cast("long").alias("n_removed"),
         F.col("gone").alias("removed"),
-        F.col("left.kept_text").alias("kept_text"),
+        F.when(F.size("gone") > 0, left).otherwise(text).alias("kept_text"),
     )
-
-
-def _strip():
-    """From a text and the numbers of the lines to remove: n_lines and kept_text."""
-
-    @F.arrow_udf(LEFT)
-    def strip(texts: pa.Array, removed: pa.Array) -> pa.Array:
-        counts, kept = [], []
-        for text, gone in zip(texts.to_pylist(), removed.to_pylist(), strict=True):
-            found = text.split("\n") if text else []
-            counts.append(len(found))
-            drop = set(gone)
-            kept.append("\n".join(x for i, x in enumerate(found) if i not in drop) if drop else text)
-        return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(kept, pa.string())], LEFT.fieldNames())
-
-    return strip

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from fabtrace.llm import lines
+from fabtrace.llm import common, lines
 from fabtrace.llm.decontaminate import words
 from fabtrace.llm.shingles import hashed_words
 from tests.llm.data import ROWS, documents, empty
@@ -187,3 +187,41 @@ def test_sets_of_wanted_lines_only():
     assert some.text.tolist() == [0, 1] and some.line.tolist() == [2, 1] and some.size.tolist() == [3, 2]
     assert (some.a == every.a[at]).all() and (some.b == every.b[at]).all()
     assert len(lines.Sets(texts, wanted=lambda text, line: text < 0).a) == 0
+
+
+def test_gathered_in_few_jobs(spark):
+    """However many partitions a shuffle has, most of them empty, the pieces come in one job."""
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(n) for n in names]
+    spark.sparkContext.setJobGroup("gather", "gather")
+    try:
+        for n, v in zip(names, ("40", "false"), strict=True):
+            spark.conf.set(n, v)
+
+        def fill(batches):
+            total = np.zeros(3 * common.PIECE, np.int64)
+            for batch in batches:
+                np.add.at(total, batch.column(0).to_numpy(), 1)
+            return total
+
+        found = common.gather(spark.range(0, 3 * common.PIECE, 1, 4), fill, 3 * common.PIECE, np.int64)
+        assert (found == 1).all()
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("gather")) < 10
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
+        spark.sparkContext._jsc.sc().clearJobGroup()
+
+
+def test_orders_are_those_of_lexsort():
+    rng = np.random.default_rng(5)
+    run, name = rng.integers(0, 9, 2000).astype(np.uint32), rng.integers(-(1 << 62), 1 << 62, 2000)
+    for ids in (rng.integers(0, 20, 2000), rng.integers(0, 20, 2000) << 40, np.full(2000, lines.NO_ID)):
+        assert (lines._by_run(run, ids, name) == np.lexsort((name, ids, run))).all()
+    words = rng.permutation(2000).astype(np.uint64) | rng.integers(0, 3, 2000).astype(np.uint64) << np.uint64(60)
+    for pair in (np.sort(rng.integers(0, 300, 2000)), np.zeros(2000, np.int64)):
+        assert (lines._by_pair(pair, words) == np.lexsort((words, pair))).all()
+    counts = np.concatenate([rng.integers(0, 99, 2000), [(1 << 20) - 1, 1 << 20, 1 << 30]])
+    ranks = lines.rarities(counts)
+    capped = np.minimum(counts, (1 << 20) - 1)
+    assert ((ranks[:, None] < ranks) == (capped[:, None] < capped)).all() and ranks.dtype == np.uint8
