@@ -33,7 +33,7 @@ LEAST_LIMIT, SPARE_BITS, MOST_LIMIT = 16, 2, 24
 IDS_AT_ONCE = 1 << 19
 WORDS_KEPT = 600_000
 # Bytes of text whose words are looked up together, and words the library gets at once.
-BYTES_AT_ONCE = 1 << 22
+BYTES_AT_ONCE = 1 << 23
 WORDS_AT_ONCE = 1 << 12
 
 
@@ -281,36 +281,24 @@ class Words:
         self.library, self.plain = Tokenizer.from_str(source), Tokenizer.from_str(source)
         self.plain.normalizer = None
         self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.known: dict[str, bytes] = {}
+        self.known, self.others = Known(), Known()  # plain words, and what goes to the library
         # Whether an id ends a word.
         self.last = np.zeros(max(model["vocab"].values()) + 1, bool)
         if suffix := model.get("end_of_word_suffix"):
             self.last[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
 
-    @staticmethod
-    def _ids(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+    def _by_library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, one after the other, and how many each has."""
+        return _joined(self.library.encode_batch_fast(words, add_special_tokens=False))
 
-    def _by_library(self, words: list[str]) -> list[bytes]:
-        return [self._ids(e.ids) for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _by_plain(self, stems: list[str]) -> list[bytes]:
+    def _by_plain(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same for plain words, as one text that is cut where a word ends."""
         found = self.plain.encode_batch_fast([stems], is_pretokenized=True, add_special_tokens=False)[0]
         ids = np.array(found.ids, "<u4")
-        cuts = [0, *((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()]
-        if len(cuts) != len(stems) + 1:  # a word has an end that is not in the vocabulary
-            return [self._ids(e.ids) for e in self.plain.encode_batch_fast(stems, add_special_tokens=False)]
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in itertools.pairwise(cuts)]
-
-    def _look_up(self, words: list[str], encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
-        known = self.known
-        new = [w for w in words if w not in known]
-        for at in range(0, len(new), WORDS_AT_ONCE):
-            own = new[at : at + WORDS_AT_ONCE]
-            known.update(zip(own, encode(own), strict=True))
-        return [known[w] for w in words]
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(stems):  # a word has an end that is not in the vocabulary
+            return _joined(self.plain.encode_batch_fast(stems, add_special_tokens=False))
+        return ids, np.diff(ends, prepend=0)
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
         """Ids of each text and then the end."""
@@ -322,44 +310,86 @@ class Words:
         The ids of every distinct word are put together from those of its letters and its end, and
         those of a text from its words'.
         """
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
+        for known in (self.known, self.others):
+            if len(known) > WORDS_KEPT:
+                known.clear()
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         order = split.flatten().dictionary_encode()
         words = order.dictionary
         cut = pc.extract_regex(words, _PLAIN)
         plain = cut.is_valid()
-        cut, others = cut.filter(plain), words.filter(pc.invert(plain)).to_pylist()
+        cut, others = cut.filter(plain), words.filter(pc.invert(plain))
         stems = pc.utf8_lower(pc.struct_field(cut, "letters")).dictionary_encode()
         marks = pc.struct_field(cut, "end").dictionary_encode()
-        parts = self._look_up(stems.dictionary.to_pylist(), self._by_plain)
-        no_stem = len(parts)
-        parts += self._look_up([*others, *marks.dictionary.to_pylist()], self._by_library) + [b"", end]
-        nothing = len(parts) - 2
+        stem = self.known.numbers(stems.dictionary, self._by_plain)
+        others = pa.concat_arrays([others, marks.dictionary]).dictionary_encode()
+        other = self.others.numbers(others.dictionary, self._by_library)[others.indices.to_numpy()] + len(self.known)
+        n = len(other) - len(marks.dictionary)
+        mark = other[n:]
+        nothing = len(self.known) + len(self.others)
 
         plain = plain.to_numpy(zero_copy_only=False)
         first, last = np.zeros(len(words), np.int64), np.full(len(words), nothing)
-        first[plain], last[plain] = stems.indices.to_numpy(), marks.indices.to_numpy() + no_stem + len(others)
-        first[~plain] = no_stem + np.arange(len(others))
+        first[plain], last[plain] = stem[stems.indices.to_numpy()], mark[marks.indices.to_numpy()]
+        first[~plain] = other[:n]
         # The last word is the end of a text.
         which = np.append(np.stack([first, last], 1).ravel(), [nothing, nothing + 1])
-        ids, sizes = _taken(np.frombuffer(b"".join(parts), "<u4"), np.array([len(p) // 4 for p in parts]), which)
-        sizes = sizes.reshape(-1, 2).sum(1)
+        end_ids = np.frombuffer(end, "<u4")
+        ids = np.concatenate([self.known.ids, self.others.ids, end_ids])
+        parts = _binary(ids, np.concatenate([self.known.sizes, self.others.sizes, [0, len(end_ids)]]))
+        ends = _ends(parts.take(pa.array(which)))
+        whole = _binary(ends[0], np.diff(ends[1], prepend=0).reshape(-1, 2).sum(1) // 4)
 
         text_ends = np.cumsum(pc.list_value_length(split).to_numpy())
         which = np.insert(order.indices.to_numpy(), text_ends, len(words))
-        ids, sizes = _taken(ids, sizes, which)
-        ends = np.cumsum(sizes)[text_ends + np.arange(len(texts))] * 4
-        offsets = pa.array(np.append(0, ends), pa.int32())
-        return pa.Array.from_buffers(pa.binary(), len(texts), [None, offsets.buffers()[1], pa.py_buffer(ids)])
-
-
-def _taken(ids: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of consecutive rows of ids of the given sizes, the rows ``which``, and their sizes."""
-    first = (np.cumsum(sizes) - sizes)[which]
-    n = sizes[which]
-    ends = np.cumsum(n)
-    return ids[np.arange(n.sum()) + np.repeat(first - ends + n, n)], n
+        ids, ends = _ends(whole.take(pa.array(which)))
+        offsets = np.append(0, ends[text_ends + np.arange(len(texts))]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+
+
+class Known:
+    """The words met so far, and the ids of all of them, one after the other."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.words = pa.array([], pa.string())
+        self.ids, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    def numbers(self, words: pa.Array, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The places of distinct words among those known; new ones are encoded."""
+        found = pc.index_in(words, value_set=self.words)
+        new = words.filter(found.is_null())
+        at = found.fill_null(-1).to_numpy().astype(np.int64)
+        at[at < 0] = len(self) + np.arange(len(new))
+        if len(new):
+            own = [encode(new[k : k + WORDS_AT_ONCE].to_pylist()) for k in range(0, len(new), WORDS_AT_ONCE)]
+            self.words = pa.concat_arrays([self.words, new])
+            self.ids = np.concatenate([self.ids, *(ids for ids, _ in own)])
+            self.sizes = np.concatenate([self.sizes, *(sizes for _, sizes in own)])
+        return at
+
+
+def _binary(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Consecutive ids as an array of binaries with so many ids each."""
+    offsets = pa.array(np.append(0, np.cumsum(sizes) * 4), pa.int32())
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, offsets.buffers()[1], pa.py_buffer(ids)])
+
+
+def _ends(taken: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all binaries, one after the other, and the byte where each ends."""
+    ends = np.frombuffer(taken.buffers()[1], np.int32)[1 : len(taken) + 1]
+    raw = taken.buffers()[2]
+    size = int(ends[-1]) if len(ends) else 0
+    return np.frombuffer(raw, np.uint8, size).view("<u4") if size else np.zeros(0, "<u4"), ends
+
+def _joined(found: list) -> tuple[np.ndarray, np.ndarray]:
+    ids = [e.ids for e in found]
+    return np.array(list(itertools.chain.from_iterable(ids)), "<u4"), np.array([len(i) for i in ids], np.int64)
 
 
 _MADE: dict[int, Words] = {}

@@ -136,3 +136,19 @@ def test_empty_files_and_foreign_ids(spark, tmp_path):
     assert tokens.read(spark, f"{tmp_path}/none").count() == 0
     with pytest.raises(Exception, match="not below 10"):
         tokens.write(spark.createDataFrame([(1, np.uint32(10).tobytes())], "id long, ids binary"), f"{tmp_path}/bad", 10)
+
+
+def test_known_words_are_encoded_once():
+    known, asked = tokens.Known(), []
+
+    def encode(words):
+        asked.extend(words)
+        return np.array([len(w) for w in words for _ in w], "<u4"), np.array([len(w) for w in words])
+
+    for words in (["a", "ccc", ""], [], ["", "bb", "a"], ["ccc"]):
+        at = known.numbers(pa.array(["zz", *words], pa.string())[1:], encode)
+        ends = np.cumsum(known.sizes)
+        assert [known.ids[ends[i] - known.sizes[i] : ends[i]].tolist() for i in at] == [[len(w)] * len(w) for w in words]
+    assert asked == ["a", "ccc", "", "bb"] and len(known) == 4
+    known.clear()
+    assert len(known) == 0 and known.numbers(pa.array(["bb"]), encode).tolist() == [0]
